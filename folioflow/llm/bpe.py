@@ -30,39 +30,44 @@ CODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 class RankQueue:
     """Positions by rank: push, and pop of the leftmost position of the lowest rank."""
 
+    __slots__ = ("low", "mid", "top", "buckets")
+
     def __init__(self, n_ranks: int):
         self.low = [0] * (n_ranks // 64 + 1)
         self.mid = [0] * (len(self.low) // 64 + 1)
         self.top = 0
-        self.buckets: dict[int, list[int]] = {}
+        self.buckets: list[list[int]] = [[] for _ in range(n_ranks)]
 
     def push(self, rank: int, at: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [at]
-            i, j = rank >> 6, rank >> 12
-            self.low[i] |= 1 << (rank & 63)
+        bucket = self.buckets[rank]
+        if bucket:
+            heappush(bucket, at)
+            return
+        bucket.append(at)
+        i = rank >> 6
+        word = self.low[i]
+        self.low[i] = word | 1 << (rank & 63)
+        if not word:
+            j = i >> 6
             self.mid[j] |= 1 << (i & 63)
             self.top |= 1 << j
-        else:
-            heappush(bucket, at)
 
     def pop(self) -> tuple[int, int]:
-        j = (self.top & -self.top).bit_length() - 1
-        word = self.mid[j]
-        i = (j << 6) + (word & -word).bit_length() - 1
+        top = self.top
+        j = (top & -top).bit_length() - 1
+        above = self.mid[j]
+        i = (j << 6) + (above & -above).bit_length() - 1
         word = self.low[i]
         rank = (i << 6) + (word & -word).bit_length() - 1
         bucket = self.buckets[rank]
-        at = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[i] = word = word & (word - 1)
-            if not word:
-                self.mid[j] = word = self.mid[j] & (self.mid[j] - 1)
-                if not word:
-                    self.top &= self.top - 1
-        return rank, at
+        if len(bucket) > 1:
+            return rank, heappop(bucket)
+        self.low[i] = word = word & (word - 1)
+        if not word:
+            self.mid[j] = above = above & (above - 1)
+            if not above:
+                self.top = top & (top - 1)
+        return rank, bucket.pop()
 
 
 class ByteBPE:
@@ -79,17 +84,17 @@ class ByteBPE:
         ranks, n = self.ranks, len(piece)
         if (whole := ranks.get(piece)) is not None:
             return [whole]
-        queue = self.queue
+        queue, get, push, pop = self.queue, ranks.get, self.queue.push, self.queue.pop
         ends = list(range(1, n + 1))  # where the span that starts here ends; spans are linked by their ends
         before = list(range(-1, n - 1))
         pair = [-1] * n  # rank of the span here with the next one, as last pushed; -1: none
         for i in range(n - 1):
-            rank = ranks.get(piece[i : i + 2])
+            rank = get(piece[i : i + 2])
             if rank is not None:
                 pair[i] = rank
-                queue.push(rank, i)
+                push(rank, i)
         while queue.top:
-            rank, at = queue.pop()
+            rank, at = pop()
             if pair[at] != rank:
                 continue  # stale
             gone = ends[at]
@@ -97,18 +102,22 @@ class ByteBPE:
             pair[gone] = -1
             if end < n:
                 before[end] = at
-                new = ranks.get(piece[at : ends[end]])
-                pair[at] = -1 if new is None else new
-                if new is not None:
-                    queue.push(new, at)
+                new = get(piece[at : ends[end]])
+                if new is None:
+                    pair[at] = -1
+                else:
+                    pair[at] = new
+                    push(new, at)
             else:
                 pair[at] = -1
             left = before[at]
             if left >= 0:
-                new = ranks.get(piece[left:end])
-                pair[left] = -1 if new is None else new
-                if new is not None:
-                    queue.push(new, left)
+                new = get(piece[left:end])
+                if new is None:
+                    pair[left] = -1
+                else:
+                    pair[left] = new
+                    push(new, left)
         ids, at = [], 0
         while at < n:
             ids.append(ranks[piece[at : ends[at]]])
@@ -127,7 +136,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class TextCoder(WordCache):
     """Ids of texts. Key: a stretch of text that the pattern never matches across the ends of."""
 
-    def __init__(self, path: str, pattern: str, limit: int = 300_000):
+    def __init__(self, path: str, pattern: str, limit: int = 600_000):
         super().__init__(limit)
         self.bpe = ByteBPE(read_ranks(path))
         self.pattern = regex.compile(pattern)
