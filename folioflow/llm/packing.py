@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm.common import text_groups, written
-from folioflow.llm.tokenize import word_tokens
+from folioflow.llm.tokenize import CHARS, word_tokens
 
 MEMBER = np.dtype([("doc_id", "<i8"), ("null", "?"), ("piece", "<i8"), ("start", "<i8"), ("length", "<i4"), ("crc", "<u4")])
 BINS = "fill int, members binary"
@@ -71,7 +71,7 @@ def _pieces(path: str, capacity: int, end_id: int):
         members: list[bytes] = []
         for batch in batches:
             ids = batch.column(0)
-            for first, texts in text_groups(batch.column(1)):
+            for first, texts in text_groups(batch.column(1), CHARS):
                 for i, data in enumerate(tokens.encode(texts), first):
                     data += end
                     doc_id = ids[i].as_py()

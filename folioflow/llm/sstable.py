@@ -34,7 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioflow.llm.common import new_path, text_groups
-from folioflow.llm.tokenize import word_tokens
+from folioflow.llm.tokenize import CHARS, word_tokens
 
 MAGIC = b"FFSST001"
 _FOOTER = struct.Struct("<QQQQQQQ9s9s8s")
@@ -214,7 +214,7 @@ def _write_part(folder: str, path: str, end_id: int, shard_bytes: int):
 
         for batch in batches:
             ids = batch.column(0)
-            for first, texts in text_groups(batch.column(1)):
+            for first, texts in text_groups(batch.column(1), CHARS):
                 for i, data in enumerate(tokens.encode(texts), first):
                     if not writer:
                         fs.create_dir(base, recursive=True)
