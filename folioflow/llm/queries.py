@@ -7,11 +7,20 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm import bpe, minhash, packing, sstable
+from folioflow.llm import bpe, hnsw, langid, minhash, packing, quality, sstable, toxicity
 from folioflow.llm.common import table
 from folioflow.llm.tokenize import default_word_file
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), default_word_file(), capacity=2048, end_id=0)
 
@@ -29,12 +38,25 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.code_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs))
+
+
+def op10_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.repetition_rules(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_embedding_near_dedup": op1_embedding_near_dedup,
+        "op2_toxicity": op2_toxicity,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_minhash_near_dedup": op4_minhash_near_dedup,
         "op5_sorted_token_shards": op5_sorted_token_shards,
         "op7_byte_bpe": op7_byte_bpe,
+        "op8_language_id": op8_language_id,
+        "op10_repetition_rules": op10_repetition_rules,
     }
 
 
