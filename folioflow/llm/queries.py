@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folioflow.llm import bpe, hnsw, langid, minhash, packing, quality, sstable, toxicity
-from folioflow.llm.common import table
+from folioflow.llm import bpe, compaction, counts, hnsw, langid, minhash, packing, quality, sstable, toxicity
+from folioflow.llm.common import new_path, table
 from folioflow.llm.tokenize import default_word_file
 
 
@@ -34,6 +35,20 @@ def op5_sorted_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_shards(spark, folder)
 
 
+def op6_compacted_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Appends the documents as eight arrivals, compacts them, and reads every row back from the newest manifest."""
+    shards = compaction.ShardedTable(spark, new_path(spark, "shards"))
+    shards.append_each(table(spark, sf_dir, "documents"), F.concat(F.lit("day"), F.pmod(F.xxhash64("doc_id"), F.lit(8)).cast("string")))
+    shards.compact()
+    shards.vacuum()
+    return shards.read().select("doc_id", "lang", "source", "n_chars", F.length("text").cast("long").alias("n_read"), F.md5("text").alias("text_md5"))
+
+
+OP6_SQL = """
+SELECT doc_id, lang, source, n_chars, CAST(length(text) AS BIGINT) AS n_read, md5(text) AS text_md5 FROM documents
+"""
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.code_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -43,6 +58,30 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.train(docs))
 
 
+WORDS, BYTES = "word_bpe_49k", "byte_bpe_50k"
+WITHDRAWN, RETOKENIZED = "src7", "es"
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loads all documents, withdraws a source, counts a language anew under another tokenizer, and has batches come twice."""
+    docs = table(spark, sf_dir, "documents")
+    versions = {WORDS: counts.word_counter(default_word_file()), BYTES: counts.byte_counter(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)}
+
+    def events(rows: DataFrame, action: str, old: str | None, new: str | None) -> DataFrame:
+        return rows.select("source", "lang", "text", F.lit(action).alias("action"), F.lit(old).cast("string").alias("old_version"), F.lit(new).cast("string").alias("new_version"))
+
+    gone = F.coalesce(F.col("source") == WITHDRAWN, F.lit(False))
+    batches = {
+        "1-load": events(docs, counts.INSERT, None, WORDS),
+        "2-withdraw": events(docs.where(gone), counts.DELETE, WORDS, None),
+        "3-retokenize": events(docs.where(~gone & (F.col("lang") == RETOKENIZED)), counts.REVISE, WORDS, BYTES),
+    }
+    rollup = counts.Rollup(spark, new_path(spark, "rollup"))
+    for name in (*batches, "2-withdraw", "1-load"):
+        rollup.commit(name, lambda: counts.deltas(batches[name], versions))  # noqa: B023
+    return rollup.totals()
+
+
 def op10_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repetition_rules(table(spark, sf_dir, "documents"))
 
@@ -54,11 +93,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_minhash_near_dedup": op4_minhash_near_dedup,
         "op5_sorted_token_shards": op5_sorted_token_shards,
+        "op6_compacted_shards": op6_compacted_shards,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_language_id": op8_language_id,
+        "op9_token_counts": op9_token_counts,
         "op10_repetition_rules": op10_repetition_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_compacted_shards": OP6_SQL}
