@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm.common import written
-from folioflow.llm.components import components
+from folioflow.llm.components import components, forest
 
 SHARD_ROWS, NEIGHBOURS, BUILD_BEAM, BEAM, MARGIN, AUDITS = 8192, 16, 48, 48, 0.08, 256
 #: Share of the audited links that must be found, and queries that walk at once.
@@ -217,22 +217,6 @@ def linked(graph: Layers, raw: np.ndarray, queries: np.ndarray, threshold: float
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """For nodes 0..n-1 under the links (a, b): the smallest node of each one's component."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)

@@ -7,9 +7,10 @@
 3. Classes that share a band key are candidates. Each bucket is first held against its smallest member only; pairs whose
    sketches are too far apart are dropped (FIVE_SIGMA below the threshold); of the rest the best of each document is
    confirmed on full sets, then those that still join different components.
-4. Buckets that still hold several components are joined within themselves between components, sketches again deciding in
-   the join, and what passes is confirmed. So no candidate pair that could change a component is skipped, and groups of
-   thousands of near copies cost one comparison each, not one for each pair.
+4. Buckets that still hold several components make up families, which are cut into blocks of bounded size; within a block
+   and between two, pairs of different components whose sketches are close are confirmed on full sets, and a spanning
+   forest of the links leaves the task. So no candidate pair that could change a component is skipped, groups of near
+   copies mostly cost one comparison for each document, and pairs are never listed.
 
 The bands miss a pair at the threshold with probability (1 - 0.8**6)**48 < 5e-7.
 
@@ -31,10 +32,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm.common import WordCache, text_groups, written
-from folioflow.llm.components import components
+from folioflow.llm.components import components, forest
 
 BANDS, BAND_ROWS, SKETCH_BITS = 48, 6, 1024
 SAMPLES = BANDS * BAND_ROWS
+#: Documents and shingles of a block, of which two are held against each other at a time.
+BLOCK_ROWS, BLOCK_KEYS = 2000, 1_500_000
 #: Class identifiers up to this number are sent to all executors (8 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 SIGNED = "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>"
@@ -163,6 +166,43 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("common") >= percent * F.col("all")).select("a", "b")
 
 
+def _between(percent: int, limit: int):
+    """Links between components within a block, or between two blocks; as a spanning forest in place of all pairs."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        ids, group, block = (table[c].to_numpy() for c in ("id", "c", "block"))
+        sketch = table["sketch"].combine_chunks().flatten().to_numpy().view(_U64).reshape(len(ids), -1)
+        lists = table["keys"].combine_chunks()
+        sizes = np.asarray(lists.value_lengths())
+        tokens = np.unique(lists.flatten().to_numpy(), return_inverse=True)[1]
+        starts = np.cumsum(sizes) - sizes
+        two = block.min() != block.max()
+        at_a, at_b = [], []
+        present = np.zeros(int(tokens.max(initial=0)) + 1, np.int32)
+        for i in range(len(ids)):
+            able = group != group[i]
+            able[: i + 1] = False
+            if two:
+                able &= block != block[i]
+            near = np.flatnonzero(able)
+            near = near[np.bitwise_count(sketch[near] ^ sketch[i]).sum(axis=1) <= limit]
+            if not len(near):
+                continue
+            own = tokens[starts[i] : starts[i] + sizes[i]]
+            present[own] = 1
+            common = np.array([present[tokens[starts[j] : starts[j] + sizes[j]]].sum() for j in near.tolist()])
+            present[own] = 0
+            good = near[100 * common >= percent * (sizes[i] + sizes[near] - common)]
+            at_a.append(np.full(len(good), i))
+            at_b.append(good)
+        label = forest(np.concatenate(at_a), np.concatenate(at_b), len(ids)) if at_a else np.arange(len(ids))
+        moved = label != np.arange(len(ids))
+        return pa.table({"a": ids[moved], "b": ids[label[moved]]})
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept. Linked: 100 * intersection >= percent * union of the sets."""
     spark = docs.sparkSession
@@ -198,14 +238,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     rest = apart(stars.select("a", "b")).join(best, ["a", "b"], "left_anti")
     links = written(links.union(_confirmed(rest, sets, percent)), "links")
     named = components(links)
-    # within buckets that hold several components, between these
-    held = buckets.select("key", "id").join(named.toDF("id", "c"), "id", "left").select("key", "id", F.coalesce("c", "id").alias("c"))
+    # buckets that hold several components: whole families of such buckets, between components, in blocks
+    held = buckets.select("key", "id", "hub").join(named.toDF("id", "c"), "id", "left").select("key", "id", "hub", F.coalesce("c", "id").alias("c"))
     mixed = held.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-    held = written(held.join(mixed, "key", "left_semi").join(sketches, "id"), "mixed")
-    other = held.select("key", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("sketch").alias("sb"))
-    pairs = held.withColumnRenamed("id", "a").join(other, "key").where((F.col("c") < F.col("cb")) & (bits_apart("sketch", "sb") <= limit))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = written(_confirmed(pairs, sets, percent), "links")
+    held = written(held.join(mixed, "key", "left_semi").select("id", "c", "hub").distinct(), "mixed")
+    families = components(held.select(F.col("id").alias("a"), F.col("hub").alias("b")))
+    members = held.select("id", "c").distinct().join(families.toDF("id", "family"), "id").join(sketches, "id").join(sets, "id")
+    members = written(members, "members")
+    sizes = members.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.size("keys")) / BLOCK_KEYS)).cast("int").alias("n"))
+    block = F.pmod(F.xxhash64("id"), F.col("n")).cast("int")
+    dealt = members.join(sizes, "family").withColumn("block", block)
+    others = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(F.least(i, "block").alias("i"), F.greatest(i, "block").alias("j")))
+    paired = dealt.select("family", "block", "id", "c", "sketch", "keys", F.explode(others).alias("pair")).select("family", "pair.i", "pair.j", "block", "id", "c", "sketch", "keys")
+    more = written(paired.groupBy("family", "i", "j").applyInArrow(_between(percent, limit), "a long, b long"), "links")
     if not more.isEmpty():
         named = components(written(links.union(more), "links"))
     ends = classes.join(named.toDF("id", "component"), "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
