@@ -54,7 +54,7 @@ class TermNumbers(WordCache):
     """Text without white space -> numbers of the chosen terms in it."""
 
     def __init__(self, number: dict[str, int]):
-        super().__init__()
+        super().__init__(200_000)
         self.number = number
 
     def compute(self, word: str) -> tuple[int, ...]:
@@ -251,7 +251,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, max_
     return Model(number, idf, model.index, weights, steps, values, without, rate, neighbours)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _known_terms(token: str) -> list:
     return []
 
