@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters of text that a task turns into words at once; longer single texts are taken alone.
 CHARS_AT_ONCE = 1 << 20
@@ -26,6 +27,17 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % 3 == 1, F.lit(False))
 
 
+def carried(docs: DataFrame) -> Column:
+    """All columns of docs as one struct named row, to travel along whatever their names are."""
+    return F.struct(*(docs[f"`{c}`"].alias(c) for c in docs.columns)).alias("row")
+
+
+def with_row(ddl: str, docs: DataFrame, carry: bool) -> T.StructType:
+    """The schema in ddl, with the struct of carried() at the end if carry is set."""
+    schema = T.StructType.fromDDL(ddl)
+    return schema.add("row", T.StructType(docs.schema.fields)) if carry else schema
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a new temporary one only where that is unset (tests on one machine)."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import LONG_WORD, WordCache, held_out, text_groups
+from folioflow.llm.common import LONG_WORD, WordCache, carried, held_out, text_groups, with_row
 
 ORDER, SAMPLE_ROWS, SAMPLE_CHARS = 4, 1500, 20_000
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -187,7 +187,10 @@ def _predict(trees: ContextTrees, token: str):
                 share = 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1)
                 langs += [trees.langs[b] if s else UNKNOWN for b, s in zip(best.tolist(), some.tolist(), strict=True)]
                 scores += np.where(some, share, 0.0).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *batch.columns[3:]],
+                ["doc_id", "held_out", "lang_pred", "score", *batch.schema.names[3:]],
+            )
 
     return run
 
@@ -214,6 +217,7 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = S
     return ContextTrees.trained({lang: dict(sorted(words.items())) for lang, words in by.items()})
 
 
-def identify(docs: DataFrame, trees: ContextTrees) -> DataFrame:
-    """Per document: doc_id, held_out, lang_pred, score. One pass, no shuffle."""
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(_predict(trees, uuid.uuid4().hex), PREDICTED)
+def identify(docs: DataFrame, trees: ContextTrees, carry: bool = False) -> DataFrame:
+    """Per document: doc_id, held_out, lang_pred, score; with carry also row, the document. One pass, no shuffle."""
+    given = docs.select("doc_id", held_out().alias("held_out"), "text", *([carried(docs)] if carry else []))
+    return given.mapInArrow(_predict(trees, uuid.uuid4().hex), with_row(PREDICTED, docs, carry))

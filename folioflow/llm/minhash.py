@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import WordCache, text_groups, written
+from folioflow.llm.common import WordCache, carried, text_groups, with_row, written
 from folioflow.llm.components import components, forest
 
 BANDS, BAND_ROWS, SKETCH_BITS = 48, 6, 1024
@@ -136,7 +136,7 @@ def _sign(width: int):
                         bands.append(None)
                         sketches.append(None)
             kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip((sizes, digests, bands, sketches), kinds, strict=True))], ["doc_id", "n_shingles", "digest", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip((sizes, digests, bands, sketches), kinds, strict=True)), *batch.columns[2:]], ["doc_id", "n_shingles", "digest", "bands", "sketch", *batch.schema.names[2:]])
 
     return run
 
@@ -203,10 +203,11 @@ def _between(percent: int, limit: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, kept. Linked: 100 * intersection >= percent * union of the sets."""
-    spark = docs.sparkSession
-    signed = written(docs.select("doc_id", "text").mapInArrow(_sign(width), SIGNED), "signed")
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, carry: bool = False) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id, kept; with carry also digest (of its set) and row, the document.
+    Linked: 100 * intersection >= percent * union of the sets."""
+    given = docs.select("doc_id", "text", *([carried(docs)] if carry else []))
+    signed = written(given.mapInArrow(_sign(width), with_row(SIGNED, docs, carry)), "signed")
     full = signed.where("doc_id is not null and digest is not null")
     classes = written(full.groupBy("digest").agg(F.min("doc_id").alias("id")), "classes")
     firsts = full.select(F.col("doc_id").alias("id"), "digest", "bands", "sketch").join(classes, ["id", "digest"], "left_semi")
@@ -254,6 +255,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     if not more.isEmpty():
         named = components(written(links.union(more), "links"))
     ends = classes.join(named.toDF("id", "component"), "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "digest").join(ends, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
-    return out.select("doc_id", "n_shingles", component, F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept"))
+    own = ["doc_id", "n_shingles", "digest", *(["row"] if carry else [])]
+    # sets that are empty have no digest and need no join, which would gather them in one task
+    placed = signed.where("digest is not null").select(*own).join(ends, "digest").select(*own, "component")
+    out = placed.unionByName(signed.where("digest is null").select(*own, F.col("doc_id").alias("component")))
+    component = F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id")
+    kept = F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept")
+    return out.select("doc_id", "n_shingles", component, kept, *own[2:]) if carry else out.select("doc_id", "n_shingles", component, kept)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import WordCache, held_out, text_groups
+from folioflow.llm.common import WordCache, carried, held_out, text_groups, with_row
 
 SAMPLE_ROWS, MAX_TERMS, LEAST_CHI2, NEIGHBOURS, BLOCK, THRESHOLD = 3000, 1500, 40.0, 15, 64, 0.7
 #: Weight of the base rate in a vote, as that of one example with similarity 1: faint likenesses alone decide nothing.
@@ -272,13 +272,15 @@ def _score(model: Model, token: str):
                     evidence.append([{"doc_id": e.doc_id, "similarity": s, "toxic": e.toxic} for s, e in near[:3]])
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32()), pa.array(evidence, kind)],
-                ["doc_id", "held_out", "score", "predicted", "evidence"],
+                [batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32()), pa.array(evidence, kind), *batch.columns[3:]],
+                ["doc_id", "held_out", "score", "predicted", "evidence", *batch.schema.names[3:]],
             )
 
     return run
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Per document: doc_id, held_out, score, predicted, evidence (up to three nearest examples). One pass, no shuffle."""
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(_score(model, uuid.uuid4().hex), SCORED)
+def score(docs: DataFrame, model: Model, carry: bool = False) -> DataFrame:
+    """Per document: doc_id, held_out, score, predicted, evidence (up to three nearest examples); with carry also row, the
+    document. One pass, no shuffle."""
+    given = docs.select("doc_id", held_out().alias("held_out"), "text", *([carried(docs)] if carry else []))
+    return given.mapInArrow(_score(model, uuid.uuid4().hex), with_row(SCORED, docs, carry))
