@@ -1,10 +1,689 @@
-"""Queries over the test tables, one for each operator of the reference that they can show, with SQL to hold against."""
+"""Queries over the test tables, one for each operator that they can show, with SQL to hold against."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from folioflow.functions import text as tx
+from folioflow.functions import values as vl
+from folioflow.operators import charts, chunking, graph, metadata, profile, tables, vectors
+from folioflow.sources import csv, markup
+from folioflow.streaming import events as ev
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query (a function of a table reader) under its name, with the SQL that gives the same rows."""
+
+    def add(f: Callable[[Callable[[str], DataFrame]], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _r(name: str, places: int = 4):
+    return F.round(name, places).alias(name)
+
+
+# charts ------------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT p_brand AS category, round(sum(l_extendedprice), 2) AS value FROM lineitem JOIN part ON l_partkey = p_partkey
+GROUP BY 1 ORDER BY sum(l_extendedprice) DESC, 1 LIMIT 20""")
+def bar_top20(t):
+    sold = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
+    return charts.bars(sold, "p_brand", "l_extendedprice").select("category", _r("value", 2))
+
+
+@query("""SELECT CASE WHEN (SELECT min(day(o_orderdate)) <> max(day(o_orderdate)) OR min(month(o_orderdate)) = max(month(o_orderdate)) FROM orders)
+THEN strftime(o_orderdate, '%Y-%m-%d') ELSE strftime(o_orderdate, '%Y-%m') END AS label, o_totalprice AS value FROM orders
+WHERE o_orderdate IS NOT NULL AND o_totalprice IS NOT NULL""")
+def line_series(t):
+    return charts.line(t("orders"), "o_orderdate", "o_totalprice").select("label", "value")
+
+
+_SHARE_SUMS = "SELECT p_type AS category, sum(p_retailprice) AS s FROM part WHERE p_type IS NOT NULL GROUP BY 1"
+
+
+@query(f"""WITH g AS ({_SHARE_SUMS}), r AS (SELECT *, sum(s) OVER () AS total, row_number() OVER (ORDER BY s DESC, category) AS n FROM g)
+SELECT category, round(100 * s / total, 4) AS value FROM r WHERE n <= 8 AND total > 0
+UNION ALL SELECT 'Other', round(100 - sum(CASE WHEN n <= 8 THEN 100 * s / total ELSE 0 END), 4) FROM r HAVING count(*) > 8 AND max(total) > 0""")
+def donut_share(t):
+    return charts.shares(t("part"), "p_type", "p_retailprice").select("category", _r("value"))
+
+
+@query(f"""WITH g AS ({_SHARE_SUMS}), r AS (SELECT *, sum(s) OVER () AS total, row_number() OVER (ORDER BY s DESC, category) AS n FROM g)
+SELECT category, round(s, 2) AS value, round(100 * s / total, 2) AS share FROM r WHERE n <= 8""")
+def pie_top8(t):
+    return charts.pie(t("part"), "p_type", "p_retailprice").select("category", _r("value", 2), "share")
+
+
+@query("""WITH g AS (SELECT c_mktsegment AS category, sum(c_acctbal) AS value FROM customer GROUP BY 1),
+s AS (SELECT *, CASE WHEN max(value) OVER () = min(value) OVER () THEN 0.5 ELSE (value - min(value) OVER ()) / (max(value) OVER () - min(value) OVER ()) END AS scaled FROM g)
+SELECT category, round(value, 2) AS value, round(scaled, 4) AS scaled, CASE WHEN scaled <= .1 THEN 1 WHEN scaled <= .3 THEN 2 WHEN scaled <= .5 THEN 3 WHEN scaled <= .7 THEN 4 ELSE 5 END AS band FROM s""")
+def heatmap_cards(t):
+    return charts.heat_cards(t("customer"), "c_mktsegment", "c_acctbal").select("category", _r("value", 2), _r("scaled"), "band")
+
+
+@query("SELECT o_orderkey AS row, o_orderpriority AS name, o_totalprice AS value FROM orders ORDER BY 1 LIMIT 20")
+def bar_series_first20(t):
+    return charts.series(t("orders"), "o_orderkey", "o_orderpriority", "o_totalprice")
+
+
+@query("SELECT p_partkey AS row, p_brand AS name, CAST(p_size AS DOUBLE) AS x, p_retailprice AS y, 10 AS z FROM part ORDER BY 1 LIMIT 50")
+def scatter_first50(t):
+    return charts.scatter(t("part"), "p_partkey", "p_brand", "p_size", "p_retailprice")
+
+
+@query("""WITH e AS (SELECT min(o_totalprice) AS a, max(o_totalprice) AS b FROM orders)
+SELECT CASE WHEN a = b THEN a - greatest(abs(b) * .01, 1) WHEN (b - a) / b < .005 THEN a - (b - a) ELSE 0 END AS low,
+round(CASE WHEN a = b THEN b + greatest(abs(b) * .01, 1) WHEN (b - a) / b < .005 THEN b + (b - a) ELSE b * 1.05 END, 4) AS high FROM e""")
+def axis_domain(t):
+    return charts.axis_domain(t("orders"), "o_totalprice").select("low", _r("high"))
+
+
+@query("""WITH l AS (SELECT event_type AS "group", arg_max(value, ts) AS last FROM events WHERE value IS NOT NULL GROUP BY 1)
+SELECT "group", step, round(last * pow(1.05, step), 4) AS value FROM l, (SELECT unnest([1, 2, 3, 4, 5]) AS step)""")
+def projection_steps(t):
+    return charts.projected(t("events"), "event_type", "ts", "value", 5, 5).select("group", "step", _r("value"))
+
+
+@query("SELECT o_orderkey, round(o_totalprice * 1.1, 4) AS scenario FROM orders")
+def scenario_column(t):
+    return charts.scenario(t("orders"), "o_totalprice", 10).select("o_orderkey", _r("scenario"))
+
+
+@query("""SELECT event_type AS "group", CASE WHEN count(value) = 0 THEN 'allNull' WHEN min(CASE WHEN value <> 0 THEN 0 ELSE 1 END) = 1 THEN 'allZero' ELSE 'mixed' END AS status FROM events GROUP BY 1""")
+def series_status(t):
+    return charts.series_status(t("events"), "event_type", "value")
+
+
+@query("SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1")
+def first_row_per_key(t):
+    return charts.first_of_each(t("orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey")
+
+
+@query("""WITH u AS (UNPIVOT (SELECT CAST(p_size AS DOUBLE) AS p_size, p_retailprice FROM part) ON p_size, p_retailprice INTO NAME metric VALUE value),
+e AS (SELECT metric, min(value) AS low, max(value) AS high FROM u GROUP BY 1)
+SELECT metric, value, CAST(CASE WHEN high = low THEN 1 ELSE least(5, CAST(floor((value - low) / (high - low) * 5) AS INT) + 1) END AS INT) AS band FROM u JOIN e USING (metric)""")
+def metric_bands(t):
+    return charts.quantile_bands(t("part").select(F.col("p_size").cast("double"), "p_retailprice"), ["p_size", "p_retailprice"])
+
+
+@query("SELECT strftime(o_orderdate, '%Y-%m') AS label, month(o_orderdate) AS m, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1, 2")
+def month_sort(t):
+    by = t("orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("label"), F.month("o_orderdate").alias("m"))
+    return by.agg(F.round(F.sum("o_totalprice"), 2).alias("total")).orderBy("m", "label")
+
+
+# profiles and cleaning ---------------------------------------------------------------------------------------------
+
+
+@query("""WITH u AS (UNPIVOT (SELECT l_quantity, l_extendedprice, l_discount FROM lineitem) ON l_quantity, l_extendedprice, l_discount INTO NAME "column" VALUE value)
+SELECT "column", count(value) AS non_null, min(value) AS min, max(value) AS max, round(avg(value), 4) AS mean, round(median(value), 4) AS median, round(stddev_samp(value), 4) AS std FROM u GROUP BY 1""")
+def column_stats(t):
+    found = profile.column_statistics(t("lineitem"), ["l_quantity", "l_extendedprice", "l_discount"])
+    return found.select("column", "non_null", "min", "max", _r("mean"), _r("median"), _r("std"))
+
+
+@query("""WITH q AS (SELECT quantile_cont(o_totalprice, .25) AS a, quantile_cont(o_totalprice, .75) AS b FROM orders)
+SELECT o_orderkey, CASE WHEN o_totalprice BETWEEN a - 1.5 * (b - a) AND b + 1.5 * (b - a) THEN o_totalprice END AS o_totalprice FROM orders, q""")
+def iqr_outliers(t):
+    return profile.without_outliers(t("orders").select("o_orderkey", "o_totalprice"), ["o_totalprice"])
+
+
+@query("""WITH u AS (SELECT 'c_mktsegment' AS "column", c_mktsegment AS value FROM customer UNION ALL SELECT 'c_nationkey', CAST(c_nationkey AS VARCHAR) FROM customer)
+SELECT "column", count(value) / count(*) AS filled, count(DISTINCT value) / count(value) AS "unique" FROM u GROUP BY 1""")
+def column_ratios(t):
+    return profile.column_ratios(t("customer"), ["c_mktsegment", "c_nationkey"])
+
+
+@query("""SELECT * FROM (VALUES ('o_orderkey', 'numeric'), ('o_orderstatus', 'categorical'), ('o_totalprice', 'numeric'), ('o_orderdate', 'date'), ('o_orderpriority', 'categorical')) AS v("column", "class")""")
+def classified_columns(t):
+    return profile.classified_columns(t("orders"), ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"])
+
+
+@query("""SELECT * FROM (VALUES ('l_quantity', 'long'), ('l_discount', 'double'), ('l_returnflag', 'string')) AS v("column", kind)""")
+def numeric_kinds(t):
+    return profile.numeric_kinds(t("lineitem"), ["l_quantity", "l_discount", "l_returnflag"])
+
+
+_YEARS = "SELECT o_orderpriority, year(o_orderdate) AS y, sum(o_totalprice) AS s FROM orders GROUP BY 1, 2"
+
+
+@query(f"""SELECT o_orderpriority, CAST(y AS VARCHAR) AS "Year", round(s, 2) AS "Value" FROM ({_YEARS}) WHERE s IS NOT NULL""")
+def melt_years(t):
+    wide = t("orders").withColumn("y", F.year("o_orderdate").cast("string")).groupBy("o_orderpriority").pivot("y").agg(F.sum("o_totalprice"))
+    return profile.melted_years(wide, "o_orderpriority").select("o_orderpriority", "Year", _r("Value", 2))
+
+
+@query("SELECT n_name FROM nation WHERE lower(trim(n_name)) NOT IN ('total', 'sum', 'subtotal', 'sub total', 'grand total')")
+def summary_row_filter(t):
+    return profile.without_summary_rows(t("nation"), "n_name").select("n_name")
+
+
+@query("""SELECT DISTINCT c_nationkey AS key, c_mktsegment AS name, 'customer' AS source_sheet FROM customer
+UNION SELECT DISTINCT s_nationkey, s_name, 'supplier' FROM supplier""")
+def merged_sheets(t):
+    sheets = {"customer": t("customer").select(F.col("c_nationkey").alias("key"), F.col("c_mktsegment").alias("name")), "supplier": t("supplier").select(F.col("s_nationkey").alias("key"), F.col("s_name").alias("name"))}
+    return profile.merged_sheets(sheets)["customer_supplier"]
+
+
+@query("SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
+def duplicate_rows(t):
+    return t("orders").select("o_orderstatus", "o_orderpriority").dropDuplicates()
+
+
+@query("""SELECT c_custkey, CASE WHEN c_acctbal <> 0 THEN c_acctbal END AS balance FROM customer""")
+def nan_to_null(t):
+    return t("customer").select("c_custkey", vl.nan_to_null(F.when(F.col("c_acctbal") == 0, F.lit(float("nan"))).otherwise(F.col("c_acctbal"))).alias("balance"))
+
+
+@query("""SELECT event_id, CAST(regexp_extract(regexp_replace(props, '[^0-9.-]', '', 'g'), '^-?([0-9]+[.]?[0-9]*|[.][0-9]+)', 0) AS DOUBLE) AS value FROM events""")
+def leading_numbers(t):
+    return t("events").select("event_id", vl.leading_number(F.col("props")).alias("value"))
+
+
+# joins and metadata ------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT l_orderkey AS key, count(*) AS chunks, max(l_shipdate) AS last_created, coalesce(min(o_orderpriority), 'Unknown') AS title
+FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey GROUP BY 1""")
+def chunked_files(t):
+    chunks = t("lineitem").select(F.col("l_orderkey").alias("key"), "l_shipdate")
+    return metadata.chunk_counts(chunks, t("orders").select(F.col("o_orderkey").alias("key"), "o_orderpriority"), "key", "l_shipdate", "o_orderpriority")
+
+
+@query("SELECT c_custkey AS key, count(o_orderkey) AS chunks FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1")
+def graph_files(t):
+    return metadata.documents_with_counts(t("customer").select(F.col("c_custkey").alias("key")), t("orders").select(F.col("o_custkey").alias("key")), "key")
+
+
+_FILES = "SELECT doc_id AS id, 'org/' || source || '/' || lang || '_' || doc_id % 100 || '.' || CASE doc_id % 4 WHEN 0 THEN 'pdf' WHEN 1 THEN 'xlsx' WHEN 2 THEN 'CSV' ELSE 'docx' END AS path FROM documents"
+
+
+def _files(t):
+    kind = F.element_at(F.array(*map(F.lit, ("pdf", "xlsx", "CSV", "docx"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    return t("documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("org/"), "source", F.lit("/"), "lang", F.lit("_"), (F.col("doc_id") % 100).cast("string"), F.lit("."), kind).alias("path"))
+
+
+@query(f"""WITH f AS ({_FILES}), d AS (SELECT id, path AS document_path, string_split(path, '/')[-1] AS b FROM f WHERE id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY string_split(path, '/')[-1] ORDER BY id DESC) = 1)
+SELECT f.path, d.id, d.document_path FROM f LEFT JOIN d ON string_split(f.path, '/')[-1] = d.b WHERE d.document_path IS NULL OR d.document_path = f.path""")
+def list_tree(t):
+    files = _files(t)
+    return metadata.listed_files(files.select("path"), files.where("id % 2 = 0").select("id", F.col("path").alias("document_path")), "path", "document_path")
+
+
+@query(f"""SELECT path, string_split(path, '/')[-1] AS base, lower('.' || string_split(path, '.')[-1]) AS ext, 'org/' || string_split(path, '/')[2] AS parent,
+CASE lower(string_split(path, '.')[-1]) WHEN 'pdf' THEN 'pdf' WHEN 'xlsx' THEN 'excel' WHEN 'csv' THEN 'csv' ELSE 'docx' END AS parser FROM ({_FILES})""")
+def path_parts(t):
+    p = F.col("path")
+    return _files(t).select("path", vl.basename(p).alias("base"), vl.extension(p).alias("ext"), vl.parent(p).alias("parent"), metadata.parser_for(p).alias("parser"))
+
+
+@query(f"SELECT id, path FROM ({_FILES}) WHERE lower(string_split(path, '.')[-1]) IN ('xlsx', 'xls', 'csv')")
+def files_of_type(t):
+    return metadata.of_type(_files(t), "path", [".xlsx", ".xls", ".csv"])
+
+
+@query("""SELECT p_partkey, p_name, CASE WHEN lower(p_name) = 'part 1' THEN 0 WHEN lower(p_name) LIKE 'part%' THEN 1 ELSE 2 END AS rank FROM part
+WHERE lower(p_name) LIKE '%part%' ORDER BY 3, 2, 1 LIMIT 10""")
+def search_ranking(t):
+    return metadata.search_names(t("part").select("p_partkey", "p_name"), "p_name", "part")
+
+
+@query("SELECT n_nationkey, n_name FROM nation ORDER BY n_name, n_nationkey LIMIT 5 OFFSET 10")
+def table_page(t):
+    return metadata.page(t("nation").select("n_nationkey", "n_name"), ["n_name", "n_nationkey"], 2, 5)
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def filter_by_ids(t):
+    keys = t("customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    return t("orders").join(keys, "o_custkey", "left_semi").select("o_orderkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+def unlinked_entities(t):
+    return t("customer").join(t("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+
+
+@query("""SELECT e.event_id, h.event_id AS header FROM events e ASOF LEFT JOIN (SELECT user_id, ts, event_id FROM events WHERE event_type = 'view' QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id) = 1) h
+ON e.user_id = h.user_id AND e.ts >= h.ts WHERE e.event_type <> 'view'""")
+def nearest_header(t):
+    e = t("events").select("event_id", "user_id", "ts", "event_type")
+    marks = e.where("event_type = 'view'").groupBy("user_id", "ts").agg(F.min("event_id").alias("header"))
+    return metadata.nearest_before(e.where("event_type <> 'view'"), marks, "user_id", "ts", "header").select("event_id", "header")
+
+
+_BOXES = "SELECT p_partkey AS id, p_size AS page, p_partkey % 97 AS x0, p_partkey % 97 + 3 AS x1, p_partkey % 89 AS y0, p_partkey % 89 + 3 AS y1 FROM part"
+
+
+@query(f"""SELECT a.id FROM ({_BOXES}) a WHERE a.id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM ({_BOXES}) b WHERE b.id % 2 = 1 AND a.page = b.page AND a.x0 < b.x1 AND a.x1 > b.x0 AND a.y0 < b.y1 AND a.y1 > b.y0)""")
+def boxes_apart(t):
+    k = F.col("p_partkey")
+    boxes = t("part").select(k.alias("id"), F.col("p_size").alias("page"), (k % 97).alias("x0"), (k % 97 + 3).alias("x1"), (k % 89).alias("y0"), (k % 89 + 3).alias("y1"))
+    return metadata.not_overlapping(boxes.where("id % 2 = 0"), boxes.where("id % 2 = 1"), "page").select("id")
+
+
+@query("""SELECT n_nationkey, coalesce(count(s_suppkey), 0) AS n, coalesce(string_agg(s_suppkey::VARCHAR, ',' ORDER BY s_suppkey), '') AS items FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey GROUP BY 1""")
+def nested_children(t):
+    found = metadata.nested(t("nation").select("n_nationkey"), t("supplier").withColumnRenamed("s_nationkey", "n_nationkey"), "n_nationkey", "s_suppkey", ["s_acctbal"])
+    return found.select("n_nationkey", F.size("items").cast("long").alias("n"), F.array_join(F.transform("items", lambda x: x["s_suppkey"].cast("string")), ",").alias("items"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)")
+def row_level_security(t):
+    members = t("nation").select(F.col("n_nationkey").alias("organisation_id"), F.col("n_regionkey").alias("user_id"), F.lit("editor").alias("role"))
+    return metadata.visible_rows(t("customer"), "c_nationkey", members, F.lit(2), ["editor", "admin"]).select("c_custkey")
+
+
+@query("""SELECT count(*) AS total, count(*) FILTER (o_orderstatus <> 'F') AS succeeded, count(*) FILTER (o_orderstatus = 'F') AS failed, sum(CASE WHEN o_orderstatus <> 'F' THEN o_custkey END)::BIGINT AS entities FROM orders""")
+def run_summary(t):
+    return metadata.run_summary(t("orders"), F.col("o_orderstatus") == "F", "o_custkey")
+
+
+@query("""WITH c AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_type END AS s, value / 50 AS score FROM events)
+SELECT event_id, CASE WHEN s IS NULL THEN 'missing section' END AS e1, CASE WHEN NOT score BETWEEN 0 AND 1 THEN 'score outside 0 to 1' END AS e2 FROM c""")
+def chunk_errors(t):
+    section = F.when(F.col("event_id") % 5 != 0, F.col("event_type"))
+    errors = metadata.chunk_errors(F.col("event_id"), F.col("event_type"), section, F.col("event_type"), F.col("value") / 50, F.lit(1))
+    has = lambda x: F.when(F.array_contains("e", x), x)
+    return t("events").select("event_id", errors.alias("e")).select("event_id", has("missing section").alias("e1"), has("score outside 0 to 1").alias("e2"))
+
+
+@query("SELECT r_regionkey AS key FROM region UNION SELECT n_regionkey FROM nation")
+def union_distinct(t):
+    return t("region").select(F.col("r_regionkey").alias("key")).union(t("nation").select("n_regionkey")).distinct()
+
+
+@query("SELECT c_nationkey AS key FROM customer EXCEPT SELECT s_nationkey FROM supplier")
+def set_difference(t):
+    return t("customer").select(F.col("c_nationkey").alias("key")).subtract(t("supplier").select("s_nationkey"))
+
+
+@query("SELECT c_nationkey AS key FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+def set_intersection(t):
+    return t("customer").select(F.col("c_nationkey").alias("key")).intersect(t("supplier").select("s_nationkey"))
+
+
+@query("SELECT lang, source, doc_id FROM documents ORDER BY n_chars DESC, doc_id LIMIT 20")
+def ordered_limit(t):
+    return t("documents").orderBy(F.desc("n_chars"), "doc_id").limit(20).select("lang", "source", "doc_id")
+
+
+# text --------------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '[^a-zA-Z0-9\\s.,!?;:''"()-]', '', 'g'), '\\s+', ' ', 'g'))) AS clean FROM documents""")
+def plain_text(t):
+    return t("documents").select("doc_id", F.md5(tx.plain_characters(F.col("text"))).alias("clean"))
+
+
+@query("""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x, E' \\n\\t\\r')), lambda x: x <> '') AS s FROM documents)
+SELECT doc_id, len(s)::INT AS n, md5(array_to_string(s, '|')) AS hash FROM s""")
+def sentence_split(t):
+    s = F.transform(tx.sentences(F.col("text")), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    return t("documents").select("doc_id", s.alias("s")).select("doc_id", F.size("s").alias("n"), F.md5(F.array_join("s", "|")).alias("hash"))
+
+
+_TOPIC = {"en": ["the", "of", "with it"], "de": ["und", "der", "und", "mit mit"]}
+_HITS = " + ".join([f"len(list_filter(w, lambda x: x = '{k}'))" for k in ("the", "of", "und", "der", "und")] + [f"(len(l) - len(replace(l, '{k}', ''))) // {len(k)}" for k in ("with it", "mit mit")])
+_RELEVANCE_SQL = f"""SELECT doc_id, round(least(1, ({_HITS}) / (ln(n + 1) + 1) * 0.3), 6) AS score FROM (
+SELECT doc_id, lower(text) AS l, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n FROM documents)"""
+
+
+@query(_RELEVANCE_SQL)
+def topic_relevance(t):
+    return t("documents").select("doc_id", F.round(tx.relevance(F.col("text"), _TOPIC), 6).alias("score"))
+
+
+@query("""WITH s AS (SELECT doc_id, lang, source, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS s FROM documents)
+SELECT lang, source, sum(ceil(len(s) / 5.0))::BIGINT AS chunks, sum(len(array_to_string(s, ' ')) - CASE WHEN len(s) > 0 THEN ceil(len(s) / 5.0) - 1 ELSE 0 END)::BIGINT AS characters FROM s GROUP BY 1, 2""")
+def chunk_relevance(t):
+    docs = t("documents")
+    chunks = chunking.sentence_chunks(docs, "doc_id", "text", 5)
+    by = chunks.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("characters").alias("characters"))
+    return docs.join(by, "doc_id").groupBy("lang", "source").agg(F.sum("chunks").alias("chunks"), F.sum("characters").alias("characters"))
+
+
+@query("""SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{3,15}')) AS term FROM documents) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""")
+def metadata_keywords(t):
+    return metadata.key_terms(t("documents"), "text", 20)
+
+
+@query(f"""SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS term FROM conversations) WHERE regexp_full_match(term, '[a-z]+') AND len(term) > 2 AND term NOT IN ({", ".join(f"'{w}'" for w in tx.STOP_WORDS)}) GROUP BY 1""")
+def stop_worded_keywords(t):
+    return metadata.keywords(t("conversations"), "text", tx.STOP_WORDS)
+
+
+@query("SELECT doc_id, sha256(text) AS hash, CAST(floor(len(text) / 3.5) AS BIGINT) AS tokens FROM documents")
+def content_hash(t):
+    return t("documents").select("doc_id", tx.content_hash(F.col("text")).alias("hash"), tx.token_estimate(F.col("text")).alias("tokens"))
+
+
+@query("""SELECT a.n_nationkey AS a, b.n_nationkey AS b, round(len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))), 6) AS similarity
+FROM (SELECT n_nationkey, n_regionkey, list_distinct(string_split(lower(n_name), '')) AS x FROM nation) a JOIN (SELECT n_nationkey, n_regionkey, list_distinct(string_split(lower(n_name), '')) AS y FROM nation) b
+ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey""")
+def character_similarity(t):
+    n = t("nation")
+    a, b = n.select("n_regionkey", F.col("n_nationkey").alias("a"), F.col("n_name").alias("na")), n.select("n_regionkey", F.col("n_nationkey").alias("b"), F.col("n_name").alias("nb"))
+    return a.join(b, "n_regionkey").where("a < b").select("a", "b", F.round(tx.character_similarity(F.col("na"), F.col("nb")), 6).alias("similarity"))
+
+
+@query("""SELECT item_id, mode, target, size FROM (SELECT item_id, pages, s, CASE WHEN pages <= 5 THEN 'fine' WHEN pages <= 20 THEN 'moderate' ELSE 'coarse' END AS mode,
+CASE WHEN pages <= 5 THEN pages * 4 WHEN pages <= 20 THEN pages * 3 ELSE pages * 2 END::INT AS target, greatest(2, least(8, floor(s / greatest(1, CASE WHEN pages <= 5 THEN pages * 4 WHEN pages <= 20 THEN pages * 3 ELSE pages * 2 END))))::INT AS size
+FROM (SELECT p_partkey AS item_id, p_size AS pages, p_partkey % 300 AS s FROM part))""")
+def adaptive_plan(t):
+    plan = chunking.chunk_plan(F.col("p_size"), F.col("p_partkey") % 300)
+    return t("part").select(F.col("p_partkey").alias("item_id"), plan.alias("p")).select("item_id", "p.mode", "p.target", "p.size")
+
+
+@query()
+def character_chunks(t):
+    return chunking.character_chunks(t("documents"), "doc_id", "text").select("doc_id", "n", "start", "end", F.md5("chunk").alias("hash"))
+
+
+@query("""WITH RECURSIVE r AS (SELECT o_custkey AS c, o_orderkey, length(o_orderpriority) + 2 AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
+f AS (SELECT c, i, n, 0 AS chunk, 20 + n AS used, 1 AS held FROM r WHERE i = 1 UNION ALL
+SELECT r.c, r.i, r.n, CASE WHEN held >= 4 OR used + r.n > 60 THEN chunk + 1 ELSE chunk END, CASE WHEN held >= 4 OR used + r.n > 60 THEN 20 + r.n ELSE used + r.n END, CASE WHEN held >= 4 OR used + r.n > 60 THEN 1 ELSE held + 1 END FROM f JOIN r ON r.c = f.c AND r.i = f.i + 1)
+SELECT c AS o_custkey, chunk, min(i)::INT AS row_start, max(i)::INT AS row_end, max(used)::INT AS characters FROM f GROUP BY 1, 2""")
+def packed_rows(t):
+    return chunking.packed_rows(t("orders"), "o_custkey", "o_orderkey", "o_orderpriority", 20, 4, 60)
+
+
+@query("""SELECT l_orderkey, l_linenumber, CAST((row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1) // 3 AS INT) AS batch, CAST((row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1) % 3 + 1 AS INT) AS place FROM lineitem""")
+def row_batches(t):
+    return chunking.row_batches(t("lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey", "l_linenumber", 3)
+
+
+@query("""SELECT s_suppkey, 'Row ' || (s_suppkey % 100) || ': Name: ' || s_name || ', Balance: ' || s_nationkey AS line FROM supplier""")
+def row_texts(t):
+    return t("supplier").select("s_suppkey", chunking.row_text(["Name", "Balance"], ["s_name", "s_nationkey"], F.col("s_suppkey") % 100).alias("line"))
+
+
+@query("""WITH v AS (SELECT 'p_name' AS "column", sum(len(p_name)) AS volume FROM part UNION ALL SELECT 'p_brand', sum(len(p_brand)) FROM part UNION ALL SELECT 'p_type', sum(len(p_type)) FROM part)
+SELECT "column", volume::BIGINT AS volume, CAST((row_number() OVER (ORDER BY volume DESC, "column") - 1) % 2 AS INT) AS part FROM v""")
+def column_groups(t):
+    return chunking.column_groups(t("part"), ["p_name", "p_brand", "p_type"], 2)
+
+
+_HEADS = "SELECT conv_id, turn, 1 + (turn * 7 + conv_id) % 3 AS level, 's' || turn AS title FROM conversations"
+
+
+@query(f"""WITH h AS (SELECT DISTINCT * FROM ({_HEADS})), l AS (SELECT a.conv_id, a.turn, a.level, a.title,
+(SELECT max(b.turn) FROM h b WHERE b.conv_id = a.conv_id AND b.turn <= a.turn AND b.level = 1) AS t1,
+(SELECT max(b.turn) FROM h b WHERE b.conv_id = a.conv_id AND b.turn <= a.turn AND b.level = 2) AS t2 FROM h a)
+SELECT conv_id, turn, concat_ws(' > ', CASE WHEN t1 IS NOT NULL THEN 's' || t1 END, CASE WHEN level >= 2 AND t2 IS NOT NULL AND (t1 IS NULL OR t2 > t1) THEN 's' || t2 END, CASE WHEN level = 3 THEN title END) AS full_path FROM l""")
+def section_paths(t):
+    heads = t("conversations").select("conv_id", "turn", (1 + (F.col("turn") * 7 + F.col("conv_id")) % 3).alias("level"), F.concat(F.lit("s"), F.col("turn").cast("string")).alias("title")).distinct()
+    return chunking.section_paths(heads, "conv_id", "turn", "level", "title", 3).select("conv_id", "turn", "full_path")
+
+
+@query("""SELECT doc_id, count(*) AS lines, sum(len(x))::BIGINT AS characters FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents) WHERE regexp_matches(x, '^\\s*[0-9]+(\\.[0-9]+)*\\.?\\s+\\S.*$')
+OR regexp_matches(x, '(?i)^\\s*(abstract|introduction|background|method(s|ology)|results|discussion|conclusion|references|executive summary|governance|strategy|environmental|social)\\s*$') OR regexp_matches(x, '^[A-Z][A-Za-z\\s]{2,40}$') GROUP BY 1""")
+def header_lines(t):
+    found = chunking.header_lines(t("documents"), "doc_id", "text")
+    return found.groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum(F.length("text")).alias("characters"))
+
+
+@query("""SELECT doc_id, CASE WHEN len(trim(text)) < 10 THEN 'en' WHEN len(regexp_replace(text, '[^\\p{L}]', '', 'g')) < 30 THEN CASE WHEN len(regexp_replace(text, '[^áéíóúüñÁÉÍÓÚÜÑ¿¡]', '', 'g')) >= 3 THEN 'es' ELSE 'en' END END AS lang FROM documents""")
+def language_by_marks(t):
+    return t("documents").select("doc_id", tx.language_by_marks(F.col("text")).alias("lang"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN v >= 1e6 THEN printf('%.1fM', v / 1e6) WHEN v >= 1e3 THEN printf('%.1fk', v / 1e3) ELSE printf('%.1f', v) END AS short FROM (SELECT o_orderkey, floor(o_totalprice / 100) * 100 AS v FROM orders)""")
+def short_numbers(t):
+    return t("orders").select("o_orderkey", vl.short_number(F.floor(F.col("o_totalprice") / 100) * 100.0).alias("short"))
+
+
+# vectors -----------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH s AS (SELECT q.vec_id AS query, v.vec_id AS match, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id)
+SELECT query, match, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY score DESC, match)::INT AS rank FROM s QUALIFY rank <= 10""")
+def cosine_top10(t):
+    v = t("embeddings")
+    return vectors.top_k(v, v.where("vec_id % 100 = 0"), "vec_id", "vec_id", "embedding", 10).select("query", "match", _r("score", 6), "rank")
+
+
+@query("SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS length FROM embeddings")
+def vector_length(t):
+    v = t("embeddings").withColumn("u", vectors.normalised("embedding"))
+    return v.select("vec_id", F.round(vectors.norm("embedding") * vectors.norm("u"), 6).alias("length"))
+
+
+@query("""SELECT label, vec_id, round(1 - list_cosine_similarity(embedding::DOUBLE[], b::DOUBLE[]), 6) AS change FROM (SELECT *, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM embeddings) WHERE b IS NOT NULL""")
+def adjacent_change(t):
+    return vectors.adjacent(t("embeddings"), "label", "vec_id", "embedding").select("label", "vec_id", _r("change", 6))
+
+
+@query("""SELECT label, i::INT AS position, round(avg(x::DOUBLE), 6) AS mean FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) GROUP BY 1, 2""")
+def centroids(t):
+    return vectors.centroids(t("embeddings"), "label", "embedding").select("label", "position", _r("mean", 6))
+
+
+@query()
+def hashed_embeddings(t):
+    return t("conversations").select("conv_id", "turn", vectors.hashed_embedding(F.col("text"), 32).alias("embedding"))
+
+
+@query()
+def semantic_chunks(t):
+    rows = t("conversations").withColumn("embedding", vectors.hashed_embedding(F.col("text"), 32))
+    return chunking.semantic_chunks(rows, "conv_id", "turn", "text", "embedding")
+
+
+# graph -------------------------------------------------------------------------------------------------------------
+
+_EDGES = "SELECT l_suppkey AS source, l_partkey + 1000000 AS target, l_returnflag AS description, CAST(l_quantity AS BIGINT) AS strength FROM lineitem"
+
+
+def _edges(t):
+    return t("lineitem").select(F.col("l_suppkey").alias("source"), (F.col("l_partkey") + 1000000).alias("target"), F.col("l_returnflag").alias("description"), F.col("l_quantity").cast("long").alias("strength"))
+
+
+@query(f"SELECT source, target, description, sum(strength)::BIGINT AS strength, count(*) AS mentions FROM ({_EDGES}) GROUP BY 1, 2, 3")
+def merged_relations(t):
+    return graph.merged_relations(_edges(t))
+
+
+@query(f"SELECT least(source, target) AS a, greatest(source, target) AS b, sum(strength)::BIGINT AS weight FROM ({_EDGES}) WHERE source <> target GROUP BY 1, 2")
+def graph_projection(t):
+    return graph.undirected(_edges(t))
+
+
+@query("""SELECT l_partkey AS name, arg_min(l_returnflag, l_orderkey * 10 + l_linenumber) AS type, count(DISTINCT l_orderkey) AS chunks FROM lineitem GROUP BY 1""")
+def merged_entities(t):
+    rows = t("lineitem").withColumn("at", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    return graph.merged_entities(rows, "l_partkey", "l_returnflag", "l_linestatus", "l_orderkey", "at").select("name", "type", "chunks")
+
+
+@query("""SELECT o_custkey, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1""")
+def upsert_latest(t):
+    o = t("orders").select("o_custkey", "o_orderkey", "o_orderstatus")
+    return graph.upserted(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 = 1"), ["o_custkey"], "o_orderkey")
+
+
+@query(f"SELECT source, target, strength FROM ({_EDGES}) WHERE source IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) AND target IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0 UNION SELECT p_partkey + 1000000 FROM part WHERE p_size > 25)")
+def resolved_edges(t):
+    names = t("supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("name")).union(t("part").where("p_size > 25").select(F.col("p_partkey") + 1000000))
+    return graph.resolved(_edges(t), names, "name").select("source", "target", "strength")
+
+
+_NATIONS = "SELECT DISTINCT c_nationkey AS source, s_nationkey + 100 AS target FROM customer JOIN supplier ON c_custkey % 50 = s_suppkey % 50 WHERE c_custkey < 60"
+
+
+def _nations(t):
+    pairs = t("customer").where("c_custkey < 60").join(t("supplier"), F.col("c_custkey") % 50 == F.col("s_suppkey") % 50)
+    return pairs.select(F.col("c_nationkey").alias("source"), (F.col("s_nationkey") + 100).alias("target")).distinct()
+
+
+@query(f"""WITH RECURSIVE e AS ({_NATIONS}), b AS (SELECT source || '-' || target AS id, source AS f, target AS g FROM e UNION ALL SELECT source || '-' || target, target, source FROM e),
+w AS (SELECT 3 AS start, 3 AS node, [] :: VARCHAR[] AS used, 0 AS length UNION ALL SELECT w.start, b.g, list_append(w.used, b.id), w.length + 1 FROM w JOIN b ON w.node = b.f WHERE w.length < 3 AND NOT list_contains(w.used, b.id))
+SELECT start, node, length, count(*) AS paths FROM w WHERE length > 0 GROUP BY 1, 2, 3""")
+def hop_paths(t):
+    return graph.paths_from(_nations(t), [3], 3)
+
+
+@query("""WITH n AS (SELECT DISTINCT p_type AS n, p_brand AS type FROM part), x AS (SELECT a.type, a.n AS a, b.n AS b, lower(a.n) AS la, lower(b.n) AS lb FROM n a JOIN n b ON a.type = b.type AND a.n < b.n)
+SELECT type, a, b FROM x WHERE (len(list_intersect(string_split(la, ' '), string_split(lb, ' '))) > 0 OR la[:3] = lb[:3]) AND (la = lb OR ((contains(la, lb) OR contains(lb, la)) AND least(len(la), len(lb)) / greatest(len(la), len(lb)) > .5)
+OR 0.6 * (1 - levenshtein(la, lb) / greatest(len(la), len(lb))) + 0.4 * len(list_intersect(string_split(la, ' '), string_split(lb, ' '))) / len(list_distinct(list_concat(string_split(la, ' '), string_split(lb, ' ')))) >= 0.85)""")
+def similar_names(t):
+    return graph.similar_names(t("part"), "p_type", "p_brand")
+
+
+@query()
+def label_propagation(t):
+    return graph.label_propagation(graph.undirected(_edges(t)), 3)
+
+
+_REGIONS = f"SELECT source % 5 AS x, a, b, weight FROM (SELECT least(source, target) AS a, greatest(source, target) AS b, min(source) AS source, sum(strength) AS weight FROM ({_EDGES}) WHERE source <> target GROUP BY 1, 2)"
+
+
+@query(f"""WITH e AS ({_REGIONS}), m AS (SELECT 2 * sum(weight) AS m2 FROM e), d AS (SELECT node % 5 AS c, sum(weight) AS d FROM (SELECT a AS node, weight FROM e UNION ALL SELECT b, weight FROM e) GROUP BY 1)
+SELECT round((SELECT 2 * sum(weight) FROM e WHERE a % 5 = b % 5) / m2 - (SELECT sum(d * d) FROM d) / (m2 * m2), 6) AS modularity FROM m""")
+def modularity(t):
+    edges = graph.undirected(_edges(t)).withColumn("weight", F.col("weight").cast("double"))
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return graph.modularity(edges, nodes.withColumn("community", F.col("node") % 5)).select(_r("modularity", 6))
+
+
+@query()
+def local_moves(t):
+    return graph.local_moves(graph.undirected(_nations(t).withColumn("strength", F.lit(1))), 4)
+
+
+@query("""WITH l AS (SELECT c_custkey AS node, c_nationkey AS community, c_mktsegment AS type FROM customer), s AS (SELECT community, count(*) AS size FROM l GROUP BY 1 HAVING count(*) >= 2 ORDER BY 2 DESC, 1 LIMIT 10),
+r AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY node) AS n FROM l JOIN s USING (community) QUALIFY n <= 10)
+SELECT community, size, string_agg(node::VARCHAR, ',' ORDER BY n) AS members, (SELECT string_agg(x, ',' ORDER BY x) FROM (SELECT q.type || ':' || count(*) AS x FROM r q WHERE q.community = r.community GROUP BY q.type)) AS types FROM r GROUP BY 1, 2""")
+def community_summary(t):
+    labels = t("customer").select(F.col("c_custkey").alias("node"), F.col("c_nationkey").alias("community"))
+    return graph.community_summary(labels, t("customer"), "c_custkey", "c_mktsegment")
+
+
+@query("""SELECT p_partkey, CASE WHEN regexp_matches(x, '^[A-Z_]') THEN x ELSE 'REL_' || x END AS type FROM (SELECT p_partkey, regexp_replace(upper(p_size || ' ' || p_brand), '[^A-Z0-9_]', '_', 'g') AS x FROM part)""")
+def relation_types(t):
+    return t("part").select("p_partkey", vl.relation_type(F.concat_ws(" ", F.col("p_size").cast("string"), "p_brand")).alias("type"))
+
+
+@query("""SELECT conv_id, turn, 'N' || turn AS name FROM conversations WHERE role = 'user'""")
+def parsed_tuples(t):
+    line = F.concat(F.lit('("entity"|N'), F.col("turn").cast("string"), F.lit("|"), "role", F.lit("|x)\n(\"relationship\"|a|b)"))
+    rows = t("conversations").where("role = 'user'").select("conv_id", "turn", line.alias("text"))
+    return graph.parsed_tuples(rows.withColumn("key", F.struct("conv_id", "turn")), "key", "text")[0].select("key.conv_id", "key.turn", "name")
+
+
+# tables in sheets --------------------------------------------------------------------------------------------------
+
+_CELLS = """SELECT 'f' || doc_id % 7 AS file, lang AS sheet, row, c::INT AS col,
+CASE WHEN (doc_id * 7 + c * 3) % 4 > 0 THEN CASE WHEN c = 0 OR doc_id % 11 = 0 THEN source ELSE CAST(n_chars + c AS VARCHAR) END END AS value FROM (SELECT *, row_number() OVER (PARTITION BY doc_id % 7, lang ORDER BY doc_id)::INT - 1 AS row FROM documents), (SELECT unnest([0, 1, 2, 3]) AS c)"""
+
+
+def _cells(t):
+    d = t("documents").withColumn("file", F.concat(F.lit("f"), (F.col("doc_id") % 7).cast("string")))
+    d = d.withColumn("row", (F.row_number().over(W.partitionBy("file", "lang").orderBy("doc_id")) - 1).cast("int")).select("*", F.explode(F.array(*map(F.lit, range(4)))).alias("col"))
+    value = F.when((F.col("col") == 0) | (F.col("doc_id") % 11 == 0), F.col("source")).otherwise((F.col("n_chars") + F.col("col")).cast("string"))
+    return d.select("file", F.col("lang").alias("sheet"), "row", "col", F.when((F.col("doc_id") * 7 + F.col("col") * 3) % 4 > 0, value).alias("value"))
+
+
+@query(f"""WITH c AS ({_CELLS}) SELECT count(*) AS cells, count(DISTINCT file || sheet) AS sheets FROM c WHERE value IS NOT NULL""")
+def sheet_blocks(t):
+    found = tables.blocks(_cells(t))
+    return found.agg(F.count("*").alias("cells"), F.count_distinct(F.concat("file", "sheet")).alias("sheets"))
+
+
+@query()
+def block_ranges(t):
+    return tables.block_bounds(tables.blocks(_cells(t)))
+
+
+_SCORE = """WITH c AS ({cells}), f AS (SELECT file, sheet, row, count(*) AS cells, count(value) AS filled, count(*) FILTER (regexp_matches(value, '^-?[0-9,]*\\.?[0-9]+%?$')) AS numbers,
+max(CASE WHEN regexp_matches(lower(value), 'id|name|date|value|total|sum|category|type|status') THEN 1 ELSE 0 END) AS hint, count(*) FILTER (regexp_matches(value, '^[A-Za-z_][A-Za-z0-9_]*$') AND len(value) < 25) AS names FROM c WHERE row < 20 GROUP BY 1, 2, 3),
+g AS (SELECT *, filled - numbers AS texts, lead(filled) OVER w AS nf, lead(numbers) OVER w AS nn FROM f WINDOW w AS (PARTITION BY file, sheet ORDER BY row)),
+s AS (SELECT *, filled / cells AS ful, texts / nullif(filled, 0) AS txt, nn / nullif(nf, 0) AS nx FROM g)
+SELECT file, sheet, row, round(CASE WHEN filled = 0 THEN -100 ELSE CASE WHEN ful > .7 THEN ful * 1.5 WHEN ful < .4 AND cells > 3 THEN CASE WHEN texts > 0 THEN -1 ELSE -3 END ELSE 0 END
++ CASE WHEN txt > .8 THEN txt * 5 WHEN txt > .6 THEN txt * 3 WHEN txt < .3 AND cells > 3 THEN -4 ELSE 0 END + CASE WHEN 1 - txt > .8 THEN -5 ELSE 0 END
++ CASE WHEN coalesce(nf, 0) = 0 THEN 0 WHEN txt > .7 AND nx > .6 THEN 3 WHEN 1 - txt > .7 AND 1 - nx > .6 THEN -2 ELSE 0 END + greatest(0, 1 - row * .4) + hint + names / cells * 3 END, 6) AS score FROM s"""
+
+
+@query(_SCORE.format(cells=_CELLS))
+def header_scores(t):
+    return tables.header_scores(_cells(t), ["file", "sheet"]).select("file", "sheet", "row", _r("score", 6))
+
+
+@query(f"""WITH s AS ({_SCORE.format(cells=_CELLS)}), r AS (SELECT *, row_number() OVER (PARTITION BY file, sheet ORDER BY score DESC, row) AS n FROM s QUALIFY n <= 2),
+t AS (SELECT file, sheet, max(row) FILTER (n = 1) AS a, max(row) FILTER (n = 2) AS b, max(score) AS best, min(score) AS second, count(*) AS k FROM r GROUP BY 1, 2)
+SELECT file, sheet, CASE WHEN k = 2 AND best > -5 AND CASE WHEN best > 0 THEN (best - second) / best < .1 ELSE best - second < 1 END THEN least(a, b) ELSE a END AS header FROM t""")
+def header_rows(t):
+    scores = tables.header_scores(_cells(t), ["file", "sheet"]).withColumn("score", F.round("score", 6))
+    return tables.header_rows(scores, ["file", "sheet"])
+
+
+@query(f"""WITH c AS ({_CELLS}) SELECT file, sheet, col, coalesce(max(CASE WHEN row = 1 THEN nullif(trim(value), '') END), max(CASE WHEN row = 0 THEN nullif(trim(value), '') END)) AS name FROM c WHERE row IN (0, 1) GROUP BY 1, 2, 3""")
+def header_names(t):
+    cells = _cells(t)
+    heads = cells.select("file", "sheet").distinct().withColumn("header", F.lit(1))
+    return tables.header_names(cells, heads, ["file", "sheet"])
+
+
+@query(f"""WITH u AS (SELECT DISTINCT file, sheet, col FROM ({_CELLS}) WHERE value IS NOT NULL AND col <> 2), i AS (SELECT *, col - row_number() OVER (PARTITION BY file, sheet ORDER BY col) AS g FROM u)
+SELECT file, sheet, min(col) AS c0, max(col) + 1 AS c1 FROM i GROUP BY file, sheet, g""")
+def column_islands(t):
+    return tables.column_islands(_cells(t).where("col <> 2"), ["file", "sheet"]).select("file", "sheet", "c0", "c1")
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, (p_partkey * 37 % 2000)::INT AS c FROM part)
+SELECT k, CASE WHEN c < 26 THEN chr(65 + c) WHEN c < 702 THEN chr(64 + c // 26) || chr(65 + c % 26) ELSE chr(65 + (c - 702) // 676) || chr(65 + (c - 702) // 26 % 26) || chr(65 + c % 26) END AS letters FROM p""")
+def range_letters(t):
+    c = (F.col("p_partkey") * 37 % 2000).cast("int")
+    return t("part").select(F.col("p_partkey").alias("k"), vl.column_letters(c).alias("letters"))
+
+
+@query("SELECT o_orderkey, (SELECT count(*) FROM orders) AS total_rows, (SELECT count(*) FROM orders) > 1000 AS is_truncated FROM orders ORDER BY o_orderkey LIMIT 1000")
+def payload_truncation(t):
+    return tables.first_rows(t("orders").select("o_orderkey"), ["o_orderkey"])
+
+
+# sources -----------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT doc_id, CASE WHEN greatest(a, b, c, d) = 0 THEN ',' WHEN a >= greatest(b, c, d) THEN ',' WHEN b >= greatest(c, d) THEN ';' WHEN c >= d THEN chr(9) ELSE '|' END AS delimiter
+FROM (SELECT doc_id, len(text) - len(replace(text, ',', '')) AS a, len(text) - len(replace(text, ';', '')) AS b, len(text) - len(replace(text, chr(9), '')) AS c, len(text) - len(replace(text, '|', '')) AS d FROM documents)""")
+def delimiter_sniff(t):
+    return t("documents").select("doc_id", csv.delimiter(F.col("text")).alias("delimiter"))
+
+
+@query("SELECT item_id, 3 AS elements, 1 AS attributes, 'doc' AS root FROM benchmark")
+def element_counts(t):
+    xml = F.concat(F.lit('<doc id="1"><a>'), F.regexp_replace("text", "[<>&]", ""), F.lit("</a><b/></doc>"))
+    return t("benchmark").select("item_id", markup.element_counts(xml).alias("c")).select("item_id", "c.*")
+
+
+@query()
+def nested_maps(t):
+    xml = F.concat(F.lit('<doc id="1"><a>'), F.regexp_replace("text", "[<>&]", ""), F.lit("</a><a>2</a></doc>"))
+    return markup.nested_maps(t("benchmark").withColumn("xml", xml), "item_id", "xml")
+
+
+# extensions: event windows -----------------------------------------------------------------------------------------
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def tumbling_windows(t):
+    return ev.windowed(t("events"), "ts", "event_type", "value", "1 hour").select("start", "event_type", "n", _r("total"))
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, k""")
+def session_windows(t):
+    return ev.sessions(t("events"), "ts", "user_id", "30 minutes")
