@@ -24,9 +24,10 @@ def encoding(head: Column) -> Column:
 def sniffed(spark: SparkSession, path: str, lines: int = 5) -> DataFrame:
     """(path, length, encoding, delimiter) of each file, from its bytes."""
     files = spark.read.format("binaryFile").load(path)
-    text = F.decode(F.substring("content", 1, 10_000), F.when(encoding(F.col("content")) == "latin-1", "ISO-8859-1").otherwise("UTF-8"))
+    head = F.substring("content", 1, 10_000)
+    text = F.when(encoding(head) == "latin-1", F.decode(head, "ISO-8859-1")).otherwise(F.decode(head, "UTF-8"))
     kept = F.filter(F.split(text, "\n"), lambda x: ~F.startswith(x, F.lit("#")))
-    return files.select("path", "length", encoding(F.substring("content", 1, 10_000)).alias("encoding"), delimiter(F.array_join(F.slice(kept, 1, lines), "\n")).alias("delimiter"))
+    return files.select("path", "length", encoding(head).alias("encoding"), delimiter(F.array_join(F.slice(kept, 1, lines), "\n")).alias("delimiter"))
 
 
 def read(spark: SparkSession, path: str, sep: str = ",", header: bool = True, encoding_: str = "UTF-8") -> DataFrame:
