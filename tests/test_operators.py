@@ -1,0 +1,230 @@
+"""Small exact cases."""
+
+import io
+import zipfile
+
+import pytest
+from pyspark.sql import functions as F
+
+from folioflow.functions import text as tx
+from folioflow.functions import values as vl
+from folioflow.operators import charts, chunking, graph, metadata, profile, tables, vectors
+from folioflow.sources import csv, markup, office
+from folioflow.streaming import events as ev
+
+
+def one(spark, column):
+    return spark.range(1).select(column.alias("x")).first().x
+
+
+@pytest.mark.parametrize("cell, number, lead", [("$1,234.50*", 1234.5, 1234.5), ("1.2.3", None, 1.2), ("-", None, None), ("", None, None), ("N/A", None, None), ("5d", None, 5.0), ("NaN", None, None), ("FAC001", None, 1.0)])
+def test_numbers_in_cells(spark, cell, number, lead):
+    assert one(spark, vl.number(F.lit(cell))) == number
+    assert one(spark, vl.leading_number(F.lit(cell))) == lead
+
+
+@pytest.mark.parametrize("bounds, name", [((0, 3, 0, 3), "A1:C3"), ((4, 20, 1, 26), "B5:Z20"), ((0, 10, 26, 29), "AA1:AC10"), ((0, 1, 702, 703), "AAA1:AAA1")])
+def test_range_names(spark, bounds, name):
+    assert one(spark, vl.a1_range(*map(F.lit, bounds))) == name
+
+
+def test_accents_count_as_letters(spark):
+    assert one(spark, tx.relevance(F.lit("ética inclusión"))) == pytest.approx(min(1, 2 / (1.0986122886681098 + 1) * 0.3))
+    assert one(spark, vl.normal_name(F.lit("Año-Ñandú,  S.A."))) == "añoñandú sa"
+
+
+def test_relevance_counts_a_doubly_listed_word_twice(spark):
+    assert one(spark, tx.relevance(F.lit("social"))) == pytest.approx(2 / (0.6931471805599453 + 1) * 0.3)
+    assert one(spark, tx.relevance(F.lit(""))) == 0
+
+
+def test_cleaning(spark):
+    assert one(spark, tx.clean_text(F.lit("Page 5 of 60  a\tb \n c- d"))) == "a b c-d"
+    assert one(spark, tx.clean_extracted(F.lit("sus- tainable ."))) == "sustainable."
+    assert one(spark, tx.plain_characters(F.lit("Test #1: Remove @$%^&* x!"))) == "Test 1: Remove x!"
+    assert one(spark, tx.sentences(F.lit("One. Two! three? Four."))) == ["One.", "Two! three?", "Four."]
+
+
+@pytest.mark.parametrize("a, b, same", [("IBM", "IBM Corporation", False), ("Acme Energy", "acme  energy", True), ("Acme Energy", "Acme Energy Co", True), ("Acme", "Zeta", False)])
+def test_names(spark, a, b, same):
+    assert one(spark, vl.same_name(F.lit(a), F.lit(b))) is same
+
+
+@pytest.mark.parametrize("n", [0, 1, 500, 600, 601, 5000])
+def test_character_chunks_cover_the_text(n):
+    for text in ("x" * n, ("Some words here. " * (n // 17 + 1))[:n]):
+        spans = chunking.character_spans(text)
+        assert (spans == []) == (n == 0)
+        if spans:
+            assert spans[0][0] == 0 and spans[-1][1] == n
+            assert all(a < d <= b and b < e for (a, b), (d, e) in zip(spans, spans[1:], strict=False))
+
+
+def test_shares_have_other_and_need_a_total(spark):
+    df = spark.createDataFrame([(f"c{i}", float(10 - i)) for i in range(10)] + [(None, 5.0)], "k string, v double")
+    got = {r.category: r.value for r in charts.shares(df, "k", "v").collect()}
+    assert len(got) == 9 and sum(got.values()) == pytest.approx(100)
+    assert charts.shares(spark.createDataFrame([("a", 1.0), ("b", -1.0)], "k string, v double"), "k", "v").count() == 0
+
+
+def test_bars_break_ties_by_category(spark):
+    df = spark.createDataFrame([("b", "1"), ("a", "$1"), ("c", "bad"), (None, "9")], "k string, v string")
+    assert [tuple(r) for r in charts.bars(df, "k", "v").collect()] == [("a", 1.0), ("b", 1.0), ("c", 0.0)]
+
+
+def test_outliers_need_more_than_ten_values(spark):
+    ten = spark.createDataFrame([(float(i),) for i in range(9)] + [(1000.0,)], "v double")
+    eleven = spark.createDataFrame([(float(i),) for i in range(10)] + [(1000.0,)], "v double")
+    assert profile.without_outliers(ten, ["v"]).where("v = 1000").count() == 1
+    assert profile.without_outliers(eleven, ["v"]).where("v is null").count() == 1
+
+
+def test_column_classes(spark):
+    df = spark.createDataFrame([("FAC001", "1,000", "2020-01-01", "2020", "True", None)] * 3, "code string, amount string, day string, year string, flag string, none string")
+    got = {r["column"]: r["class"] for r in profile.classified_columns(df, df.columns).collect()}
+    assert got == {"code": "categorical", "amount": "numeric", "day": "date", "year": "year", "flag": "categorical"}
+
+
+def test_names_of_columns():
+    assert profile.distinct_names(["a", None, "a", " ", "a"]) == ["a", "Unnamed", "a_1", "Unnamed_1", "a_2"]
+    assert profile.standard_name(" Net-Zero (t) ") == "net_zero_t"
+
+
+def test_empty_columns_go(spark):
+    assert profile.without_empty_columns(spark.createDataFrame([(1, None)], "a int, b int")).columns == ["a"]
+
+
+GRID = [["Report"], [], ["No.", "Metric", "2020", "2021", "2022"], ["1", "Carbon", "10", "9", "8"], ["2", "Water", "5", "4", "3"], ["3", "Waste", "2", "2", "1"], [], ["x"], ["Category", "Value", "Change"], ["A", "1", "2"], ["B", "3", "4"]]
+
+
+def cells(spark):
+    rows = [("f", "s", r, c, v) for r, row in enumerate(GRID) for c, v in enumerate(row)]
+    return spark.createDataFrame(rows, "file string, sheet string, row int, col int, value string")
+
+
+def test_tables_in_a_sheet(spark):
+    labelled = tables.blocks(cells(spark))
+    found = tables.block_bounds(labelled).orderBy("r0").collect()
+    assert [r.range for r in found] == ["A3:E6", "A8:C11"]
+    block = labelled.where("block = 1").select("file", "sheet", (F.col("row") - 2).alias("row"), "col", "value")
+    assert tables.header_rows(tables.header_scores(block, ["file"]), ["file"]).first().header == 0
+
+
+def test_section_paths(spark):
+    heads = [("d", 0, 1, "Executive Summary"), ("d", 1, 3, "Detailed Analysis"), ("d", 2, 1, "Conclusion"), ("d", 3, 2, "Next")]
+    got = chunking.section_paths(spark.createDataFrame(heads, "k string, p int, l int, t string"), "k", "p", "l", "t").orderBy("p").collect()
+    assert got[1].full_path == "Executive Summary > Detailed Analysis" and got[2].path == ["Conclusion"] and got[3].path == ["Conclusion", "Next"]
+
+
+def test_nearest_mark_before(spark):
+    rows = spark.createDataFrame([("d", 0, "a"), ("d", 5, "b"), ("d", 9, "c")], "k string, p int, v string")
+    marks = spark.createDataFrame([("d", 5, "M"), ("d", 8, "N")], "k string, p int, m string")
+    assert [(r.v, r.m) for r in metadata.nearest_before(rows, marks, "k", "p", "m").orderBy("p").collect()] == [("a", None), ("b", "M"), ("c", "N")]
+
+
+def test_tuples(spark):
+    text = '("entity"|A|org|first)\n("entity"|A|org|second)\n("entity"|B)\n("relationship"|A|B|owns|7)\n("relationship"|A|B|owns|x)\nafter'
+    entities, relations = graph.parsed_tuples(spark.createDataFrame([(1, text)], "k int, t string"), "k", "t")
+    assert [(r.name, r.description) for r in entities.collect()] == [("A", "second")]
+    assert [r.strength for r in relations.orderBy("position").collect()] == [7, 1]
+
+
+def cliques(spark):
+    pairs = [(a, b) for g in (range(5), range(5, 10)) for a in g for b in g if a < b] + [(4, 5)]
+    return spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "a long, b long, weight double")
+
+
+def test_communities_of_two_cliques(spark):
+    edges = cliques(spark)
+    for labels in (graph.label_propagation(edges, 6), graph.local_moves(edges, 10)):
+        alone = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("community", F.col("node"))
+        assert graph.modularity(edges, labels).first()[0] > graph.modularity(edges, alone).first()[0]
+
+
+def test_paths_use_an_edge_once(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 4)], "source long, target long")
+    got = {(r.node, r.length): r.paths for r in graph.paths_from(edges, [1], 3).collect()}
+    assert got == {(2, 1): 1, (3, 1): 1, (3, 2): 1, (2, 2): 1, (1, 3): 2}
+
+
+def test_edges_need_both_ends(spark):
+    edges = spark.createDataFrame([("a", "b"), ("a", "x")], "source string, target string")
+    assert graph.resolved(edges, spark.createDataFrame([("a",), ("b",)], "name string"), "name").count() == 1
+
+
+def test_zero_vectors(spark):
+    df = spark.createDataFrame([(1, [0.0, 0.0]), (2, [3.0, 4.0])], "i int, v array<double>")
+    assert [r.u for r in df.select(vectors.normalised("v").alias("u")).collect()] == [[0.0, 0.0], [0.6, 0.8]]
+    assert one(spark, vectors.cosine(F.array(F.lit(0.0)), F.array(F.lit(1.0)))) is None
+
+
+def test_packed_rows_never_split(spark):
+    df = spark.createDataFrame([("g", i, "x" * n) for i, n in enumerate([10, 10, 200, 10])], "g string, o int, t string")
+    got = chunking.packed_rows(df, "g", "o", "t", header=5, max_rows=2, max_characters=60).orderBy("chunk").collect()
+    assert [(r.row_start, r.row_end) for r in got] == [(1, 2), (3, 3), (4, 4)]
+
+
+def test_csv_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("# note\nName;Value\nA;1\nB;2\n")
+    (tmp_path / "b.csv").write_bytes("Año,Valor\nÑ,1\n".encode("latin-1"))
+    got = {r.path.rsplit("/", 1)[1]: (r.encoding, r.delimiter) for r in csv.sniffed(spark, str(tmp_path)).collect()}
+    assert got == {"a.csv": ("utf-8", ";"), "b.csv": ("latin-1", ",")}
+    assert [tuple(r) for r in csv.read(spark, str(tmp_path / "a.csv"), ";").orderBy("Name").collect()] == [("A", "1"), ("B", "2")]
+    assert csv.cells(spark, str(tmp_path / "a.csv"), ";").where("value is not null").count() == 6
+
+
+def archive(path, parts):
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for name, content in parts.items():
+            z.writestr(name, content)
+    path.write_bytes(data.getvalue())
+
+
+def test_workbook(spark, tmp_path):
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    archive(tmp_path / "w.xlsx", {
+        "xl/workbook.xml": f'<workbook {ns}><sheets><sheet name="One" sheetId="1" r:id="r1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>',
+        "xl/sharedStrings.xml": f"<sst {ns}><si><t>Metric</t></si></sst>",
+        "xl/worksheets/sheet1.xml": f'<worksheet {ns}><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="AB2"><v>3.5</v></c><c r="B3" t="inlineStr"><is><t>x</t></is></c></row></sheetData></worksheet>',
+    })
+    (tmp_path / "bad.xlsx").write_bytes(b"no archive")
+    got = office.workbook_cells(spark, str(tmp_path)).collect()
+    assert {(r.sheet, r.row, r.col, r.value) for r in got if r.error is None} == {("One", 0, 0, "Metric"), ("One", 1, 27, "3.5"), ("One", 2, 1, "x")}
+    assert [r.file for r in got if r.error] == ["bad.xlsx"]
+
+
+def test_document_and_slides(spark, tmp_path):
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    p = lambda t, s="": f'<w:p>{f"<w:pPr><w:pStyle w:val=\"{s}\"/></w:pPr>" if s else ""}<w:r><w:t>{t}</w:t></w:r></w:p>'
+    archive(tmp_path / "d.docx", {"word/document.xml": f"<w:document {w}><w:body>{p('before')}{p('Scope', 'Heading1')}{p('first')}{p('second')}</w:body></w:document>"})
+    got = office.document_sections(office.document_paragraphs(spark, str(tmp_path / "d.docx"))).orderBy("section").collect()
+    assert [(r.heading, r.text) for r in got] == [("Introduction", "before"), ("Scope", "first\nsecond")]
+    ns = 'xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"'
+    shape = lambda t, k="": f"<p:sp><p:nvSpPr><p:nvPr>{k}</p:nvPr></p:nvSpPr><p:txBody><a:p><a:r><a:t>{t}</a:t></a:r></a:p></p:txBody></p:sp>"
+    archive(tmp_path / "s.pptx", {"ppt/slides/slide1.xml": f"<p:sld {ns}>{shape('Title', '<p:ph type=\"title\"/>')}{shape('Body')}</p:sld>"})
+    assert [tuple(r)[1:] for r in office.slide_summaries(office.slide_texts(spark, str(tmp_path / "s.pptx"))).collect()] == [(1, "Title", "Title\nBody")]
+
+
+def test_markup(spark):
+    df = spark.createDataFrame([(1, '<a k="v"><b>1</b><b>2</b></a>'), (2, "<a>")], "i int, x string")
+    got = {r.i: r for r in markup.nested_maps(df, "i", "x").collect()}
+    assert got[1].json == '{"a": {"@attributes": {"k": "v"}, "b": ["1", "2"]}}' and got[2].error
+
+
+def test_streamed_upserts_keep_the_latest(spark, tmp_path):
+    schema, source, out = "k long, v long", str(tmp_path / "in"), str(tmp_path / "out")
+    for i in range(2):
+        spark.createDataFrame([(1, i), (i + 2, i)], schema).coalesce(1).write.mode("append").parquet(source)
+        ev.upsert_into(ev.read_events(spark, source, schema), out, str(tmp_path / "c"), ["k"], "v").awaitTermination()
+    assert sorted(map(tuple, spark.read.parquet(f"{out}/v1").collect())) == [(1, 1), (2, 0), (3, 1)]
+
+
+def test_streamed_windows_equal_batch_windows(spark, tmp_path):
+    rows = spark.sql("SELECT timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,id * 10) AS ts, 'a' AS kind, 1.0 AS value FROM range(20)")
+    rows.write.parquet(str(tmp_path / "e"))
+    stream = ev.windowed(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "e")), "ts", "kind", "value", "1 hour")
+    q = stream.writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(map(tuple, spark.table("w").collect())) == sorted(map(tuple, ev.windowed(rows, "ts", "kind", "value", "1 hour").collect()))
