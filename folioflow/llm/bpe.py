@@ -27,101 +27,82 @@ from folioflow.llm.common import WordCache, text_groups
 CODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-class RankQueue:
-    """Positions by rank: push, and pop of the leftmost position of the lowest rank."""
-
-    __slots__ = ("low", "mid", "top", "buckets")
-
-    def __init__(self, n_ranks: int):
-        self.low = [0] * (n_ranks // 64 + 1)
-        self.mid = [0] * (len(self.low) // 64 + 1)
-        self.top = 0
-        self.buckets: list[list[int]] = [[] for _ in range(n_ranks)]
-
-    def push(self, rank: int, at: int) -> None:
-        bucket = self.buckets[rank]
-        if bucket:
-            heappush(bucket, at)
-            return
-        bucket.append(at)
-        i = rank >> 6
-        word = self.low[i]
-        self.low[i] = word | 1 << (rank & 63)
-        if not word:
-            j = i >> 6
-            self.mid[j] |= 1 << (i & 63)
-            self.top |= 1 << j
-
-    def pop(self) -> tuple[int, int]:
-        top = self.top
-        j = (top & -top).bit_length() - 1
-        above = self.mid[j]
-        i = (j << 6) + (above & -above).bit_length() - 1
-        word = self.low[i]
-        rank = (i << 6) + (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        if len(bucket) > 1:
-            return rank, heappop(bucket)
-        self.low[i] = word = word & (word - 1)
-        if not word:
-            self.mid[j] = above = above & (above - 1)
-            if not above:
-                self.top = top & (top - 1)
-        return rank, bucket.pop()
-
-
 class ByteBPE:
-    """Encodes bytes by ranks: id = rank of the merged bytes."""
+    """Encodes bytes by ranks: id = rank of the merged bytes.
+
+    buckets: positions by rank, as heaps; low, mid and a number top: bitmaps of the ranks that have any, of the words of low
+    that have a bit set, and of the words of mid. All are empty between calls.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.n_ranks = max(ranks.values(), default=0) + 1
-        self.queue = RankQueue(self.n_ranks)
         self.bytes_of = {i: b for b, i in ranks.items()}
+        self.low = [0] * (self.n_ranks // 64 + 1)
+        self.mid = [0] * (len(self.low) // 64 + 1)
+        self.buckets: list[list[int]] = [[] for _ in range(self.n_ranks)]
 
     def encode(self, piece: bytes) -> list[int]:
         """The ids of one pre-token."""
-        ranks, n = self.ranks, len(piece)
-        if (whole := ranks.get(piece)) is not None:
+        get, n = self.ranks.get, len(piece)
+        if (whole := get(piece)) is not None:
             return [whole]
-        queue, get, push, pop = self.queue, ranks.get, self.queue.push, self.queue.pop
+        low, mid, buckets, top = self.low, self.mid, self.buckets, 0
         ends = list(range(1, n + 1))  # where the span that starts here ends; spans are linked by their ends
         before = list(range(-1, n - 1))
-        pair = [-1] * n  # rank of the span here with the next one, as last pushed; -1: none
-        for i in range(n - 1):
-            rank = get(piece[i : i + 2])
-            if rank is not None:
-                pair[i] = rank
-                push(rank, i)
-        while queue.top:
-            rank, at = pop()
-            if pair[at] != rank:
-                continue  # stale
-            gone = ends[at]
-            end = ends[at] = ends[gone]
-            pair[gone] = -1
-            if end < n:
-                before[end] = at
-                new = get(piece[at : ends[end]])
-                if new is None:
-                    pair[at] = -1
+        pair = [get(piece[i : i + 2], -1) for i in range(n)]  # rank of the span here with the next one; -1: none
+        pair[-1] = -1
+        fresh = [(rank, i) for i, rank in enumerate(pair) if rank >= 0]
+        while True:
+            for rank, i in fresh:
+                bucket = buckets[rank]
+                if bucket:
+                    heappush(bucket, i)
                 else:
-                    pair[at] = new
-                    push(new, at)
+                    bucket.append(i)
+                    at = rank >> 6
+                    if not low[at]:
+                        mid[at >> 6] |= 1 << (at & 63)
+                        top |= 1 << (at >> 6)
+                    low[at] |= 1 << (rank & 63)
+            if not top:
+                break
+            # find first set, three times
+            j = (top & -top).bit_length() - 1
+            word = mid[j]
+            at = (j << 6) + (word & -word).bit_length() - 1
+            word = low[at]
+            rank = (at << 6) + (word & -word).bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
             else:
-                pair[at] = -1
-            left = before[at]
+                i = bucket.pop()
+                low[at] = word = word & (word - 1)
+                if not word:
+                    mid[j] = word = mid[j] & (mid[j] - 1)
+                    if not word:
+                        top &= top - 1
+            fresh = []
+            if pair[i] != rank:
+                continue  # stale
+            gone = ends[i]
+            end = ends[i] = ends[gone]
+            pair[gone] = pair[i] = -1
+            if end < n:
+                before[end] = i
+                pair[i] = rank = get(piece[i : ends[end]], -1)
+                if rank >= 0:
+                    fresh.append((rank, i))
+            left = before[i]
             if left >= 0:
-                new = get(piece[left:end])
-                if new is None:
-                    pair[left] = -1
-                else:
-                    pair[left] = new
-                    push(new, left)
-        ids, at = [], 0
-        while at < n:
-            ids.append(ranks[piece[at : ends[at]]])
-            at = ends[at]
+                pair[left] = rank = get(piece[left:end], -1)
+                if rank >= 0:
+                    fresh.append((rank, left))
+        ids, i = [], 0
+        while i < n:
+            ids.append(self.ranks[piece[i : ends[i]]])
+            i = ends[i]
         return ids
 
     def decode(self, ids) -> bytes:
@@ -136,7 +117,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class TextCoder(WordCache):
     """Ids of texts. Key: a stretch of text that the pattern never matches across the ends of."""
 
-    def __init__(self, path: str, pattern: str, limit: int = 600_000):
+    def __init__(self, path: str, pattern: str, limit: int = 900_000):
         super().__init__(limit)
         self.bpe = ByteBPE(read_ranks(path))
         self.pattern = regex.compile(pattern)
