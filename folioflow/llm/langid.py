@@ -74,7 +74,7 @@ class ContextTrees:
             mask = np.uint64((1 << 8 * order) - 1)
             keys = [((before & mask) << np.uint64(8) | byte)[place >= order] for (byte, place, before), _ in data]
             times = [n[place >= order] for (_, place, _), n in data]
-            symbols = np.unique(np.concatenate(keys))
+            symbols = np.unique(np.concatenate([np.empty(0, np.uint64), *keys]))
             contexts, at = np.unique(symbols >> np.uint64(8), return_inverse=True)
             bits, escapes = np.full((len(symbols), len(langs)), np.nan), np.full((len(contexts), len(langs)), np.nan)
             for i in range(len(langs)):
