@@ -276,7 +276,8 @@ def lookup(spark: SparkSession, folder: str, doc_ids: list[int]) -> dict[int, li
     """The ids of a few documents: prunes shards by key range, then filter, index and one block of each."""
     shards = spark.read.schema(SHARDS).parquet(f"{folder}/shards")
     wanted = spark.createDataFrame([(d,) for d in doc_ids], "doc_id long")
-    hits = shards.join(F.broadcast(wanted), F.col("doc_id").between(F.col("min_id"), F.col("max_id"))).select("doc_id", "path", "n_bytes").collect()
+    # a shard that starts with documents without an id has no min_id
+    hits = shards.join(F.broadcast(wanted), (F.col("min_id").isNull() | (F.col("doc_id") >= F.col("min_id"))) & (F.col("doc_id") <= F.col("max_id"))).select("doc_id", "path", "n_bytes").collect()
     fs, base = _open_fs(f"{folder}/data")
     found: dict[int, list[np.ndarray]] = {d: [] for d in doc_ids}
     for row in hits:
