@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import text as tx
 from folioflow.functions import values as vl
-from folioflow.operators import charts, chunking, graph, metadata, profile, tables, vectors
-from folioflow.sources import csv, markup
+from folioflow.operators import charts, chunking, graph, metadata, pages, profile, tables, vectors
+from folioflow.sources import csv, markup, sinks
 from folioflow.streaming import events as ev
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -675,6 +675,104 @@ def nested_maps(t):
     return markup.nested_maps(t("benchmark").withColumn("xml", xml), "item_id", "xml")
 
 
+# pages -------------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT l_orderkey AS doc, arg_min(m, (-n, m)) AS method FROM (SELECT l_orderkey, l_returnflag AS m, sum(len(l_linestatus || l_linenumber)) AS n FROM lineitem GROUP BY 1, 2) GROUP BY 1""")
+def best_extractor(t):
+    rows = t("lineitem").select(F.col("l_orderkey").alias("doc"), "l_returnflag", F.concat("l_linestatus", F.col("l_linenumber").cast("string")).alias("text"))
+    return pages.best_extractor(rows, "doc", "l_returnflag", "text")
+
+
+@query("""SELECT conv_id, avg(CASE WHEN role = 'user' THEN 1.0 ELSE 0 END) < .5 AS scanned FROM conversations WHERE turn < 5 GROUP BY 1""")
+def scanned_documents(t):
+    return pages.scanned(t("conversations").withColumn("text", F.when(F.col("role") == "user", "x").otherwise(" ")), "conv_id", "turn", "text")
+
+
+@query("""SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R' OR (l_quantity * 2 > 80 AND l_linenumber >= 3 AND l_suppkey % 4 >= 2 AND l_partkey % 3 > 0)""")
+def usable_tables(t):
+    flavor = F.when(F.col("l_returnflag") == "R", "lattice").otherwise("stream")
+    rows = t("lineitem").select("l_orderkey", "l_linenumber", flavor.alias("flavor"), (F.col("l_quantity") * 2).alias("accuracy"), F.col("l_linenumber").alias("n_rows"), (F.col("l_suppkey") % 4).alias("n_columns"), (F.col("l_partkey") % 3).alias("n_filled"))
+    return pages.usable_tables(rows).select("l_orderkey", "l_linenumber")
+
+
+@query("""SELECT l_orderkey, l_returnflag, string_agg(l_linestatus || l_linenumber, ' ' ORDER BY l_linenumber, l_linestatus) AS text, round(avg(l_quantity), 4) AS confidence FROM lineitem GROUP BY 1, 2""")
+def recognised_blocks(t):
+    rows = t("lineitem").withColumn("word", F.concat("l_linestatus", F.col("l_linenumber").cast("string")))
+    return pages.recognised_blocks(rows, ["l_orderkey"], "l_returnflag", "l_linenumber", "word", "l_quantity").select("l_orderkey", "l_returnflag", "text", _r("confidence"))
+
+
+@query("""SELECT conv_id, turn FROM conversations WHERE len(text) >= 50 AND len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) >= 10 AND len(regexp_replace(text, '[^\\p{L}]', '', 'g')) / len(text) > .5""")
+def recognised_chunks(t):
+    return pages.recognised_chunks(t("conversations"), "conv_id", "turn", "text").select("conv_id", "turn")
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_discount > .1 AND l_tax > .3 THEN 'high' WHEN l_discount > .05 OR l_tax > .15 THEN 'medium' ELSE 'low' END AS value FROM lineitem""")
+def image_values(t):
+    return t("lineitem").select("l_orderkey", "l_linenumber", pages.image_value(F.col("l_discount"), F.col("l_tax")).alias("value"))
+
+
+@query("""WITH n AS (SELECT *, CASE WHEN lag(event_type) OVER w = event_type THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM n)
+SELECT user_id, run::BIGINT AS run, event_type, string_agg(event_id::VARCHAR, chr(10) ORDER BY event_id) AS text FROM r GROUP BY 1, 2, 3""")
+def section_runs(t):
+    rows = t("events").withColumn("text", F.col("event_id").cast("string"))
+    return pages.section_runs(rows, "user_id", "event_id", "event_type", "text")
+
+
+@query("""SELECT k, one, two FROM (SELECT c_nationkey AS k, count(*)::BIGINT AS one FROM customer GROUP BY 1) FULL JOIN (SELECT s_nationkey AS k, count(*)::BIGINT AS two FROM supplier GROUP BY 1) USING (k) WHERE one IS DISTINCT FROM two""")
+def compared_extractions(t):
+    a, b = t("customer").select(F.col("c_nationkey").alias("k"), F.lit(1).alias("v")), t("supplier").select(F.col("s_nationkey").alias("k"), F.lit(1).alias("v"))
+    return pages.compared_samples(a, b, "k", "v")
+
+
+@query("""SELECT user_id, string_agg(event_type || event_id, chr(10) ORDER BY n) AS answers FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_type || event_id) AS n FROM events WHERE value > 50) WHERE n <= 5 GROUP BY 1""")
+def ranked_answers(t):
+    return pages.ranked_answers(t("events").withColumn("answer", F.concat("event_type", F.col("event_id").cast("string"))), "user_id", "value", "answer")
+
+
+@query("""SELECT conv_id * 1000 + turn AS k, upper(role) AS response, NULL::VARCHAR AS error FROM conversations""")
+def asked_model(t):
+    rows = t("conversations").withColumn("k", F.col("conv_id") * 1000 + F.col("turn"))
+    return pages.asked(rows, "k", F.col("role"), lambda: lambda prompts: [p.upper() for p in prompts])
+
+
+@query("""SELECT c_custkey, coalesce(c_custkey IN (SELECT o_custkey FROM orders), FALSE) AS chunked FROM customer""")
+def chunked_flags(t):
+    customers = t("customer").select("c_custkey", F.lit(False).alias("chunked"))
+    return sinks.flagged(customers, t("orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "chunked")
+
+
+@query("""SELECT l_orderkey, l_partkey FROM lineitem WHERE l_suppkey <> 7 AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size = 1)""")
+def deleted_by_document(t):
+    """Edges that stay when the entities of one document, and one source, are taken out."""
+    gone = t("part").where("p_size = 1").select(F.col("p_partkey").alias("l_partkey"))
+    return t("lineitem").where("l_suppkey <> 7").join(gone, "l_partkey", "left_anti").select("l_orderkey", "l_partkey")
+
+
+@query("""SELECT o_orderkey FROM orders ORDER BY CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate END DESC NULLS LAST, o_orderkey LIMIT 100""")
+def null_last_sort(t):
+    when = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderdate"))
+    return t("orders").orderBy(when.desc_nulls_last(), "o_orderkey").limit(100).select("o_orderkey")
+
+
+@query("""SELECT n_nationkey, n_name FROM nation ORDER BY n_regionkey = 0 DESC, n_name DESC, n_nationkey LIMIT 12""")
+def folders_first(t):
+    rows = t("nation").withColumn("is_folder", F.col("n_regionkey") == 0)
+    return metadata.folders_first(rows, "is_folder", "n_name", True).limit(12).select("n_nationkey", "n_name")
+
+
+@query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events""")
+def json_values(t):
+    return t("events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+
+
+@query("""SELECT label, string_agg(name || '=' || n, ',' ORDER BY name) AS payload FROM (SELECT o_orderpriority AS label, o_orderstatus AS name, count(*) AS n FROM orders GROUP BY 1, 2) GROUP BY 1""")
+def reshaped_payload(t):
+    counts = t("orders").groupBy(F.col("o_orderpriority").alias("label"), F.col("o_orderstatus").alias("name")).agg(F.count("*").alias("n"))
+    pair = F.sort_array(F.collect_list(F.concat_ws("=", "name", F.col("n").cast("string"))))
+    return counts.groupBy("label").agg(F.array_join(pair, ",").alias("payload"))
+
+
 # extensions: event windows -----------------------------------------------------------------------------------------
 
 
