@@ -150,6 +150,33 @@ def semantic_chunks(df: DataFrame, key: str, order: str, sentence: str, embeddin
     return rows.groupBy("k").applyInPandas(run, f"{key} {kind}, chunk int, first long, last long, words long")
 
 
+def hybrid_chunks(sentences_: DataFrame, headers: DataFrame, key: str, order: str, sentence: str, embedding: str, most: int = 8) -> DataFrame:
+    """(key, section, chunk, first, last, words): semantic chunks that never cross a header; sentences before the first
+    header are section 0. headers: key, order (that of the first sentence below)."""
+    marks = headers.select(key, F.col(order).cast("long").alias(order), F.lit(1).alias("_h"))
+    both = sentences_.select(key, F.col(order).cast("long").alias(order), sentence, embedding, F.lit(0).alias("_h")).unionByName(marks, allowMissingColumns=True)
+    # a header stands before the sentence with its number
+    section = F.sum("_h").over(W.partitionBy(key).orderBy(order, F.desc("_h")).rowsBetween(W.unboundedPreceding, W.currentRow))
+    rows = both.withColumn("section", section).where("_h = 0").withColumn("_k", F.to_json(F.struct(key, "section")))
+    found = semantic_chunks(rows, "_k", order, sentence, embedding, most)
+    kind = sentences_.schema[key].dataType.simpleString()
+    parsed = found.withColumn("_p", F.from_json("_k", f"{key} {kind}, section long"))
+    return parsed.select(f"_p.{key}", "_p.section", "chunk", "first", "last", "words")
+
+
+def budgeted_chunks(df: DataFrame, group: str, order: str, columns: list[str], rows: int = 100, tokens: int = 2000) -> DataFrame:
+    """(group, batch, part, rows, columns, tokens): batches of rows; where a batch holds more tokens than allowed, its columns
+    are dealt to parts by turns, those with most text first, and each part has its estimate."""
+    text = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns]
+    batched = row_batches(df.select(group, order, *text), group, order, rows)
+    long = batched.unpivot([group, "batch", order], columns, "column", "value")
+    volume = long.groupBy(group, "batch", "column").agg(F.sum(F.length("value")).alias("characters"), F.count("*").alias("n"))
+    each = W.partitionBy(group, "batch")
+    parts = F.least(F.lit(len(columns)), F.ceil(F.sum("characters").over(each) / 3.5 / tokens)).cast("int")
+    dealt = volume.withColumn("parts", F.greatest(F.lit(1), parts)).withColumn("part", ((F.row_number().over(each.orderBy(F.desc("characters"), "column")) - 1) % F.col("parts")).cast("int"))
+    return dealt.groupBy(group, "batch", "part").agg(F.max("n").alias("rows"), F.array_sort(F.collect_list("column")).alias("columns"), F.floor(F.sum("characters") / 3.5).alias("tokens"))
+
+
 def section_paths(headers: DataFrame, key: str, position: str, level: str, text: str, depth: int = 6) -> DataFrame:
     """headers with path, the array of the titles above and their own: for each level the last title since a higher one."""
     order = W.partitionBy(key).orderBy(position)

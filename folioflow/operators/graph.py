@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -132,3 +133,25 @@ def community_summary(labels: DataFrame, vertices: DataFrame, node: str, kind: s
         F.array_join(F.transform(F.sort_array(F.flatten(F.collect_list("m"))), lambda x: x["node"].cast("string")), ",").alias("members"),
         F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", F.col("type").cast("string"), F.col("n").cast("string")))), ",").alias("types"),
     )
+
+
+def name_clusters(names: DataFrame, pairs: DataFrame, name: str, kind: str) -> DataFrame:
+    """(type, name, canonical): longest names first take the names that match them and that none has taken; pairs is what
+    similar_names() found, so only names that match some other are walked, type by type."""
+
+    def run(table: pd.DataFrame) -> pd.DataFrame:
+        near: dict[str, set[str]] = {}
+        for a, b in zip(table["a"], table["b"], strict=True):
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+        taken: dict[str, str] = {}
+        for n in sorted(near, key=lambda n: (-len(n), n)):
+            if n not in taken:
+                taken[n] = n
+                for other in near[n]:
+                    taken.setdefault(other, n)
+        return pd.DataFrame([(table["type"].iloc[0], n, c) for n, c in sorted(taken.items())], columns=["type", "name", "canonical"])
+
+    found = pairs.groupBy("type").applyInPandas(run, "type string, name string, canonical string")
+    every = names.select(F.col(kind).cast("string").alias("type"), F.col(name).alias("name")).distinct()
+    return every.join(found, ["type", "name"], "left").withColumn("canonical", F.coalesce("canonical", "name"))

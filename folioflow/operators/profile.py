@@ -41,25 +41,41 @@ def column_ratios(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def classified_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, class): year, categorical, numeric or date, from the shares of values that read as such; empty columns go."""
-    long = df.select(*(F.col(c).cast("string").alias(c) for c in columns)).unpivot([], columns, "column", "value")
+    return value_classes(df.select(*(F.col(c).cast("string").alias(c) for c in columns)).unpivot([], columns, "column", "value"), [], "column")
+
+
+def value_classes(long: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """(keys, name, class) of columns given as long rows of keys, name and value (string)."""
     value = F.col("value")
     digits = F.regexp_replace(value, r"[^\d.\-]", "")
     reads = digits.rlike(r"^-?(\d+\.?\d*|\.\d+)$")
     share = lambda cond: F.avg(F.when(value.isNotNull(), cond.cast("double")))
-    facts = long.groupBy("column").agg(
+    facts = long.groupBy(*keys, name).agg(
         F.count("value").alias("n"), F.count("*").alias("rows"), share(value.rlike(r"^(19|20)\d{2}$")).alias("years"), share(value.isin("true", "false", "True", "False")).alias("booleans"),
         F.sum(F.when(reads, 1).otherwise(0)).alias("numbers"), F.max(value.rlike("[a-zA-Z]")).alias("letters"),
         F.min(F.when(reads, digits.rlike(r"^\d+$"))).alias("only_digits"), F.avg(F.when(value.rlike(r"^\d{4}-\d{2}-\d{2}"), 1.0).otherwise(0.0)).alias("dates"),
     )
     numeric = (F.col("numbers") / F.col("rows") > 0.7) & ~(F.col("letters") & F.col("only_digits"))
     kind = (
-        F.when(F.col("column").rlike(r"^(19|20)\d{2}$") | ((F.lower("column") == "year") & (F.col("years") > 0.8)), "year")
+        F.when(F.coalesce(F.col(name).rlike(r"^(19|20)\d{2}$") | ((F.lower(name) == "year") & (F.col("years") > 0.8)), F.lit(False)), "year")
         .when(F.col("booleans") == 1, "categorical")
         .when(F.col("dates") > 0.8, "date")  # before numbers, as here a date's digits would read as one
         .when(numeric, "numeric")
         .otherwise("categorical")
     )
-    return facts.where("n > 0").select("column", kind.alias("class"))
+    return facts.where("n > 0").select(*keys, name, kind.alias("class"))
+
+
+def dates(df: DataFrame, column: str, formats: tuple[str, ...] = ("yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "dd.MM.yyyy", "yyyy-MM-dd HH:mm:ss")) -> DataFrame:
+    """df with the column as dates if over half of it look like full dates and not over four fifths are months; values that
+    no format reads become null. One pass decides; whatever it decides, the column's type is string or date by then."""
+    value = F.trim(F.col(column))
+    months = F.avg(F.when(value.rlike(r"^\d{4}-\d{2}$"), 1.0).otherwise(0.0))
+    full = F.avg(F.when(value.rlike(r"^\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}"), 1.0).otherwise(0.0))
+    facts = df.agg(months.alias("months"), full.alias("full")).first()
+    if facts.full is None or facts.months > 0.8 or facts.full <= 0.5:
+        return df
+    return df.withColumn(column, F.coalesce(*(F.try_to_timestamp(value, F.lit(f)) for f in formats)).cast("date"))
 
 
 def numeric_kinds(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioflow.functions.values import a1_range
-from folioflow.operators.profile import SUMMARY_WORDS
+from folioflow.functions.values import a1_range, number
+from folioflow.operators.profile import SUMMARY_WORDS, value_classes
 
 # Words that speak for a header, and cells that stand for nothing.
 HEADER_WORDS = ("id", "name", "date", "value", "total", "sum", "category", "type", "status", "descripción", "fecha", "nombre", "código")
@@ -110,3 +110,20 @@ def first_rows(df: DataFrame, order: list[str], cap: int = 1000) -> DataFrame:
     """The first rows in a total order, with how many there are and whether some are left out."""
     total = df.agg(F.count("*").alias("total_rows"))
     return df.orderBy(*order).limit(cap).join(F.broadcast(total)).withColumn("is_truncated", F.col("total_rows") > cap)  # total is one row
+
+
+def described_tables(cells: DataFrame, min_rows: int = 2, min_columns: int = 2) -> DataFrame:
+    """(file, sheet, block, range, header, col, name, class, filled, low, high, mean): every column of every table that the
+    sheets hold. Tables are found, their header rows scored and their columns classified in one plan over all files."""
+    keys = [*_KEYS, "block"]
+    labelled = blocks(cells)
+    bounds = block_bounds(labelled, min_rows, min_columns)
+    # all places of a block, at most four times its filled cells, as less dense blocks are no tables
+    places = bounds.select(*keys, "r0", "c0", "c1", F.explode(F.sequence("r0", F.col("r1") - 1)).alias("row")).select("*", F.explode(F.sequence("c0", F.col("c1") - 1)).alias("col"))
+    grid = places.join(labelled, [*keys, "row", "col"], "left").select(*keys, (F.col("row") - F.col("r0")).alias("row"), (F.col("col") - F.col("c0")).alias("col"), "value")
+    headers = header_rows(header_scores(grid, keys), keys)
+    names = header_names(grid, headers, keys)
+    data = grid.join(headers, keys).where(F.col("row") > F.col("header")).join(names, [*keys, "col"]).withColumn("label", F.coalesce("name", F.concat(F.lit("column_"), F.col("col").cast("string"))))
+    classes = value_classes(data, [*keys, "header", "col"], "label")
+    facts = data.groupBy(*keys, "col").agg(F.count("value").alias("filled"), *(f(number(F.col("value"))).alias(n) for f, n in ((F.min, "low"), (F.max, "high"), (F.avg, "mean"))))
+    return classes.join(facts, [*keys, "col"]).join(bounds.select(*keys, "range"), keys).select(*keys, "range", "header", "col", F.col("label").alias("name"), "class", "filled", "low", "high", "mean")

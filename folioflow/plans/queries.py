@@ -675,6 +675,53 @@ def nested_maps(t):
     return markup.nested_maps(t("benchmark").withColumn("xml", xml), "item_id", "xml")
 
 
+@query()
+def described_tables(t):
+    return tables.described_tables(_cells(t))
+
+
+@query("""WITH d AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS s FROM orders) SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE s END AS day FROM d""")
+def date_column(t):
+    shown = F.when(F.col("o_orderkey") % 7 == 0, "unknown").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return profile.dates(t("orders").select("o_orderkey", shown.alias("day")), "day").withColumn("day", F.col("day").cast("string"))
+
+
+@query()
+def name_clusters(t):
+    return graph.name_clusters(t("part"), graph.similar_names(t("part"), "p_type", "p_brand"), "p_type", "p_brand")
+
+
+@query()
+def latent_vectors(t):
+    return vectors.latent_vectors(t("benchmark"), "item_id", "text", 256, 8)
+
+
+@query()
+def approximate_pairs(t):
+    return vectors.approximate_pairs(t("embeddings").withColumn("embedding", vectors.normalised("embedding")), "vec_id", "embedding", 1.2, 1.0)
+
+
+@query("""WITH w AS (SELECT term, item_id, count(*) AS n FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term FROM benchmark) GROUP BY 1, 2), d AS (SELECT term, count(*) AS documents FROM w GROUP BY 1)
+SELECT item_id, round(sum((1 + ln(n)) * ln((1 + (SELECT count(*) FROM benchmark)) / documents)), 6) AS score FROM w JOIN d USING (term) WHERE term IN ('the', 'of', 'with', 'from') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""")
+def text_search(t):
+    return vectors.search(vectors.search_index(t("benchmark"), "item_id", "text"), "item_id", ["the", "of", "with", "from"]).select("item_id", _r("score", 6))
+
+
+@query()
+def hybrid_chunks(t):
+    rows = t("conversations").withColumn("embedding", vectors.hashed_embedding(F.col("text"), 32))
+    return chunking.hybrid_chunks(rows, rows.where("turn % 4 = 2"), "conv_id", "turn", "text", "embedding")
+
+
+@query("""WITH r AS (SELECT s_nationkey, (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1) // 3 AS batch, s_name, s_acctbal FROM supplier), v AS (SELECT s_nationkey, batch, 's_name' AS c, sum(len(s_name)) AS n, count(*) AS k FROM r GROUP BY 1, 2
+UNION ALL SELECT s_nationkey, batch, 's_nationkey', sum(len(s_nationkey::VARCHAR)), count(*) FROM r GROUP BY 1, 2), p AS (SELECT *, greatest(1, least(2, ceil(sum(n) OVER w / 3.5 / 10))) AS parts, row_number() OVER (PARTITION BY s_nationkey, batch ORDER BY n DESC, c) - 1 AS i FROM v WINDOW w AS (PARTITION BY s_nationkey, batch))
+SELECT s_nationkey AS "group", batch::INT AS batch, CAST(i % parts AS INT) AS part, max(k)::BIGINT AS rows, string_agg(c, ',' ORDER BY c) AS columns, floor(sum(n) / 3.5)::BIGINT AS tokens FROM p GROUP BY 1, 2, 3""")
+def budgeted_chunks(t):
+    s = t("supplier").withColumn("group", F.col("s_nationkey"))
+    found = chunking.budgeted_chunks(s, "group", "s_suppkey", ["s_name", "s_nationkey"], 3, 10)
+    return found.withColumn("columns", F.array_join("columns", ","))
+
+
 # pages -------------------------------------------------------------------------------------------------------------
 
 
