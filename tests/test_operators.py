@@ -228,3 +228,23 @@ def test_streamed_windows_equal_batch_windows(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(map(tuple, spark.table("w").collect())) == sorted(map(tuple, ev.windowed(rows, "ts", "kind", "value", "1 hour").collect()))
+
+
+def test_described_tables(spark):
+    got = {(r.block, r.name): r for r in tables.described_tables(cells(spark)).collect()}
+    first = {n: r for (b, n), r in got.items() if b == 1}
+    assert set(first) == {"No.", "Metric", "2020", "2021", "2022"} and {r.range for r in first.values()} == {"A3:E6"}
+    assert first["2020"]["class"] == "year" and first["Metric"]["class"] == "categorical" and (first["2020"].low, first["2020"].high) == (2.0, 10.0)
+
+
+def test_dates_need_most_values_to_look_like_dates(spark):
+    day = spark.createDataFrame([("2020-01-31",), ("31/12/2020",), ("x",), (None,)], "d string")
+    assert sorted(str(r.d) for r in profile.dates(day.where("d is null or d <> 'x'"), "d").collect()) == ["2020-01-31", "2020-12-31", "None"]
+    assert profile.dates(spark.createDataFrame([("2020-01",)] * 3, "d string"), "d").schema["d"].dataType.simpleString() == "string"
+
+
+def test_clusters_keep_the_longest_name(spark):
+    names = spark.createDataFrame([("Acme Energy", "org"), ("Acme Energy Co", "org"), ("Zeta", "org"), ("Acme Energy", "place")], "n string, t string")
+    pairs = graph.similar_names(names, "n", "t")
+    got = {(r.type, r.name): r.canonical for r in graph.name_clusters(names, pairs, "n", "t").collect()}
+    assert got == {("org", "Acme Energy"): "Acme Energy Co", ("org", "Acme Energy Co"): "Acme Energy Co", ("org", "Zeta"): "Zeta", ("place", "Acme Energy"): "Acme Energy"}
