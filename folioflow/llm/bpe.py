@@ -14,7 +14,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 from heapq import heappop, heappush
 from itertools import chain
 
@@ -22,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from folioflow.llm.common import WordCache, text_groups
+from folioflow.llm.common import WordCache, held, text_groups
 
 CODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -154,10 +153,9 @@ class TextCoder(WordCache):
         return self.bpe.decode(ids)
 
 
-@lru_cache(maxsize=4)
 def text_coder(path: str, pattern: str) -> TextCoder:
     """One per Python worker and file."""
-    return TextCoder(path, pattern)
+    return held("tokens", f"{path} {pattern}", lambda: TextCoder(path, pattern))
 
 
 def _code(path: str, pattern: str):

@@ -38,6 +38,16 @@ def with_row(ddl: str, docs: DataFrame, carry: bool) -> T.StructType:
     return schema.add("row", T.StructType(docs.schema.fields)) if carry else schema
 
 
+def text_of(batch: pa.RecordBatch) -> pa.Array:
+    """The texts of a batch: its column text, or with carried() documents that field of row."""
+    return batch.column("text") if "text" in batch.schema.names else batch.column("row").field("text")
+
+
+def given(docs: DataFrame, carry: bool, *more: Column | str) -> DataFrame:
+    """What a scoring function reads: doc_id, more, and text or, to carry the document along, row."""
+    return docs.select("doc_id", *more, carried(docs) if carry else "text")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a new temporary one only where that is unset (tests on one machine)."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -83,6 +93,23 @@ def text_groups(texts: pa.ChunkedArray | pa.Array, limit: int = CHARS_AT_ONCE) -
         yield start, group
 
 
+_HELD: dict[str, dict] = {}
+
+
+def held(group: str, key: str, make):
+    """What a Python worker keeps between tasks, made once for each key. Workers outlive a job, so what belongs to another
+    group of operators is let go first."""
+    if group not in _HELD:
+        _HELD.clear()
+        _HELD[group] = {}
+    kept = _HELD[group]
+    if key not in kept:
+        if len(kept) > 1:
+            kept.clear()
+        kept[key] = make()
+    return kept[key]
+
+
 class WordCache(dict):
     """word -> value in two generations: when the young one is full it becomes the old one, so memory is bounded.
 

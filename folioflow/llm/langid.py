@@ -20,7 +20,6 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import LONG_WORD, WordCache, carried, held_out, text_groups, with_row
+from folioflow.llm.common import LONG_WORD, WordCache, given, held, held_out, text_groups, text_of, with_row
 
 ORDER, SAMPLE_ROWS, SAMPLE_CHARS = 4, 1500, 20_000
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -165,31 +164,25 @@ class WordCosts(WordCache):
         return sums[ends] - sums[starts], some[ends] > some[starts]
 
 
-@lru_cache(maxsize=1)
-def _costs(token: str) -> list:
-    return []
-
-
 def _predict(trees: ContextTrees, token: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = _costs(token)  # one cache per Python worker and model
-        if trees.langs and not kept:
-            kept.append(WordCosts(trees))
+        kept = held(f"languages {token}", token, lambda: WordCosts(trees)) if trees.langs else None
         for batch in batches:
             langs, scores = [], []
-            for _, texts in text_groups(batch.column(2)):
-                if not kept:
+            for _, texts in text_groups(text_of(batch)):
+                if kept is None:
                     langs += [UNKNOWN] * len(texts)
                     scores += [0.0] * len(texts)
                     continue
-                bits, some = kept[0].of(texts)
+                bits, some = kept.of(texts)
                 best = bits.argmin(axis=1)
                 share = 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1)
                 langs += [trees.langs[b] if s else UNKNOWN for b, s in zip(best.tolist(), some.tolist(), strict=True)]
                 scores += np.where(some, share, 0.0).tolist()
+            row = {"row": batch.column("row")} if "row" in batch.schema.names else {}
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *batch.columns[3:]],
-                ["doc_id", "held_out", "lang_pred", "score", *batch.schema.names[3:]],
+                [batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *row.values()],
+                ["doc_id", "held_out", "lang_pred", "score", *row],
             )
 
     return run
@@ -219,5 +212,4 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = S
 
 def identify(docs: DataFrame, trees: ContextTrees, carry: bool = False) -> DataFrame:
     """Per document: doc_id, held_out, lang_pred, score; with carry also row, the document. One pass, no shuffle."""
-    given = docs.select("doc_id", held_out().alias("held_out"), "text", *([carried(docs)] if carry else []))
-    return given.mapInArrow(_predict(trees, uuid.uuid4().hex), with_row(PREDICTED, docs, carry))
+    return given(docs, carry, held_out().alias("held_out")).mapInArrow(_predict(trees, uuid.uuid4().hex), with_row(PREDICTED, docs, carry))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import WordCache, carried, text_groups, with_row, written
+from folioflow.llm.common import WordCache, given, held, text_groups, text_of, with_row, written
 from folioflow.llm.components import components, forest
 
 BANDS, BAND_ROWS, SKETCH_BITS = 48, 6, 1024
@@ -49,9 +49,8 @@ class WordHashes(WordCache):
         return xxhash.xxh3_64_intdigest(word)
 
 
-@lru_cache(maxsize=1)
 def _word_hashes() -> WordHashes:
-    return WordHashes()
+    return held("minhash", "words", WordHashes)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -121,7 +120,7 @@ def _sign(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, digests, bands, sketches = [], [], [], []
-            for _, texts in text_groups(batch.column(1)):
+            for _, texts in text_groups(text_of(batch)):
                 _word_hashes().rotate()
                 for text in texts:
                     keys = shingles(text, width)
@@ -135,8 +134,9 @@ def _sign(width: int):
                         digests.append(None)
                         bands.append(None)
                         sketches.append(None)
+            row = {"row": batch.column("row")} if "row" in batch.schema.names else {}
             kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip((sizes, digests, bands, sketches), kinds, strict=True)), *batch.columns[2:]], ["doc_id", "n_shingles", "digest", "bands", "sketch", *batch.schema.names[2:]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip((sizes, digests, bands, sketches), kinds, strict=True)), *row.values()], ["doc_id", "n_shingles", "digest", "bands", "sketch", *row])
 
     return run
 
@@ -206,8 +206,7 @@ def _between(percent: int, limit: int):
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, carry: bool = False) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept; with carry also digest (of its set) and row, the document.
     Linked: 100 * intersection >= percent * union of the sets."""
-    given = docs.select("doc_id", "text", *([carried(docs)] if carry else []))
-    signed = written(given.mapInArrow(_sign(width), with_row(SIGNED, docs, carry)), "signed")
+    signed = written(given(docs, carry).mapInArrow(_sign(width), with_row(SIGNED, docs, carry)), "signed")
     full = signed.where("doc_id is not null and digest is not null")
     classes = written(full.groupBy("digest").agg(F.min("doc_id").alias("id")), "classes")
     firsts = full.select(F.col("doc_id").alias("id"), "digest", "bands", "sketch").join(classes, ["id", "digest"], "left_semi")

@@ -11,9 +11,8 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from functools import lru_cache
 
-from folioflow.llm.common import LONG_WORD
+from folioflow.llm.common import LONG_WORD, held
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -88,10 +87,9 @@ class WordTokens:
         return out
 
 
-@lru_cache(maxsize=4)
 def word_tokens(path: str) -> WordTokens:
     """One per Python worker and file."""
-    return WordTokens(path)
+    return held("tokens", path, lambda: WordTokens(path))
 
 
 def default_word_file() -> str:

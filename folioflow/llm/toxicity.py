@@ -22,7 +22,6 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 from heapq import heappush, heapreplace
 from itertools import chain
 
@@ -31,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import WordCache, carried, held_out, text_groups, with_row
+from folioflow.llm.common import WordCache, given, held, held_out, text_groups, text_of, with_row
 
 SAMPLE_ROWS, MAX_TERMS, LEAST_CHI2, NEIGHBOURS, BLOCK, THRESHOLD = 3000, 1500, 40.0, 15, 64, 0.7
 #: Weight of the base rate in a vote, as that of one example with similarity 1: faint likenesses alone decide nothing.
@@ -251,29 +250,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, max_
     return Model(number, idf, model.index, weights, steps, values, without, rate, neighbours)
 
 
-@lru_cache(maxsize=1)
-def _known_terms(token: str) -> list:
-    return []
-
-
 def _score(model: Model, token: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = _known_terms(token)  # one cache per Python worker and model
-        if not kept:
-            kept.append(TermNumbers(model.number))
-        known = kept[0]
+        known = held(f"toxicity {token}", token, lambda: TermNumbers(model.number))
         for batch in batches:
             scores, evidence = [], []
-            for _, texts in text_groups(batch.column(2)):
+            for _, texts in text_groups(text_of(batch)):
                 known.rotate()
                 for text in texts:
                     score, near = model.score(known.counts(text))
                     scores.append(score)
                     evidence.append([{"doc_id": e.doc_id, "similarity": s, "toxic": e.toxic} for s, e in near[:3]])
+            row = {"row": batch.column("row")} if "row" in batch.schema.names else {}
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32()), pa.array(evidence, kind), *batch.columns[3:]],
-                ["doc_id", "held_out", "score", "predicted", "evidence", *batch.schema.names[3:]],
+                [batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32()), pa.array(evidence, kind), *row.values()],
+                ["doc_id", "held_out", "score", "predicted", "evidence", *row],
             )
 
     return run
@@ -282,5 +274,4 @@ def _score(model: Model, token: str):
 def score(docs: DataFrame, model: Model, carry: bool = False) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted, evidence (up to three nearest examples); with carry also row, the
     document. One pass, no shuffle."""
-    given = docs.select("doc_id", held_out().alias("held_out"), "text", *([carried(docs)] if carry else []))
-    return given.mapInArrow(_score(model, uuid.uuid4().hex), with_row(SCORED, docs, carry))
+    return given(docs, carry, held_out().alias("held_out")).mapInArrow(_score(model, uuid.uuid4().hex), with_row(SCORED, docs, carry))
