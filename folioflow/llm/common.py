@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,6 +69,23 @@ def written(df: DataFrame, what: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def renamed_once(spark: SparkSession, source: str, target: str) -> bool:
+    """Renames a folder unless the target is there; of several writers one gets it. False: it was there."""
+    jvm = spark._jvm
+    kinds = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(kinds, 1)
+    how[0] = kinds.NONE
+    path = jvm.org.apache.hadoop.fs.Path(target)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), spark._jsc.hadoopConfiguration())
+    try:
+        context.rename(jvm.org.apache.hadoop.fs.Path(source), path, how)
+    except Py4JJavaError as error:
+        if error.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
+            raise
+        return False
+    return True
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes the files of a table made by written(), once nothing reads it any more."""
     spark = df.sparkSession

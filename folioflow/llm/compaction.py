@@ -22,6 +22,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow.llm.common import renamed_once
+
 #: Shards of a tier that make a merge due, size that merging aims at, and runs that one job merges.
 FANOUT, TARGET_BYTES, RUNS_AT_ONCE = 4, 64 << 20, 256
 MANIFEST = "shard string, arrival string, tier int, bytes long, rows long"
@@ -69,7 +71,7 @@ class ShardedTable:
         waiting, done = f"manifests/_{uuid.uuid4().hex}", f"manifests/v{base + 1}"
         rows = [(s.shard, s.arrival, s.tier, s.bytes, s.rows) for s in shards]
         self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.parquet(f"{self.folder}/{waiting}")
-        if self.fs.exists(self._path(done)) or not self.fs.rename(self._path(waiting), self._path(done)):
+        if not renamed_once(self.spark, f"{self.folder}/{waiting}", f"{self.folder}/{done}"):
             self.fs.delete(self._path(waiting), True)
             raise RuntimeError(f"version {base + 1} was committed by another writer")
         return base + 1

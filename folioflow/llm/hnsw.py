@@ -52,6 +52,18 @@ class Layers:
             self._insert(batch, level[batch], beam)
             done += len(batch)
 
+    def dump(self) -> tuple[int, list[int], bytes]:
+        """(entry, neighbours by layer, all links): what load() needs besides the vectors."""
+        return self.entry, [layer.shape[1] for layer in self.links], b"".join(layer.tobytes() for layer in self.links)
+
+    @classmethod
+    def load(cls, unit: np.ndarray, entry: int, widths: list[int], data: bytes) -> Layers:
+        self = cls.__new__(cls)
+        self.unit, self.entry, self.m = unit, entry, widths[-1]
+        flat, ends = np.frombuffer(data, np.int32), np.cumsum(widths) * len(unit)
+        self.links = [flat[end - width * len(unit) : end].reshape(len(unit), width) for width, end in zip(widths, ends.tolist(), strict=True)]
+        return self
+
     def _insert(self, batch: np.ndarray, level: np.ndarray, beam: int) -> None:
         start = np.full(len(batch), self.entry, np.int64)
         for layer in range(len(self.links) - 1, -1, -1):
@@ -222,17 +234,34 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def _unit(raw: np.ndarray) -> np.ndarray:
+    return (raw / np.sqrt((raw * raw).sum(axis=1, keepdims=True))).astype(np.float32)
+
+
+GRAPHS = "label string, size int, shard int, n int, ids binary, weights binary, vectors binary, entry int, widths array<int>, links binary"
+
+
+def _build(table: pa.Table) -> pa.Table:
+    """The graph of a shard as one row. Rows are put in order of id, so that a task that runs again builds the same."""
+    table = table.sort_by("id")
+    raw = _matrix(table["embedding"])
+    entry, widths, links = Layers(_unit(raw)).dump()
+    ids, weights = (table[c].to_numpy().astype(np.int64).tobytes() for c in ("id", "weight"))
+    kinds = {str: pa.string(), int: pa.int32(), bytes: pa.binary(), list: pa.list_(pa.int32())}
+    row = {c: [table[c][0].as_py()] for c in ("label", "size", "shard", "n")} | {"ids": [ids], "weights": [weights], "vectors": [raw.astype(np.float32).tobytes()], "entry": [entry], "widths": [widths], "links": [links]}
+    return pa.table({k: pa.array(v, kinds.get(type(v[0]))) for k, v in row.items()})
+
+
 def _search(threshold: float):
-    def run(shard: pa.Table, block: pa.Table) -> pa.Table:
+    def run(graphs: pa.Table, block: pa.Table) -> pa.Table:
         kinds = {"id": pa.int64(), "links": pa.int64(), "to": pa.int64()}
-        if not len(shard) or not len(block):
+        if not len(graphs) or not len(block):
             return pa.table({k: pa.array([], t) for k, t in kinds.items()})
-        # in order of id, so that a task that runs again builds the same graph
-        shard, block = shard.sort_by("id"), block.sort_by("id")
-        raw, queries = _matrix(shard["embedding"]), _matrix(block["embedding"])
-        ids, own, weight = shard["id"].to_numpy(), block["id"].to_numpy(), shard["weight"].to_numpy()
-        graph = Layers((raw / np.sqrt((raw * raw).sum(axis=1, keepdims=True))).astype(np.float32))
-        i, j = linked(graph, raw, queries, threshold)
+        g, block = graphs.slice(0, 1).to_pylist()[0], block.sort_by("id")
+        ids, weight = np.frombuffer(g["ids"], np.int64), np.frombuffer(g["weights"], np.int64)
+        raw = np.frombuffer(g["vectors"], np.float32).reshape(len(ids), -1).astype(np.float64)
+        queries, own = _matrix(block["embedding"]), block["id"].to_numpy()
+        i, j = linked(Layers.load(_unit(raw), g["entry"], g["widths"], g["links"]), raw, queries, threshold)
         other = own[i] != ids[j]
         i, j = i[other], j[other]
         links = np.bincount(i, weight[j], len(own)).astype(np.int64)
@@ -250,7 +279,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, shard_rows: int =
     """Per vector: vec_id, n_links, component_id, kept. vectors: vec_id, embedding, label."""
     value = F.col("embedding").cast("array<double>")
     sound = F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(value, lambda x: x != 0)
-    rows = vectors.select("vec_id", "label", "embedding", F.coalesce(sound & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False)).alias("sound"))
+    rows = vectors.select("vec_id", F.col("label").cast("string").alias("label"), "embedding", F.coalesce(sound & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False)).alias("sound"))
     # -0.0 and 0.0 are the same component
     rows = rows.withColumn("embedding", F.when(F.col("sound"), F.transform("embedding", lambda x: F.when(x == 0, F.lit(0).cast("float")).otherwise(x.cast("float")))))
     keys = ["label", "size", "one", "two"]
@@ -259,11 +288,12 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, shard_rows: int =
     classes = written(sound_rows.groupBy(*keys).agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first("embedding").alias("embedding")), "classes")
     # how many shards and blocks of queries each label and length has; as few rows as there are labels
     sizes = classes.groupBy("label", "size").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("n"))
-    dealt = classes.join(sizes, ["label", "size"]).select("label", "size", "id", "weight", "embedding", "n", F.pmod(F.xxhash64("id"), "n").cast("int").alias("part"))
+    dealt = classes.join(sizes, ["label", "size"]).select("label", "size", "id", "weight", "embedding", "n", F.pmod(F.xxhash64("id"), "n").cast("int").alias("shard"))
+    graphs = written(dealt.groupBy("label", "size", "shard").applyInArrow(_build, GRAPHS), "graphs")
     every = F.sequence(F.lit(0), F.col("n") - 1)
-    shards = dealt.select("label", "size", F.col("part").alias("shard"), F.explode(every).alias("block"), "id", "weight", "embedding")
-    blocks = dealt.select("label", "size", F.explode(every).alias("shard"), F.col("part").alias("block"), "id", "weight", "embedding")
-    blocks = blocks.toDF(*blocks.columns)  # columns of its own, as both come from one table
+    # each graph meets each block of queries of its label; a block holds as many queries as a shard holds vectors
+    shards = graphs.withColumn("block", F.explode(every))
+    blocks = dealt.select("label", "size", F.explode(every).alias("shard"), F.col("shard").alias("block"), "id", "embedding")
     by = ["label", "size", "shard", "block"]
     found = written(shards.groupBy(*by).cogroup(blocks.groupBy(*by)).applyInArrow(_search(threshold), FOUND), "found")
     named = components(found.where("id <> to").select(F.col("id").alias("a"), F.col("to").alias("b")))
