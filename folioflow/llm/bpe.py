@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from folioflow.llm.common import WordCache, held, text_groups
+from folioflow.llm.common import WordCache, batched, held, text_groups
 
 CODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -177,4 +177,4 @@ def _code(path: str, pattern: str):
 
 def code_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Per document: doc_id, n_tokens, sha256 of its ids and of the bytes they decode to. One pass, no shuffle."""
-    return docs.select("doc_id", "text").mapInArrow(_code(path, pattern), CODED)
+    return batched(docs.select("doc_id", "text")).mapInArrow(_code(path, pattern), CODED)

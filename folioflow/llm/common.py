@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 #: Characters of text that a task turns into words at once; longer single texts are taken alone.
 CHARS_AT_ONCE = 1 << 20
+#: Rows that go to Python at once.
+BATCH_ROWS = 1000
 #: Words from this length on are not kept in caches.
 LONG_WORD = 256
 
@@ -44,9 +46,15 @@ def text_of(batch: pa.RecordBatch) -> pa.Array:
     return batch.column("text") if "text" in batch.schema.names else batch.column("row").field("text")
 
 
+def batched(df: DataFrame) -> DataFrame:
+    """df, with Arrow batches of BATCH_ROWS rows from here on: buffers on both sides grow with a batch of whole texts."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def given(docs: DataFrame, carry: bool, *more: Column | str) -> DataFrame:
     """What a scoring function reads: doc_id, more, and text or, to carry the document along, row."""
-    return docs.select("doc_id", *more, carried(docs) if carry else "text")
+    return batched(docs.select("doc_id", *more, carried(docs) if carry else "text"))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -134,7 +142,7 @@ class WordCache(dict):
     Subclasses give compute(word) and may fill many misses at once with fill(words).
     """
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit, self.old = limit, {}
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm.bpe import text_coder
-from folioflow.llm.common import renamed_once, text_groups
+from folioflow.llm.common import batched, renamed_once, text_groups
 from folioflow.llm.tokenize import word_tokens
 
 DELTAS = "source string, lang string, version string, documents long, tokens long"
@@ -59,7 +59,7 @@ def deltas(events: DataFrame, versions: dict[str, Callable[[], Callable[[list[st
     events: source, lang, text, action, old_version (for delete and revise), new_version (for insert and revise).
     versions: by name, a function that makes, once for each task, a counter of the tokens of texts.
     """
-    rows = events.select("source", "lang", "text", "action", "old_version", "new_version").mapInArrow(_count(versions), DELTAS)
+    rows = batched(events.select("source", "lang", "text", "action", "old_version", "new_version")).mapInArrow(_count(versions), DELTAS)
     return rows.groupBy("source", "lang", "version").agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
 
 

@@ -117,7 +117,7 @@ def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, valid:
 class WordCosts(WordCache):
     """word -> row of self.rows, its code lengths; row 0 is for words without letters. New words are costed together."""
 
-    def __init__(self, trees: ContextTrees, limit: int = 400_000):
+    def __init__(self, trees: ContextTrees, limit: int = 300_000):
         super().__init__(limit)
         self.trees = trees
         self.reset()

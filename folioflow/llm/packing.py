@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import text_groups, written
+from folioflow.llm.common import batched, text_groups, written
 from folioflow.llm.tokenize import CHARS, word_tokens
 
 MEMBER = np.dtype([("doc_id", "<i8"), ("null", "?"), ("piece", "<i8"), ("start", "<i8"), ("length", "<i4"), ("crc", "<u4")])
@@ -62,11 +62,11 @@ def packed(fills: list[int], members: list[bytes], capacity: int) -> pa.RecordBa
     )
 
 
-def _pieces(path: str, capacity: int, end_id: int):
+def _pieces(path: str, capacity: int, end_id: int, words_kept: int):
     """Tokenises a partition's documents, cuts the long ones and packs the pieces of NODE_ITEMS at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, end = word_tokens(path), np.array([end_id], "<u4").tobytes()
+        tokens, end = word_tokens(path, words_kept), np.array([end_id], "<u4").tobytes()
         fills: list[int] = []
         members: list[bytes] = []
         for batch in batches:
@@ -120,10 +120,11 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, node_items: int = NODE_ITEMS, nearly_full: float = NEARLY_FULL) -> DataFrame:
-    """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. path: a tokenizers file."""
-    text = docs.select("doc_id", "text")
-    bins = written(text.mapInArrow(_pieces(path, capacity, end_id), BINS), "bins")
+def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, node_items: int = NODE_ITEMS, nearly_full: float = NEARLY_FULL, words_kept: int = 700_000) -> DataFrame:
+    """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. path: a tokenizers file;
+    words_kept: how many words a task keeps the ids of, which takes about 400 bytes each."""
+    text = batched(docs.select("doc_id", "text"))
+    bins = written(text.mapInArrow(_pieces(path, capacity, end_id, words_kept), BINS), "bins")
     least = int(np.ceil(nearly_full * capacity))
     done = []
     while True:

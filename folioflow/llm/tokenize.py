@@ -87,9 +87,9 @@ class WordTokens:
         return out
 
 
-def word_tokens(path: str) -> WordTokens:
+def word_tokens(path: str, words_kept: int = 700_000) -> WordTokens:
     """One per Python worker and file."""
-    return held("tokens", path, lambda: WordTokens(path))
+    return held("tokens", f"{path} {words_kept}", lambda: WordTokens(path, words_kept))
 
 
 def default_word_file() -> str:
