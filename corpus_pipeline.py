@@ -39,7 +39,7 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, default_word_file(), capacity=2048, end_id=0)
+    return packing.pack_documents(docs, default_word_file(), capacity=2048, end_id=0, words_kept=150_000)
 
 
 STAGES = [("language", language), ("toxicity", clean), ("near_duplicates", distinct), ("packing", packed)]
