@@ -17,8 +17,6 @@ row and links with its copies. Empty tables give no rows; other columns are not
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
