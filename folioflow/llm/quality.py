@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from folioflow.llm.common import WordCache, batched, held, text_groups
+from folioflow.llm.common import LONG_WORD, WordCache, batched, held, text_groups
 
 RULED = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
@@ -45,16 +45,24 @@ class Limits:
 
 
 class WordNumbers(WordCache):
-    """word -> a number of its own, as long as it is kept."""
+    """word -> a number of its own, as long as it is kept: long words until the next group of texts."""
 
     def __init__(self):
         super().__init__()
-        self.next = 0
+        self.next, self.long = 0, {}
 
     def compute(self, word: bytes) -> int:
+        if word in self.long:
+            return self.long[word]
         self.next += 1
+        if len(word) >= LONG_WORD:
+            self.long[word] = self.next
         return self.next
 
+    def rotate(self) -> None:
+        super().rotate()
+        self.long = {}
+
 
 def suffix_array(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(suffixes in order, common prefix of each with the one before; the first has 0)."""

@@ -180,6 +180,19 @@ def test_repetition_rules(spark):
     assert quality.repetition_rules(docs_of(spark, [])).count() == 0
 
 
+def test_long_words_repeat(spark):
+    word = "http://" + "u" * 300
+    clean = " ".join(f"w{i}" for i in range(400))
+    passage = " ".join(f"{word}{i} p{i}" for i in range(35))
+    texts = [" ".join([word] * 20), " ".join(f"{word}{i}" for i in range(20)), ("語" * 86 + " ") * 12, f"{clean} {passage} {clean.upper()} {passage}", " ".join([word] * 20)]
+    got = {r.doc_id: r for r in quality.repetition_rules(docs_of(spark, list(enumerate(texts))).coalesce(1)).collect()}
+    for i, t in enumerate(texts):
+        words = t.split()
+        longest, covered = brute_repeats(words, 8)
+        assert tuple(got[i])[1:9] == (*brute_base(t), longest, len(covered)), t
+    assert got[0].n_repeat_words == 20 and not got[0].kept and got[1].kept and got[3].longest_repeat == 70
+
+
 def test_compaction(spark):
     shards = compaction.ShardedTable(spark, new_path(spark, "shards"), target_bytes=20_000, fanout=3)
     rows = [(i, None if i % 7 == 0 else "text " * (i % 50), None if i % 5 == 0 else "en") for i in range(400)] + [(3, "again"), (3, "again")]
