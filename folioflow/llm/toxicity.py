@@ -1,14 +1,15 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, found through a block-max inverted index.
 
-Terms are lower-case words and word beginnings of 3 to 6 letters. Those that go with the label are chosen by chi-squared
-on a bounded sample of labelled rows (SAMPLE_ROWS of each class, smallest hashes of doc_id); their inverse document
-frequencies are counted over all documents. The sampled examples that hold a chosen term are indexed: postings by term in
-blocks of examples, with each term's largest weight in each block. A query adds the block maxima of its terms to an upper
-bound for each block, scores whole blocks in descending order of it, and stops when no block can reach the k-th best
-similarity, so the neighbours are exact.
+Terms are lower-case words and word beginnings of 3 to 6 letters, all of those in a bounded sample of labelled rows
+(SAMPLE_ROWS of each class, smallest hashes of doc_id). A term weighs its inverse document frequency, counted over all
+documents, times the log of how much more often one class of the sample has it than the other. The sampled examples are
+indexed. Postings of rare terms stand by term and are added up for all examples; those of terms in COMMON of the examples
+or more stand in blocks of examples, with each term's largest weight in each block. A query adds these block maxima to the
+largest sum of its rare terms in a block, an upper bound for the block, scores whole blocks in descending order of it, and
+stops when no block can reach the k-th best similarity, so the neighbours are exact.
 
 Neighbours vote with their similarity, weighted so that classes count as they occur. Leave-one-out votes of the examples
-give an isotonic calibration from vote to probability. Texts without any chosen term get the rate of such examples.
+give an isotonic calibration from vote to probability. Texts without any term of the sample get the rate of such examples.
 
 Null and empty texts have no terms. Whole texts are scored. Without any label of both classes every score is 0. A null
 doc_id is never held out. Each repeated row gets a row; conflicting labels of one doc_id count as toxic; empty tables
@@ -22,17 +23,21 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from heapq import heappush, heapreplace
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm.common import WordCache, given, held, held_out, text_groups, text_of, with_row
 
-SAMPLE_ROWS, MAX_TERMS, LEAST_CHI2, NEIGHBOURS, BLOCK, THRESHOLD = 3000, 1500, 40.0, 15, 64, 0.7
+SAMPLE_ROWS, NEIGHBOURS, BLOCK, THRESHOLD = 3000, 15, 64, 0.7
+#: Share of the examples from which on a term's postings are kept in blocks.
+COMMON = 0.2
+#: Terms that both classes have equally often count a little too.
+LEAST_ASSOCIATION = 0.001
 #: Weight of the base rate in a vote, as that of one example with similarity 1: faint likenesses alone decide nothing.
 PRIOR = 1.0
 SCORED = "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<doc_id:long,similarity:double,toxic:int>>"
@@ -50,10 +55,10 @@ def terms_of(stretch: str) -> tuple[str, ...]:
 
 
 class TermNumbers(WordCache):
-    """Text without white space -> numbers of the chosen terms in it."""
+    """Text without white space -> numbers of the sample's terms in it."""
 
     def __init__(self, number: dict[str, int]):
-        super().__init__(200_000)
+        super().__init__(50_000)
         self.number = number
 
     def compute(self, word: str) -> tuple[int, ...]:
@@ -77,40 +82,58 @@ class BlockMaxIndex:
     def __init__(self, examples: list[Example], n_terms: int, block: int = BLOCK):
         # examples that share their weightiest term stand together, so that block maxima differ
         self.examples = sorted(examples, key=lambda e: (int(e.terms[e.weights.argmax()]), e.doc_id))
-        n_blocks = -(-len(examples) // block)
-        self.maxima = np.zeros((n_terms, n_blocks))
-        gathered: list[dict[int, tuple[list[int], list[float]]]] = [{} for _ in range(n_blocks)]
+        self.block, self.n_blocks = block, -(-len(examples) // block)
+        self.ids = np.array([e.doc_id for e in self.examples], np.int64)
+        times = np.zeros(n_terms, np.int64)
+        for e in self.examples:
+            times[e.terms] += 1
+        common = np.flatnonzero(times >= max(2, COMMON * len(examples)))
+        self.row = np.full(n_terms, -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        self.common = np.zeros((self.n_blocks, len(common), block))
+        self.first = np.concatenate([[0], np.cumsum(np.where(self.row < 0, times, 0))])
+        self.at, self.weights = np.zeros(self.first[-1], np.int32), np.zeros(self.first[-1])
+        ends = self.first[:-1].copy()
         for i, e in enumerate(self.examples):
-            b = i // block
-            for t, w in zip(e.terms.tolist(), e.weights.tolist(), strict=True):
-                self.maxima[t, b] = max(self.maxima[t, b], w)
-                at, of = gathered[b].setdefault(t, ([], []))
-                at.append(i - b * block)
-                of.append(w)
-        self.blocks = [{t: (np.array(at), np.array(of)) for t, (at, of) in g.items()} for g in gathered]
-        self.block = block
+            rows = self.row[e.terms]
+            rare = e.terms[rows < 0]
+            self.at[ends[rare]], self.weights[ends[rare]] = i, e.weights[rows < 0]
+            ends[rare] += 1
+            self.common[i // block, rows[rows >= 0], i % block] = e.weights[rows >= 0]
+        self.maxima = self.common.max(axis=2).T.copy()
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int | None = None) -> list[tuple[float, Example]]:
         """The k most similar examples, ties to the smaller doc_id; only those that share a term."""
-        bounds = weights @ self.maxima[terms]
-        best: list[tuple[float, int, int]] = []  # a heap: similarity, -doc_id, position
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or len(best) == k and bounds[b] < best[0][0] - 1e-12:
-                break
-            scores = np.zeros(self.block)
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                if posting := self.blocks[b].get(t):
-                    scores[posting[0]] += w * posting[1]
-            for i in np.flatnonzero(scores > (best[0][0] - 1e-12 if len(best) == k else 0)).tolist():
-                at = b * self.block + i
-                entry = (round(float(scores[i]), 12), -self.examples[at].doc_id, at)
-                if self.examples[at].doc_id == without:
-                    continue
-                if len(best) < k:
-                    heappush(best, entry)
-                elif entry > best[0]:
-                    heapreplace(best, entry)
-        return [(s, self.examples[at]) for s, _, at in sorted(best, reverse=True)]
+        rows = self.row[terms]
+        rare = rows < 0
+        first, end = self.first[terms[rare]], self.first[terms[rare] + 1]
+        spans = [slice(a, b) for a, b in zip(first.tolist(), end.tolist(), strict=True)]
+        scores = np.zeros(self.n_blocks * self.block)
+        if spans:
+            products = np.concatenate([self.weights[x] for x in spans]) * np.repeat(weights[rare], end - first)
+            scores = np.bincount(np.concatenate([self.at[x] for x in spans]), products, len(scores))
+        scores = scores.reshape(self.n_blocks, self.block)
+        query = np.zeros(self.maxima.shape[0])
+        query[rows[~rare]] = weights[~rare]
+        bounds = scores.max(axis=1) + query @ self.maxima
+        order = np.argsort(-bounds, kind="stable").tolist()
+        found_at, found = np.zeros(0, np.int64), np.zeros(0)
+        floor, done = 0.0, 0
+        while done < len(order) and bounds[order[done]] > 0 and bounds[order[done]] >= floor - 1e-12:
+            blocks = [b for b in order[done : done + 8] if bounds[b] >= floor - 1e-12]
+            done += 8
+            sums = np.concatenate([scores[b] + query @ self.common[b] for b in blocks])
+            at = np.concatenate([np.arange(b * self.block, (b + 1) * self.block) for b in blocks])
+            good = np.flatnonzero((sums > 0) & (sums >= floor - 1e-12))
+            if without is not None:
+                good = good[self.ids[at[good]] != without]
+            found_at, found = np.concatenate([found_at, at[good]]), np.concatenate([found, sums[good]])
+            if len(found) >= k:
+                floor = float(np.partition(found, len(found) - k)[len(found) - k])
+                good = found >= floor - 1e-12
+                found_at, found = found_at[good], found[good]
+        best = sorted(((round(s, 12), -int(self.ids[i]), i) for s, i in zip(found.tolist(), found_at.tolist(), strict=True)), reverse=True)
+        return [(s, self.examples[i]) for s, _, i in best[:k]]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +157,7 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 @dataclass(frozen=True)
 class Model:
     number: dict[str, int]
-    idf: np.ndarray
+    term_weights: np.ndarray
     index: BlockMaxIndex | None
     class_weights: tuple[float, float]
     steps: np.ndarray
@@ -144,7 +167,7 @@ class Model:
     neighbours: int
 
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        return unit_vector(counts, self.idf)
+        return unit_vector(counts, self.term_weights)
 
     def vote(self, near: list[tuple[float, Example]]) -> float:
         weighed = [(s * self.class_weights[e.toxic], e.toxic) for s, e in near]
@@ -159,9 +182,11 @@ class Model:
         return float(self.values[max(0, np.searchsorted(self.steps, self.vote(near), "right") - 1)]), near
 
 
-def unit_vector(counts: Counter, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    terms = np.array(sorted(counts))
-    weights = (1 + np.log([counts[t] for t in terms.tolist()])) * idf[terms]
+def unit_vector(counts: Counter, term_weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    terms = np.fromiter(counts.keys(), np.int32, len(counts))
+    order = np.argsort(terms)
+    terms = terms[order]
+    weights = (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts))[order])) * term_weights[terms]
     return terms, weights / np.sqrt((weights**2).sum())
 
 
@@ -181,7 +206,7 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _count_documents(number: dict[str, int]):
-    """Documents that hold each chosen term; term -1 counts all documents."""
+    """Documents that hold each term; term -1 counts all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = TermNumbers(number), Counter()
@@ -209,7 +234,7 @@ def _example_terms(number: dict[str, int]):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, max_terms: int = MAX_TERMS, least_chi2: float = LEAST_CHI2, neighbours: int = NEIGHBOURS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, neighbours: int = NEIGHBOURS) -> Model:
     """docs: doc_id, text; labels: doc_id, toxic (0 or 1). Learns labels only from rows that are not held out."""
     known = labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     totals = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
@@ -225,33 +250,43 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, max_
         return nothing
     n0, n1, rate = sizes[0], sizes[1], totals[1] / (totals[0] + totals[1])
     by_term = rows.select("toxic", "text").mapInArrow(_count_terms, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").cast("double").alias("a"), F.sum("toxic").cast("double").alias("b"))
-    a, b = F.col("a"), F.col("b")
-    chi2 = F.pow(b * (n0 - a) - a * (n1 - b), 2) * (n0 + n1) / ((a + b) * (n0 + n1 - a - b + 0.5) * n0 * n1)
-    chosen = by_term.select("term", chi2.alias("chi2")).where(F.col("chi2") >= least_chi2).orderBy(F.desc("chi2"), "term").limit(max_terms).collect()
-    number = {r.term: i for i, r in enumerate(chosen)}
-    spread = {r.term: r.n for r in docs.select("text").mapInArrow(_count_documents(number), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    idf = np.log((1 + spread.get(-1, 0)) / (1 + np.array([spread.get(i, 0) for i in range(len(number))]))) + 1
-    found = rows.mapInArrow(_example_terms(number), "doc_id long, toxic int, terms array<int>, counts array<int>").orderBy("doc_id", "toxic").collect()
+    terms = by_term.toArrow().sort_by("term")
+    number = {t: i for i, t in enumerate(terms["term"].to_pylist())}
+    a, b = terms["a"].to_numpy(), terms["b"].to_numpy()
+    association = np.maximum(np.abs(np.log((b + 0.5) / (n1 + 1) * (n0 + 1) / (a + 0.5))), LEAST_ASSOCIATION)
+    spread = docs.select("text").mapInArrow(_count_documents(number), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    times = np.zeros(len(number) + 1)  # the last one counts all documents
+    times[spread["term"].to_numpy()] = spread["n"].to_numpy()
+    term_weights = (np.log((1 + times[-1]) / (1 + times[:-1])) + 1) * association
+    found = rows.mapInArrow(_example_terms(number), "doc_id long, toxic int, terms array<int>, counts array<int>").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
     weights = (totals[0] / n0, totals[1] / n1)
-    held = [(r.doc_id, r.toxic, Counter(dict(zip(r.terms, r.counts, strict=True)))) for r in found]
-    bare = [toxic for _, toxic, c in held if not c]
+    examples, bare = [], []
+    for doc_id, toxic, held_terms, counts in zip(*(found[c] for c in ("doc_id", "toxic", "terms", "counts")), strict=True):
+        if len(held_terms):
+            counted = Counter(dict(zip(held_terms.as_py(), counts.as_py(), strict=True)))
+            examples.append(Example(doc_id.as_py(), toxic.as_py(), *unit_vector(counted, term_weights)))
+        else:
+            bare.append(toxic.as_py())
+    del found, terms, spread
     without = sum(weights[1] for t in bare if t) / max(1e-9, sum(weights[t] for t in bare)) if bare else rate
-    examples = [Example(d, t, *unit_vector(c, idf)) for d, t, c in held if c]
     if not examples:
-        return Model(number, idf, None, weights, np.zeros(0), np.zeros(0), without, rate, neighbours)
-    model = Model(number, idf, BlockMaxIndex(examples, len(number)), weights, np.zeros(0), np.zeros(0), without, rate, neighbours)
+        return Model(number, term_weights, None, weights, np.zeros(0), np.zeros(0), without, rate, neighbours)
+    model = Model(number, term_weights, BlockMaxIndex(examples, len(number)), weights, np.zeros(0), np.zeros(0), without, rate, neighbours)
     votes, marks = [], []
     for e in model.index.examples:
         if near := model.index.nearest(e.terms, e.weights, neighbours, without=e.doc_id):
             votes.append(model.vote(near))
             marks.append(e.toxic)
+    nothing = np.zeros(0)
+    model.index.examples = [Example(e.doc_id, e.toxic, nothing, nothing) for e in model.index.examples]  # postings hold the weights
     marks = np.array(marks)
     steps, values = isotonic(np.array(votes), marks, np.where(marks == 1, weights[1], weights[0])) if votes else (np.zeros(1), np.full(1, without))
-    return Model(number, idf, model.index, weights, steps, values, without, rate, neighbours)
+    return Model(number, term_weights, model.index, weights, steps, values, without, rate, neighbours)
 
 
-def _score(model: Model, token: str):
+def _score(sent: Broadcast, token: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
         known = held(f"toxicity {token}", token, lambda: TermNumbers(model.number))
         for batch in batches:
             scores, evidence = [], []
@@ -274,4 +309,4 @@ def _score(model: Model, token: str):
 def score(docs: DataFrame, model: Model, carry: bool = False) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted, evidence (up to three nearest examples); with carry also row, the
     document. One pass, no shuffle."""
-    return given(docs, carry, held_out().alias("held_out")).mapInArrow(_score(model, uuid.uuid4().hex), with_row(SCORED, docs, carry))
+    return given(docs, carry, held_out().alias("held_out")).mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex), with_row(SCORED, docs, carry))

@@ -100,6 +100,18 @@ def test_toxicity(spark):
     assert toxicity.score(docs_of(spark, []), model).count() == 0
 
 
+def test_toxicity_indexes_all_terms(spark):
+    rows, labels = toxic_rows(random.Random(3), 120)
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    docs = docs_of(spark, rows)
+    model = toxicity.fit(docs, known)
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    learned = [text for i, text in rows if not got[i].held_out]
+    assert set(model.number) == {t for text in learned for word in text.split() for t in toxicity.terms_of(word)}
+    scores = [[got[i].score for i, _, toxic in labels if got[i].held_out and toxic == c] for c in (0, 1)]
+    assert np.mean(scores[1]) > np.mean(scores[0]) + 0.5
+
+
 def test_held_out_labels_are_not_learned(spark):
     rows, labels = toxic_rows(random.Random(2), 200)
     docs = docs_of(spark, rows)
