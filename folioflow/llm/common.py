@@ -14,8 +14,6 @@ from pyspark.sql import types as T
 
 #: Characters of text that a task turns into words at once; longer single texts are taken alone.
 CHARS_AT_ONCE = 1 << 20
-#: Rows that go to Python at once.
-BATCH_ROWS = 1000
 #: Words from this length on are not kept in caches.
 LONG_WORD = 256
 
@@ -46,21 +44,22 @@ def text_of(batch: pa.RecordBatch) -> pa.Array:
     return batch.column("text") if "text" in batch.schema.names else batch.column("row").field("text")
 
 
-def batched(df: DataFrame) -> DataFrame:
-    """df, with Arrow batches of BATCH_ROWS rows from here on: buffers on both sides grow with a batch of whole texts."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df
-
-
 def given(docs: DataFrame, carry: bool, *more: Column | str) -> DataFrame:
     """What a scoring function reads: doc_id, more, and text or, to carry the document along, row."""
-    return batched(docs.select("doc_id", *more, carried(docs) if carry else "text"))
+    return docs.select("doc_id", *more, carried(docs) if carry else "text")
+
+
+def first_share(docs: DataFrame, share: float | Column) -> DataFrame:
+    """The rows whose doc_id has a hash in the lowest share (0 to 1) of all hashes: a repeatable sample without a shuffle."""
+    return docs.where(F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5 <= share)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a new temporary one only where that is unset (tests on one machine)."""
+    """The folder in spark.checkpoint.dir; a new temporary one where that is unset and Spark runs on one machine."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not given:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         given = "file://" + tempfile.mkdtemp(prefix="folioflow-")
         spark.sparkContext.setCheckpointDir(given)
     return given.rstrip("/")
@@ -105,6 +104,19 @@ def dropped(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, False)
 
 
+#: Groups with more than this share of all rows are heavy; there are at most 1 / HEAVY of them, so they can be broadcast.
+HEAVY = 1e-4
+
+
+def joined_to_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """rows, each with the other columns of the group that has its keys. size: the column of groups that counts the rows of a
+    group. Heavy groups are broadcast, so no task of the shuffled join of the others gets more than a sliver."""
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    heavy = F.broadcast(groups.where(F.col(size) > max(1000, HEAVY * total)))
+    light = groups.where(F.col(size) <= max(1000, HEAVY * total))
+    return rows.join(heavy, keys).unionByName(rows.join(heavy.select(*keys), keys, "left_anti").join(light, keys))
+
+
 def text_groups(texts: pa.ChunkedArray | pa.Array, limit: int = CHARS_AT_ONCE) -> Iterator[tuple[int, list[str]]]:
     """(position of the first, texts) in groups of about limit characters; null is the empty text."""
     start, group, size = 0, [], 0

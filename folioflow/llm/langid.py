@@ -1,61 +1,65 @@
 """Language identification by prediction by partial matching.
 
-Each language has a variable-order tree of byte contexts: how often each byte followed each context of up to ORDER bytes
-within a word (a word begins and ends with a space). The statistics are frozen after training. The code length of a byte
-is found as in PPM with escape method C: in the longest known context, either the byte's share, or the share of an
-escape and on with the next shorter context, at last 8 bits. Contexts end at the word's start, so the code lengths of a
-word are always the same and are kept for repeated words; a text's code length is the sum over its words, and the
-language of the shortest one is predicted. score is its posterior probability under equal priors.
+Each language has a variable-order tree of byte contexts: how often each byte followed each context of up to ORDER bytes,
+over the UTF-8 bytes of lower-cased texts, across words and with digits and marks. A text begins after ORDER line feeds.
+The statistics are frozen after training. The code length of a byte is found as in PPM with escape method C: in the
+longest known context, either the byte's share, or the share of an escape and on with the next shorter context, at last 8
+bits. A text's code length is the sum over all its bytes; the language of the shortest one is predicted. score is its
+posterior probability under equal priors.
 
-Trained on a bounded sample: the SAMPLE_ROWS labelled texts of each language whose doc_ids have the smallest hashes, but
-for those of more than SAMPLE_CHARS characters. Texts are scored whole.
+With frozen statistics the bits of a byte depend on the ORDER bytes before it only, so for each context and byte that any
+language has seen the bits of all languages stand ready in one row; other bytes fall back order by order.
+
+Trained on a bounded sample: at most SAMPLE_ROWS labelled texts of each language, TOTAL_ROWS in all, those whose doc_ids
+have the smallest hashes. Texts are learned and scored whole, whatever their length.
 
 Null text, or text without letters: `und` with score 0, and so is everything if there is nothing to learn from. A null
-doc_id is never held out. Each repeated row gets a row; empty tables give none; other columns are not read.
+doc_id is never held out and never learned from. Ties go to the first language in order. Each repeated row gets a row;
+empty tables give none; other columns are not read.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections import Counter
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import LONG_WORD, WordCache, given, held, held_out, text_groups, text_of, with_row
+from folioflow.llm.common import first_share, given, held_out, text_groups, text_of, with_row
 
-ORDER, SAMPLE_ROWS, SAMPLE_CHARS = 4, 1500, 20_000
+ORDER, SAMPLE_ROWS, TOTAL_ROWS = 4, 1500, 60_000
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
 UNKNOWN = "und"
+#: Bytes that are costed at once.
+BYTES = 1 << 17
+_LETTER = re.compile(r"[^\W\d_]")
+_BEFORE = b"\n" * ORDER
+_U8 = np.uint64(8)
 
 
-def letters(word: str) -> str:
-    return word.lower() if word.isalpha() else "".join(filter(str.isalpha, word)).lower()
-
-
-def _contexts(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of " word " for each word: (bytes but the first space, how many bytes of the word precede each, the eight before)."""
-    stream = np.frombuffer(b"".join(b" " + w + b" " for w in words), np.uint8)
-    sizes = np.array([len(w) + 2 for w in words])
-    place = np.arange(len(stream)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    before = np.zeros(len(stream), np.uint64)
-    for i in range(min(ORDER, len(stream)), 0, -1):
-        before[i:] = before[i:] << np.uint64(8) | np.where(place[i:] >= i, stream[:-i], 0).astype(np.uint64)
-    real = place > 0
-    return stream[real].astype(np.uint64), place[real], before[real]
+def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(for each byte of the texts in turn, it and the ORDER bytes before it as one number; bytes of each text)."""
+    coded = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
+    sizes = np.array([len(c) for c in coded], np.int64)
+    stream = np.frombuffer(b"".join(_BEFORE + c for c in coded), np.uint8).astype(np.uint64)
+    whole = stream.copy()
+    for i in range(1, ORDER + 1):
+        whole[i:] |= stream[:-i] << np.uint64(8 * i)
+    real = np.arange(int(sizes.sum())) + np.repeat(ORDER * np.arange(1, len(texts) + 1), sizes)
+    return whole[real], sizes
 
 
 @dataclass(frozen=True)
 class ContextTrees:
-    """By order: known contexts with the bits of an escape, contexts and byte with the bits of that byte; a column each
-    language; nan: unknown there."""
+    """By order: known contexts with the bits of an escape, and contexts followed by a byte with the bits of that byte from
+    this order down; a column for each language."""
 
     langs: tuple[str, ...]
     contexts: tuple[np.ndarray, ...]
@@ -64,120 +68,69 @@ class ContextTrees:
     bits: tuple[np.ndarray, ...]
 
     @staticmethod
-    def trained(counts: dict[str, dict[bytes, int]]) -> ContextTrees:
-        """counts: by language, how often each word (bytes) occurs."""
+    def trained(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> ContextTrees:
+        """counts: by language, grams() and how often each occurs."""
         langs = tuple(sorted(counts))
-        data = [(_contexts(list(counts[lang])), np.repeat(list(counts[lang].values()), [len(w) + 1 for w in counts[lang]])) for lang in langs]
-        tables = ([], [], [], [])
+        trees = ContextTrees(langs, (), (), (), ())
         for order in range(ORDER + 1):
-            mask = np.uint64((1 << 8 * order) - 1)
-            keys = [((before & mask) << np.uint64(8) | byte)[place >= order] for (byte, place, before), _ in data]
-            times = [n[place >= order] for (_, place, _), n in data]
+            mask = np.uint64((1 << 8 * (order + 1)) - 1)
+            keys = [counts[lang][0] & mask for lang in langs]
             symbols = np.unique(np.concatenate([np.empty(0, np.uint64), *keys]))
-            contexts, at = np.unique(symbols >> np.uint64(8), return_inverse=True)
-            bits, escapes = np.full((len(symbols), len(langs)), np.nan), np.full((len(contexts), len(langs)), np.nan)
-            for i in range(len(langs)):
-                n = np.bincount(np.searchsorted(symbols, keys[i]), times[i], len(symbols))
+            contexts, at = np.unique(symbols >> _U8, return_inverse=True)
+            escapes = np.zeros((len(contexts), len(langs)))
+            bits = trees.costs(symbols, order - 1)
+            for i, lang in enumerate(langs):
+                n = np.bincount(np.searchsorted(symbols, keys[i]), counts[lang][1], len(symbols))
                 total, kinds = np.bincount(at, n, len(contexts)), np.bincount(at, n > 0, len(contexts))
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    bits[:, i] = np.where(n > 0, np.log2((total + kinds)[at] / n), np.nan)
-                    escapes[:, i] = np.where(total > 0, np.log2((total + kinds) / kinds), np.nan)
-            for to, x in zip(tables, (contexts, escapes, symbols, bits), strict=True):
-                to.append(x)
-        return ContextTrees(langs, *(tuple(t) for t in tables))
-
-    def code_lengths(self, words: list[bytes]) -> np.ndarray:
-        """Bits of each word (a row) in each language (a column)."""
-        byte, place, before = _contexts(words)
-        total = np.zeros((len(byte), len(self.langs)))
-        open_ = np.ones_like(total, bool)
-        for order in range(ORDER, -1, -1):
-            if not len(self.symbols[order]):
-                continue
-            context = before & np.uint64((1 << 8 * order) - 1)
-            deep = place >= order
-            bits = _looked_up(self.symbols[order], self.bits[order], context << np.uint64(8) | byte, deep)
-            escape = _looked_up(self.contexts[order], self.escapes[order], context, deep)
-            found = open_ & ~np.isnan(bits)
-            total[found] += bits[found]
-            open_ &= ~found
-            escaped = open_ & ~np.isnan(escape)
-            total[escaped] += escape[escaped]
-        total[open_] += 8
-        return np.add.reduceat(total, np.cumsum([0] + [len(w) + 1 for w in words[:-1]]), axis=0)
-
-
-def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, valid: np.ndarray) -> np.ndarray:
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    out = values[at]
-    out[(keys[at] != wanted) | ~valid] = np.nan
-    return out
-
-
-class WordCosts(WordCache):
-    """word -> row of self.rows, its code lengths; row 0 is for words without letters. New words are costed together."""
-
-    def __init__(self, trees: ContextTrees, limit: int = 300_000):
-        super().__init__(limit)
-        self.trees = trees
-        self.reset()
-
-    def reset(self) -> None:
-        self.clear()
-        self.rows, self.n, self.waiting, self.long = np.zeros((1024, len(self.trees.langs))), 1, [], []
-
-    def __missing__(self, word: str) -> int:
-        text = letters(word)
-        if not text:
-            row = 0
-        else:
-            row = self.n + len(self.waiting)
-            self.waiting.append(text.encode())
-        self[word] = row
-        if len(word) >= LONG_WORD:
-            self.long.append(word)
-        return row
-
-    def settle(self) -> None:
-        for at in range(0, len(self.waiting), 20_000):
-            found = self.trees.code_lengths(self.waiting[at : at + 20_000])
-            if self.n + len(found) > len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros((max(len(self.rows), len(found)), self.rows.shape[1]))])
-            self.rows[self.n : self.n + len(found)] = found
-            self.n += len(found)
-        self.waiting = []
-
-    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(code lengths, whether there is a letter) of texts."""
-        if len(self) > self.limit:
-            self.reset()
-        words = [t.split() for t in texts]
-        at = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64)
-        self.settle()
-        ends = np.cumsum([len(w) for w in words])
-        sums = np.concatenate([np.zeros((1, self.rows.shape[1])), np.cumsum(self.rows[at], axis=0)])
-        some = np.concatenate([[0], np.cumsum(at > 0)])
-        starts = np.concatenate([[0], ends[:-1]]).astype(int)
-        for word in self.long:
-            self.pop(word, None)
-        self.long = []
-        return sums[ends] - sums[starts], some[ends] > some[starts]
-
-
-def _predict(trees: ContextTrees, token: str):
+                    escapes[:, i] = np.where(total > 0, np.log2((total + kinds) / kinds), 0.0)
+                    bits[:, i] = np.where(n > 0, np.log2((total + kinds)[at] / n), escapes[at, i] + bits[:, i])
+            trees = ContextTrees(langs, (*trees.contexts, contexts), (*trees.escapes, escapes), (*trees.symbols, symbols), (*trees.bits, bits))
+        return trees
+
+    def costs(self, keys: np.ndarray, order: int = ORDER) -> np.ndarray:
+        """Bits of the last byte of each key (a row) in each language (a column), from contexts of that order down."""
+        if order < 0:
+            return np.full((len(keys), len(self.langs)), 8.0)
+        keys = keys & np.uint64((1 << 8 * (order + 1)) - 1)
+        at = np.minimum(np.searchsorted(self.symbols[order], keys), len(self.symbols[order]) - 1)
+        out = self.bits[order][at]
+        new = np.flatnonzero(self.symbols[order][at] != keys)
+        if len(new):
+            context = keys[new] >> _U8
+            at = np.minimum(np.searchsorted(self.contexts[order], context), len(self.contexts[order]) - 1)
+            escape = self.escapes[order][at]
+            escape[self.contexts[order][at] != context] = 0
+            out[new] = escape + self.costs(keys[new], order - 1)
+        return out
+
+    def code_lengths(self, texts: list[str]) -> np.ndarray:
+        """Bits of each text (a row) in each language (a column)."""
+        keys, sizes = grams(texts)
+        which = np.repeat(np.arange(len(texts)), sizes)
+        total = np.zeros((len(texts), len(self.langs)))
+        for at in range(0, len(keys), BYTES):
+            bits, of = self.costs(keys[at : at + BYTES]), which[at : at + BYTES]
+            for i in range(len(self.langs)):
+                total[:, i] += np.bincount(of, bits[:, i], len(texts))
+        return total
+
+
+def _predict(sent: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = held(f"languages {token}", token, lambda: WordCosts(trees)) if trees.langs else None
+        trees = sent.value
         for batch in batches:
             langs, scores = [], []
             for _, texts in text_groups(text_of(batch)):
-                if kept is None:
+                if not trees.langs:
                     langs += [UNKNOWN] * len(texts)
                     scores += [0.0] * len(texts)
                     continue
-                bits, some = kept.of(texts)
+                bits = trees.code_lengths(texts)
                 best = bits.argmin(axis=1)
                 share = 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1)
-                langs += [trees.langs[b] if s else UNKNOWN for b, s in zip(best.tolist(), some.tolist(), strict=True)]
+                some = [_LETTER.search(t) is not None for t in texts]
+                langs += [trees.langs[b] if s else UNKNOWN for b, s in zip(best.tolist(), some, strict=True)]
                 scores += np.where(some, share, 0.0).tolist()
             row = {"row": batch.column("row")} if "row" in batch.schema.names else {}
             yield pa.RecordBatch.from_arrays(
@@ -188,28 +141,37 @@ def _predict(trees: ContextTrees, token: str):
     return run
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            counts.update((lang, x) for w in text.split() if (x := letters(w)))
-    yield pa.RecordBatch.from_pandas(pd.DataFrame([(a, b, n) for (a, b), n in counts.items()], columns=["lang", "word", "n"]).astype({"lang": str, "word": str, "n": "int64"}), preserve_index=False)
-
-
-def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> ContextTrees:
-    """Context trees of the languages in docs (doc_id, text, lang) that are not held out."""
+        langs = batch.column(0).to_pylist()
+        for first, texts in text_groups(batch.column(1)):
+            keys, sizes = grams(texts)
+            which = np.repeat(np.array(langs[first : first + len(texts)]), sizes)
+            for lang in sorted(set(which.tolist())):
+                found, n = np.unique(keys[which == lang], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
+
+
+def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, total_rows: int = TOTAL_ROWS) -> ContextTrees:
+    """Context trees of the languages in docs (doc_id, text, lang) that are not held out. Counts of the sample's contexts
+    pass the driver, bounded by the sample."""
     labelled = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
+    totals = labelled.groupBy("lang").count()
+    each = F.least(F.lit(sample_rows), F.ceil(F.lit(total_rows) / F.count("*").over(W.partitionBy())))  # a row for each language
+    shares = F.broadcast(totals.select("lang", each.alias("_most"), (3 * each / F.col("count")).alias("_share")))
+    # of some three times as many rows as are wanted, those with the smallest hashes; ranked without the texts
+    near = first_share(labelled.select("doc_id", "lang").join(shares, "lang"), F.col("_share"))
     order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # ranked without the texts; the ranks are cut before the shuffle, so a language sends sample_rows from each task at most
-    chosen = labelled.select("doc_id", "lang").withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= sample_rows).select("doc_id", "lang")
-    rows = labelled.select("doc_id", "lang", "text").join(F.broadcast(chosen.distinct()), ["doc_id", "lang"]).where(F.length("text") <= sample_chars)
-    counts = rows.select("lang", "text").mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    by: dict[str, dict[bytes, int]] = {}
-    for row in counts.toLocalIterator():
-        by.setdefault(row.lang, {})[row.word.encode()] = row.n
-    return ContextTrees.trained({lang: dict(sorted(words.items())) for lang, words in by.items()})
+    chosen = near.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= F.col("_most")).select("doc_id", "lang").distinct()
+    rows = labelled.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])
+    counts = rows.select("lang", "text").mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    by = {}
+    for lang in pc.unique(counts["lang"]).to_pylist():
+        own = counts.filter(pc.equal(counts["lang"], lang))
+        by[lang] = (own["gram"].to_numpy().view(np.uint64), own["n"].to_numpy())
+    return ContextTrees.trained(by)
 
 
 def identify(docs: DataFrame, trees: ContextTrees, carry: bool = False) -> DataFrame:
     """Per document: doc_id, held_out, lang_pred, score; with carry also row, the document. One pass, no shuffle."""
-    return given(docs, carry, held_out().alias("held_out")).mapInArrow(_predict(trees, uuid.uuid4().hex), with_row(PREDICTED, docs, carry))
+    return given(docs, carry, held_out().alias("held_out")).mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(trees)), with_row(PREDICTED, docs, carry))

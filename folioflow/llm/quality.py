@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from folioflow.llm.common import LONG_WORD, WordCache, batched, held, text_groups
+from folioflow.llm.common import LONG_WORD, WordCache, held, text_groups
 
 RULED = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
@@ -188,4 +188,4 @@ def _rule(limits: Limits):
 
 def repetition_rules(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
     """Per document: word and symbol counts, repeated lines and windows, longest repeat and covered words, kept. One pass."""
-    return batched(docs.select("doc_id", "text")).mapInArrow(_rule(limits or Limits()), RULED)
+    return docs.select("doc_id", "text").mapInArrow(_rule(limits or Limits()), RULED)

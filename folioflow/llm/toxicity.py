@@ -1,29 +1,28 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, found through a block-max inverted index.
 
-Terms are lower-case words and word beginnings of 3 to 6 letters, all of those in a bounded sample of labelled rows
-(SAMPLE_ROWS of each class, smallest hashes of doc_id). A term weighs its inverse document frequency, counted over all
-documents, times the log of how much more often one class of the sample has it than the other. The sampled examples are
-indexed. Postings of rare terms stand by term and are added up for all examples; those of terms in COMMON of the examples
-or more stand in blocks of examples, with each term's largest weight in each block. A query adds these block maxima to the
-largest sum of its rare terms in a block, an upper bound for the block, scores whole blocks in descending order of it, and
-stops when no block can reach the k-th best similarity, so the neighbours are exact.
+Terms are the lower-case words (runs of letters) of a bounded sample of labelled rows: SAMPLE_ROWS of each class, smallest
+hashes of doc_id. All of them are indexed. A term weighs its inverse document frequency, counted over all documents, times
+the log of how much more often one class of the sample has it than the other, so the cosine is that of TF-IDF vectors in
+which words that tell nothing about the class count little. Postings of rare terms stand by term and are added up for all
+examples; those of terms in COMMON of the examples or more stand in blocks of examples, with each term's largest weight in
+each block. A query adds these block maxima to the largest sum of its rare terms in a block, an upper bound for the block,
+scores whole blocks in descending order of it, and stops when no block can reach the k-th best similarity, so the
+neighbours are exact.
 
 Neighbours vote with their similarity, weighted so that classes count as they occur. Leave-one-out votes of the examples
 give an isotonic calibration from vote to probability. Texts without any term of the sample get the rate of such examples.
 
 Null and empty texts have no terms. Whole texts are scored. Without any label of both classes every score is 0. A null
-doc_id is never held out. Each repeated row gets a row; conflicting labels of one doc_id count as toxic; empty tables
-give no rows; other columns are not read.
+doc_id is never held out. Each repeated row gets a row; conflicting labels of one doc_id count as toxic; examples of one
+class and equal text are one, under the smallest doc_id; empty tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
-import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
-from itertools import chain
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -31,41 +30,27 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import WordCache, given, held, held_out, text_groups, text_of, with_row
+from folioflow.llm.common import first_share, given, held_out, text_groups, text_of, with_row, written
 
 SAMPLE_ROWS, NEIGHBOURS, BLOCK, THRESHOLD = 3000, 15, 64, 0.7
 #: Share of the examples from which on a term's postings are kept in blocks.
-COMMON = 0.2
-#: Terms that both classes have equally often count a little too.
-LEAST_ASSOCIATION = 0.001
+COMMON = 0.1
+#: Documents of each class that a term's log-ratio is smoothed by; terms that both classes have equally often count a little too.
+SMOOTHING, LEAST_ASSOCIATION = 5.0, 0.001
 #: Weight of the base rate in a vote, as that of one example with similarity 1: faint likenesses alone decide nothing.
 PRIOR = 1.0
 SCORED = "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<doc_id:long,similarity:double,toxic:int>>"
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def terms_of(stretch: str) -> tuple[str, ...]:
-    """The terms in text without white space: each word, and its beginnings marked by a hyphen."""
-    found: dict[str, None] = {}
-    for word in _WORD.findall(stretch.lower()):
-        found[word[:64]] = None
-        for n in range(3, min(6, len(word)) + 1):
-            found[word[:n] + "-"] = None
-    return tuple(found)
+def terms_of(text: str | None) -> list[str]:
+    """The terms of a text in order, repeated ones too."""
+    return _WORD.findall((text or "").lower())
 
 
-class TermNumbers(WordCache):
-    """Text without white space -> numbers of the sample's terms in it."""
-
-    def __init__(self, number: dict[str, int]):
-        super().__init__(50_000)
-        self.number = number
-
-    def compute(self, word: str) -> tuple[int, ...]:
-        return tuple(self.number[t] for t in terms_of(word) if t in self.number)
-
-    def counts(self, text: str) -> Counter:
-        return Counter(chain.from_iterable(map(self.__getitem__, text.split())))
+def counted(text: str | None, number: dict[str, int]) -> dict[int, int]:
+    """How often each known term stands in the text, by its number."""
+    return {number[t]: n for t, n in Counter(terms_of(text)).items() if t in number}
 
 
 @dataclass(frozen=True)
@@ -81,11 +66,12 @@ class BlockMaxIndex:
 
     def __init__(self, examples: list[Example], n_terms: int, block: int = BLOCK):
         # examples that share their weightiest term stand together, so that block maxima differ
-        self.examples = sorted(examples, key=lambda e: (int(e.terms[e.weights.argmax()]), e.doc_id))
+        examples = sorted(examples, key=lambda e: (int(e.terms[e.weights.argmax()]), e.doc_id, e.toxic))
         self.block, self.n_blocks = block, -(-len(examples) // block)
-        self.ids = np.array([e.doc_id for e in self.examples], np.int64)
+        self.ids = np.array([e.doc_id for e in examples], np.int64)
+        self.toxic = np.array([e.toxic for e in examples], np.int64)
         times = np.zeros(n_terms, np.int64)
-        for e in self.examples:
+        for e in examples:
             times[e.terms] += 1
         common = np.flatnonzero(times >= max(2, COMMON * len(examples)))
         self.row = np.full(n_terms, -1, np.int32)
@@ -94,7 +80,7 @@ class BlockMaxIndex:
         self.first = np.concatenate([[0], np.cumsum(np.where(self.row < 0, times, 0))])
         self.at, self.weights = np.zeros(self.first[-1], np.int32), np.zeros(self.first[-1])
         ends = self.first[:-1].copy()
-        for i, e in enumerate(self.examples):
+        for i, e in enumerate(examples):
             rows = self.row[e.terms]
             rare = e.terms[rows < 0]
             self.at[ends[rare]], self.weights[ends[rare]] = i, e.weights[rows < 0]
@@ -102,23 +88,26 @@ class BlockMaxIndex:
             self.common[i // block, rows[rows >= 0], i % block] = e.weights[rows >= 0]
         self.maxima = self.common.max(axis=2).T.copy()
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int | None = None) -> list[tuple[float, Example]]:
-        """The k most similar examples, ties to the smaller doc_id; only those that share a term."""
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int | None = None) -> list[tuple[float, int]]:
+        """(similarity, position) of the k most similar examples, ties to the smaller doc_id; only those that share a term.
+        without: a doc_id to leave out."""
         rows = self.row[terms]
         rare = rows < 0
-        first, end = self.first[terms[rare]], self.first[terms[rare] + 1]
-        spans = [slice(a, b) for a, b in zip(first.tolist(), end.tolist(), strict=True)]
-        scores = np.zeros(self.n_blocks * self.block)
-        if spans:
-            products = np.concatenate([self.weights[x] for x in spans]) * np.repeat(weights[rare], end - first)
-            scores = np.bincount(np.concatenate([self.at[x] for x in spans]), products, len(scores))
+        first = self.first[terms[rare]]
+        sizes = self.first[terms[rare] + 1] - first
+        # positions of all postings of the rare terms, one after the other
+        at = np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+        scores = np.bincount(self.at[at], self.weights[at] * np.repeat(weights[rare], sizes), self.n_blocks * self.block)
         scores = scores.reshape(self.n_blocks, self.block)
         query = np.zeros(self.maxima.shape[0])
         query[rows[~rare]] = weights[~rare]
         bounds = scores.max(axis=1) + query @ self.maxima
+        # what the rare terms alone add up to is a lower bound of the k-th best, with room for those left out
+        flat, wanted = scores.ravel(), k + (int(np.count_nonzero(self.ids == without)) if without is not None else 0)
+        floor = max(0.0, float(np.partition(flat, len(flat) - wanted)[len(flat) - wanted])) if len(flat) >= wanted else 0.0
         order = np.argsort(-bounds, kind="stable").tolist()
         found_at, found = np.zeros(0, np.int64), np.zeros(0)
-        floor, done = 0.0, 0
+        done = 0
         while done < len(order) and bounds[order[done]] > 0 and bounds[order[done]] >= floor - 1e-12:
             blocks = [b for b in order[done : done + 8] if bounds[b] >= floor - 1e-12]
             done += 8
@@ -129,11 +118,11 @@ class BlockMaxIndex:
                 good = good[self.ids[at[good]] != without]
             found_at, found = np.concatenate([found_at, at[good]]), np.concatenate([found, sums[good]])
             if len(found) >= k:
-                floor = float(np.partition(found, len(found) - k)[len(found) - k])
+                floor = max(floor, float(np.partition(found, len(found) - k)[len(found) - k]))
                 good = found >= floor - 1e-12
                 found_at, found = found_at[good], found[good]
-        best = sorted(((round(s, 12), -int(self.ids[i]), i) for s, i in zip(found.tolist(), found_at.tolist(), strict=True)), reverse=True)
-        return [(s, self.examples[i]) for s, _, i in best[:k]]
+        best = sorted((-round(s, 12), int(self.ids[i]), i) for s, i in zip(found.tolist(), found_at.tolist(), strict=True))
+        return [(-s, i) for s, _, i in best[:k]]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,23 +155,21 @@ class Model:
     base_rate: float
     neighbours: int
 
-    def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        return unit_vector(counts, self.term_weights)
+    def near(self, text: str | None, without: int | None = None) -> list[tuple[float, int]]:
+        counts = counted(text, self.number) if self.index else {}
+        return self.index.nearest(*unit_vector(counts, self.term_weights), self.neighbours, without) if counts else []
 
-    def vote(self, near: list[tuple[float, Example]]) -> float:
-        weighed = [(s * self.class_weights[e.toxic], e.toxic) for s, e in near]
+    def vote(self, near: list[tuple[float, int]]) -> float:
+        weighed = [(s * self.class_weights[self.index.toxic[i]], self.index.toxic[i]) for s, i in near]
         return (sum(w for w, toxic in weighed if toxic) + PRIOR * self.base_rate) / (sum(w for w, _ in weighed) + PRIOR)
 
-    def score(self, counts: Counter, without: int | None = None) -> tuple[float, list[tuple[float, Example]]]:
-        if not self.index or not counts:
-            return self.without_terms, []
-        near = self.index.nearest(*self.vector(counts), self.neighbours, without)
+    def calibrated(self, near: list[tuple[float, int]]) -> float:
         if not near:
-            return self.without_terms, []
-        return float(self.values[max(0, np.searchsorted(self.steps, self.vote(near), "right") - 1)]), near
+            return self.without_terms
+        return float(self.values[max(0, np.searchsorted(self.steps, self.vote(near), "right") - 1)])
 
 
-def unit_vector(counts: Counter, term_weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def unit_vector(counts: dict[int, int], term_weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     terms = np.fromiter(counts.keys(), np.int32, len(counts))
     order = np.argsort(terms)
     terms = terms[order]
@@ -196,55 +183,72 @@ def _frame(rows: list[tuple], columns: dict[str, pa.DataType]) -> pa.RecordBatch
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of each class by term."""
+    """Examples of each class by term."""
     counts: dict[str, list[int]] = {}
     for batch in batches:
         for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for term in set(chain.from_iterable(map(terms_of, set((text or "").split())))):
+            for term in set(terms_of(text)):
                 counts.setdefault(term, [0, 0])[toxic] += 1
     yield _frame([(t, a, b) for t, (a, b) in counts.items()], {"term": pa.string(), "clean": pa.int64(), "toxic": pa.int64()})
 
 
-def _count_documents(number: dict[str, int]):
+def _count_documents(sent: Broadcast):
     """Documents that hold each term; term -1 counts all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = TermNumbers(number), Counter()
+        number, counts = sent.value, Counter()
         for batch in batches:
             for _, texts in text_groups(batch.column(0)):
-                known.rotate()
                 counts[-1] += len(texts)
                 for text in texts:
-                    counts.update(set(chain.from_iterable(map(known.__getitem__, text.split()))))
+                    counts.update(map(number.__getitem__, number.keys() & set(terms_of(text))))
         yield _frame(list(counts.items()), {"term": pa.int32(), "n": pa.int64()})
 
     return run
 
 
-def _example_terms(number: dict[str, int]):
+def _example_terms(sent: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = TermNumbers(number)
         for batch in batches:
             rows = []
             for doc_id, toxic, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                counts = known.counts(text or "")
+                counts = counted(text, sent.value)
                 rows.append((doc_id, toxic, list(counts), list(counts.values())))
             yield _frame(rows, {"doc_id": pa.int64(), "toxic": pa.int32(), "terms": pa.list_(pa.int32()), "counts": pa.list_(pa.int32())})
 
     return run
 
 
+def _leave_one_out(sent: Broadcast):
+    """The vote of each example's neighbours but itself; none without neighbours."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        for batch in batches:
+            rows = []
+            for doc_id, toxic, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if near := model.near(text, without=doc_id):
+                    rows.append((model.vote(near), toxic))
+            yield _frame(rows, {"vote": pa.float64(), "toxic": pa.int32()})
+
+    return run
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, neighbours: int = NEIGHBOURS) -> Model:
-    """docs: doc_id, text; labels: doc_id, toxic (0 or 1). Learns labels only from rows that are not held out."""
+    """docs: doc_id, text; labels: doc_id, toxic (0 or 1). Learns labels only from rows that are not held out. The sample,
+    its terms and their counts pass the driver: all bounded by sample_rows."""
+    spark = docs.sparkSession
     known = labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     totals = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     nothing = Model({}, np.zeros(0), None, (1.0, 1.0), np.zeros(0), np.zeros(0), 0.0, 0.0, neighbours)
     if len(totals) < 2:
         return nothing
-    picked = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows) for c in (0, 1)]
-    # at most 2 * sample_rows identifiers, so they go to every task and no text is shuffled
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked[0].union(picked[1])), "doc_id").select("doc_id", "toxic", "text")
-    rows = rows.dropDuplicates(["toxic", "text"])  # exact copies would make their rare words look telling
+    # of some three times as many rows as are wanted, those with the smallest hashes
+    picked = [first_share(known.where(F.col("toxic") == c), 3 * sample_rows / totals[c]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows) for c in (0, 1)]
+    # at most 2 * sample_rows identifiers, so they go to every task and no other text is shuffled
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked[0].union(picked[1])), "doc_id")
+    # exact copies would make their rare words look telling
+    rows = written(rows.groupBy("toxic", "text").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic", "text"), "examples")
     sizes = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return nothing
@@ -252,50 +256,41 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, neig
     by_term = rows.select("toxic", "text").mapInArrow(_count_terms, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").cast("double").alias("a"), F.sum("toxic").cast("double").alias("b"))
     terms = by_term.toArrow().sort_by("term")
     number = {t: i for i, t in enumerate(terms["term"].to_pylist())}
-    a, b = terms["a"].to_numpy(), terms["b"].to_numpy()
-    association = np.maximum(np.abs(np.log((b + 0.5) / (n1 + 1) * (n0 + 1) / (a + 0.5))), LEAST_ASSOCIATION)
-    spread = docs.select("text").mapInArrow(_count_documents(number), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    a, b = terms["a"].to_numpy() + SMOOTHING, terms["b"].to_numpy() + SMOOTHING
+    association = np.maximum(np.abs(np.log(b / (n1 + 2 * SMOOTHING) * (n0 + 2 * SMOOTHING) / a)), LEAST_ASSOCIATION)
+    sent = spark.sparkContext.broadcast(number)
+    spread = docs.select("text").mapInArrow(_count_documents(sent), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     times = np.zeros(len(number) + 1)  # the last one counts all documents
     times[spread["term"].to_numpy()] = spread["n"].to_numpy()
     term_weights = (np.log((1 + times[-1]) / (1 + times[:-1])) + 1) * association
-    found = rows.mapInArrow(_example_terms(number), "doc_id long, toxic int, terms array<int>, counts array<int>").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
+    found = rows.mapInArrow(_example_terms(sent), "doc_id long, toxic int, terms array<int>, counts array<int>").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
     weights = (totals[0] / n0, totals[1] / n1)
     examples, bare = [], []
     for doc_id, toxic, held_terms, counts in zip(*(found[c] for c in ("doc_id", "toxic", "terms", "counts")), strict=True):
         if len(held_terms):
-            counted = Counter(dict(zip(held_terms.as_py(), counts.as_py(), strict=True)))
-            examples.append(Example(doc_id.as_py(), toxic.as_py(), *unit_vector(counted, term_weights)))
+            examples.append(Example(doc_id.as_py(), toxic.as_py(), *unit_vector(dict(zip(held_terms.as_py(), counts.as_py(), strict=True)), term_weights)))
         else:
             bare.append(toxic.as_py())
-    del found, terms, spread
     without = sum(weights[1] for t in bare if t) / max(1e-9, sum(weights[t] for t in bare)) if bare else rate
     if not examples:
         return Model(number, term_weights, None, weights, np.zeros(0), np.zeros(0), without, rate, neighbours)
     model = Model(number, term_weights, BlockMaxIndex(examples, len(number)), weights, np.zeros(0), np.zeros(0), without, rate, neighbours)
-    votes, marks = [], []
-    for e in model.index.examples:
-        if near := model.index.nearest(e.terms, e.weights, neighbours, without=e.doc_id):
-            votes.append(model.vote(near))
-            marks.append(e.toxic)
-    nothing = np.zeros(0)
-    model.index.examples = [Example(e.doc_id, e.toxic, nothing, nothing) for e in model.index.examples]  # postings hold the weights
-    marks = np.array(marks)
-    steps, values = isotonic(np.array(votes), marks, np.where(marks == 1, weights[1], weights[0])) if votes else (np.zeros(1), np.full(1, without))
-    return Model(number, term_weights, model.index, weights, steps, values, without, rate, neighbours)
-
-
-def _score(sent: Broadcast, token: str):
+    votes = rows.mapInArrow(_leave_one_out(spark.sparkContext.broadcast(model)), "vote double, toxic int").toArrow().sort_by([("vote", "ascending"), ("toxic", "ascending")])
+    marks = votes["toxic"].to_numpy()
+    steps, values = isotonic(votes["vote"].to_numpy(), marks.astype(float), np.where(marks == 1, weights[1], weights[0])) if len(votes) else (np.zeros(1), np.full(1, without))
+    return replace(model, steps=steps, values=values)
+
+
+def _score(sent: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        known = held(f"toxicity {token}", token, lambda: TermNumbers(model.number))
         for batch in batches:
             scores, evidence = [], []
             for _, texts in text_groups(text_of(batch)):
-                known.rotate()
                 for text in texts:
-                    score, near = model.score(known.counts(text))
-                    scores.append(score)
-                    evidence.append([{"doc_id": e.doc_id, "similarity": s, "toxic": e.toxic} for s, e in near[:3]])
+                    near = model.near(text)
+                    scores.append(model.calibrated(near))
+                    evidence.append([{"doc_id": int(model.index.ids[i]), "similarity": s, "toxic": int(model.index.toxic[i])} for s, i in near[:3]])
             row = {"row": batch.column("row")} if "row" in batch.schema.names else {}
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
@@ -309,4 +304,4 @@ def _score(sent: Broadcast, token: str):
 def score(docs: DataFrame, model: Model, carry: bool = False) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted, evidence (up to three nearest examples); with carry also row, the
     document. One pass, no shuffle."""
-    return given(docs, carry, held_out().alias("held_out")).mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex), with_row(SCORED, docs, carry))
+    return given(docs, carry, held_out().alias("held_out")).mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), with_row(SCORED, docs, carry))
