@@ -5,8 +5,9 @@ the ranks finds the lowest rank that has any by three find-first-set steps. A po
 changed since; it is then skipped. Every merge pushes two positions at most, so a pre-token of n bytes takes O(n log n)
 steps however long it is.
 
-Null text is empty text and encodes to no ids. Texts are encoded whole; the ids of repeated words are kept in a bounded
-cache.
+Null text is empty text and encodes to no ids. Texts are encoded whole; the ids of repeated words are kept in a cache, which
+is emptied between texts when it is full. Null doc_ids stay; each repeated row gets a row; empty tables give none; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -138,12 +139,12 @@ class TextCoder(WordCache):
 
     def encode(self, text: str) -> list[int]:
         """The ids of one text. A single space before other than white space always begins a match, so texts split there."""
+        self.rotate()
         if self.odd.search(text):
             return [i for piece in self.pattern.findall(text) for i in self._of(piece)]
         first, *rest = text.split(" ")
         ids = list(self._of(first))
         ids.extend(chain.from_iterable(map(self.__getitem__, [" " + r for r in rest])))
-        self.rotate()
         return ids
 
     def _of(self, stretch: str) -> tuple[int, ...]:

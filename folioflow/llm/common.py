@@ -73,7 +73,9 @@ def written(df: DataFrame, what: str, *partition_by: str) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage, survives lost executors, is computed once."""
     path = new_path(df.sparkSession, what)
     df.write.partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
 
 
 def renamed_once(spark: SparkSession, source: str, target: str) -> bool:
@@ -93,28 +95,31 @@ def renamed_once(spark: SparkSession, source: str, target: str) -> bool:
     return True
 
 
-def dropped(df: DataFrame) -> None:
-    """Deletes the files of a table made by written(), once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    root = shared_dir(spark).split(":", 1)[-1].lstrip("/")
-    for file in df.inputFiles():
-        path = jvm.org.apache.hadoop.fs.Path(file)
-        if f"{root}/folioflow/" in file:
-            path.getFileSystem(conf).delete(path, False)
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables made by written(), once nothing reads them any more."""
+    for table in tables:
+        removed(table.sparkSession, table.written_to)
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Groups with more than this share of all rows are heavy; there are at most 1 / HEAVY of them, so they can be broadcast.
 HEAVY = 1e-4
 
 
-def joined_to_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
-    """rows, each with the other columns of the group that has its keys. size: the column of groups that counts the rows of a
-    group. Heavy groups are broadcast, so no task of the shuffled join of the others gets more than a sliver."""
-    total = groups.agg(F.sum(size)).first()[0] or 0
-    heavy = F.broadcast(groups.where(F.col(size) > max(1000, HEAVY * total)))
-    light = groups.where(F.col(size) <= max(1000, HEAVY * total))
-    return rows.join(heavy, keys).unionByName(rows.join(heavy.select(*keys), keys, "left_anti").join(light, keys))
+def joined_to_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how: str = "inner") -> DataFrame:
+    """rows, each with the other columns of the group that has its keys; how: inner or left. size: the column of groups that
+    counts the rows of a group. Heavy groups are broadcast, so no task of the shuffled join of the others gets more than a
+    sliver. groups is read up to four times: give a written table."""
+    total, most = groups.agg(F.sum(size), F.max(size)).first()
+    limit = max(1000, HEAVY * (total or 0))
+    if (most or 0) <= limit:
+        return rows.join(groups, keys, how)
+    heavy, light = F.broadcast(groups.where(F.col(size) > limit)), groups.where(F.col(size) <= limit)
+    return rows.join(heavy, keys).unionByName(rows.join(heavy.select(*keys), keys, "left_anti").join(light, keys, how))
 
 
 def text_groups(texts: pa.ChunkedArray | pa.Array, limit: int = CHARS_AT_ONCE) -> Iterator[tuple[int, list[str]]]:

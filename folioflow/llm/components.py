@@ -33,8 +33,7 @@ def components(edges: DataFrame) -> DataFrame:
         fresh = written(_tidy(edges.join(left, "a").join(right, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))), "edges")
         moved = near2.select(F.col("node").alias("component"), "to")
         named = written(nodes.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "nodes")
-        for old in (edges, nodes, near2):
-            dropped(old)
+        dropped(edges, nodes, near2)
         edges, nodes = fresh, named
     dropped(edges)
     return nodes

@@ -4,7 +4,8 @@ A batch is a table of events (doc_id, source, lang, text, action): insert and de
 a document again under a new tokenizer version, which takes back its counts under the old one. Each event becomes signed
 rows (source, lang, version, documents, tokens), which a batch sums up before anything is stored. Totals are the sums of
 all batches. A batch is committed by renaming its finished folder to its identifier, which fails when that is there: a
-batch that comes again, or is retried after a crash, changes nothing. Old batches can be folded into one.
+batch that comes again, or is retried after a crash, changes nothing. fold() sums up the batches so far, so that totals read
+the fold and what came after it; the folders of folded batches stay as the marks of their commits.
 
 Null source and lang are groups of their own; null and empty texts count as documents without tokens. A delete counts the
 text it carries, so it must be the text that was inserted. Other columns are not read. Empty batches are committed and
@@ -90,14 +91,36 @@ class Rollup:
             return False
         return True
 
+    def _folds(self) -> list[int]:
+        return sorted(int(s.getPath().getName()[5:]) for s in self.fs.listStatus(self._path()) if s.getPath().getName().startswith("fold="))
+
+    def _parts(self) -> tuple[list[str], list[str]]:
+        """(batches that are committed, folders whose sums are the totals)."""
+        names, folds = self.committed(), self._folds()
+        if not folds:
+            return names, [f"batch={n}" for n in names]
+        done = {r.batch for r in self.spark.read.schema("batch string").parquet(f"{self.folder}/fold={folds[-1]}/batches").collect()}
+        return names, [f"fold={folds[-1]}/deltas", *(f"batch={n}" for n in names if n not in done)]
+
+    def _summed(self, folders: list[str]) -> DataFrame:
+        rows = self.spark.read.schema(DELTAS).parquet(*(f"{self.folder}/{f}" for f in folders)) if folders else self.spark.createDataFrame([], DELTAS)
+        return rows.groupBy("source", "lang", "version").agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
+
+    def fold(self) -> bool:
+        """Sums up what is committed so far. False: another writer has folded meanwhile, and nothing changed."""
+        folds = self._folds()
+        names, folders = self._parts()
+        waiting, done = f"_waiting-{uuid.uuid4().hex}", f"fold={max(folds, default=0) + 1}"
+        self._summed(folders).write.parquet(f"{self.folder}/{waiting}/deltas")
+        self.spark.createDataFrame([(n,) for n in names], "batch string").write.parquet(f"{self.folder}/{waiting}/batches")
+        if not renamed_once(self.spark, f"{self.folder}/{waiting}", f"{self.folder}/{done}"):
+            self.fs.delete(self._path(waiting), True)
+            return False
+        return True
+
     def totals(self) -> DataFrame:
         """(source, lang, version, documents, tokens) over all committed batches."""
-        names = self.committed()
-        if not names:
-            return self.spark.createDataFrame([], DELTAS)
-        rows = self.spark.read.schema(DELTAS).parquet(*(f"{self.folder}/batch={n}" for n in names))
-        sums = rows.groupBy("source", "lang", "version").agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
-        return sums.where("documents <> 0 or tokens <> 0")
+        return self._summed(self._parts()[1]).where("documents <> 0 or tokens <> 0")
 
 
 def word_counter(path: str) -> Callable[[], Callable[[list[str]], list[int]]]:

@@ -1,33 +1,46 @@
 """Near-duplicate vectors by hierarchical navigable small-world graphs, one for each shard.
 
-Equal vectors of a label are one class; classes are dealt by hash into shards of about SHARD_ROWS within each label and
-every shard gets a graph. Every class queries every shard of its label, in blocks: greedy descent through the upper
-layers, a beam search on the lowest, then a flood along the graph from each vector found within a margin of the
-threshold, so that groups of any size are followed to their ends. Sampled queries are held against the whole shard; as
-long as they miss links, beam and margin are widened and the block is searched again, in the end without the graph.
-Cosines of what is found are computed in double precision, and only those at the threshold or above link.
-
-A block returns, for each class, how many vectors of the shard it links with, and a spanning forest of the links in
-place of all pairs; components join the forests.
+Equal vectors of a label are one class, with a number of its own; classes are dealt by hash into shards within each label and
+length, and every shard gets a graph. Shards grow with the square root of their label, within bounds of rows and bytes. Every
+class queries every shard of its label, in blocks that stream past the graph: greedy descent through the upper layers, a beam
+search on the lowest, then a flood along the graph from each vector found within a margin of the threshold, so that groups of
+any size are followed to their ends. Before a block is searched its beam is audited: sampled queries are held against the whole
+shard, and so are probes that lie at the threshold from sampled vectors; as long as links are missed, beam and margin are
+widened, in the end to the whole shard without the graph. Cosines of what is found are computed in double precision, and only
+those at the threshold or above link.
+
+A block returns, for each class, how many vectors of the shard it links with and one of them, and a spanning forest of the
+shard's own links in place of all pairs; both are folded after every few queries. Components join the forests.
 
 Vectors that are null, empty, zero, or hold null or non-finite components, and those whose label or identifier is null,
 link with nothing: no links, their own component, kept. Vectors of different length never link. Each repeated row gets a
-row and links with its copies. Empty tables give no rows; other columns are not read.
+row and links with its copies; rows that repeat a vec_id with another vector or label are nodes of their own. Components are
+named by their smallest vec_id. Empty tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import written
+from folioflow.llm.common import dropped, joined_to_groups, written
 from folioflow.llm.components import components, forest
 
-SHARD_ROWS, NEIGHBOURS, BUILD_BEAM, BEAM, MARGIN, AUDITS = 8192, 16, 48, 48, 0.08, 256
-#: Share of the audited links that must be found, and queries that walk at once.
-RECALL, WALKERS = 1.0, 1024
+#: Classes of a shard: at least, at most, and bytes of its single-precision vectors at most.
+SHARD_ROWS, SHARD_MOST, SHARD_BYTES = 8192, 65536, 64 << 20
+#: Classes of a shard for each square root of the classes of its label.
+SHARD_GROWTH = 32
+#: Blocks of queries hold so many shards' worth; a graph is sent once for each block.
+BLOCK_SHARDS = 8
+NEIGHBOURS, BUILD_BEAM, BEAM, MARGIN, AUDITS, PROBES = 16, 48, 64, 0.1, 256, 128
+#: Share of the audited links and of the probes that must be found.
+RECALL, PROBE_RECALL = 1.0, 0.99
+#: Queries that walk at once when a graph is built, and queries times vectors of a shard when it is searched.
+WALKERS, CELLS = 1024, 1 << 22
 FOUND = "id long, links long, to long"
 
 
@@ -190,114 +203,184 @@ class Layers:
         return np.nonzero(seen)
 
 
-def _exact(pairs: tuple[np.ndarray, np.ndarray], a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def _exact(i: np.ndarray, j: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """The pairs whose cosine in double precision reaches the threshold; a, b: float64."""
     norm_a, norm_b = np.sqrt((a * a).sum(axis=1)), np.sqrt((b * b).sum(axis=1))
     keep = [np.zeros(0, bool)]
-    for at in range(0, len(pairs[0]), 1 << 15):
-        i, j = pairs[0][at : at + (1 << 15)], pairs[1][at : at + (1 << 15)]
-        keep.append(np.einsum("ad,ad->a", a[i], b[j]) / (norm_a[i] * norm_b[j]) >= threshold)
+    for at in range(0, len(i), 1 << 15):
+        x, y = i[at : at + (1 << 15)], j[at : at + (1 << 15)]
+        keep.append(np.einsum("ad,ad->a", a[x], b[y]) / (norm_a[x] * norm_b[y]) >= threshold)
     keep = np.concatenate(keep)
-    return pairs[0][keep], pairs[1][keep]
+    return i[keep], j[keep]
 
 
 def _all(queries: np.ndarray, unit: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(queries @ unit.T >= least)
 
 
-def linked(graph: Layers, raw: np.ndarray, queries: np.ndarray, threshold: float, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """All links (query, node), widened until an audit of sampled queries misses none."""
-    unit = (queries / np.sqrt((queries * queries).sum(axis=1, keepdims=True))).astype(np.float32)
-    rng = np.random.default_rng(seed)
-    audit = np.sort(rng.permutation(len(queries))[:AUDITS])
-    slack = 1e-5  # of single precision
-    true = _exact(_all(unit[audit], graph.unit, threshold - slack), queries[audit], raw, threshold)
-    width, margin = BEAM, MARGIN
-    while width < len(raw):
-        i, j = _exact(graph.within(unit[audit], threshold - margin, width), queries[audit], raw, threshold)
-        if len(i) >= RECALL * len(true[0]):
-            break
-        width, margin = 2 * width, margin + 0.03
-    parts = []
-    for a in range(0, len(queries), WALKERS):
-        some = unit[a : a + WALKERS]
-        pairs = graph.within(some, threshold - margin, width) if width < len(raw) else _all(some, graph.unit, threshold - slack)
-        i, j = _exact(pairs, queries[a : a + WALKERS], raw, threshold)
-        parts.append((i + a, j))
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
-
-
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-
-
 def _unit(raw: np.ndarray) -> np.ndarray:
     return (raw / np.sqrt((raw * raw).sum(axis=1, keepdims=True))).astype(np.float32)
 
 
-GRAPHS = "label string, size int, shard int, n int, ids binary, weights binary, vectors binary, entry int, widths array<int>, links binary"
+def _scaled(raw: np.ndarray) -> np.ndarray:
+    """As float64, each row over a power of two near its largest component: exact, and squares stay finite."""
+    raw = raw.astype(np.float64)
+    return np.ldexp(raw, -np.frexp(np.abs(raw).max(axis=1, initial=0, keepdims=True))[1])
+
+
+class Searcher:
+    """Links of queries with the vectors of one shard, folded into counts and a forest."""
+
+    SLACK = 1e-5  # of single precision
+
+    def __init__(self, graph: Layers, raw: np.ndarray, weight: np.ndarray, threshold: float):
+        self.graph, self.raw, self.weight, self.threshold = graph, raw, weight, threshold
+        self.label = np.arange(len(raw))
+        self.width, self.margin = BEAM, MARGIN
+
+    def audit(self, queries: np.ndarray, seed: int = 0) -> None:
+        """Widens beam and margin until sampled queries miss no link and probes at the threshold are found."""
+        unit, n, threshold = self.graph.unit, len(self.raw), self.threshold
+        rng = np.random.default_rng(seed)
+        sampled = queries[np.sort(rng.permutation(len(queries))[:AUDITS])]
+        whole = _exact(*_all(_unit(sampled), unit, threshold - self.SLACK), sampled, self.raw, threshold)
+        nodes = np.sort(rng.permutation(n)[:PROBES])
+        aside = rng.normal(size=(len(nodes), unit.shape[1]))
+        aside -= (aside * unit[nodes]).sum(axis=1, keepdims=True) * unit[nodes]
+        length = np.sqrt((aside * aside).sum(axis=1, keepdims=True))
+        probes = (threshold * unit[nodes] + np.sqrt(1 - min(1.0, threshold) ** 2) * aside / np.maximum(length, 1e-9)).astype(np.float32)
+        while self.width < n:
+            found = _exact(*self.graph.within(_unit(sampled), threshold - self.margin, self.width), sampled, self.raw, threshold)
+            i, j = self.graph.within(probes, threshold - self.margin, self.width)
+            if len(found[0]) >= RECALL * len(whole[0]) and (nodes[i] == j).sum() >= PROBE_RECALL * len(nodes):
+                return
+            self.width, self.margin = 2 * self.width, self.margin + 0.03
+
+    def links(self, queries: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(linked weight, position of one linked vector or -1) of each query. own: its position in the shard or -1, which it
+        does not link with."""
+        total, one = np.zeros(len(queries), np.int64), np.full(len(queries), -1, np.int64)
+        step = max(16, min(WALKERS, CELLS // max(1, len(self.raw))))
+        for at in range(0, len(queries), step):
+            some, unit = queries[at : at + step], _unit(queries[at : at + step])
+            pairs = self.graph.within(unit, self.threshold - self.margin, self.width) if self.width < len(self.raw) else _all(unit, self.graph.unit, self.threshold - self.SLACK)
+            i, j = _exact(*pairs, some, self.raw, self.threshold)
+            other = own[at : at + step][i] != j
+            i, j = i[other], j[other]
+            total[at : at + step] = np.bincount(i, self.weight[j], len(some))
+            firsts = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if len(i) else i
+            one[at + i[firsts]] = j[firsts]
+            self._join(np.repeat(j[firsts], np.diff(np.append(firsts, len(i)))), j)
+        return total, one
+
+    def _join(self, a: np.ndarray, b: np.ndarray) -> None:
+        a, b = self.label[a], self.label[b]
+        new = np.unique(np.minimum(a, b)[a != b] * len(self.label) + np.maximum(a, b)[a != b])
+        if len(new):
+            self.label = forest(new // len(self.label), new % len(self.label), len(self.label))[self.label]
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+GRAPH = "struct<ids:binary,weights:binary,vectors:binary,kind:string,entry:int,widths:array<int>,links:binary>"
 
 
 def _build(table: pa.Table) -> pa.Table:
     """The graph of a shard as one row. Rows are put in order of id, so that a task that runs again builds the same."""
     table = table.sort_by("id")
     raw = _matrix(table["embedding"])
-    entry, widths, links = Layers(_unit(raw)).dump()
+    entry, widths, links = Layers(_unit(_scaled(raw))).dump()
     ids, weights = (table[c].to_numpy().astype(np.int64).tobytes() for c in ("id", "weight"))
-    kinds = {str: pa.string(), int: pa.int32(), bytes: pa.binary(), list: pa.list_(pa.int32())}
-    row = {c: [table[c][0].as_py()] for c in ("label", "size", "shard", "n")} | {"ids": [ids], "weights": [weights], "vectors": [raw.astype(np.float32).tobytes()], "entry": [entry], "widths": [widths], "links": [links]}
-    return pa.table({k: pa.array(v, kinds.get(type(v[0]))) for k, v in row.items()})
+    graph = {"ids": ids, "weights": weights, "vectors": raw.tobytes(), "kind": raw.dtype.str, "entry": entry, "widths": widths, "links": links}
+    kind = pa.struct([("ids", pa.binary()), ("weights", pa.binary()), ("vectors", pa.binary()), ("kind", pa.string()), ("entry", pa.int32()), ("widths", pa.list_(pa.int32())), ("links", pa.binary())])
+    first = table.slice(0, 1).select(["label", "size", "shard", "blocks"])
+    return first.append_column("graph", pa.array([graph], kind))
 
 
 def _search(threshold: float):
-    def run(graphs: pa.Table, block: pa.Table) -> pa.Table:
-        kinds = {"id": pa.int64(), "links": pa.int64(), "to": pa.int64()}
-        if not len(graphs) or not len(block):
-            return pa.table({k: pa.array([], t) for k, t in kinds.items()})
-        g, block = graphs.slice(0, 1).to_pylist()[0], block.sort_by("id")
-        ids, weight = np.frombuffer(g["ids"], np.int64), np.frombuffer(g["weights"], np.int64)
-        raw = np.frombuffer(g["vectors"], np.float32).reshape(len(ids), -1).astype(np.float64)
-        queries, own = _matrix(block["embedding"]), block["id"].to_numpy()
-        i, j = linked(Layers.load(_unit(raw), g["entry"], g["widths"], g["links"]), raw, queries, threshold)
-        other = own[i] != ids[j]
-        i, j = i[other], j[other]
-        links = np.bincount(i, weight[j], len(own)).astype(np.int64)
-        every = np.unique(np.concatenate([own, ids]))
-        label = forest(np.searchsorted(every, own)[i], np.searchsorted(every, ids)[j], len(every))
-        counted = np.zeros(len(every), np.int64)
-        counted[np.searchsorted(every, own)] = links
-        said = (counted > 0) | (label != np.arange(len(every)))
-        return pa.table({"id": every[said], "links": counted[said], "to": every[label[said]]})
+    """Rows come sorted: for each shard and block first the graph, then the queries."""
+
+    def said(ids: np.ndarray, links: np.ndarray, to: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links), pa.array(to)], ["id", "links", "to"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = ids = None
+        audited = False
+
+        def forest_rows() -> Iterator[pa.RecordBatch]:
+            if search is not None:
+                moved = np.flatnonzero(search.label != np.arange(len(ids)))
+                yield said(ids[moved], np.zeros(len(moved), np.int64), ids[search.label[moved]])
+
+        for batch in batches:
+            starts = np.flatnonzero(np.asarray(batch["graph"].is_valid())).tolist()
+            for begin, end in zip([-1, *starts], [*starts, len(batch)], strict=True):
+                if begin >= 0:
+                    yield from forest_rows()
+                    g = batch["graph"][begin].as_py()
+                    ids, weight = np.frombuffer(g["ids"], np.int64), np.frombuffer(g["weights"], np.int64)
+                    raw = _scaled(np.frombuffer(g["vectors"], g["kind"]).reshape(len(ids), -1))
+                    search, audited = Searcher(Layers.load(_unit(raw), g["entry"], g["widths"], g["links"]), raw, weight, threshold), False
+                some = batch.slice(begin + 1, end - begin - 1)
+                if not len(some):
+                    continue
+                queries, own = _scaled(_matrix(some["embedding"])), some["id"].to_numpy()
+                if not audited:
+                    search.audit(queries)
+                    audited = True
+                at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
+                total, one = search.links(queries, np.where(ids[at] == own, at, -1))
+                met = one >= 0
+                yield said(own[met], total[met], ids[one[met]])
+        yield from forest_rows()
 
     return run
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.93, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Per vector: vec_id, n_links, component_id, kept. vectors: vec_id, embedding, label."""
-    value = F.col("embedding").cast("array<double>")
+    kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    value = F.col("embedding").cast(f"array<{kind}>")
     sound = F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(value, lambda x: x != 0)
-    rows = vectors.select("vec_id", F.col("label").cast("string").alias("label"), "embedding", F.coalesce(sound & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False)).alias("sound"))
+    sound = F.coalesce(sound & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False))
+    rows = vectors.select("vec_id", F.col("label").cast("string").alias("label"), value.alias("embedding"), sound.alias("sound"))
     # -0.0 and 0.0 are the same component
-    rows = rows.withColumn("embedding", F.when(F.col("sound"), F.transform("embedding", lambda x: F.when(x == 0, F.lit(0).cast("float")).otherwise(x.cast("float")))))
+    rows = rows.withColumn("embedding", F.when(F.col("sound"), F.transform("embedding", lambda x: F.when(x == 0, F.lit(0).cast(kind)).otherwise(x))))
     keys = ["label", "size", "one", "two"]
     keyed = written(rows.select("*", F.size("embedding").alias("size"), F.xxhash64("embedding").alias("one"), F.xxhash64(F.reverse("embedding"), F.lit(1)).alias("two")), "vectors")
-    sound_rows = keyed.where("sound")
-    classes = written(sound_rows.groupBy(*keys).agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first("embedding").alias("embedding")), "classes")
-    # how many shards and blocks of queries each label and length has; as few rows as there are labels
-    sizes = classes.groupBy("label", "size").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("n"))
-    dealt = classes.join(sizes, ["label", "size"]).select("label", "size", "id", "weight", "embedding", "n", F.pmod(F.xxhash64("id"), "n").cast("int").alias("shard"))
-    graphs = written(dealt.groupBy("label", "size", "shard").applyInArrow(_build, GRAPHS), "graphs")
-    every = F.sequence(F.lit(0), F.col("n") - 1)
-    # each graph meets each block of queries of its label; a block holds as many queries as a shard holds vectors
-    shards = graphs.withColumn("block", F.explode(every))
-    blocks = dealt.select("label", "size", F.explode(every).alias("shard"), F.col("shard").alias("block"), "id", "embedding")
+    classes = keyed.where("sound").groupBy(*keys).agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight"), F.first("embedding").alias("embedding"))
+    classes = written(classes.select("*", F.monotonically_increasing_id().alias("id")), "classes")
+    # how many shards and blocks of queries each label and length has
+    most = F.least(F.lit(SHARD_MOST), F.greatest(F.lit(1024), F.floor(F.lit(SHARD_BYTES / 4) / F.col("size"))))
+    each = F.least(most, F.greatest(F.lit(shard_rows), F.ceil(SHARD_GROWTH * F.sqrt("rows"))))
+    sizes = classes.groupBy("label", "size").agg(F.count("*").alias("rows")).withColumn("each", each)
+    sizes = sizes.select("label", "size", "rows", F.ceil(F.col("rows") / F.col("each")).cast("int").alias("shards"), F.ceil(F.col("rows") / (BLOCK_SHARDS * F.col("each"))).cast("int").alias("blocks"))
+    sizes = written(sizes, "sizes")
+    dealt = joined_to_groups(classes.select("label", "size", "id", "weight", "embedding"), sizes, ["label", "size"], "rows")
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("id"), "shards").cast("int"))
+    graphs = dealt.select("label", "size", "shard", "blocks", "id", "weight", "embedding").groupBy("label", "size", "shard").applyInArrow(_build, f"label string, size int, shard int, blocks int, graph {GRAPH}")
+    graphs = written(graphs, "graphs")
+    # each graph meets each block of queries of its label
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     by = ["label", "size", "shard", "block"]
-    found = written(shards.groupBy(*by).cogroup(blocks.groupBy(*by)).applyInArrow(_search(threshold), FOUND), "found")
-    named = components(found.where("id <> to").select(F.col("id").alias("a"), F.col("to").alias("b")))
+    first = graphs.select("label", "size", "shard", every("blocks").alias("block"), F.lit(None).cast("long").alias("id"), F.lit(None).cast(f"array<{kind}>").alias("embedding"), "graph")
+    queries = dealt.select("label", "size", every("shards").alias("shard"), F.pmod(F.xxhash64("id", F.lit(1)), "blocks").cast("int").alias("block"), "id", "embedding", F.lit(None).cast(GRAPH).alias("graph"))
+    pairs = sizes.agg(F.sum(F.col("shards") * F.col("blocks"))).first()[0] or 1
+    met = first.unionByName(queries).repartition(min(pairs, 20_000), *by).sortWithinPartitions(*by, F.col("id").asc_nulls_first())
+    found = written(met.select("id", "embedding", "graph").mapInArrow(_search(threshold), FOUND), "found")
+    dropped(graphs)
+    named = components(found.select(F.col("id").alias("a"), F.col("to").alias("b")))
     counted = found.groupBy("id").agg(F.sum("links").alias("links"))
-    whole = classes.join(counted, "id", "left").join(named.toDF("id", "component"), "id", "left")
-    whole = whole.select(*keys, (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "id").alias("component"))
-    out = keyed.select("vec_id", *keys, "sound").join(whole.withColumn("sound", F.lit(True)), [*keys, "sound"], "left")
-    component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    whole = classes.select("id", *keys, "vec_id", "weight").join(counted, "id", "left").join(named.toDF("id", "component"), "id", "left")
+    whole = written(whole.select(*keys, "vec_id", "weight", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "id").alias("component")), "whole")
+    # a component is named by its smallest vec_id
+    least = written(whole.groupBy("component").agg(F.min("vec_id").alias("component_id"), F.count("*").alias("n")), "least")
+    whole = written(joined_to_groups(whole.drop("vec_id"), least, ["component"], "n").select(*keys, "weight", "links", "component_id"), "whole")
+    dropped(classes, sizes, found, least)
+    placed = joined_to_groups(keyed.where("sound").select("vec_id", *keys), whole, keys, "weight").select("vec_id", F.col("links").cast("long").alias("n_links"), "component_id")
+    # unsound vectors need no join, which would gather them in one task
+    out = placed.unionByName(keyed.where("not sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
+    return out.select("*", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -3,7 +3,7 @@
 1. One pass over the texts: per document its set of word shingles (64-bit hashes), SAMPLES MinHash values, keys of BANDS
    bands of them, and an odd sketch: a bitmap of SKETCH_BITS parities of the hashed samples. The XOR of two sketches has
    about as many set bits as samples differ (twice), so its population count estimates high similarities closely.
-2. Documents of equal sets are one class; only its smallest doc_id goes on.
+2. Documents of equal sets are one class, with a number of its own; only classes go on.
 3. Classes that share a band key are candidates. Each bucket is first held against its smallest member only; pairs whose
    sketches are too far apart are dropped (FIVE_SIGMA below the threshold); of the rest the best of each document is
    confirmed on full sets, then those that still join different components.
@@ -12,11 +12,13 @@
    forest of the links leaves the task. So no candidate pair that could change a component is skipped, groups of near
    copies mostly cost one comparison for each document, and pairs are never listed.
 
-The bands miss a pair at the threshold with probability (1 - 0.8**6)**48 < 5e-7.
+The bands miss a pair at the threshold with probability (1 - 0.8**6)**48 < 5e-7. Band keys, classes and families that hold
+more than a ten-thousandth of all rows are joined by broadcast, so none of them makes a hot task.
 
 Null or empty text, or text without words: an empty set, linked with nothing, its own component, kept. Fewer words than
 a shingle has: the whole sequence is the one shingle. A null doc_id: component null, kept, linked with nothing. Rows that
-repeat a doc_id each get a row, by their own text. Empty tables give no rows; other columns are not read.
+repeat a doc_id each get a row, by their own text: one with another text is another node, and its links are its own. Empty
+tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,16 +33,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import WordCache, given, held, text_groups, text_of, with_row, written
+from folioflow.llm.common import WordCache, carried, dropped, held, joined_to_groups, text_groups, written
 from folioflow.llm.components import components, forest
 
 BANDS, BAND_ROWS, SKETCH_BITS = 48, 6, 1024
 SAMPLES = BANDS * BAND_ROWS
 #: Documents and shingles of a block, of which two are held against each other at a time.
-BLOCK_ROWS, BLOCK_KEYS = 2000, 1_500_000
+BLOCK_ROWS, BLOCK_KEYS = 500, 500_000
 #: Class identifiers up to this number are sent to all executors (8 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
-SIGNED = "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>"
+SIGNED = "doc_id long, text_hash long, n_shingles long, digest binary, bands array<long>, sketch array<long>"
 _U64 = np.uint64
 
 
@@ -120,7 +122,7 @@ def _sign(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, digests, bands, sketches = [], [], [], []
-            for _, texts in text_groups(text_of(batch)):
+            for _, texts in text_groups(batch.column(2)):
                 _word_hashes().rotate()
                 for text in texts:
                     keys = shingles(text, width)
@@ -134,9 +136,9 @@ def _sign(width: int):
                         digests.append(None)
                         bands.append(None)
                         sketches.append(None)
-            row = {"row": batch.column("row")} if "row" in batch.schema.names else {}
             kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip((sizes, digests, bands, sketches), kinds, strict=True)), *row.values()], ["doc_id", "n_shingles", "digest", "bands", "sketch", *row])
+            columns = (pa.array(c, k) for c, k in zip((sizes, digests, bands, sketches), kinds, strict=True))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "text_hash", "n_shingles", "digest", "bands", "sketch"])
 
     return run
 
@@ -203,21 +205,26 @@ def _between(percent: int, limit: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, carry: bool = False) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, kept; with carry also digest (of its set) and row, the document.
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id, kept, digest (of its set) and text_hash.
     Linked: 100 * intersection >= percent * union of the sets."""
-    signed = written(given(docs, carry).mapInArrow(_sign(width), with_row(SIGNED, docs, carry)), "signed")
+    hashed = F.xxhash64("text").alias("text_hash")
+    signed = written(docs.select("doc_id", hashed, "text").mapInArrow(_sign(width), SIGNED), "signed")
     full = signed.where("doc_id is not null and digest is not null")
-    classes = written(full.groupBy("digest").agg(F.min("doc_id").alias("id")), "classes")
-    firsts = full.select(F.col("doc_id").alias("id"), "digest", "bands", "sketch").join(classes, ["id", "digest"], "left_semi")
-    keyed = firsts.select("id", F.explode("bands").alias("key")).distinct()
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1")
-    buckets = written(keyed.join(shared.select("key", "hub"), "key"), "buckets")
+    # a document of each class stands for it; bands and sketch follow from the set
+    classes = full.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count("*").alias("weight"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = written(classes.select("digest", "first.*", "weight", "bands", "sketch", F.monotonically_increasing_id().alias("id")), "classes")
+    keyed = classes.select("id", F.explode("bands").alias("key"))
+    shared = written(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1"), "shared")
+    buckets = written(joined_to_groups(keyed, shared, ["key"], "n").select("key", "id", "hub"), "buckets")
+    dropped(shared)
     ids = written(buckets.select("id").distinct(), "ids")
-    few = ids.count() <= BROADCAST_IDS
-    wanted = F.broadcast(ids) if few else ids
-    sketches = written(firsts.select("id", "sketch").join(wanted, "id", "left_semi").distinct(), "sketches")
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi")
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    firsts = classes.join(wanted, "id", "left_semi")
+    sketches = written(firsts.select("id", "sketch"), "sketches")
+    # rows that repeat a doc_id and its text would bring a text more than once
+    at = firsts.select("id", F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash"))
+    texts = docs.select(F.col("doc_id").alias("_doc_id"), F.xxhash64("text").alias("_text_hash"), "text").join(at, ["_doc_id", "_text_hash"]).groupBy("id").agg(F.first("text").alias("text"))
     sets = written(texts.mapInArrow(_sets(width), "id long, keys array<long>"), "sets")
     limit = farthest(percent / 100)
 
@@ -236,28 +243,57 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, carry: b
         return pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
     rest = apart(stars.select("a", "b")).join(best, ["a", "b"], "left_anti")
-    links = written(links.union(_confirmed(rest, sets, percent)), "links")
-    named = components(links)
+    more = written(_confirmed(rest, sets, percent), "links")
+    if not more.isEmpty():
+        links = written(links.union(more), "links")
+        named = components(links)
     # buckets that hold several components: whole families of such buckets, between components, in blocks
     held = buckets.select("key", "id", "hub").join(named.toDF("id", "c"), "id", "left").select("key", "id", "hub", F.coalesce("c", "id").alias("c"))
-    mixed = held.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-    held = written(held.join(mixed, "key", "left_semi").select("id", "c", "hub").distinct(), "mixed")
-    families = components(held.select(F.col("id").alias("a"), F.col("hub").alias("b")))
-    members = held.select("id", "c").distinct().join(families.toDF("id", "family"), "id").join(sketches, "id").join(sets, "id")
-    members = written(members, "members")
-    sizes = members.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.size("keys")) / BLOCK_KEYS)).cast("int").alias("n"))
-    block = F.pmod(F.xxhash64("id"), F.col("n")).cast("int")
-    dealt = members.join(sizes, "family").withColumn("block", block)
-    others = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(F.least(i, "block").alias("i"), F.greatest(i, "block").alias("j")))
-    paired = dealt.select("family", "block", "id", "c", "sketch", "keys", F.explode(others).alias("pair")).select("family", "pair.i", "pair.j", "block", "id", "c", "sketch", "keys")
-    more = written(paired.groupBy("family", "i", "j").applyInArrow(_between(percent, limit), "a long, b long"), "links")
-    if not more.isEmpty():
-        named = components(written(links.union(more), "links"))
-    ends = classes.join(named.toDF("id", "component"), "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
-    own = ["doc_id", "n_shingles", "digest", *(["row"] if carry else [])]
+    mixed = held.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low <> high").select("key", "n")
+    mixed = written(mixed, "mixed")
+    if not mixed.isEmpty():
+        held = written(joined_to_groups(held, mixed, ["key"], "n").select("id", "c", "hub").distinct(), "held")
+        families = components(held.select(F.col("id").alias("a"), F.col("hub").alias("b")))
+        members = held.select("id", "c").distinct().join(families.toDF("id", "family"), "id").join(sketches, "id").join(sets, "id")
+        members = written(members, "members")
+        sizes = members.groupBy("family").agg(F.count("*").alias("rows"), F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.size("keys")) / BLOCK_KEYS)).cast("int").alias("n"))
+        sizes = written(sizes, "sizes")
+        dealt = joined_to_groups(members, sizes, ["family"], "rows").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+        others = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(F.least(i, "block").alias("i"), F.greatest(i, "block").alias("j")))
+        paired = dealt.select("family", "block", "id", "c", "sketch", "keys", F.explode(others).alias("pair")).select("family", "pair.i", "pair.j", "block", "id", "c", "sketch", "keys")
+        more = written(paired.groupBy("family", "i", "j").applyInArrow(_between(percent, limit), "a long, b long"), "links")
+        if not more.isEmpty():
+            named = components(written(links.union(more), "links"))
+        dropped(held, families, members, sizes)
+    dropped(buckets, ids, sketches, sets, stars, mixed)
+    # a component is named by its smallest doc_id
+    placed = written(classes.select("digest", "id", "doc_id", "weight").join(named.toDF("id", "component"), "id", "left").select("digest", "doc_id", "weight", F.coalesce("component", "id").alias("component")), "placed")
+    least = written(placed.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")), "least")
+    ends = written(joined_to_groups(placed, least, ["component"], "n").select("digest", "component_id", "weight"), "ends")
+    dropped(placed, least, classes)
+    own = ["doc_id", "n_shingles", "digest", "text_hash"]
     # sets that are empty have no digest and need no join, which would gather them in one task
-    placed = signed.where("digest is not null").select(*own).join(ends, "digest").select(*own, "component")
-    out = placed.unionByName(signed.where("digest is null").select(*own, F.col("doc_id").alias("component")))
-    component = F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id")
-    kept = F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept")
-    return out.select("doc_id", "n_shingles", component, kept, *own[2:]) if carry else out.select("doc_id", "n_shingles", component, kept)
+    found = joined_to_groups(full.select(*own), ends, ["digest"], "weight").select(*own, "component_id")
+    out = found.unionByName(signed.where("doc_id is null or digest is null").select(*own, F.col("doc_id").alias("component_id")))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
+    return out.select("doc_id", "n_shingles", "component_id", kept, "digest", "text_hash")
+
+
+def distinct_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """docs without near copies: one document of each group stays, the one with the smallest doc_id. Of rows that repeat a
+    doc_id and its set one stays too: that with the smallest text hash, among equal texts that whose other columns come first
+    as JSON. Rows without a doc_id or without words all stay. Texts are shuffled once, by doc_id and text hash."""
+    marks = near_duplicates(docs, width, percent).where("doc_id is not null and digest is not null")
+    each = written(marks.groupBy("doc_id", "digest", "text_hash").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "marks")
+    stay = each.where("kept").groupBy("doc_id", "digest").agg(F.min("text_hash").alias("stays"))
+    gone = F.col("stays").isNull() | (F.col("stays") != F.col("text_hash"))
+    verdicts = each.join(stay, ["doc_id", "digest"], "left").select(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash"), gone.alias("gone"), "n")
+    verdicts = written(verdicts.where("gone or n > 1"), "verdicts")
+    dropped(each)
+    keys = ["_doc_id", "_text_hash"]
+    rows = docs.select(F.col("doc_id").alias("_doc_id"), F.xxhash64("text").alias("_text_hash"), carried(docs))
+    told = joined_to_groups(rows, verdicts, keys, "n", "left")
+    out = told.where("gone is null").select("row")
+    if not verdicts.where("not gone").isEmpty():
+        out = out.unionByName(told.where("not gone").groupBy(*keys).agg(F.min_by("row", F.to_json("row")).alias("row")).select("row"))
+    return out.select("row.*")

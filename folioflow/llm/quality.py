@@ -1,13 +1,10 @@
 """Quality rules on repetition within a document, by a suffix array over its words.
 
-Per document: a suffix array by prefix doubling and the longest common prefixes of neighbours in it. Runs of neighbours
-whose common prefix has min_repeat words or more are the LCP intervals of repeated passages; each suffix in an interval
-is covered as far as the longer of its two common prefixes reaches, and the union of these spans is the text that maximal
-repeated passages cover. A document is rejected if that covers more than max_covered of its words, or if its longest
+Per document: a suffix array by prefix doubling and the longest common prefixes (LCP) of neighbours in it. The LCP intervals
+of min_repeat words or more are its maximal repeated passages. The union of their spans is what they cover, and the longest
+interval is the longest repeat. A document is rejected if more than max_covered of its words are covered, or if its longest
 repeat has more than max_longest words. Before that come plain rules: too few words, or too many in repeated windows.
 
-longest_repeat is 0 where no window of five words repeats, unless min_repeat is less than that.
-
 Words are [^\\x20\\x09-\\x0D]+. Null or empty text: no words, which the plain rules reject. Long texts are taken whole.
 Null doc_ids stay; each repeated row gets a row; empty tables give none; other columns are not read.
 """
@@ -26,7 +23,7 @@ from folioflow.llm.common import LONG_WORD, WordCache, held, text_groups
 
 RULED = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
-    "longest_repeat long, covered_words long, kept boolean"
+    "longest_repeat long, covered_words long, n_repeats long, kept boolean"
 )
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -95,38 +92,38 @@ def suffix_array(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.concatenate([[0], common])
 
 
-def repeat_spans(words: np.ndarray, min_repeat: int) -> tuple[int, np.ndarray]:
-    """(longest repeat, mask of the words that repeats of min_repeat words or more cover)."""
-    order, common = suffix_array(words)
-    n = len(words)
-    longest = int(common.max(initial=0))
-    if longest < min_repeat:
-        return longest, np.zeros(n, bool)
-    reach = np.maximum(common, np.append(common[1:], 0))
-    inside = reach >= min_repeat
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, order[inside], 1)
-    np.add.at(edge, order[inside] + reach[inside], -1)
-    return longest, np.cumsum(edge[:-1]) > 0
-
-
-def maximal_repeats(words: np.ndarray, min_repeat: int) -> list[tuple[int, list[int]]]:
-    """The LCP intervals of min_repeat words or more: (length, ascending starts) of each repeated passage that every longer
-    one occurs less often than."""
-    order, common = suffix_array(words)
+def lcp_intervals(common: np.ndarray, min_repeat: int) -> list[tuple[int, int, int]]:
+    """(length, left, right): suffixes left to right - 1 of the order share a passage of that many words, min_repeat or more,
+    and neither another suffix does nor do they share a longer one. Those within another come before it."""
     found, stack = [], []  # stack of (length, left end)
-    for i in range(1, len(order) + 1):
-        length = int(common[i]) if i < len(order) else 0
-        left = i - 1
+    # outside runs of neighbours that share min_repeat words no interval is open
+    for i in np.flatnonzero((common >= min_repeat) | (np.concatenate([[0], common[:-1]]) >= min_repeat)).tolist() + [len(common)]:
+        length, left = int(common[i]) if i < len(common) else 0, i - 1
         while stack and stack[-1][0] > length:
             top, left = stack.pop()
-            if top >= min_repeat:
-                found.append((top, sorted(order[left:i].tolist())))
-        if length and (not stack or stack[-1][0] < length):
+            found.append((top, left, i))
+        if length >= min_repeat and (not stack or stack[-1][0] < length):
             stack.append((length, left))
     return found
 
 
+def repeats(words: np.ndarray, min_repeat: int) -> tuple[int, np.ndarray, int]:
+    """(longest repeat of any length, mask of the words that passages of min_repeat words or more cover, how many passages)."""
+    order, common = suffix_array(words)
+    intervals, n = lcp_intervals(common, min_repeat), len(words)
+    # a suffix is covered by the innermost interval that it lies in, whose length is the larger of its two common prefixes
+    reach = np.maximum(common, np.append(common[1:], 0)) if n else common
+    inside = np.zeros(n + 1, np.int64)
+    for _, left, right in intervals:
+        inside[left] += 1
+        inside[right] -= 1
+    inside = np.cumsum(inside[:-1]) > 0
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, order[inside], 1)
+    np.add.at(edge, order[inside] + reach[inside], -1)
+    return int(common.max(initial=0)), np.cumsum(edge[:-1]) > 0, len(intervals)
+
+
 def _windows(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of many texts' words in one array: per text, words in windows that occur twice or more in it, and any such."""
     n = len(flat)
@@ -171,15 +168,13 @@ def _rule(limits: Limits):
                 in_windows, _ = _windows(flat, starts, counts)
                 for text, first, n, repeat in zip(texts, starts.tolist(), counts.tolist(), in_windows.tolist(), strict=True):
                     lines = [x for x in text.split("\n") if x.strip(_BLANKS)]
-                    longest, covered = 0, 0
-                    if repeat or limits.min_repeat < WINDOW:  # without a repeated window no repeat is that long
-                        longest, mask = repeat_spans(flat[first : first + n], limits.min_repeat)
-                        covered = int(mask.sum())
+                    longest, mask, passages = repeats(flat[first : first + n], limits.min_repeat)
+                    covered = int(mask.sum())
                     failed = n < limits.min_words or 100 * repeat > limits.max_repeat_percent * n
                     kept = not failed and covered <= limits.max_covered * n and longest <= limits.max_longest
-                    out.append((n, len(text) - sum(map(text.count, _BLANKS)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeat, failed, longest, covered, kept))
+                    out.append((n, len(text) - sum(map(text.count, _BLANKS)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeat, failed, longest, covered, passages, kept))
             names = [x.split()[0] for x in RULED.split(", ")]
-            kinds = [pa.int64()] * 5 + [pa.bool_(), pa.int64(), pa.int64(), pa.bool_()]
+            kinds = [pa.int64()] * 5 + [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
             columns = list(zip(*out, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
 
@@ -187,5 +182,6 @@ def _rule(limits: Limits):
 
 
 def repetition_rules(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
-    """Per document: word and symbol counts, repeated lines and windows, longest repeat and covered words, kept. One pass."""
+    """Per document: word and symbol counts, repeated lines and windows, longest repeat, covered words and repeated
+    passages, kept. One pass."""
     return docs.select("doc_id", "text").mapInArrow(_rule(limits or Limits()), RULED)

@@ -27,7 +27,8 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op5_sorted_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +37,8 @@ def op5_sorted_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_compacted_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Appends the documents as eight arrivals, compacts them, and reads every row back from the newest manifest."""
+    """Appends the documents as eight arrivals, each a version of its own, compacts them, and reads every row back from the
+    newest manifest."""
     shards = compaction.ShardedTable(spark, new_path(spark, "shards"))
     shards.append_each(table(spark, sf_dir, "documents"), F.concat(F.lit("day"), F.pmod(F.xxhash64("doc_id"), F.lit(8)).cast("string")))
     shards.compact()

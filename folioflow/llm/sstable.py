@@ -13,7 +13,8 @@ footer, tests the filter, bisects the index and reads one block. Values are ids
 Shards are written beside each other under names of their own for each task attempt, so a task that runs again never
 touches a file that another has finished; the table of shards (a Parquet table) names those that count. Documents are
 range-partitioned by doc_id and text hash, so one repeated doc_id may cross shards. Null doc_ids sort first and are
-kept under a key that sorts before all others. Null text is empty text.
+kept under a key that sorts before all others. Null text is empty text. Repeated rows are kept, in the order of their text
+hashes within a doc_id; an empty table makes no shards; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -40,6 +42,8 @@ MAGIC = b"FFSST001"
 _FOOTER = struct.Struct("<QQQQQQQ9s9s8s")
 NULL_KEY = b"\x00" + bytes(8)
 BLOCK_BYTES, SHARD_BYTES, BITS_A_KEY, PROBES = 64 << 10, 64 << 20, 10, 7
+#: Bytes of text that a task encodes and writes.
+PART_BYTES = 128 << 20
 SHARDS = "part int, shard int, path string, n_docs long, n_ids long, n_bytes long, min_id long, max_id long"
 RECORDS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -82,7 +86,8 @@ def _shared(a: bytes, b: bytes) -> int:
 
 
 def _probes(key: bytes, bits: int) -> list[int]:
-    one, two = zlib.crc32(key), zlib.crc32(key, 0x9E3779B9) | 1
+    hashed = xxhash.xxh3_64_intdigest(key)
+    one, two = hashed & 0xFFFFFFFF, hashed >> 32 | 1
     return [(one + i * two) % bits for i in range(PROBES)]
 
 
@@ -232,13 +237,16 @@ def _write_part(folder: str, path: str, end_id: int, shard_bytes: int):
     return run
 
 
-def write_shards(docs: DataFrame, path: str, folder: str | None = None, end_id: int = 1, shard_bytes: int = SHARD_BYTES) -> tuple[str, DataFrame]:
-    """Encodes every document, writes the shards in ascending doc_id order and returns (folder, table of shards)."""
+def write_shards(docs: DataFrame, path: str, folder: str | None = None, end_id: int = 1, shard_bytes: int = SHARD_BYTES, part_bytes: int = PART_BYTES) -> tuple[str, DataFrame]:
+    """Encodes every document, writes the shards in ascending doc_id order and returns (folder, table of shards). There are
+    spark.sql.shuffle.partitions tasks, or more where those would get over part_bytes of text each."""
     spark = docs.sparkSession
     folder = folder or new_path(spark, "sst")
     salt = F.xxhash64("text")
     ordered = docs.select("doc_id", "text", salt.alias("_salt"))
-    ordered = ordered.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), F.col("doc_id").asc_nulls_first(), "_salt").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "_salt")
+    parts = -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // part_bytes)
+    parts = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ordered = ordered.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "_salt").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "_salt")
     made = ordered.select("doc_id", "text").mapInArrow(_write_part(f"{folder}/data", path, end_id, shard_bytes), SHARDS)
     made.write.parquet(f"{folder}/shards")
     return folder, spark.read.schema(SHARDS).parquet(f"{folder}/shards")
@@ -268,19 +276,29 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
     within = F.sum("n_ids").over(W.partitionBy("part").orderBy("shard")) - F.col("n_ids")
     placed = shards.withColumn("_within", within).join(before, "part")
     files = placed.select("path", "n_bytes", (F.col("_before") + F.col("_within")).alias("start"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return files.repartition(n, "path").mapInArrow(_read_part(f"{folder}/data"), RECORDS)
+    # a task for each shard: what they read is far more than what the rows that name them weigh
+    return files.repartition(max(1, files.count()), "path").mapInArrow(_read_part(f"{folder}/data"), RECORDS)
 
 
-def lookup(spark: SparkSession, folder: str, doc_ids: list[int]) -> dict[int, list[np.ndarray]]:
-    """The ids of a few documents: prunes shards by key range, then filter, index and one block of each."""
+def _look_up(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = _open_fs(folder)
+        for batch in batches:
+            for name, size, doc_ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with fs.open_input_file(f"{base}/{name}") as file:
+                    reader = ShardReader(file, size)
+                    found = [(d, ids.astype(np.int64)) for d in doc_ids for ids in reader.get(d)]
+                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([i for _, i in found], pa.list_(pa.int64()))], ["doc_id", "ids"])
+
+    return run
+
+
+def lookup(spark: SparkSession, folder: str, doc_ids: list[int]) -> DataFrame:
+    """(doc_id, ids) of a few documents: prunes shards by key range, then filter, index and one block of each; shards are read
+    beside each other."""
     shards = spark.read.schema(SHARDS).parquet(f"{folder}/shards")
     wanted = spark.createDataFrame([(d,) for d in doc_ids], "doc_id long")
     # a shard that starts with documents without an id has no min_id
-    hits = shards.join(F.broadcast(wanted), (F.col("min_id").isNull() | (F.col("doc_id") >= F.col("min_id"))) & (F.col("doc_id") <= F.col("max_id"))).select("doc_id", "path", "n_bytes").collect()
-    fs, base = _open_fs(f"{folder}/data")
-    found: dict[int, list[np.ndarray]] = {d: [] for d in doc_ids}
-    for row in hits:
-        with fs.open_input_file(f"{base}/{row.path}") as file:
-            found[row.doc_id] += ShardReader(file, row.n_bytes).get(row.doc_id)
-    return found
+    hits = shards.join(F.broadcast(wanted), (F.col("min_id").isNull() | (F.col("doc_id") >= F.col("min_id"))) & (F.col("doc_id") <= F.col("max_id")))
+    files = hits.groupBy("path", "n_bytes").agg(F.collect_set("doc_id").alias("doc_ids"))
+    return files.mapInArrow(_look_up(f"{folder}/data"), "doc_id long, ids array<long>")

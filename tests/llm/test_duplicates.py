@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 from helpers import docs_of, near_sets, smallest
+from pyspark.sql import functions as F
 
 from folioflow.llm import hnsw, minhash
 from folioflow.llm.components import components, forest
@@ -42,10 +43,36 @@ def test_near_duplicates(spark, width, block_rows, monkeypatch):
 
 
 def test_rows_without_or_with_the_same_id(spark):
-    got = minhash.near_duplicates(docs_of(spark, [(None, "a b c"), (1, "a b c"), (1, "a b c"), (2, "x y z"), (None, None)]), 2, 80, carry=True).collect()
+    rows = [(None, "a b c"), (1, "a b c"), (1, "a b c"), (2, "x y z"), (None, None)]
+    got = minhash.near_duplicates(docs_of(spark, rows), 2, 80).collect()
     assert sorted(repr((r.doc_id, r.component_id, r.kept)) for r in got) == sorted(map(repr, [(None, None, True), (1, 1, True), (1, 1, True), (2, 2, True), (None, None, True)]))
-    assert all(r.row.doc_id == r.doc_id and r.row.kept for r in got)
     assert minhash.near_duplicates(docs_of(spark, []), 2, 80).count() == 0
+    # another text under the same id is a node of its own
+    got = minhash.near_duplicates(docs_of(spark, [(5, "a b c"), (3, "p q r"), (5, "P Q R"), (7, "A B C")]), 2, 80).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(3, 3, True), (5, 3, False), (5, 5, True), (7, 5, False)]
+
+
+def test_distinct_documents(spark):
+    rows = [(None, "a b c"), (4, "a b c", "fr"), (4, "a b c", "de"), (4, "A b c"), (9, "a b c"), (2, "x y z"), (None, None), (None, None), (6, ""), (6, ""), (8, None), (1, "only one"), (1, "another text"), (0, "Another text")]
+    docs = docs_of(spark, rows * 2)
+    got = minhash.distinct_documents(docs, 2, 80)
+    assert got.columns == docs.columns
+    kept = sorted(map(repr, ((r.doc_id, (r.text or "").lower() if r.doc_id == 4 else r.text) for r in got.collect())))
+    want = [(None, "a b c"), (None, "a b c"), (4, "a b c"), (2, "x y z"), *[(None, None)] * 4, *[(6, "")] * 4, *[(8, None)] * 2, (1, "only one"), (0, "Another text")]
+    assert kept == sorted(map(repr, want))
+    again = minhash.distinct_documents(docs.repartition(7), 2, 80)
+    assert sorted(map(repr, again.collect())) == sorted(map(repr, got.collect()))
+    assert minhash.distinct_documents(docs_of(spark, []), 2, 80).count() == 0
+
+
+def test_heavy_groups_are_joined_alike(spark, monkeypatch):
+    from folioflow.llm.common import joined_to_groups
+
+    rows = spark.createDataFrame([(i % 3 if i < 4000 else i, i) for i in range(5000)], "k long, v long")
+    groups = rows.groupBy("k").count().withColumn("x", F.col("k") * 2).where("k <> 4500")
+    for how, n in (("inner", 4999), ("left", 5000)):
+        got = joined_to_groups(rows, groups, ["k"], "count", how)
+        assert got.count() == n and got.where("x <> 2 * k").count() == 0 and "Broadcast" in got._jdf.queryExecution().toString()
 
 
 def test_sketches_estimate_high_similarity():
@@ -73,7 +100,9 @@ VECTORS = "vec_id long, embedding array<float>, label int, score double, links l
 
 
 @pytest.mark.parametrize("shard_rows", [40, 8192])
-def test_near_vectors(spark, shard_rows):
+def test_near_vectors(spark, shard_rows, monkeypatch):
+    monkeypatch.setattr(hnsw, "SHARD_GROWTH", 0)
+    monkeypatch.setattr(hnsw, "BLOCK_SHARDS", 2)
     rng = np.random.default_rng(2)
     base = rng.normal(size=(30, 16))
     points = [*rng.normal(size=(150, 16)), *(b + rng.normal(size=16) * 0.28 for b in base for _ in range(6)), *(base[0] + rng.normal(size=16) * 0.05 for _ in range(80))]
@@ -100,6 +129,29 @@ def test_graph_recall():
     x = rng.normal(size=(1500, 24))
     x[500:1000] = x[0] + rng.normal(size=(500, 24)) * 0.15
     graph = hnsw.Layers((x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype(np.float32))
-    found = hnsw.linked(graph, x, x, 0.93)
-    true = hnsw._exact(hnsw._all(graph.unit, graph.unit, 0.9299), x, x, 0.93)
-    assert len(found[0]) >= 0.99 * len(true[0])
+    search = hnsw.Searcher(graph, x, np.ones(1500, np.int64), 0.93)
+    search.audit(x)
+    total, one = search.links(x, np.arange(1500))
+    i, j = hnsw._exact(*hnsw._all(graph.unit, graph.unit, 0.9299), x, x, 0.93)
+    true = np.bincount(i[i != j], minlength=1500)
+    assert (total <= true).all() and total.sum() >= 0.99 * true.sum() and ((one >= 0) == (total > 0)).all()
+    assert len(set(search.label[500:1000].tolist()) | {search.label[0]}) == 1
+
+
+def test_vectors_whose_id_or_scale_is_odd(spark):
+    rows = [(1, [1.0, 0.0, 0.0], 0), (1, [0.0, 1.0, 0.0], 0), (2, [1.0, 0.01, 0.0], 0), (1, [0.0, 1.0, 0.001], 1), (3, [0.0, 1.0, 0.0], 1), (0, [-0.0, 2.0, 0.0], 0)]
+    got = hnsw.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == sorted([(1, 1, 1, True), (1, 1, 0, False), (2, 1, 1, False), (1, 1, 1, True), (3, 1, 1, False), (0, 1, 0, True)])
+    big = [(1, [1e300, 1e299], "a"), (2, [2e300, 2e299], "a"), (3, [1e-300, 0.0], "a"), (4, [1.0, 1e-9], "a"), (5, [1.0, 0.41], "a"), (6, [5.0], "a"), (7, [0.1], "a")]
+    got = hnsw.near_vectors(spark.createDataFrame(big, "vec_id long, embedding array<double>, label string")).collect()
+    unit = {i: np.array(v) / max(v) for i, v, _ in big}
+    near = {(i, j) for i in unit for j in unit if i != j and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.93 * np.sqrt((unit[i] @ unit[i]) * (unit[j] @ unit[j]))}
+    assert {r.vec_id: r.n_links for r in got} == {i: sum(a == i for a, _ in near) for i in unit} and (1, 2) in near and (6, 7) in near and (3, 5) not in near
+
+
+def test_a_dense_cluster_is_folded(spark):
+    rng = np.random.default_rng(1)
+    points = rng.normal(size=16) + rng.normal(size=(2000, 16)) * 0.02
+    rows = [(i, np.float32(p).tolist(), 0) for i, p in enumerate(points)]
+    got = hnsw.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert {(r.n_links, r.component_id) for r in got} == {(1999, 0)}

@@ -2,6 +2,8 @@
 
 import math
 import random
+import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -14,16 +16,21 @@ from folioflow.llm import compaction, langid, quality, queries, toxicity
 from folioflow.llm.common import held_out, new_path, table
 
 
-def brute_code_length(word, counts):
+def brute_trees(texts):
+    """By context, how often each byte followed it."""
     times = defaultdict(Counter)
-    for w, n in counts.items():
-        s = b" " + w + b" "
-        for i in range(1, len(s)):
-            for o in range(min(i, langid.ORDER) + 1):
-                times[s[i - o : i]][s[i]] += n
-    s, bits = b" " + word + b" ", 0.0
-    for i in range(1, len(s)):
-        for o in range(min(i, langid.ORDER), -1, -1):
+    for text in texts:
+        s = b"\n" * langid.ORDER + text.lower().encode()
+        for i in range(langid.ORDER, len(s)):
+            for o in range(langid.ORDER + 1):
+                times[s[i - o : i]][s[i]] += 1
+    return times
+
+
+def brute_code_length(text, times):
+    s, bits = b"\n" * langid.ORDER + text.lower().encode(), 0.0
+    for i in range(langid.ORDER, len(s)):
+        for o in range(langid.ORDER, -1, -1):
             if c := times.get(s[i - o : i]):
                 total = sum(c.values()) + len(c)
                 if s[i] in c:
@@ -35,12 +42,45 @@ def brute_code_length(word, counts):
     return bits
 
 
-def test_code_lengths():
-    counts = {"en": {b"the": 3, b"then": 1, b"a": 2}, "de": {b"der": 2, b"die": 1}, "xx": {"é".encode(): 1}}
+def test_code_lengths(monkeypatch):
+    monkeypatch.setattr(langid, "BYTES", 7)
+    own = {"en": ["the then the", "a", "The 12."], "de": ["der die der", ""], "xx": ["é"]}
+    counts = {}
+    for lang, texts in own.items():
+        keys, n = np.unique(langid.grams(texts)[0], return_counts=True)
+        counts[lang] = (keys, n)
     trees = langid.ContextTrees.trained(counts)
-    words = [b"the", b"there", b"d", "é".encode(), b"qqqqqqq", b"a"]
-    want = [[brute_code_length(w, counts[lang]) for lang in trees.langs] for w in words]
-    assert np.allclose(trees.code_lengths(words), want)
+    texts = ["the", "there  the\n12", "", "d", "éa", "qqqqqqq", "a"]
+    want = [[brute_code_length(t, brute_trees(own[lang])) for lang in trees.langs] for t in texts]
+    assert np.allclose(trees.code_lengths(texts), want)
+
+
+def test_op8_against_a_brute_force_coder(spark):
+    docs = {r.doc_id: r for r in table(spark, SF, "documents").collect()}
+    by = defaultdict(list)
+    for r in docs.values():
+        if zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.lang is not None:
+            by[r.lang].append(r.text or "")
+    trees = {lang: brute_trees(texts) for lang, texts in sorted(by.items())}
+    got = queries.op8_language_id(spark, SF).collect()
+    assert sorted(r.doc_id for r in got) == sorted(docs)
+    for r in got:
+        text = docs[r.doc_id].text or ""
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+        if r.doc_id % 5 == 0 and len(text) < 3000:
+            bits = {lang: brute_code_length(text, t) for lang, t in trees.items()}
+            best = min(bits, key=bits.get)
+            want = (best, 1 / sum(2.0 ** max(bits[best] - b, -1000) for b in bits.values())) if any(map(str.isalpha, text)) else ("und", 0.0)
+            assert r.lang_pred == want[0] and abs(r.score - want[1]) < 1e-6
+
+
+def test_a_language_of_long_texts_is_learned(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices(LANGS[lang].split(), k=20 if lang == "en" else 9000)), lang) for i in range(40) for lang in [("en", "de")[i % 2]]]
+    docs = docs_of(spark, rows)
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs, langid.train(docs)).collect()}
+    assert got == {i: lang for i, _, lang in rows}
+    assert langid.train(docs, sample_rows=2, total_rows=2).langs == ("de", "en")
 
 
 LANGS = {"en": "the of and to in that it is was for", "de": "der die und in den von zu das mit sich", "fr": "le de un et la les des en que est"}
@@ -107,11 +147,66 @@ def test_toxicity_indexes_all_terms(spark):
     model = toxicity.fit(docs, known)
     got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
     learned = [text for i, text in rows if not got[i].held_out]
-    assert set(model.number) == {t for text in learned for word in text.split() for t in toxicity.terms_of(word)}
+    assert set(model.number) == {t for text in learned for t in toxicity.terms_of(text)}
     scores = [[got[i].score for i, _, toxic in labels if got[i].held_out and toxic == c] for c in (0, 1)]
     assert np.mean(scores[1]) > np.mean(scores[0]) + 0.5
 
 
+def test_few_labels_are_enough_to_tell_apart(spark):
+    rows = [(i, f"{'vile' if i % 2 else 'kind'} word{i % 7} other{i % 5}") for i in range(120)]
+    labels = [(i, 1, i % 2) for i in range(40)]
+    docs = docs_of(spark, rows)
+    got = toxicity.score(docs, toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))).collect()
+    assert all((r.score > 0.5) == bool(r.doc_id % 2) for r in got)
+
+
+def test_op2_against_brute_force(spark):
+    """Cosines over all words of whole texts, votes and calibration, document by document."""
+    texts = {r.doc_id: r.text or "" for r in table(spark, SF, "documents").collect()}
+    marks = {r.doc_id: r.toxic for r in table(spark, SF, "labels").collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.toxic is not None}
+    words = {i: Counter(re.findall(r"[^\W\d_]+", t.lower())) for i, t in texts.items()}
+    firsts = {}
+    for i in sorted(marks):
+        firsts.setdefault((marks[i], texts[i]), i)
+    sample = sorted(i for i in firsts.values() if words[i])
+    n = [sum(1 for i in firsts.values() if marks[i] == c) for c in (0, 1)]
+    counts = [Counter(t for i in sample if marks[i] == c for t in words[i]) for c in (0, 1)]
+    spread, s = Counter(t for w in words.values() for t in w), toxicity.SMOOTHING
+    weight = {
+        t: (math.log((1 + len(texts)) / (1 + spread[t])) + 1) * max(abs(math.log((counts[1][t] + s) / (n[1] + 2 * s) * (n[0] + 2 * s) / (counts[0][t] + s))), toxicity.LEAST_ASSOCIATION)
+        for t in counts[0].keys() | counts[1].keys()
+    }
+
+    def vector(c):
+        v = {t: (1 + math.log(k)) * weight[t] for t, k in c.items() if t in weight}
+        length = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / length for t, x in v.items()}
+
+    vectors = {i: vector(words[i]) for i in texts}
+    total = [sum(1 for m in marks.values() if m == c) for c in (0, 1)]
+    rate, share = total[1] / sum(total), [total[c] / n[c] for c in (0, 1)]
+
+    def near(v, without=None):
+        sims = ((round(sum(x * vectors[j].get(t, 0.0) for t, x in v.items()), 12), j) for j in sample if j != without)
+        return sorted((-x, j) for x, j in sims if x > 0)[: toxicity.NEIGHBOURS]
+
+    def vote(found):
+        w = [(-x * share[marks[j]], marks[j]) for x, j in found]
+        return (sum(x for x, m in w if m) + toxicity.PRIOR * rate) / (sum(x for x, _ in w) + toxicity.PRIOR)
+
+    left = sorted((vote(f), marks[i]) for i in sample if (f := near(vectors[i], i)))
+    steps, values = toxicity.isotonic(np.array([x for x, _ in left]), np.array([float(m) for _, m in left]), np.array([share[m] for _, m in left]))
+    got = {r.doc_id: r for r in queries.op2_toxicity(spark, SF).collect()}
+    assert sorted(got) == sorted(texts)
+    for i, r in got.items():
+        found = near(vectors[i])
+        assert [(e.doc_id, e.toxic) for e in r.evidence] == [(j, marks[j]) for _, j in found[:3]]
+        assert np.allclose([e.similarity for e in r.evidence], [-x for x, _ in found[:3]])
+        at = vote(found) if found else 0.0
+        if found and min(abs(steps - at)) > 1e-9:
+            assert abs(r.score - values[max(0, np.searchsorted(steps, at, "right") - 1)]) < 1e-9 and r.predicted == int(r.score >= 0.7)
+
+
 def test_held_out_labels_are_not_learned(spark):
     rows, labels = toxic_rows(random.Random(2), 200)
     docs = docs_of(spark, rows)
@@ -126,7 +221,7 @@ def test_block_max_search_is_exact():
     idf = rng.uniform(1, 5, 40)
     examples = []
     for i in range(500):
-        counts = Counter({int(t): int(rng.integers(1, 4)) for t in rng.integers(0, 40, rng.integers(1, 7))})
+        counts = {int(t): int(rng.integers(1, 4)) for t in rng.integers(0, 40, rng.integers(1, 7))}
         examples.append(toxicity.Example(i, i % 2, *toxicity.unit_vector(counts, idf)))
     index = toxicity.BlockMaxIndex(examples, 40, block=16)
     dense = np.zeros((500, 40))
@@ -136,7 +231,7 @@ def test_block_max_search_is_exact():
         scores = dense @ dense[e.doc_id]
         scores[e.doc_id] = -1
         want = sorted(((-round(float(s), 12), i) for i, s in enumerate(scores) if s > 0))[:10]
-        assert [(-s, x.doc_id) for s, x in index.nearest(e.terms, e.weights, 10, without=e.doc_id)] == want
+        assert [(-s, int(index.ids[x])) for s, x in index.nearest(e.terms, e.weights, 10, without=e.doc_id)] == want
 
 
 def test_isotonic_fit_rises():
@@ -159,15 +254,29 @@ def brute_repeats(words, least):
     return longest, covered
 
 
+def brute_intervals(words, least):
+    """(length, starts) of passages that no longer one with the same starts holds."""
+    starts, found = defaultdict(set), {}
+    for k in range(least, len(words)):
+        for i in range(len(words) - k + 1):
+            starts[tuple(words[i : i + k])].add(i)
+    for passage, at in starts.items():
+        if len(at) > 1:
+            found[tuple(sorted(at))] = max(len(passage), found.get(tuple(sorted(at)), 0))
+    return {(k, at) for at, k in found.items()}
+
+
 def test_repeats():
     rng = random.Random(0)
     for _ in range(200):
         words = np.array([rng.randrange(rng.choice([1, 2, 4, 30])) for _ in range(rng.randrange(50))])
         least = rng.randrange(1, 6)
-        longest, mask = quality.repeat_spans(words, least)
+        longest, mask, passages = quality.repeats(words, least)
         assert (longest, set(np.flatnonzero(mask).tolist())) == brute_repeats(words.tolist(), least)
-        for length, starts in quality.maximal_repeats(words, least):
-            assert len(starts) > 1 and len({tuple(words[s : s + length].tolist()) for s in starts}) == 1
+        order, common = quality.suffix_array(words)
+        intervals = quality.lcp_intervals(common, least)
+        found = {(length, tuple(sorted(order[left:right].tolist()))) for length, left, right in intervals}
+        assert len(found) == passages == len(intervals) and found == brute_intervals(words.tolist(), least)
 
 
 def brute_base(text):
@@ -187,7 +296,12 @@ def test_repetition_rules(spark):
     texts += ["\n".join(" ".join(rng.choice("abc") for _ in range(rng.randrange(8))) for _ in range(12)) for _ in range(40)]
     got = {r.doc_id: r for r in quality.repetition_rules(docs_of(spark, list(enumerate(texts)))).collect()}
     for i, t in enumerate(texts):
-        assert tuple(got[i])[1:7] == brute_base(t), t
+        base = brute_base(t)
+        assert tuple(got[i])[1:7] == base, t
+        if base[0] < 2000:
+            longest, covered = brute_repeats((t or "").encode().split(), 8)
+            assert tuple(got[i])[7:9] == (longest, len(covered)), t
+            assert got[i].kept == (not base[5] and len(covered) <= 0.2 * base[0] and longest <= 60), t
     assert got[3].kept and not got[4].kept and got[5].longest_repeat >= 70 and not got[5].base_failed and not got[5].kept
     assert quality.repetition_rules(docs_of(spark, [])).count() == 0
 
@@ -220,10 +334,42 @@ def test_compaction(spark):
     assert len(shards.manifest()) < before / 3 and key(shards.read()) == key(docs) == key(shards.read(old))
     assert sum(s.rows for s in shards.manifest()) == docs.count()
     with pytest.raises(RuntimeError):
-        shards._commit(old, [])
+        shards._commit(old, [], docs.schema)
+    assert shards.versions()[:6] == [1, 2, 3, 4, 5, 6]  # four arrivals, one late, one empty
     shards.vacuum()
-    assert len(shards.versions()) == 1 and key(shards.read(with_shard=True)) == key(docs)
+    assert len(shards.versions()) == 1 and key(shards.read(shard_column="shard")) == key(docs)
+    assert {r.shard for r in shards.read(shard_column="shard").collect()} == {s.shard for s in shards.manifest()}
     assert shards.compact() == shards.versions()[-1]
+    with pytest.raises(ValueError):
+        shards.read(shard_column="Score")
+
+
+def test_compaction_keeps_all_columns(spark):
+    shards = compaction.ShardedTable(spark, new_path(spark, "shards"), fanout=2)
+    with pytest.raises(ValueError):
+        shards.read()
+    odd = "doc_id long, text string, _arrival string, _metadata int, shard string, `a.b` string"
+    shards.append(spark.createDataFrame([(1, "a", "mine", 7, "s", "dot")], odd), "one")
+    shards.append(spark.createDataFrame([(2, "b")], "doc_id long, text string"), "two")
+    shards.append_each(spark.createDataFrame([(3, "x/ y", "theirs")], "doc_id long, text string, _arrival string"), F.lit("day = 1/2"))
+    with pytest.raises(ValueError):
+        shards.append(spark.createDataFrame([("4",)], "doc_id string"), "other type")
+    assert {s.arrival for s in shards.manifest()} == {"one", "two", "day = 1/2"}
+    want = [(1, "a", "mine", 7, "s", "dot"), (2, "b", *[None] * 4), (3, "x/ y", "theirs", *[None] * 3)]
+    for step in (lambda: None, shards.compact, shards.vacuum):
+        step()
+        assert sorted(map(tuple, shards.read().collect())) == want and "a.b" in shards.read().columns
+    assert len(shards.manifest()) == 1
+
+
+def test_compaction_of_nothing(spark):
+    shards = compaction.ShardedTable(spark, new_path(spark, "shards"))
+    shards.append(docs_of(spark, []), "empty")
+    shards.append_each(docs_of(spark, []), F.lit("none"))
+    assert shards.compact() == 2 and shards.read().count() == 0 and shards.read().columns == docs_of(spark, []).columns
+    left = spark.createDataFrame([(1,)], "x int")
+    left.write.parquet(f"{shards.folder}/shards/failed")
+    assert shards.vacuum() == 0 and shards.vacuum(orphan_seconds=-5) == 2  # the failed write and the folder of no rows
 
 
 def test_op6_has_every_row(spark):
@@ -248,3 +394,29 @@ def test_pipeline(spark):
         assert name == "packing" or docs.columns == columns
     assert counts[0] >= counts[1] >= counts[2] > counts[3] > 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "toxicity", "near_duplicates", "packing"]
+    assert corpus_pipeline.run(spark, SF).count() == counts[4]
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    rows, labels = toxic_rows(random.Random(8), 150)
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    odd = [(None, None), (None, rows[1][1]), (900, ""), (901, "12 34"), (2, rows[2][1]), (2, rows[2][1]), (902, rows[2][1].upper()), (903, "abc de " * 30_000)]
+    schema = "doc_id long, text string, lang string, lang_pred string, `a.b` int, row string, score double, held_out boolean, kept boolean, _doc_id long, gone boolean"
+    docs = spark.createDataFrame([(i, t, "en" if (i or 0) % 3 else None, "x", 1, "r", 0.5, True, False, 3, True) for i, t in rows + odd], schema)
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns, name
+        found = sorted(map(repr, ((r.doc_id, r.text) for r in got.collect())))
+        if name == "language":
+            assert found == sorted(map(repr, (r for r in rows + odd if r not in [(None, None), (900, ""), (901, "12 34")])))
+            assert {r.lang for r in got.collect()} == {"en"}
+        if name == "near_duplicates":
+            assert found == sorted(map(repr, [*rows, *(r for r in odd if r[0] not in (2, 902))]))
+        if name == "toxicity":
+            assert 120 <= len(found) <= len(rows) + len(odd) - 20
+    packed = corpus_pipeline.packed(spark, docs, str(tmp_path))
+    assert packed.select("doc_id").distinct().count() == len({i for i, _ in rows + odd})
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name

@@ -8,13 +8,14 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from conftest import SF
 from helpers import docs_of
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from folioflow.llm import bpe, counts, packing, sstable
-from folioflow.llm.common import new_path
+from folioflow.llm import bpe, counts, packing, queries, sstable
+from folioflow.llm.common import new_path, table
 from folioflow.llm.tokenize import default_word_file, word_tokens
 
 WORDS, RANKS = default_word_file(), public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -59,6 +60,14 @@ def test_caches_of_any_size_give_the_same():
         assert [coder.encode(t) for t in texts] == [TIKTOKEN.encode_ordinary(t) for t in texts]
 
 
+def test_the_cache_of_ids_is_bounded():
+    for text in ("a{}  b{} ", "a{} b{}"):
+        coder = bpe.TextCoder(RANKS, public_tokenizers.PATTERN, limit=10)
+        for i in range(300):
+            coder.encode(text.format(i, i))
+        assert len(coder) <= 20 and len(coder.old) <= 20
+
+
 def test_byte_bpe_of_documents(spark):
     got = bpe.code_documents(docs_of(spark, ROWS), RANKS, public_tokenizers.PATTERN).collect()
     want = []
@@ -108,8 +117,8 @@ def test_shards_of_documents(spark):
     assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1]]
     assert [r.doc_id for r in got] == sorted((d for d, _ in ROWS), key=lambda d: (d is not None, d or 0))
     assert sorted(repr((d, len(ids_of(t)) + 1, crc([*ids_of(t), 1]))) for d, t in ROWS) == sorted(repr((r.doc_id, r.n_tokens, r.ids_crc32)) for r in got)
-    found = sstable.lookup(spark, folder, [6, -5, 7])
-    assert [sorted(x.tolist() for x in found[k]) for k in (6, -5, 7)] == [sorted([*ids_of(t), 1] for d, t in ROWS if d == 6), [[*ids_of("negative"), 1]], []]
+    found = [(r.doc_id, r.ids) for r in sstable.lookup(spark, folder, [6, -5, 7]).collect()]
+    assert [sorted(ids for d, ids in found if d == k) for k in (6, -5, 7)] == [sorted([*ids_of(t), 1] for d, t in ROWS if d == 6), [[*ids_of("negative"), 1]], []]
 
 
 def test_no_documents_make_no_shards(spark):
@@ -144,6 +153,30 @@ def test_counts_come_once(spark):
     steps = [("1", rows, "insert", None, "w"), ("2", rows[:1], "delete", "w", None), ("3", rows[2:3], "revise", "w", "b"), ("4", [], "insert", None, "w")]
     for name, some, *how in [*steps, *steps]:
         rollup.commit(name, lambda some=some, how=how: counts.deltas(events(some, *how), versions))
+    assert rollup.fold() and not rollup.commit("2", lambda: None) and rollup.fold()
+    rollup.commit("5", lambda: counts.deltas(events(rows[:1], "insert", None, "w"), versions))
+    rollup.commit("6", lambda: counts.deltas(events(rows[:1], "delete", "w", None), versions))
+    assert len(rollup._parts()[1]) == 3
     got = {(r.source, r.lang, r.version): (r.documents, r.tokens) for r in rollup.totals().collect()}
-    assert rollup.committed() == ["1", "2", "3", "4"]
+    assert rollup.committed() == ["1", "2", "3", "4", "5", "6"]
     assert got == {("s", "en", "w"): (1, 0), (None, "de", "b"): (1, len(TIKTOKEN.encode_ordinary("drei vier"))), ("t", None, "w"): (1, len(ids_of("x" * 3000)))}
+
+
+def test_op9_against_brute_force(spark):
+    want = {}
+    for r in table(spark, SF, "documents").collect():
+        if r.source != queries.WITHDRAWN:
+            version = queries.BYTES if r.lang == queries.RETOKENIZED else queries.WORDS
+            n = len(TIKTOKEN.encode_ordinary(r.text or "") if version == queries.BYTES else ids_of(r.text))
+            documents, tokens = want.get((r.source, r.lang, version), (0, 0))
+            want[r.source, r.lang, version] = documents + 1, tokens + n
+    assert {(r.source, r.lang, r.version): (r.documents, r.tokens) for r in queries.op9_token_counts(spark, SF).collect()} == want
+
+
+def test_op5_against_the_library(spark):
+    start, want = 0, []
+    for r in sorted(table(spark, SF, "documents").collect(), key=lambda r: r.doc_id):
+        ids = [*ids_of(r.text), 1]
+        want.append((r.doc_id, start, len(ids), crc(ids)))
+        start += len(ids)
+    assert sorted(map(tuple, queries.op5_sorted_token_shards(spark, SF).select("doc_id", "start", "n_tokens", "ids_crc32").collect())) == want
