@@ -60,6 +60,33 @@ def short_number(value: Column) -> Column:
     return F.when(F.abs(value) >= 1e6, F.concat(text(value / 1e6), F.lit("M"))).when(F.abs(value) >= 1e3, F.concat(text(value / 1e3), F.lit("k"))).otherwise(text(value))
 
 
+def percentage(value: Column, places: int = 1) -> Column:
+    return F.concat(F.format_string(f"%.{places}f", value * 100.0), F.lit("%"))
+
+
+def fixed(value: Column, places: int = 2) -> Column:
+    return F.format_string(f"%.{places}f", value * 1.0)
+
+
+def iso_time(time: Column) -> Column:
+    """A UTC timestamp as ISO text with milliseconds; the session's zone is to be UTC."""
+    return F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def epoch_milliseconds(time: Column) -> Column:
+    return F.unix_millis(time.cast("timestamp"))
+
+
+# Parts of a header, in any case, that tell of a column with projected figures.
+PROJECTION_WORDS = ("FP", "Proyección", "Proyeccion", "Forecast", "Estimate", "Estimado", "Projection", "Projected", "Capacidad", "Plan", "Target", "Objetivo")
+
+
+def header_kind(header: Column) -> Column:
+    """year, projection or other."""
+    words = F.array(*(F.lit(w.lower()) for w in PROJECTION_WORDS))
+    return F.when(header.rlike(r"^(19|20)\d{2}$"), "year").when(F.exists(words, lambda w: F.contains(F.lower(header), w)), "projection").otherwise("other")
+
+
 def relation_type(name: Column) -> Column:
     """A relationship type that can be a label: upper case, other characters as underscores, never starting with a digit."""
     bare = F.regexp_replace(F.upper(name), "[^A-Z0-9_]", "_")

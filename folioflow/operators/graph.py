@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioflow.functions.values import normal_name, same_name
+from folioflow.operators.chunking import folded
 from folioflow.plans.lineage import cut
 
 
@@ -24,6 +24,40 @@ def parsed_tuples(responses: DataFrame, key: str, text: str) -> tuple[DataFrame,
     return last, relations
 
 
+def parsed_records(responses: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """As parsed_tuples(), of records that a line with a semicolon parts: four parts or more, all descriptions of a name in order
+    of place as an array, and relationships (key, position, source, target, description, type), all of type connects_to."""
+    records = responses.select(key, F.posexplode(F.split(F.trim(text), "\n;\n")).alias("position", "record"))
+    bare = F.regexp_replace(F.regexp_replace("record", r"^\s+|\s+$", ""), r'^[()"]+|[()"]+$', "")
+    parts = records.withColumn("p", F.split(bare, r"\|")).where(F.size("p") >= 4)
+    at = lambda i: F.trim(F.col("p")[i])
+    kind = F.lower(F.regexp_replace(F.col("p")[0], '^"+|"+$', ""))
+    rows = parts.select(key, "position", kind.alias("_kind"), at(1).alias("one"), at(2).alias("two"), at(3).alias("description")).where("one <> '' and two <> ''")
+    found = rows.where("_kind = 'entity'").withColumn("description", F.regexp_replace("description", r"^\)+|\)+$", ""))
+    place = F.struct("position", "description")
+    entities = found.groupBy(key, F.col("one").alias("name")).agg(F.min_by("two", "position").alias("type"), F.transform(F.sort_array(F.collect_list(place)), lambda x: x["description"]).alias("descriptions"))
+    relations = rows.where("_kind = 'relationship'").select(key, "position", F.col("one").alias("source"), F.col("two").alias("target"), "description", F.lit("connects_to").alias("type"))
+    return entities, relations
+
+
+def parsed_listing(responses: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Entities (key, position, name, type, description) from lines `Name [Type]: text` below ENTITIES: and relationships (key,
+    position, source, target, type, description) from lines `A [type] B: text` below RELATIONSHIPS:. Answers that lack a part give
+    nothing; a missing description is empty."""
+    whole = responses.where(F.contains(text, F.lit("ENTITIES:")) & F.contains(text, F.lit("RELATIONSHIPS:")))
+    parts = F.split(text, "RELATIONSHIPS:")
+
+    def lines(part: Column) -> DataFrame:
+        return whole.select(key, F.posexplode(F.split(part, "\n")).alias("position", "line")).withColumn("line", F.trim("line"))
+
+    entity, relation = r"^([^\[\]:]*)\[([^\]:]*)\][^:]*:(.*)$", r"^([^\[]*)\[([^\]]*)\]([^:\]]*)(?::(.*))?$"
+    group = lambda pattern, i: F.trim(F.regexp_extract("line", pattern, i))
+    found = lines(F.replace(parts[0], F.lit("ENTITIES:"), F.lit(""))).where(F.col("line").rlike(entity))
+    entities = found.select(key, "position", group(entity, 1).alias("name"), group(entity, 2).alias("type"), group(entity, 3).alias("description"))
+    found = lines(parts[1]).where(F.col("line").rlike(relation))
+    return entities, found.select(key, "position", group(relation, 1).alias("source"), group(relation, 3).alias("target"), group(relation, 2).alias("type"), group(relation, 4).alias("description"))
+
+
 def merged_entities(mentions: DataFrame, name: str, kind: str, description: str, chunk: str, order: str) -> DataFrame:
     """(name, type, summary, chunks): the first type wins; the first three distinct descriptions in order; chunks as a set."""
     firsts = mentions.groupBy(F.col(name).alias("name"), F.col(description).alias("d")).agg(F.min(order).alias("at"))
@@ -33,9 +67,10 @@ def merged_entities(mentions: DataFrame, name: str, kind: str, description: str,
     return merged.join(summary, "name", "left")
 
 
-def merged_relations(relations: DataFrame) -> DataFrame:
-    """Strengths summed over equal (source, target, description)."""
-    return relations.groupBy("source", "target", "description").agg(F.sum("strength").alias("strength"), F.count("*").alias("mentions"))
+def merged_relations(relations: DataFrame, chunk: str | None = None) -> DataFrame:
+    """Strengths summed over equal (source, target, description); chunk: a column whose distinct values are listed in order."""
+    lists = [F.sort_array(F.collect_set(chunk)).alias("chunks")] if chunk else []
+    return relations.groupBy("source", "target", "description").agg(F.sum("strength").alias("strength"), F.count("*").alias("mentions"), *lists)
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -50,6 +85,48 @@ def resolved(edges: DataFrame, vertices: DataFrame, name: str) -> DataFrame:
     return edges.join(ends, edges["source"] == ends["_name"], "left_semi").join(ends.toDF("_name"), F.col("target") == F.col("_name"), "left_semi")
 
 
+def placed_claims(claims: DataFrame, vertices: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(claims whose subject is a vertex, their edges to vertices). claims: id, subject, object and more columns, the last
+    wins where an id repeats (by order of updated); edges (claim, vertex, type): HAS_CLAIM from the subject, REFERS_TO the object
+    where that is a vertex too."""
+    ends = vertices.select(F.col(name).alias("_name")).distinct()
+    last = claims.withColumn("_n", F.row_number().over(W.partitionBy("id").orderBy(F.desc("updated")))).where("_n = 1").drop("_n")
+    kept = last.join(ends, last["subject"] == ends["_name"], "left_semi")
+    edges = kept.select(F.col("id").alias("claim"), F.explode(F.array(F.struct(F.col("subject").alias("vertex"), F.lit("HAS_CLAIM").alias("type")), F.struct(F.col("object").alias("vertex"), F.lit("REFERS_TO").alias("type")))).alias("e")).select("claim", "e.*")
+    return kept, edges.join(ends, F.col("vertex") == F.col("_name"), "left_semi")
+
+
+def entities_named(vertices: DataFrame, name: str, value: str) -> DataFrame:
+    return vertices.where(F.col(name) == value)
+
+
+def entities_like(vertices: DataFrame, kind: str, part: str) -> DataFrame:
+    """Those whose type holds the text."""
+    return vertices.where(F.contains(kind, F.lit(part)))
+
+
+def claims_of(claims: DataFrame, edges: DataFrame, vertex: str) -> DataFrame:
+    """Claims with an edge to the vertex, with the types of these edges."""
+    mine = edges.where(F.col("vertex") == vertex).groupBy(F.col("claim").alias("id")).agg(F.sort_array(F.collect_set("type")).alias("edges"))
+    return claims.join(mine, "id")
+
+
+def directed_paths(edges: DataFrame, vertices: DataFrame, start_type: str, end_type: str, hops: int = 3) -> DataFrame:
+    """(names, types): directed walks of 1 to hops edges, none used twice, from vertices whose type holds one text to those whose
+    type holds another. edges: source, target, type; vertices: name, type. Names and edge types along the way as arrays."""
+    steps = edges.select("source", "target", F.col("type").alias("_type"), F.xxhash64("source", "target", "type").alias("_edge"))
+    starts = entities_like(vertices, "type", start_type).select(F.col("name").alias("_at"), F.array("name").alias("names"))
+    walk = starts.withColumn("types", F.array().cast("array<string>")).withColumn("_used", F.array().cast("array<long>"))
+    ends = entities_like(vertices, "type", end_type).select(F.col("name").alias("_at")).distinct()
+    found = None
+    for _ in range(hops):
+        step = walk.join(steps, F.col("_at") == F.col("source")).where(~F.array_contains("_used", F.col("_edge")))
+        walk = step.select(F.col("target").alias("_at"), F.array_append("names", F.col("target")).alias("names"), F.array_append("types", F.col("_type")).alias("types"), F.array_append("_used", F.col("_edge")).alias("_used"))
+        some = walk.join(ends, "_at", "left_semi").select("names", "types")
+        found = some if found is None else found.unionByName(some)
+    return found
+
+
 def undirected(edges: DataFrame) -> DataFrame:
     """(a, b, weight): one edge for each pair that is joined either way, loops out."""
     pairs = edges.where("source <> target").select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"), "strength")
@@ -72,13 +149,31 @@ def paths_from(edges: DataFrame, start: list, hops: int) -> DataFrame:
 
 
 def similar_names(names: DataFrame, name: str, kind: str) -> DataFrame:
-    """(type, a, b) pairs of one type whose names match closely. Names are compared only if they share a word or their first
-    three letters, so no pair of all is formed."""
-    base = names.select(F.col(kind).alias("type"), F.col(name).alias("n")).distinct()
-    plain = normal_name(F.col("n"))
-    blocks = base.select("type", "n", F.explode(F.array_distinct(F.concat(F.split(plain, " "), F.array(F.concat(F.lit("^"), F.left(plain, F.lit(3))))))).alias("block"))
-    other = blocks.select("type", "block", F.col("n").alias("b"))
-    pairs = blocks.withColumnRenamed("n", "a").join(other, ["type", "block"]).where("a < b").select("type", "a", "b").distinct()
+    """(type, a, b) pairs of one type whose names match by same_name().
+
+    Names can match by words and edits only if over five eighths of all their words are shared, so such pairs share one of
+    the few rarest words of each. Otherwise one name holds the other and is less than twice as long, so it holds the rarest
+    three letters of that one. Candidates are joined by these, which are rare; no pair of all is formed and none is missed.
+    """
+    base = names.select(F.col(kind).alias("type"), F.col(name).alias("n")).distinct().where("n is not null")
+    base = base.withColumn("plain", normal_name(F.col("n"))).withColumn("len", F.length("plain"))
+    words = base.select("type", "n", F.explode(F.array_distinct(F.split("plain", " "))).alias("word"))
+    spread = words.groupBy("type", "word").agg(F.count("*").alias("times"))
+    each = W.partitionBy("type", "n")
+    ranked = words.join(spread, ["type", "word"]).withColumn("rank", F.row_number().over(each.orderBy("times", "word"))).withColumn("of", F.count("*").over(each))
+    rare = ranked.where(F.col("rank") <= F.col("of") - F.ceil(0.625 * F.col("of")) + 1)
+    by_word = rare.select("type", "word", F.col("n").alias("a")).join(rare.select("type", "word", F.col("n").alias("b")), ["type", "word"])
+    cut = lambda width: F.transform(F.sequence(F.lit(1), F.col("len") - (width - 1)), lambda i: F.substring("plain", i, width))
+    grams = base.where("len >= 3").select("type", "n", "len", F.explode(F.array_distinct(cut(3))).alias("gram"))
+    times = grams.groupBy("type", "gram").agg(F.count("*").alias("times"))
+    rarest = grams.join(times, ["type", "gram"]).groupBy("type", "n", "len").agg(F.min_by("gram", F.struct("times", "gram")).alias("gram"))
+    # names of one or two letters stand whole in names of at most three
+    rarest = rarest.unionByName(base.where("len in (1, 2)").select("type", "n", "len", F.col("plain").alias("gram")))
+    small = base.where("len between 2 and 3").select("type", "n", "len", F.explode(F.array_distinct(F.concat(cut(1), cut(2)))).alias("gram"))
+    index = grams.unionByName(small).select("type", "gram", F.col("n").alias("b"), F.col("len").alias("lb"))
+    held = rarest.select("type", "gram", F.col("n").alias("a"), F.col("len").alias("la")).join(index, ["type", "gram"]).where("la <= lb and lb < 2 * la")
+    pairs = by_word.select("type", "a", "b").union(held.select("type", "a", "b")).where("a <> b")
+    pairs = pairs.select("type", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return pairs.where(same_name(F.col("a"), F.col("b")))
 
 
@@ -105,24 +200,51 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 def local_moves(edges: DataFrame, rounds: int = 6) -> DataFrame:
     """(node, community) by greedy moves that raise modularity: in each round half of the nodes, by a hash that changes,
-    move to the neighbouring community of the largest gain, so that two neighbours seldom swap places."""
-    both = cut(edges.select("a", "b", "weight").union(edges.select("b", "a", "weight")))
-    degree = cut(both.groupBy(F.col("a").alias("node")).agg(F.sum("weight").cast("double").alias("d")))
+    move to the neighbouring community of the largest gain, so that two neighbours seldom swap places. Edges: a, b, weight;
+    an edge from a node to itself counts twice for its degree."""
+    both = cut(edges.select("a", "b", "weight").union(edges.where("a <> b").select("b", "a", "weight")))
+    degree = cut(both.groupBy(F.col("a").alias("node")).agg(F.sum(F.when(F.col("a") == F.col("b"), 2 * F.col("weight")).otherwise(F.col("weight"))).cast("double").alias("d")))
     m2 = degree.agg(F.sum("d")).first()[0] or 1.0
     labels = degree.select("node", F.col("node").alias("community"))
     for i in range(rounds):
         sums = labels.join(degree, "node").groupBy("community").agg(F.sum("d").alias("total"))
-        near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("n"), "community").agg(F.sum("weight").cast("double").alias("w"))
+        near = both.where("a <> b").join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("n"), "community").agg(F.sum("weight").cast("double").alias("w"))
         own = labels.join(degree, "node").select(F.col("node").alias("n"), F.col("community").alias("own"), "d")
-        gain = near.join(own, "n").join(sums, "community")
+        gain = own.join(near, "n", "left").select("n", "own", "d", F.coalesce("community", "own").alias("community"), F.coalesce("w", F.lit(0.0)).alias("w")).join(sums, "community")
+        # staying is worth what ties the node to the rest of its own community, if anything does
+        stay = gain.where("community = own").select("n", "w")
         rest = F.col("total") - F.when(F.col("community") == F.col("own"), F.col("d")).otherwise(0.0)
         gain = gain.select("n", "community", "own", (F.col("w") - F.col("d") * rest / m2).alias("gain"))
-        best = gain.groupBy("n", "own").agg(F.max_by("community", F.struct("gain", F.when(F.col("community") == F.col("own"), 1).otherwise(0), -F.col("community"))).alias("best"))
+        home = own.join(stay, "n", "left_anti").join(sums.withColumnRenamed("community", "own"), "own").select("n", F.col("own").alias("community"), "own", (-F.col("d") * (F.col("total") - F.col("d")) / m2).alias("gain"))
+        gain = gain.unionByName(home)
+        best = gain.groupBy("n", "own").agg(F.max_by("community", F.struct(F.round("gain", 9), F.when(F.col("community") == F.col("own"), 1).otherwise(0), -F.col("community"))).alias("best"))
         moved = F.when(F.pmod(F.xxhash64("n", F.lit(i)), F.lit(2)) == 0, F.col("best")).otherwise(F.col("own"))
         labels = cut(best.select(F.col("n").alias("node"), moved.alias("community")))
     return labels
 
 
+def louvain(edges: DataFrame, levels: int = 3, rounds: int = 6) -> DataFrame:
+    """(node, community): local moves, then the communities as nodes whose edges are their summed edges, and so on until a level
+    merges nothing. A community is named by its smallest node."""
+    held = None
+    for _ in range(levels):
+        found = local_moves(edges, rounds)
+        names = found.groupBy("community").agg(F.min("node").alias("name"))
+        found = cut(found.join(names, "community").select("node", F.col("name").alias("community")))
+        held = found if held is None else cut(held.join(found.toDF("community", "upper"), "community").select("node", F.col("upper").alias("community")))
+        if found.where("node <> community").isEmpty():
+            break
+        a, b = found.toDF("a", "ca"), found.toDF("b", "cb")
+        ends = edges.join(a, "a").join(b, "b").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), "weight")
+        edges = cut(ends.groupBy("a", "b").agg(F.sum("weight").alias("weight")))
+    return held
+
+
+def reported_communities(labels: DataFrame, least: int = 2) -> DataFrame:
+    """(community, size) of at least that many members, largest first."""
+    return labels.groupBy("community").agg(F.count("*").alias("size")).where(F.col("size") >= least).orderBy(F.desc("size"), "community")
+
+
 def community_summary(labels: DataFrame, vertices: DataFrame, node: str, kind: str, least: int = 2, top: int = 10) -> DataFrame:
     """(community, size, members, types): the largest communities with their first members and the types of these."""
     sizes = labels.groupBy("community").agg(F.count("*").alias("size")).where(F.col("size") >= least).orderBy(F.desc("size"), "community").limit(top)
@@ -135,23 +257,78 @@ def community_summary(labels: DataFrame, vertices: DataFrame, node: str, kind: s
     )
 
 
+def linked_groups(edges: DataFrame) -> DataFrame:
+    """(node, group): connected components of edges (a, b), named by their smallest node. Each round takes the smallest group
+    around and then that group's own, so long chains shorten by half; hubs are only ever aggregated."""
+    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    groups = cut(both.select(F.col("a").alias("node")).distinct().withColumn("group", F.col("node")))
+    while True:
+        near = both.join(groups, both["b"] == groups["node"]).groupBy("a").agg(F.min("group").alias("near"))
+        least = groups.join(near, groups["node"] == near["a"]).select("node", "group", F.least("group", "near").alias("least"))
+        # what a whole group sees is its new name, and that group's name in turn
+        to = cut(least.groupBy("group").agg(F.min("least").alias("to")))
+        onward = to.select(F.col("group").alias("to"), F.col("to").alias("onward"))
+        to = to.join(onward, "to", "left").select("group", F.coalesce("onward", "to").alias("to"))
+        moved = cut(groups.join(to, "group").select("node", F.col("to").alias("group"), (F.col("to") != F.col("group")).alias("moved")))
+        groups = moved.select("node", "group")
+        if moved.where("moved").isEmpty():
+            return groups
+
+
 def name_clusters(names: DataFrame, pairs: DataFrame, name: str, kind: str) -> DataFrame:
     """(type, name, canonical): longest names first take the names that match them and that none has taken; pairs is what
-    similar_names() found, so only names that match some other are walked, type by type."""
+    similar_names() found, so only names that match some other are walked, one connected group of them after the other."""
 
-    def run(table: pd.DataFrame) -> pd.DataFrame:
+    def walk(a: list[str], b: list[str]) -> list[tuple]:
         near: dict[str, set[str]] = {}
-        for a, b in zip(table["a"], table["b"], strict=True):
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
+        for x, y in zip(a, b, strict=True):
+            near.setdefault(x, set()).add(y)
+            near.setdefault(y, set()).add(x)
         taken: dict[str, str] = {}
         for n in sorted(near, key=lambda n: (-len(n), n)):
             if n not in taken:
                 taken[n] = n
                 for other in near[n]:
                     taken.setdefault(other, n)
-        return pd.DataFrame([(table["type"].iloc[0], n, c) for n, c in sorted(taken.items())], columns=["type", "name", "canonical"])
+        return sorted(taken.items())
 
-    found = pairs.groupBy("type").applyInPandas(run, "type string, name string, canonical string")
+    ends = cut(pairs.select(F.col("type").cast("string").alias("type"), "a", "b"))
+    tag = lambda c: F.to_json(F.struct("type", F.col(c).alias("n")))
+    groups = linked_groups(ends.select(tag("a").alias("a"), tag("b").alias("b"))).select(F.col("node").alias("_a"), F.col("group"))
+    placed = ends.withColumn("_a", tag("a")).join(groups, "_a").select("type", "group", "a", "b")
+    found = folded(placed, ["type", "group"], "a", ["a", "b"], walk, "name string, canonical string").select("type", "name", "canonical")
     every = names.select(F.col(kind).cast("string").alias("type"), F.col(name).alias("name")).distinct()
     return every.join(found, ["type", "name"], "left").withColumn("canonical", F.coalesce("canonical", "name"))
+
+
+def store_insights(labels: DataFrame, insights: DataFrame, path: str) -> None:
+    """Writes (community, members, title, text) of every community that an insight tells of, community 0 too. insights: community,
+    title, text; an insight without a title takes its first line."""
+    members = labels.groupBy("community").agg(F.count("*").alias("members"))
+    told = insights.withColumn("title", F.coalesce("title", F.split("text", "\n")[0]))
+    told.where("community is not null").join(members, "community", "left").select("community", "members", "title", "text").write.mode("overwrite").parquet(path)
+
+
+def without_organisations(graph: dict[str, DataFrame], organisations: DataFrame) -> dict[str, DataFrame]:
+    """Tables by name without all that belongs to the organisations (id): users and vertices by organisation_id, edges by both of
+    their ends. graph: organisations, users, vertices (name, organisation_id), edges (source, target)."""
+    gone = organisations.select(F.col("id").alias("organisation_id")).distinct()
+    kept = {k: graph[k].join(gone, "organisation_id", "left_anti") for k in ("users", "vertices")}
+    ends = graph["vertices"].join(gone, "organisation_id", "left_semi").select(F.col("name").alias("_name")).distinct()
+    edges = graph["edges"]
+    for end in ("source", "target"):
+        edges = edges.join(ends, edges[end] == ends["_name"], "left_anti")
+    left = graph["organisations"].join(gone, F.col("id") == F.col("organisation_id"), "left_anti")
+    return {"organisations": left, **kept, "edges": edges}
+
+
+def asked_in_sql(graph: dict[str, DataFrame], text: str, args: dict | None = None) -> DataFrame:
+    """Rows of a SQL text over the tables by name, with named parameters; the tables' views are gone again afterwards."""
+    spark = next(iter(graph.values())).sparkSession
+    for name, df in graph.items():
+        df.createOrReplaceTempView(name)
+    try:
+        return spark.sql(text, args=args or {})
+    finally:
+        for name in graph:
+            spark.catalog.dropTempView(name)

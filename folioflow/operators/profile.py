@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folioflow.plans.lineage import cut
+
 SUMMARY_WORDS = ("total", "sum", "subtotal", "sub total", "grand total")
 
 
@@ -12,22 +15,44 @@ def without_summary_rows(df: DataFrame, first: str) -> DataFrame:
     return df.where(~F.lower(F.trim(F.coalesce(F.col(first), F.lit("")))).isin(*SUMMARY_WORDS))
 
 
+def quantiles(long: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
+    """(keys, q): exact quantiles, interpolated between neighbours, of the values that are not null. Values are counted, put in
+    ranges, and found by their rank: no task holds more than its range, whatever the size of a group."""
+    counts = long.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    ranged = cut(counts.repartitionByRange(*keys, "_v").withColumn("_p", F.spark_partition_id()))
+    sums = ranged.groupBy(*keys, "_p").agg(F.sum("_c").alias("_s"))  # a row for each range
+    before = sums.select(*keys, "_p", (F.sum("_s").over(W.partitionBy(*keys).orderBy("_p")) - F.col("_s")).alias("_b"), F.sum("_s").over(W.partitionBy(*keys)).alias("_n"))
+    within = ranged.withColumn("_w", F.sum("_c").over(W.partitionBy(*keys, "_p").orderBy("_v")))
+    placed = within.join(F.broadcast(before), [*keys, "_p"]).withColumn("_to", F.col("_b") + F.col("_w"))  # as many rows as ranges
+    facts = [F.max("_n").alias("_n")]
+    for i, share in enumerate(shares):
+        at = F.lit(share) * (F.col("_n") - 1)
+        facts += [F.min(F.when(F.col("_to") > F.floor(at), F.col("_v"))).alias(f"_lo{i}"), F.min(F.when(F.col("_to") > F.ceil(at), F.col("_v"))).alias(f"_hi{i}")]
+    found = placed.groupBy(*keys).agg(*facts)
+    part = lambda s: F.lit(s) * (F.col("_n") - 1) - F.floor(F.lit(s) * (F.col("_n") - 1))
+    each = [F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * part(s) for i, s in enumerate(shares)]
+    return found.select(*keys, F.array(*each).alias("q"))
+
+
 def column_statistics(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, non_null, min, max, mean, median, std) of numeric columns in one pass."""
+    """(column, non_null, min, max, mean, median, std) of numeric columns."""
     long = df.select(*(F.col(c).cast("double").alias(c) for c in columns)).unpivot([], columns, "column", "value")
-    return long.groupBy("column").agg(
-        F.count("value").alias("non_null"), F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"), F.median("value").alias("median"), F.stddev_samp("value").alias("std")
-    )
+    facts = long.groupBy("column").agg(F.count("value").alias("non_null"), F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+    medians = quantiles(long, ["column"], "value", [0.5]).select("column", F.col("q")[0].alias("median"))
+    return facts.join(F.broadcast(medians), "column", "left").select("column", "non_null", "min", "max", "mean", "median", "std")  # a row for each column
 
 
 def without_outliers(df: DataFrame, columns: list[str], least_values: int = 10) -> DataFrame:
     """Values beyond 1.5 interquartile ranges become null, each column by its own quartiles; columns with few values stay."""
-    facts = [F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(f"_q_{c}") for c in columns] + [F.count(c).alias(f"_n_{c}") for c in columns]
-    out = df.join(F.broadcast(df.agg(*facts)))  # one row
+    long = df.select(*(F.col(c).cast("double").alias(c) for c in columns)).unpivot([], columns, "column", "value")
+    found = quantiles(long, ["column"], "value", [0.25, 0.75])
+    counts = long.groupBy("column").agg(F.count("value").alias("n")).where(F.col("n") > least_values)
+    facts = counts.join(found, "column").agg(F.map_from_entries(F.collect_list(F.struct("column", "q"))).alias("_q"))
+    out = df.join(F.broadcast(facts))  # one row with an entry for each column
     for c in columns:
-        low, high = F.col(f"_q_{c}")[0], F.col(f"_q_{c}")[1]
+        low, high = F.col("_q")[c][0], F.col("_q")[c][1]
         inside = F.col(c).between(low - 1.5 * (high - low), high + 1.5 * (high - low))
-        out = out.withColumn(c, F.when((F.col(f"_n_{c}") <= least_values) | inside, F.col(c)))
+        out = out.withColumn(c, F.when(low.isNull() | inside, F.col(c)))
     return out.select(*df.columns)
 
 
@@ -110,6 +135,35 @@ def without_empty_columns(df: DataFrame) -> DataFrame:
     return df.select(*(f"`{c}`" for c in df.columns if counts[c]))
 
 
+def without_empty_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Rows that hold something: neither null nor blank text in all the columns."""
+    filled = [F.coalesce(F.trim(F.col(f"`{c}`").cast("string")), F.lit("")) != "" for c in columns or df.columns]
+    return df.where(F.greatest(*filled) if len(filled) > 1 else filled[0])
+
+
+def aligned_rows(rows: DataFrame, group: str, values: str, headers: DataFrame, names: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, headers) of the same width by group: as many names as the widest row has values, further ones called column_<number>;
+    short rows are padded with nulls. values, names: arrays; headers has a row for each group."""
+    width = rows.groupBy(group).agg(F.max(F.size(values)).alias("_width"))
+    heads = headers.join(width, group).withColumn("_own", F.size(names))
+    more = F.when(F.col("_width") > F.col("_own"), F.transform(F.sequence(F.col("_own") + 1, F.col("_width")), lambda i: F.concat(F.lit("column_"), i.cast("string")))).otherwise(F.array().cast("array<string>"))
+    heads = heads.withColumn(names, F.slice(F.concat(names, more), F.lit(1), F.col("_width")))
+    padded = rows.join(width, group).withColumn(values, F.concat(values, F.array_repeat(F.lit(None).cast("string"), F.col("_width") - F.size(values)))).drop("_width")
+    return padded, heads.drop("_width", "_own")
+
+
+def value_kind(value: Column, kind: str) -> Column:
+    """boolean, number, string or, for null and anything else, unknown; kind: the column's type."""
+    name = "boolean" if kind == "boolean" else "string" if kind == "string" else "number" if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal") else "unknown"
+    return F.when(value.isNotNull(), name).otherwise("unknown")
+
+
+def first_row_kinds(df: DataFrame, order: str) -> DataFrame:
+    """(column, kind): what the first row's values are; columns are called col_0 and so on."""
+    kinds = [F.struct(F.lit(f"col_{i}").alias("column"), value_kind(F.col(f"`{n}`"), t).alias("kind")) for i, (n, t) in enumerate(df.dtypes)]
+    return df.orderBy(order).limit(1).select(F.inline(F.array(*kinds)))
+
+
 def melted_years(df: DataFrame, key: str, least: int = 2) -> DataFrame:
     """(key, Year, Value): columns named by years as rows, without nulls."""
     years = [c for c in df.columns if len(c) == 4 and c.isdigit() and c[:2] in ("19", "20")]

@@ -2,47 +2,83 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioflow.functions.values import a1_range, number
 from folioflow.operators.profile import SUMMARY_WORDS, value_classes
+from folioflow.plans.lineage import cut
 
 # Words that speak for a header, and cells that stand for nothing.
 HEADER_WORDS = ("id", "name", "date", "value", "total", "sum", "category", "type", "status", "descripción", "fecha", "nombre", "código")
 PLACEHOLDERS = ("n/a", "nan", "-", "--", "tbd", "pendiente", "no aplica", "na")
 _KEYS = ["file", "sheet"]
-
-
-def blocks(cells: DataFrame) -> DataFrame:
-    """cells with block, the number of the island of neighbouring filled cells (up, down, left, right) that they are in.
-
-    A sheet is what one person filled in, so its cells are labelled together; files and sheets are spread.
+#: Rows of a sheet whose cells are labelled together.
+BAND_ROWS = 50_000
+
+
+def _smallest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For positions 0 to n - 1 tied in pairs (a, b): the smallest position that each one can reach."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        for at in (a, b, label[a], label[b]):
+            np.minimum.at(new, at, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _islands(row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """For filled cells in order of row and column: the position of the first cell of each one's island."""
+    side = np.flatnonzero((row[1:] == row[:-1]) & (col[1:] == col[:-1] + 1))
+    width = int(col.max(initial=0)) + 1
+    place = row.astype(np.int64) * width + col
+    above = np.minimum(np.searchsorted(place, place - width), len(place) - 1)
+    down = np.flatnonzero(place[above] == place - width)
+    return _smallest(len(row), np.concatenate([side, above[down]]), np.concatenate([side + 1, down]))
+
+
+def blocks(cells: DataFrame, band_rows: int = BAND_ROWS) -> DataFrame:
+    """cells with block, the number of the island of neighbouring filled cells (up, down, left, right) that they are in, in order
+    of the islands' first cells.
+
+    Sheets are cut into bands of rows, so that none makes a large task; islands are found in each band, and those that touch
+    across the seams of bands, which are few, are joined sheet by sheet.
     """
 
-    def run(table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values(["row", "col"]).reset_index(drop=True)
-        at = {(r, c): i for i, (r, c) in enumerate(zip(table["row"], table["col"], strict=True))}
-        parent = list(range(len(table)))
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        for (r, c), i in at.items():
-            for near in ((r - 1, c), (r, c - 1)):
-                if (j := at.get(near)) is not None:
-                    a, b = root(i), root(j)
-                    parent[max(a, b)] = min(a, b)
-        names: dict[int, int] = {}
-        return table.assign(block=[names.setdefault(root(i), len(names)) for i in range(len(table))])
-
-    filled = cells.where("value is not null and value <> ''").select(*_KEYS, "row", "col", "value")
-    return filled.groupBy(*_KEYS).applyInPandas(run, "file string, sheet string, row int, col int, value string, block int")
+    def label(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("row", "ascending"), ("col", "ascending")])
+        row, col = (table[c].to_numpy() for c in ("row", "col"))
+        first = _islands(row - row.min(), col)
+        return table.append_column("r", pa.array(row[first])).append_column("c", pa.array(col[first]))
+
+    def join(table: pa.Table) -> pa.Table:
+        ends = np.array([table[c].to_numpy() for c in ("r1", "c1", "r2", "c2")])
+        pairs = np.concatenate([ends[:2].T, ends[2:].T])
+        every, at = np.unique(pairs, axis=0, return_inverse=True)
+        at = at.ravel()
+        root = every[_smallest(len(every), at[: len(table)], at[len(table) :])]
+        out = {"file": [table["file"][0].as_py()] * len(every), "sheet": [table["sheet"][0].as_py()] * len(every), "r": every[:, 0], "c": every[:, 1], "r0": root[:, 0], "c0": root[:, 1]}
+        return pa.table({k: pa.array(v, pa.string() if k in _KEYS else pa.int32()) for k, v in out.items()})
+
+    filled = cells.where("value is not null and value <> ''").select(*_KEYS, "row", "col", "value", F.floor(F.col("row") / band_rows).cast("int").alias("band"))
+    kinds = {"row": "int", "col": "int", "value": "string", "band": "int", "r": "int", "c": "int"}
+    labelled = filled.groupBy(*_KEYS, "band").applyInArrow(label, "file string, sheet string, " + ", ".join(f"{k} {v}" for k, v in kinds.items()))
+    labelled = cut(labelled)
+    seam = F.col("row") % band_rows
+    upper = labelled.where(seam == band_rows - 1).select(*_KEYS, (F.col("row") + 1).alias("row"), "col", F.col("r").alias("r1"), F.col("c").alias("c1"))
+    lower = labelled.where(seam == 0).select(*_KEYS, "row", "col", F.col("r").alias("r2"), F.col("c").alias("c2"))
+    ties = upper.join(lower, [*_KEYS, "row", "col"]).select(*_KEYS, "r1", "c1", "r2", "c2").distinct()
+    roots = ties.groupBy(*_KEYS).applyInArrow(join, "file string, sheet string, r int, c int, r0 int, c0 int")
+    islands = labelled.select(*_KEYS, "r", "c").distinct().join(roots, [*_KEYS, "r", "c"], "left")
+    islands = islands.withColumn("block", (F.dense_rank().over(W.partitionBy(*_KEYS).orderBy(F.coalesce("r0", "r"), F.coalesce("c0", "c"))) - 1).cast("int"))
+    return labelled.join(islands.select(*_KEYS, "r", "c", "block"), [*_KEYS, "r", "c"]).select(*_KEYS, "row", "col", "value", "block")
 
 
 def block_bounds(labelled: DataFrame, min_rows: int = 2, min_columns: int = 2, least_density: float = 0.25) -> DataFrame:

@@ -3,14 +3,25 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, for files that a query writes and reads again."""
+    context = spark.sparkContext
+    cut(spark.range(0))  # settles which folder that is
+    return f"{context.getCheckpointDir()}/folioflow/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in spark.checkpoint.dir; a temporary folder stands in only where that is unset (tests)."""
+    """df, computed once and kept in spark.checkpoint.dir; a temporary folder stands in where that is unset and Spark runs on one
+    machine."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         given = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not given and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(given or "file://" + tempfile.mkdtemp(prefix="folioflow-"))
     return df.checkpoint()

@@ -336,24 +336,25 @@ def sentence_split(t):
     return t("documents").select("doc_id", s.alias("s")).select("doc_id", F.size("s").alias("n"), F.md5(F.array_join("s", "|")).alias("hash"))
 
 
-_TOPIC = {"en": ["the", "of", "with it"], "de": ["und", "der", "und", "mit mit"]}
-_HITS = " + ".join([f"len(list_filter(w, lambda x: x = '{k}'))" for k in ("the", "of", "und", "der", "und")] + [f"(len(l) - len(replace(l, '{k}', ''))) // {len(k)}" for k in ("with it", "mit mit")])
-_RELEVANCE_SQL = f"""SELECT doc_id, round(least(1, ({_HITS}) / (ln(n + 1) + 1) * 0.3), 6) AS score FROM (
-SELECT doc_id, lower(text) AS l, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n FROM documents)"""
+# the real list, and words that these texts hold
+_TOPIC = {**tx.RELEVANCE_KEYWORDS, "en": ["the", "of", "with it"], "de": ["und", "der", "und", "mit mit"]}
+_LISTED = [k.lower() for group in _TOPIC.values() for k in group]
+_HITS = " + ".join(f"len(list_filter(w, lambda x: x = '{k}'))" if " " not in k else f"(len(l) - len(replace(l, '{k}', ''))) // {len(k)}" for k in _LISTED)
+_SCORED = f"""least(1, ({_HITS}) / (ln(n + 1) + 1) * 0.3)"""
+_WORDS = """lower({0}) AS l, regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+') AS w, len(list_filter(regexp_split_to_array({0}, '\\s+'), lambda x: x <> '')) AS n"""
 
 
-@query(_RELEVANCE_SQL)
+@query(f"""SELECT doc_id, CASE WHEN n > 0 THEN round({_SCORED}, 6) ELSE 0 END AS score FROM (SELECT doc_id, {_WORDS.format("text")} FROM documents)""")
 def topic_relevance(t):
     return t("documents").select("doc_id", F.round(tx.relevance(F.col("text"), _TOPIC), 6).alias("score"))
 
 
-@query("""WITH s AS (SELECT doc_id, lang, source, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS s FROM documents)
-SELECT lang, source, sum(ceil(len(s) / 5.0))::BIGINT AS chunks, sum(len(array_to_string(s, ' ')) - CASE WHEN len(s) > 0 THEN ceil(len(s) / 5.0) - 1 ELSE 0 END)::BIGINT AS characters FROM s GROUP BY 1, 2""")
+@query(f"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS s FROM documents),
+c AS (SELECT doc_id, n::INT AS chunk, array_to_string(s[n * 5 + 1:n * 5 + 5], ' ') AS text FROM (SELECT *, unnest(range(0, CAST(ceil(len(s) / 5.0) AS BIGINT))) AS n FROM s))
+SELECT doc_id, chunk, len(text)::INT AS characters, CASE WHEN n > 0 THEN round({_SCORED}, 6) ELSE 0 END AS score FROM (SELECT doc_id, chunk, text, {_WORDS.format("text")} FROM c)""")
 def chunk_relevance(t):
-    docs = t("documents")
-    chunks = chunking.sentence_chunks(docs, "doc_id", "text", 5)
-    by = chunks.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("characters").alias("characters"))
-    return docs.join(by, "doc_id").groupBy("lang", "source").agg(F.sum("chunks").alias("chunks"), F.sum("characters").alias("characters"))
+    chunks = chunking.sentence_chunks(t("documents"), "doc_id", "text", 5)
+    return chunks.select("doc_id", F.col("n").alias("chunk"), "characters", F.round(tx.relevance(F.col("chunk"), _TOPIC), 6).alias("score"))
 
 
 @query("""SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{3,15}')) AS term FROM documents) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""")
@@ -388,7 +389,16 @@ def adaptive_plan(t):
     return t("part").select(F.col("p_partkey").alias("item_id"), plan.alias("p")).select("item_id", "p.mode", "p.target", "p.size")
 
 
-@query()
+def _chunk_end(start: str) -> str:
+    """SQL for the end of the chunk of a text t of length l that starts there."""
+    low, high = f"greatest({start} + 500, {start} + 300)", f"least({start} + 700, l)"
+    found = f"list_transform(list_filter(range(1, len(substr(t, {low} + 1, {high} - ({low})))), lambda p: substr(t, {low} + 1, {high} - ({low}))[p] IN ('.', '!', '?') AND regexp_matches(substr(t, {low} + 1, {high} - ({low}))[p + 1], '\\s')), lambda p: {low} + p + 1)"
+    return f"CASE WHEN {start} + 600 >= l THEN l ELSE coalesce(list_max(list_filter({found}, lambda e: e <= {start} + 602)), list_min({found}), {start} + 600) END"
+
+
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id, text AS t, len(text) AS l FROM documents WHERE len(text) > 0), c AS (SELECT doc_id, t, l, 0 AS n, 0::BIGINT AS a, {_chunk_end("0")} AS b FROM d
+UNION ALL SELECT doc_id, t, l, n + 1, s, {_chunk_end("s")} FROM (SELECT *, greatest(b - 200, a + 1) AS s FROM c WHERE b < l))
+SELECT doc_id, n::INT AS n, a::INT AS "start", b::INT AS "end", md5(substr(t, a + 1, b - a)) AS hash FROM c""")
 def character_chunks(t):
     return chunking.character_chunks(t("documents"), "doc_id", "text").select("doc_id", "n", "start", "end", F.md5("chunk").alias("hash"))
 
@@ -406,9 +416,13 @@ def row_batches(t):
     return chunking.row_batches(t("lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey", "l_linenumber", 3)
 
 
-@query("""SELECT s_suppkey, 'Row ' || (s_suppkey % 100) || ': Name: ' || s_name || ', Balance: ' || s_nationkey AS line FROM supplier""")
+@query("""SELECT s_nationkey, 'Headers: Name, Nation' || chr(10) || string_agg('Row ' || n || ': Name: ' || s_name || ', Nation: ' || s_nationkey, chr(10) ORDER BY n) AS text
+FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS n FROM supplier) GROUP BY 1""")
 def row_texts(t):
-    return t("supplier").select("s_suppkey", chunking.row_text(["Name", "Balance"], ["s_name", "s_nationkey"], F.col("s_suppkey") % 100).alias("line"))
+    rows = chunking.row_batches(t("supplier").select("s_nationkey", "s_suppkey", "s_name"), "s_nationkey", "s_suppkey", 1_000_000_000)
+    line = chunking.row_text(["Name", "Nation"], ["s_name", "s_nationkey"], F.col("place"))
+    lines = rows.groupBy("s_nationkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", line.alias("l")))), lambda x: x["l"]).alias("lines"))
+    return lines.select("s_nationkey", chunking.chunk_text(["Name", "Nation"], F.col("lines")).alias("text"))
 
 
 @query("""WITH v AS (SELECT 'p_name' AS "column", sum(len(p_name)) AS volume FROM part UNION ALL SELECT 'p_brand', sum(len(p_brand)) FROM part UNION ALL SELECT 'p_type', sum(len(p_type)) FROM part)
@@ -429,11 +443,16 @@ def section_paths(t):
     return chunking.section_paths(heads, "conv_id", "turn", "level", "title", 3).select("conv_id", "turn", "full_path")
 
 
-@query("""SELECT doc_id, count(*) AS lines, sum(len(x))::BIGINT AS characters FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents) WHERE regexp_matches(x, '^\\s*[0-9]+(\\.[0-9]+)*\\.?\\s+\\S.*$')
-OR regexp_matches(x, '(?i)^\\s*(abstract|introduction|background|method(s|ology)|results|discussion|conclusion|references|executive summary|governance|strategy|environmental|social)\\s*$') OR regexp_matches(x, '^[A-Z][A-Za-z\\s]{2,40}$') GROUP BY 1""")
+_CASED = "|".join(chunking.TITLES[k] for k in chunking.CASED_TITLES)
+_FREE = "|".join(p for k, p in chunking.TITLES.items() if k not in chunking.CASED_TITLES)
+
+
+@query(f"""WITH l AS (SELECT doc_id, i - 1 AS position, regexp_replace(x[i], '^\\s+|\\s+$', '', 'g') AS text, len(x) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS x, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
+h AS (SELECT * FROM l WHERE regexp_matches(text, '^({_CASED})$') OR regexp_matches(text, '(?i)^({_FREE})$'))
+SELECT doc_id, position::INT AS position, text, CASE WHEN regexp_matches(text, '\\d+\\.\\d+') THEN 2 ELSE 1 END AS level FROM h
+UNION ALL SELECT doc_id, position::INT, 'Section ' || position // 300, 1 FROM l WHERE doc_id NOT IN (SELECT doc_id FROM h) AND n > 50 AND position > 0 AND position % 300 = 0""")
 def header_lines(t):
-    found = chunking.header_lines(t("documents"), "doc_id", "text")
-    return found.groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum(F.length("text")).alias("characters"))
+    return chunking.header_lines(t("documents"), "doc_id", "text")
 
 
 @query("""SELECT doc_id, CASE WHEN len(trim(text)) < 10 THEN 'en' WHEN len(regexp_replace(text, '[^\\p{L}]', '', 'g')) < 30 THEN CASE WHEN len(regexp_replace(text, '[^áéíóúüñÁÉÍÓÚÜÑ¿¡]', '', 'g')) >= 3 THEN 'es' ELSE 'en' END END AS lang FROM documents""")
@@ -472,12 +491,12 @@ def centroids(t):
     return vectors.centroids(t("embeddings"), "label", "embedding").select("label", "position", _r("mean", 6))
 
 
-@query()
+@query()  # CRC-32 is not in the SQL; a test computes it
 def hashed_embeddings(t):
     return t("conversations").select("conv_id", "turn", vectors.hashed_embedding(F.col("text"), 32).alias("embedding"))
 
 
-@query()
+@query()  # means of vectors that depend on where the last chunk ended; a test holds it against a plain loop
 def semantic_chunks(t):
     rows = t("conversations").withColumn("embedding", vectors.hashed_embedding(F.col("text"), 32))
     return chunking.semantic_chunks(rows, "conv_id", "turn", "text", "embedding")
@@ -485,16 +504,17 @@ def semantic_chunks(t):
 
 # graph -------------------------------------------------------------------------------------------------------------
 
-_EDGES = "SELECT l_suppkey AS source, l_partkey + 1000000 AS target, l_returnflag AS description, CAST(l_quantity AS BIGINT) AS strength FROM lineitem"
+_EDGES = "SELECT l_suppkey AS source, l_partkey + 1000000 AS target, l_returnflag AS description, CAST(l_quantity AS BIGINT) AS strength, l_orderkey AS chunk FROM lineitem"
 
 
 def _edges(t):
-    return t("lineitem").select(F.col("l_suppkey").alias("source"), (F.col("l_partkey") + 1000000).alias("target"), F.col("l_returnflag").alias("description"), F.col("l_quantity").cast("long").alias("strength"))
+    return t("lineitem").select(F.col("l_suppkey").alias("source"), (F.col("l_partkey") + 1000000).alias("target"), F.col("l_returnflag").alias("description"), F.col("l_quantity").cast("long").alias("strength"), F.col("l_orderkey").alias("chunk"))
 
 
-@query(f"SELECT source, target, description, sum(strength)::BIGINT AS strength, count(*) AS mentions FROM ({_EDGES}) GROUP BY 1, 2, 3")
+@query(f"SELECT source, target, description, sum(strength)::BIGINT AS strength, count(*) AS mentions, string_agg(DISTINCT chunk::VARCHAR, ',' ORDER BY chunk::VARCHAR) AS chunks FROM ({_EDGES}) GROUP BY 1, 2, 3")
 def merged_relations(t):
-    return graph.merged_relations(_edges(t))
+    found = graph.merged_relations(_edges(t), "chunk")
+    return found.withColumn("chunks", F.array_join(F.array_sort(F.col("chunks").cast("array<string>")), ","))
 
 
 @query(f"SELECT least(source, target) AS a, greatest(source, target) AS b, sum(strength)::BIGINT AS weight FROM ({_EDGES}) WHERE source <> target GROUP BY 1, 2")
@@ -502,10 +522,13 @@ def graph_projection(t):
     return graph.undirected(_edges(t))
 
 
-@query("""SELECT l_partkey AS name, arg_min(l_returnflag, l_orderkey * 10 + l_linenumber) AS type, count(DISTINCT l_orderkey) AS chunks FROM lineitem GROUP BY 1""")
+@query("""WITH m AS (SELECT l_partkey AS name, l_returnflag AS type, 'q' || CAST(l_quantity AS INT) AS d, l_orderkey, l_orderkey * 10 + l_linenumber AS spot FROM lineitem),
+f AS (SELECT name, d, row_number() OVER (PARTITION BY name ORDER BY min(spot), d) AS n FROM m GROUP BY 1, 2 QUALIFY n <= 3)
+SELECT m.name, arg_min(type, spot) AS type, count(DISTINCT l_orderkey) AS chunks, (SELECT string_agg(d, ' ' ORDER BY n) FROM f WHERE f.name = m.name) AS summary FROM m GROUP BY 1""")
 def merged_entities(t):
     rows = t("lineitem").withColumn("at", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    return graph.merged_entities(rows, "l_partkey", "l_returnflag", "l_linestatus", "l_orderkey", "at").select("name", "type", "chunks")
+    rows = rows.withColumn("d", F.concat(F.lit("q"), F.col("l_quantity").cast("int").cast("string")))
+    return graph.merged_entities(rows, "l_partkey", "l_returnflag", "d", "l_orderkey", "at").select("name", "type", "chunks", "summary")
 
 
 @query("""SELECT o_custkey, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1""")
@@ -520,11 +543,11 @@ def resolved_edges(t):
     return graph.resolved(_edges(t), names, "name").select("source", "target", "strength")
 
 
-_NATIONS = "SELECT DISTINCT c_nationkey AS source, s_nationkey + 100 AS target FROM customer JOIN supplier ON c_custkey % 50 = s_suppkey % 50 WHERE c_custkey < 60"
+_NATIONS = "SELECT DISTINCT c_nationkey AS source, s_nationkey + 100 AS target FROM customer JOIN supplier ON c_custkey % 50 = s_suppkey % 50"
 
 
 def _nations(t):
-    pairs = t("customer").where("c_custkey < 60").join(t("supplier"), F.col("c_custkey") % 50 == F.col("s_suppkey") % 50)
+    pairs = t("customer").join(t("supplier"), F.col("c_custkey") % 50 == F.col("s_suppkey") % 50)
     return pairs.select(F.col("c_nationkey").alias("source"), (F.col("s_nationkey") + 100).alias("target")).distinct()
 
 
@@ -536,13 +559,20 @@ def hop_paths(t):
 
 
 @query("""WITH n AS (SELECT DISTINCT p_type AS n, p_brand AS type FROM part), x AS (SELECT a.type, a.n AS a, b.n AS b, lower(a.n) AS la, lower(b.n) AS lb FROM n a JOIN n b ON a.type = b.type AND a.n < b.n)
-SELECT type, a, b FROM x WHERE (len(list_intersect(string_split(la, ' '), string_split(lb, ' '))) > 0 OR la[:3] = lb[:3]) AND (la = lb OR ((contains(la, lb) OR contains(lb, la)) AND least(len(la), len(lb)) / greatest(len(la), len(lb)) > .5)
-OR 0.6 * (1 - levenshtein(la, lb) / greatest(len(la), len(lb))) + 0.4 * len(list_intersect(string_split(la, ' '), string_split(lb, ' '))) / len(list_distinct(list_concat(string_split(la, ' '), string_split(lb, ' ')))) >= 0.85)""")
+SELECT type, a, b FROM x WHERE la = lb OR ((contains(la, lb) OR contains(lb, la)) AND least(len(la), len(lb)) / greatest(len(la), len(lb)) > .5)
+OR 0.6 * (1 - levenshtein(la, lb) / greatest(len(la), len(lb))) + 0.4 * len(list_intersect(string_split(la, ' '), string_split(lb, ' '))) / len(list_distinct(list_concat(string_split(la, ' '), string_split(lb, ' ')))) >= 0.85""")
 def similar_names(t):
     return graph.similar_names(t("part"), "p_type", "p_brand")
 
 
-@query()
+def _propagated(rounds: int) -> str:
+    steps = [f"e AS MATERIALIZED (SELECT a, b, weight FROM u UNION ALL SELECT b, a, weight FROM u), l0 AS MATERIALIZED (SELECT DISTINCT a AS node, a AS community FROM e)"]
+    for i in range(rounds):
+        steps.append(f"v{i} AS MATERIALIZED (SELECT a, community, sum(weight) AS w FROM e JOIN l{i} ON b = node GROUP BY 1, 2), l{i + 1} AS MATERIALIZED (SELECT a AS node, arg_min(community, (-w, community)) AS community FROM v{i} GROUP BY 1)")
+    return f"WITH u AS MATERIALIZED (SELECT least(source, target) AS a, greatest(source, target) AS b, sum(strength)::BIGINT AS weight FROM ({_EDGES}) WHERE source <> target GROUP BY 1, 2), {', '.join(steps)} SELECT node, community FROM l{rounds}"
+
+
+@query(_propagated(3))
 def label_propagation(t):
     return graph.label_propagation(graph.undirected(_edges(t)), 3)
 
@@ -558,11 +588,16 @@ def modularity(t):
     return graph.modularity(edges, nodes.withColumn("community", F.col("node") % 5)).select(_r("modularity", 6))
 
 
-@query()
+@query()  # moves depend on Spark's hash; a test holds its modularity against brute force
 def local_moves(t):
     return graph.local_moves(graph.undirected(_nations(t).withColumn("strength", F.lit(1))), 4)
 
 
+@query()  # as local_moves
+def louvain(t):
+    return graph.louvain(graph.undirected(_nations(t).withColumn("strength", F.lit(1))), 2, 4)
+
+
 @query("""WITH l AS (SELECT c_custkey AS node, c_nationkey AS community, c_mktsegment AS type FROM customer), s AS (SELECT community, count(*) AS size FROM l GROUP BY 1 HAVING count(*) >= 2 ORDER BY 2 DESC, 1 LIMIT 10),
 r AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY node) AS n FROM l JOIN s USING (community) QUALIFY n <= 10)
 SELECT community, size, string_agg(node::VARCHAR, ',' ORDER BY n) AS members, (SELECT string_agg(x, ',' ORDER BY x) FROM (SELECT q.type || ':' || count(*) AS x FROM r q WHERE q.community = r.community GROUP BY q.type)) AS types FROM r GROUP BY 1, 2""")
@@ -576,11 +611,89 @@ def relation_types(t):
     return t("part").select("p_partkey", vl.relation_type(F.concat_ws(" ", F.col("p_size").cast("string"), "p_brand")).alias("type"))
 
 
-@query("""SELECT conv_id, turn, 'N' || turn AS name FROM conversations WHERE role = 'user'""")
+@query("""SELECT conv_id, turn, 'entity' AS kind, 'N' || turn AS name, role AS target, 'x' AS description, NULL AS strength FROM conversations
+UNION ALL SELECT conv_id, turn, 'relationship', 'a', 'b' || turn % 3, 'owns', CASE WHEN turn % 2 = 0 THEN turn + 2 ELSE 1 END FROM conversations""")
 def parsed_tuples(t):
-    line = F.concat(F.lit('("entity"|N'), F.col("turn").cast("string"), F.lit("|"), "role", F.lit("|x)\n(\"relationship\"|a|b)"))
-    rows = t("conversations").where("role = 'user'").select("conv_id", "turn", line.alias("text"))
-    return graph.parsed_tuples(rows.withColumn("key", F.struct("conv_id", "turn")), "key", "text")[0].select("key.conv_id", "key.turn", "name")
+    strength = F.when(F.col("turn") % 2 == 0, (F.col("turn") + 2).cast("string")).otherwise("some")
+    text = F.concat(F.lit('("entity"|N'), F.col("turn").cast("string"), F.lit("|"), "role", F.lit('|x)\n("entity"|short)\n("relationship"|a|b'), (F.col("turn") % 3).cast("string"), F.lit("|owns|"), strength, F.lit(")"))
+    rows = t("conversations").select(F.struct("conv_id", "turn").alias("key"), text.alias("text"))
+    entities, relations = graph.parsed_tuples(rows, "key", "text")
+    a = entities.select("key.*", F.lit("entity").alias("kind"), "name", F.col("type").alias("target"), "description", F.lit(None).cast("int").alias("strength"))
+    return a.unionByName(relations.select("key.*", F.lit("relationship").alias("kind"), F.col("source").alias("name"), "target", "description", "strength"))
+
+
+@query("""SELECT conv_id, turn, 'entity' AS kind, 'N' || turn % 2 AS name, role AS target, 'first' || CASE WHEN turn % 2 = 0 THEN '+second' ELSE '' END AS description FROM conversations
+UNION ALL SELECT conv_id, turn, 'relationship', 'a', 'b', 'owns' FROM conversations""")
+def parsed_records(t):
+    again = F.when(F.col("turn") % 2 == 0, F.concat(F.lit('\n;\n("entity"|N0|'), "role", F.lit("|second)"))).otherwise("")
+    text = F.concat(F.lit('("entity"|N'), (F.col("turn") % 2).cast("string"), F.lit("|"), "role", F.lit("|first)"), again, F.lit('\n;\n("entity"|few|parts)\n;\n("relationship"|a|b|owns|9)'))
+    entities, relations = graph.parsed_records(t("conversations").select(F.struct("conv_id", "turn").alias("key"), text.alias("text")), "key", "text")
+    a = entities.select("key.*", F.lit("entity").alias("kind"), "name", F.col("type").alias("target"), F.array_join("descriptions", "+").alias("description"))
+    return a.unionByName(relations.select("key.*", F.lit("relationship").alias("kind"), F.col("source").alias("name"), "target", "description"))
+
+
+@query("""SELECT n_nationkey, 'entity' AS kind, n_name AS name, 'Nation' AS type, 'in ' || n_regionkey AS description FROM nation
+UNION ALL SELECT n_nationkey, 'relationship', n_name, 'part of', 'R' || n_regionkey || '|' || CASE WHEN n_nationkey % 2 = 0 THEN 'always' ELSE '' END FROM nation""")
+def parsed_listing(t):
+    more = F.when(F.col("n_nationkey") % 2 == 0, ": always").otherwise("")
+    text = F.concat(F.lit("ENTITIES:\n"), "n_name", F.lit(" [Nation]: in "), F.col("n_regionkey").cast("string"), F.lit("\nno type: x\n\nRELATIONSHIPS:\n"), "n_name", F.lit(" [part of] R"), F.col("n_regionkey").cast("string"), more)
+    entities, relations = graph.parsed_listing(t("nation").select("n_nationkey", text.alias("text")), "n_nationkey", "text")
+    a = entities.select("n_nationkey", F.lit("entity").alias("kind"), "name", "type", "description")
+    return a.unionByName(relations.select("n_nationkey", F.lit("relationship").alias("kind"), F.col("source").alias("name"), "type", F.concat_ws("|", "target", "description").alias("description")))
+
+
+_CLAIMS = "SELECT o_orderkey AS id, o_custkey AS subject, o_custkey + o_orderkey % 3 AS object FROM orders"
+
+
+@query(f"""SELECT id AS claim, subject AS vertex, 'HAS_CLAIM' AS type FROM ({_CLAIMS}) WHERE subject IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)
+UNION ALL SELECT id, object, 'REFERS_TO' FROM ({_CLAIMS}) WHERE subject IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) AND object IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)""")
+def claim_edges(t):
+    claims = t("orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("subject"), (F.col("o_custkey") + F.col("o_orderkey") % 3).alias("object"), F.col("o_orderdate").alias("updated"))
+    return graph.placed_claims(claims, t("customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("name")), "name")[1]
+
+
+_TYPED = """SELECT DISTINCT 'n' || n_nationkey AS source, 'r' || n_regionkey AS target, 'in' AS type FROM nation UNION SELECT DISTINCT 's' || s_suppkey, 'n' || s_nationkey, 'from' FROM supplier
+UNION SELECT 'r' || n_regionkey, 'n' || min(n_nationkey), 'first' FROM nation GROUP BY n_regionkey"""
+
+
+@query(f"""WITH RECURSIVE e AS ({_TYPED}), w AS (SELECT 's' || s_suppkey AS spot, ['s' || s_suppkey] AS names, [] :: VARCHAR[] AS types, [] :: VARCHAR[] AS used FROM supplier
+UNION ALL SELECT target, list_append(names, target), list_append(types, type), list_append(used, source || target || type) FROM w JOIN e ON spot = source WHERE len(types) < 4 AND NOT list_contains(used, source || target || type))
+SELECT array_to_string(names, '>') AS names, array_to_string(types, '>') AS types FROM w WHERE len(types) > 0 AND spot[1] = 'n'""")
+def directed_paths(t):
+    n, s, text = t("nation"), t("supplier"), lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    up = n.select(text("n", "n_nationkey").alias("source"), text("r", "n_regionkey").alias("target"), F.lit("in").alias("type"))
+    edges = up.union(s.select(text("s", "s_suppkey"), text("n", "s_nationkey"), F.lit("from"))).union(n.groupBy("n_regionkey").agg(F.min("n_nationkey").alias("n")).select(text("r", "n_regionkey"), text("n", "n"), F.lit("first"))).distinct()
+    names = edges.select(F.explode(F.array("source", "target")).alias("name")).distinct()
+    kind = F.when(F.col("name").startswith("s"), "Local supplier").when(F.col("name").startswith("n"), "Member nation").otherwise("Region")
+    found = graph.directed_paths(edges, names.withColumn("type", kind), "supplier", "nation", 4)
+    return found.select(F.array_join("names", ">").alias("names"), F.array_join("types", ">").alias("types"))
+
+
+@query("""SELECT p_partkey FROM part WHERE contains(p_type, 'STEEL') UNION ALL SELECT p_partkey FROM part WHERE p_name = 'part 7'""")
+def entity_lookups(t):
+    parts = t("part").select("p_partkey", "p_name", "p_type")
+    return graph.entities_like(parts, "p_type", "STEEL").union(graph.entities_named(parts, "p_name", "part 7")).select("p_partkey")
+
+
+@query("""SELECT n_name, count(*) AS suppliers FROM nation JOIN supplier ON n_nationkey = s_nationkey WHERE s_acctbal > 100 GROUP BY 1""")
+def asked_in_sql(t):
+    tables_ = {"vertices": t("nation"), "edges": t("supplier")}
+    return graph.asked_in_sql(tables_, "SELECT n_name, count(*) AS suppliers FROM vertices JOIN edges ON n_nationkey = s_nationkey WHERE s_acctbal > :least GROUP BY 1", {"least": 100})
+
+
+@query("""SELECT c_nationkey AS community, count(*) AS size FROM customer GROUP BY 1 HAVING count(*) >= 2""")
+def reported_communities(t):
+    return graph.reported_communities(t("customer").select(F.col("c_custkey").alias("node"), F.col("c_nationkey").alias("community")))
+
+
+@query("""SELECT 'organisations' AS part, count(*) AS n FROM region WHERE r_regionkey <> 1 UNION ALL SELECT 'users', count(*) FROM nation WHERE n_regionkey <> 1 UNION ALL
+SELECT 'vertices', count(*) FROM nation WHERE n_regionkey <> 1 UNION ALL SELECT 'edges', count(*) FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey <> 1 AND (s_suppkey % 25) NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)""")
+def without_organisation(t):
+    n = t("nation").select(F.col("n_nationkey").alias("name"), F.col("n_regionkey").alias("organisation_id"))
+    held = {"organisations": t("region").select(F.col("r_regionkey").alias("id")), "users": n, "vertices": n, "edges": t("supplier").select(F.col("s_nationkey").alias("source"), (F.col("s_suppkey") % 25).alias("target"))}
+    left = graph.without_organisations(held, held["organisations"].where("id = 1"))
+    counts = [left[k].agg(F.lit(k).alias("part"), F.count("*").alias("n")) for k in ("organisations", "users", "vertices", "edges")]
+    return counts[0].union(counts[1]).union(counts[2]).union(counts[3])
 
 
 # tables in sheets --------------------------------------------------------------------------------------------------
@@ -596,13 +709,21 @@ def _cells(t):
     return d.select("file", F.col("lang").alias("sheet"), "row", "col", F.when((F.col("doc_id") * 7 + F.col("col") * 3) % 4 > 0, value).alias("value"))
 
 
-@query(f"""WITH c AS ({_CELLS}) SELECT count(*) AS cells, count(DISTINCT file || sheet) AS sheets FROM c WHERE value IS NOT NULL""")
+_ISLANDS = f"""WITH RECURSIVE c AS MATERIALIZED (SELECT * FROM ({_CELLS}) WHERE value IS NOT NULL AND value <> ''), w AS (SELECT file, sheet, row, col, row AS r0, col AS c0 FROM c
+UNION SELECT c.file, c.sheet, c.row, c.col, w.r0, w.c0 FROM w JOIN c ON c.file = w.file AND c.sheet = w.sheet AND ((c.row = w.row AND abs(c.col - w.col) = 1) OR (c.col = w.col AND abs(c.row - w.row) = 1))),
+m AS (SELECT file, sheet, row, col, min((r0, c0)) AS root FROM w GROUP BY 1, 2, 3, 4), i AS (SELECT file, sheet, row, col, (dense_rank() OVER (PARTITION BY file, sheet ORDER BY root) - 1)::INT AS block FROM m)"""
+
+
+@query(f"{_ISLANDS} SELECT * FROM i")
 def sheet_blocks(t):
-    found = tables.blocks(_cells(t))
-    return found.agg(F.count("*").alias("cells"), F.count_distinct(F.concat("file", "sheet")).alias("sheets"))
+    return tables.blocks(_cells(t)).select("file", "sheet", "row", "col", "block")
 
 
-@query()
+_A = "chr(65 + {0})"  # these sheets have four columns
+
+
+@query(f"""{_ISLANDS}, b AS (SELECT file, sheet, block, min(row) AS r0, max(row) + 1 AS r1, min(col) AS c0, max(col) + 1 AS c1, count(*) AS n FROM i GROUP BY 1, 2, 3)
+SELECT file, sheet, block, r0, r1, c0, c1, n / ((r1 - r0) * (c1 - c0)) AS density, {_A.format("c0")} || (r0 + 1) || ':' || {_A.format("c1 - 1")} || r1 AS range FROM b WHERE r1 - r0 >= 2 AND c1 - c0 >= 2 AND n / ((r1 - r0) * (c1 - c0)) >= .25""")
 def block_ranges(t):
     return tables.block_bounds(tables.blocks(_cells(t)))
 
@@ -636,10 +757,10 @@ def header_names(t):
     return tables.header_names(cells, heads, ["file", "sheet"])
 
 
-@query(f"""WITH u AS (SELECT DISTINCT file, sheet, col FROM ({_CELLS}) WHERE value IS NOT NULL AND col <> 2), i AS (SELECT *, col - row_number() OVER (PARTITION BY file, sheet ORDER BY col) AS g FROM u)
+@query(f"""WITH u AS (SELECT DISTINCT file, sheet, col FROM ({_CELLS}) WHERE value IS NOT NULL AND (col <> 2 OR file < 'f3')), i AS (SELECT *, col - row_number() OVER (PARTITION BY file, sheet ORDER BY col) AS g FROM u)
 SELECT file, sheet, min(col) AS c0, max(col) + 1 AS c1 FROM i GROUP BY file, sheet, g""")
 def column_islands(t):
-    return tables.column_islands(_cells(t).where("col <> 2"), ["file", "sheet"]).select("file", "sheet", "c0", "c1")
+    return tables.column_islands(_cells(t).withColumn("value", F.when((F.col("col") != 2) | (F.col("file") < "f3"), F.col("value"))), ["file", "sheet"]).select("file", "sheet", "c0", "c1")
 
 
 @query("""WITH p AS (SELECT p_partkey AS k, (p_partkey * 37 % 2000)::INT AS c FROM part)
@@ -663,19 +784,32 @@ def delimiter_sniff(t):
     return t("documents").select("doc_id", csv.delimiter(F.col("text")).alias("delimiter"))
 
 
-@query("SELECT item_id, 3 AS elements, 1 AS attributes, 'doc' AS root FROM benchmark")
+def _xml(t):
+    items = F.array_join(F.transform(F.sequence(F.lit(1), F.col("item_id") % 4 + 1), lambda i: F.concat(F.lit("<li>x"), i.cast("string"), F.lit("</li>"))), "")
+    text = F.regexp_replace("text", "[<>&]", "")
+    whole = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><doc id="1"><title>T'), F.col("item_id").cast("string"), F.lit("</title><a>"), text, F.lit("</a>"), items, F.lit("<tr><td>p</td><td>q</td></tr></doc>"))
+    return t("benchmark").select("item_id", whole.alias("xml"))
+
+
+@query("""SELECT item_id, (item_id % 4 + 7)::INT AS elements, 1 AS attributes, 'doc' AS root FROM benchmark""")
 def element_counts(t):
-    xml = F.concat(F.lit('<doc id="1"><a>'), F.regexp_replace("text", "[<>&]", ""), F.lit("</a><b/></doc>"))
-    return t("benchmark").select("item_id", markup.element_counts(xml).alias("c")).select("item_id", "c.*")
+    return _xml(t).select("item_id", markup.element_counts(F.col("xml")).alias("c")).select("item_id", "c.*")
+
 
+@query("""SELECT item_id, 'doc' AS root, 'UTF-8' AS encoding, 'T' || item_id AS title, NULL::VARCHAR AS author, (SELECT string_agg('x' || i, ',' ORDER BY i) FROM range(1, item_id % 4 + 2) r(i)) AS lists, 1 AS rows, 'p,q' AS cells FROM benchmark""")
+def xml_metadata(t):
+    x = F.col("xml")
+    found = _xml(t).select("item_id", markup.metadata(x).alias("m"), F.array_join(markup.lists(x), ",").alias("lists"), markup.table_rows(x).alias("t"))
+    return found.select("item_id", "m.*", "lists", "t.rows", F.array_join("t.cells", ",").alias("cells"))
 
-@query()
+
+@query("""SELECT item_id, '{"doc": {"@attributes": {"id": "1"}, "a": [' || to_json(trim(regexp_replace(text, '[<>&]', '', 'g'), E' \\n\\t\\r')) || ', "2"]}}' AS json, NULL::VARCHAR AS error FROM benchmark""")
 def nested_maps(t):
     xml = F.concat(F.lit('<doc id="1"><a>'), F.regexp_replace("text", "[<>&]", ""), F.lit("</a><a>2</a></doc>"))
     return markup.nested_maps(t("benchmark").withColumn("xml", xml), "item_id", "xml")
 
 
-@query()
+@query()  # a chain of steps that the queries above show one by one; a test has its rows
 def described_tables(t):
     return tables.described_tables(_cells(t))
 
@@ -686,39 +820,50 @@ def date_column(t):
     return profile.dates(t("orders").select("o_orderkey", shown.alias("day")), "day").withColumn("day", F.col("day").cast("string"))
 
 
-@query()
+@query()  # greedy in order of length: what one name takes decides for the next; a test holds it against a plain loop
 def name_clusters(t):
     return graph.name_clusters(t("part"), graph.similar_names(t("part"), "p_type", "p_brand"), "p_type", "p_brand")
 
 
-@query()
+@query()  # learned components
 def latent_vectors(t):
-    return vectors.latent_vectors(t("benchmark"), "item_id", "text", 256, 8)
+    return vectors.latent_vectors(t("documents"), "doc_id", "text")
 
 
-@query()
+@query()  # random projections; a test measures what they miss
 def approximate_pairs(t):
     return vectors.approximate_pairs(t("embeddings").withColumn("embedding", vectors.normalised("embedding")), "vec_id", "embedding", 1.2, 1.0)
 
 
+@query()  # learned lists; a test measures recall against cosine_top10
+def probed_top10(t):
+    v = t("embeddings")
+    rows, centres = vectors.inverted_file(v, "vec_id", "embedding")
+    found = vectors.probed_top_k(rows, centres, v.where("vec_id % 100 = 0"), "vec_id", "embedding", 10, max(1, 2 * len(centres) // 3))
+    return found.select("query", "match", _r("score", 6), "rank")
+
+
 @query("""WITH w AS (SELECT term, item_id, count(*) AS n FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term FROM benchmark) GROUP BY 1, 2), d AS (SELECT term, count(*) AS documents FROM w GROUP BY 1)
 SELECT item_id, round(sum((1 + ln(n)) * ln((1 + (SELECT count(*) FROM benchmark)) / documents)), 6) AS score FROM w JOIN d USING (term) WHERE term IN ('the', 'of', 'with', 'from') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""")
 def text_search(t):
     return vectors.search(vectors.search_index(t("benchmark"), "item_id", "text"), "item_id", ["the", "of", "with", "from"]).select("item_id", _r("score", 6))
 
 
-@query()
+@query()  # as semantic_chunks
 def hybrid_chunks(t):
     rows = t("conversations").withColumn("embedding", vectors.hashed_embedding(F.col("text"), 32))
     return chunking.hybrid_chunks(rows, rows.where("turn % 4 = 2"), "conv_id", "turn", "text", "embedding")
 
 
-@query("""WITH r AS (SELECT s_nationkey, (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1) // 3 AS batch, s_name, s_acctbal FROM supplier), v AS (SELECT s_nationkey, batch, 's_name' AS c, sum(len(s_name)) AS n, count(*) AS k FROM r GROUP BY 1, 2
-UNION ALL SELECT s_nationkey, batch, 's_nationkey', sum(len(s_nationkey::VARCHAR)), count(*) FROM r GROUP BY 1, 2), p AS (SELECT *, greatest(1, least(2, ceil(sum(n) OVER w / 3.5 / 10))) AS parts, row_number() OVER (PARTITION BY s_nationkey, batch ORDER BY n DESC, c) - 1 AS i FROM v WINDOW w AS (PARTITION BY s_nationkey, batch))
-SELECT s_nationkey AS "group", batch::INT AS batch, CAST(i % parts AS INT) AS part, max(k)::BIGINT AS rows, string_agg(c, ',' ORDER BY c) AS columns, floor(sum(n) / 3.5)::BIGINT AS tokens FROM p GROUP BY 1, 2, 3""")
+@query("""WITH RECURSIVE r AS (SELECT s_nationkey, (row_number() OVER w - 1) // 4 AS batch, (row_number() OVER w - 1) % 4 AS i, s_name, s_nationkey::VARCHAR AS k FROM supplier WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_suppkey)),
+t AS (SELECT s_nationkey, batch, i, sum(len(s_name) + len(k)) OVER (PARTITION BY s_nationkey, batch) AS n4, sum(len(s_name) + len(k)) OVER (PARTITION BY s_nationkey, batch, i // 2) AS n2, count(*) OVER (PARTITION BY s_nationkey, batch) AS c4, count(*) OVER (PARTITION BY s_nationkey, batch, i // 2) AS c2, s_name, k FROM r),
+h AS (SELECT *, CASE WHEN floor(n4 / 3.5) <= 12 OR c4 = 1 THEN 0 WHEN floor(n2 / 3.5) <= 12 OR c2 = 1 THEN i // 2 * 2 ELSE i END AS half FROM t),
+v AS (SELECT s_nationkey, batch, half, 's_name' AS c, sum(len(s_name)) AS n, count(*) AS m FROM h GROUP BY 1, 2, 3 UNION ALL SELECT s_nationkey, batch, half, 's_key', sum(len(k)), count(*) FROM h GROUP BY 1, 2, 3),
+p AS (SELECT *, greatest(1, least(2, ceil(floor(sum(n) OVER w / 3.5) / 12))) AS parts, row_number() OVER (PARTITION BY s_nationkey, batch, half ORDER BY n DESC, c) - 1 AS j FROM v WINDOW w AS (PARTITION BY s_nationkey, batch, half))
+SELECT s_nationkey AS "group", batch::INT AS batch, half::INT AS half, CAST(j % parts AS INT) AS part, max(m)::BIGINT AS rows, string_agg(c, ',' ORDER BY c) AS columns, floor(sum(n) / 3.5)::BIGINT AS tokens FROM p GROUP BY 1, 2, 3, 4""")
 def budgeted_chunks(t):
-    s = t("supplier").withColumn("group", F.col("s_nationkey"))
-    found = chunking.budgeted_chunks(s, "group", "s_suppkey", ["s_name", "s_nationkey"], 3, 10)
+    s = t("supplier").select(F.col("s_nationkey").alias("group"), "s_suppkey", "s_name", F.col("s_nationkey").alias("s_key"))
+    found = chunking.budgeted_chunks(s, "group", "s_suppkey", ["s_name", "s_key"], 4, 12)
     return found.withColumn("columns", F.array_join("columns", ","))
 
 

@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+import csv as library
+import io
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folioflow.functions.values import number
+from folioflow.operators.profile import value_classes
+from folioflow.operators.tables import header_names, header_rows, header_scores
+
 DELIMITERS = (",", ";", "\t", "|")
+#: Bytes that encoding and delimiter are judged by.
+HEAD_BYTES = 10_000
+ROWS = "file string, row int, cells array<string>, error string"
 
 
 def delimiter(head: Column) -> Column:
@@ -16,26 +29,120 @@ def delimiter(head: Column) -> Column:
 
 
 def encoding(head: Column) -> Column:
-    """From the first bytes: a byte order mark, else UTF-8 if valid, else Latin-1."""
+    """From the first bytes: a byte order mark, else UTF-8 if valid, else Latin-1. Up to three bytes at the end may belong to a
+    character that the head cuts."""
     start = F.hex(F.substring(head, 1, 3))
-    return F.when(start == "EFBBBF", "utf-8-sig").when(F.startswith(start, F.lit("FFFE")), "utf-16").when(F.startswith(start, F.lit("FEFF")), "utf-16").when(F.is_valid_utf8(head.cast("string")), "utf-8").otherwise("latin-1")
+    valid = F.lit(False)
+    for cut in range(4):
+        valid = valid | F.is_valid_utf8(F.substring(head, F.lit(1), F.greatest(F.length(head) - cut, F.lit(0))).cast("string")) & ((F.lit(cut) == 0) | (F.length(head) >= HEAD_BYTES))
+    return F.when(start == "EFBBBF", "utf-8-sig").when(F.startswith(start, F.lit("FFFE")) | F.startswith(start, F.lit("FEFF")), "utf-16").when(valid, "utf-8").otherwise("latin-1")
+
+
+def decoded(files: DataFrame) -> DataFrame:
+    """(path, length, encoding, text) of files (path, length, content), each by its own encoding; bytes that it can't read become
+    replacement characters, so no file stops the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [(c or b"").decode(e, "replace") for c, e in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(texts, pa.string())], ["path", "length", "encoding", "text"])
+
+    told = files.select("path", F.col("length").cast("long").alias("length"), "content", encoding(F.substring("content", 1, HEAD_BYTES)).alias("encoding"))
+    return told.mapInArrow(run, "path string, length long, encoding string, text string")
 
 
 def sniffed(spark: SparkSession, path: str, lines: int = 5) -> DataFrame:
-    """(path, length, encoding, delimiter) of each file, from its bytes."""
+    """(path, length, encoding, delimiter) of each file, from its first bytes."""
     files = spark.read.format("binaryFile").load(path)
-    head = F.substring("content", 1, 10_000)
-    text = F.when(encoding(head) == "latin-1", F.decode(head, "ISO-8859-1")).otherwise(F.decode(head, "UTF-8"))
+    text = F.substring("text", 1, HEAD_BYTES)
     kept = F.filter(F.split(text, "\n"), lambda x: ~F.startswith(x, F.lit("#")))
-    return files.select("path", "length", encoding(head).alias("encoding"), delimiter(F.array_join(F.slice(kept, 1, lines), "\n")).alias("delimiter"))
+    return decoded(files).select("path", "length", "encoding", delimiter(F.array_join(F.slice(kept, 1, lines), "\n")).alias("delimiter"))
 
 
 def read(spark: SparkSession, path: str, sep: str = ",", header: bool = True, encoding_: str = "UTF-8") -> DataFrame:
-    """Rows as strings: comments and malformed lines go, empty cells are null."""
+    """Rows of large files of one form, as strings: comments and malformed lines go, empty cells are null."""
     return spark.read.csv(path, sep=sep, header=header, comment="#", mode="DROPMALFORMED", encoding=encoding_, nullValue="", multiLine=False)
 
 
-def cells(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """Long cells (file, sheet, row, col, value) of delimited files, without quoting, for table discovery."""
-    lines = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("row", "line"))
-    return lines.where("line not like '#%'").select("file", F.lit("Sheet1").alias("sheet"), "row", F.posexplode(F.split("line", "\\" + sep)).alias("col", "value")).withColumn("value", F.nullif(F.trim("value"), F.lit("")))
+def split_rows(text: str, sep: str) -> Iterator[tuple[int, list[str]]]:
+    """(line, cells) of a delimited text with quotes; blank lines and those that begin with # go, before quotes are read."""
+    kept = [(i, x) for i, x in enumerate(text.splitlines(keepends=True)) if x.strip() and not x.startswith("#")]
+    reader = library.reader((x for _, x in kept), delimiter=sep)
+    while True:
+        at = reader.line_num
+        try:
+            row = next(reader)
+        except StopIteration:
+            return
+        yield kept[at][0], row
+
+
+def rows_of(file: str, text: str, sep: str) -> Iterator[tuple[int | None, list[str | None] | None, str | None]]:
+    """(row, cells, error): strictly, every row has the width of the first. Shorter rows are padded with nulls, longer ones are left
+    out and named as errors, and a file without rows gives one error."""
+    width, n = None, 0
+    try:
+        for line, cells in split_rows(text, sep):
+            width = width or len(cells)
+            if len(cells) > width:
+                yield line, None, f"{len(cells)} cells where {width} are expected"
+                continue
+            n += 1
+            yield line, [c.strip() or None for c in cells] + [None] * (width - len(cells)), None
+    except library.Error as error:
+        yield None, None, f"{type(error).__name__}: {error}"
+        return
+    if not n:
+        yield None, None, "no rows"
+
+
+def parsed(spark: SparkSession, path: str) -> DataFrame:
+    """(file, row, cells, error): all rows of delimited files, each file by its own encoding and delimiter; row: the line in the
+    file. A file that can't be read gives a row that says so."""
+    files = spark.read.format("binaryFile").load(path)
+    return parsed_texts(decoded(files).select(F.element_at(F.split("path", "/"), -1).alias("file"), "text"))
+
+
+def parsed_texts(texts: DataFrame) -> DataFrame:
+    """As parsed(), of (file, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(f, *r) for f, t, s in zip(*(c.to_pylist() for c in batch.columns), strict=True) for r in rows_of(f, t or "", s)]
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            kinds = (pa.string(), pa.int32(), pa.list_(pa.string()), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["file", "row", "cells", "error"])
+
+    head = F.filter(F.split(F.substring("text", 1, HEAD_BYTES), "\n"), lambda x: ~F.startswith(x, F.lit("#")))
+    return texts.select("file", "text", delimiter(F.array_join(F.slice(head, 1, 5), "\n")).alias("sep")).mapInArrow(run, ROWS)
+
+
+def cells(spark: SparkSession, path: str) -> DataFrame:
+    """Long cells (file, sheet, row, col, value) of delimited files, for table discovery."""
+    return long_cells(parsed(spark, path))
+
+
+def long_cells(rows: DataFrame) -> DataFrame:
+    good = rows.where("error is null")
+    return good.select("file", F.lit("Sheet1").alias("sheet"), "row", F.posexplode("cells").alias("col", "value"))
+
+
+def header_lines(rows: DataFrame, lines: int = 30) -> DataFrame:
+    """(file, header): the line of each file that looks most like a header, of its first rows. rows: of parsed()."""
+    order = W.partitionBy("file").orderBy("row")
+    numbered = rows.where("error is null").withColumn("_n", (F.row_number().over(order) - 1).cast("int")).where(F.col("_n") < lines)
+    long = numbered.select("file", F.col("_n").alias("row"), F.posexplode("cells").alias("col", "value"))
+    best = header_rows(header_scores(long, ["file"], lines), ["file"])
+    return best.join(numbered.select("file", F.col("_n").alias("header"), F.col("row").alias("line")), ["file", "header"]).select("file", F.col("line").alias("header"))
+
+
+def profiled(rows: DataFrame) -> DataFrame:
+    """(file, col, name, class, rows, filled, low, high, mean, std): every column of each file below its header line. rows: of
+    parsed()."""
+    heads, long = header_lines(rows), long_cells(rows).drop("sheet")
+    names = header_names(long, heads, ["file"])
+    data = long.join(heads, "file").where("row > header").join(names, ["file", "col"]).withColumn("name", F.coalesce("name", F.concat(F.lit("column_"), (F.col("col") + 1).cast("string"))))
+    value = number(F.col("value"))
+    facts = data.groupBy("file", "col", "name").agg(F.count("*").alias("rows"), F.count("value").alias("filled"), F.min(value).alias("low"), F.max(value).alias("high"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
+    kinds = value_classes(data, ["file", "col"], "name").select("file", "col", "class")
+    return facts.join(kinds, ["file", "col"], "left").select("file", "col", "name", "class", "rows", "filled", "low", "high", "mean", "std")

@@ -16,6 +16,23 @@ def element_counts(xml: Column) -> Column:
     return F.struct(F.xpath_int(xml, F.lit("count(//*)")).alias("elements"), F.xpath_int(xml, F.lit("count(//@*)")).alias("attributes"), F.xpath_string(xml, F.lit("name(/*)")).alias("root"))
 
 
+def metadata(xml: Column) -> Column:
+    """(root, encoding, title, author) of a well-formed text; what is not said is null."""
+    said = lambda *names: F.coalesce(*(F.nullif(F.xpath_string(xml, F.lit(f"//{n}")), F.lit("")) for n in names))
+    encoding = F.nullif(F.regexp_extract(xml, r"""^<\?xml[^>]*encoding=["']([^"']+)""", 1), F.lit(""))
+    return F.struct(F.xpath_string(xml, F.lit("name(/*)")).alias("root"), encoding.alias("encoding"), said("title", "Title").alias("title"), said("author", "creator", "Author").alias("author"))
+
+
+def lists(xml: Column, items: str = "//li | //item") -> Column:
+    """The texts of list items."""
+    return F.xpath(xml, F.lit(f"({items})/text()"))
+
+
+def table_rows(xml: Column, rows: str = "//row | //tr") -> Column:
+    """How many rows its tables have, and the texts of their cells in order."""
+    return F.struct(F.xpath_int(xml, F.lit(f"count({rows})")).alias("rows"), F.xpath(xml, F.lit("(//row/* | //tr/td | //tr/th)/text()")).alias("cells"))
+
+
 def tree(element: ET.Element) -> dict | str:
     """Attributes under @attributes, text under #text, repeated tags as lists."""
     out: dict = {"@attributes": dict(element.attrib)} if element.attrib else {}

@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 CELLS = "file string, sheet string, row int, col int, value string, error string"
 PARAGRAPHS = "file string, position int, style string, text string, in_table boolean, error string"
 SLIDES = "file string, slide int, position int, text string, is_title boolean, error string"
+TABLES = "file string, table int, row int, col int, value string, before string, error string"
+SLIDE_TABLES = "file string, slide int, table int, row int, col int, value string, layout string, error string"
+PROPERTIES = "file string, name string, value string, error string"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -60,14 +63,63 @@ def _document(z: zipfile.ZipFile) -> Iterator[tuple]:
             yield i, style.get(f"{_W}val") if style is not None else None, text, p in in_table
 
 
-def _slides(z: zipfile.ZipFile) -> Iterator[tuple]:
+def _document_tables(z: zipfile.ZipFile) -> Iterator[tuple]:
+    """Cells of the tables that stand in the body, with the last text before each table."""
+    before, n = None, 0
+    for child in ET.fromstring(z.read("word/document.xml")).find(f"{_W}body"):
+        if child.tag == f"{_W}p":
+            before = "".join(t.text or "" for t in child.iter(f"{_W}t")).strip() or before
+        elif child.tag == f"{_W}tbl":
+            for r, row in enumerate(child.findall(f"{_W}tr")):
+                for c, cell in enumerate(row.findall(f"{_W}tc")):
+                    text = "\n".join("".join(t.text or "" for t in p.iter(f"{_W}t")) for p in cell.iter(f"{_W}p"))
+                    yield n, r, c, text.strip() or None, before
+            n += 1
+
+
+def _properties(z: zipfile.ZipFile) -> Iterator[tuple]:
+    """What the file says of itself: title, creator, dates and counts."""
+    for part in ("docProps/core.xml", "docProps/app.xml"):
+        if part in z.namelist():
+            for child in ET.fromstring(z.read(part)):
+                if (child.text or "").strip():
+                    yield child.tag.rsplit("}", 1)[-1], child.text.strip()
+
+
+def _layouts(z: zipfile.ZipFile, slide: str) -> str | None:
+    """The name of the layout that a slide uses."""
+    links = posixpath.join(posixpath.dirname(slide), "_rels", posixpath.basename(slide) + ".rels")
+    if links not in z.namelist():
+        return None
+    for link in ET.fromstring(z.read(links)):
+        if link.get("Type", "").endswith("/slideLayout"):
+            name = posixpath.normpath(posixpath.join(posixpath.dirname(slide), link.get("Target")))
+            return ET.fromstring(z.read(name)).find(f"{_P}cSld").get("name") if name in z.namelist() else None
+    return None
+
+
+def _slide_tables(z: zipfile.ZipFile) -> Iterator[tuple]:
+    for number, name in _slide_names(z):
+        layout = _layouts(z, name)
+        for t, table in enumerate(ET.fromstring(z.read(name)).iter(f"{_A}tbl")):
+            for r, row in enumerate(table.findall(f"{_A}tr")):
+                for c, cell in enumerate(row.findall(f"{_A}tc")):
+                    text = "\n".join("".join(x.text or "" for x in p.iter(f"{_A}t")) for p in cell.iter(f"{_A}p"))
+                    yield number, t, r, c, text.strip() or None, layout
+
+
+def _slide_names(z: zipfile.ZipFile) -> list[tuple[int, str]]:
     names = [n for n in z.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)]
-    for name in sorted(names, key=lambda n: int(re.search(r"(\d+)\.xml", n)[1])):
+    return sorted((int(re.search(r"(\d+)\.xml", n)[1]), n) for n in names)
+
+
+def _slides(z: zipfile.ZipFile) -> Iterator[tuple]:
+    for number, name in _slide_names(z):
         for i, shape in enumerate(ET.fromstring(z.read(name)).iter(f"{_P}sp")):
             kind = shape.find(f"{_P}nvSpPr/{_P}nvPr/{_P}ph")
             text = "\n".join("".join(t.text or "" for t in p.iter(f"{_A}t")) for p in shape.iter(f"{_A}p"))
             if text.strip():
-                yield int(re.search(r"(\d+)\.xml", name)[1]), i, text, kind is not None and kind.get("type") in ("title", "ctrTitle")
+                yield number, i, text, kind is not None and kind.get("type") in ("title", "ctrTitle")
 
 
 def _read(parse, ddl: str):
@@ -81,7 +133,7 @@ def _read(parse, ddl: str):
                 try:  # a file that can't be read gives one row that says so
                     with zipfile.ZipFile(io.BytesIO(content)) as z:
                         rows = [(file, *r, None) for r in parse(z)]
-                except (zipfile.BadZipFile, ET.ParseError, KeyError, ValueError, IndexError) as error:
+                except (zipfile.BadZipFile, ET.ParseError, KeyError, ValueError, IndexError, AttributeError, NotImplementedError) as error:
                     rows = [(file, *[None] * (len(names) - 2), f"{type(error).__name__}: {error}")]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
@@ -106,6 +158,29 @@ def slide_texts(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path, _slides, SLIDES)
 
 
+def document_tables(spark: SparkSession, path: str) -> DataFrame:
+    """(file, table, row, col, value, before): cells of tables in documents, with the text that stands before the table."""
+    return _files(spark, path, _document_tables, TABLES)
+
+
+def slide_tables(spark: SparkSession, path: str) -> DataFrame:
+    """(file, slide, table, row, col, value, layout): cells of tables on slides, with the name of the slide's layout."""
+    return _files(spark, path, _slide_tables, SLIDE_TABLES)
+
+
+def properties(spark: SparkSession, path: str) -> DataFrame:
+    """(file, name, value): what workbooks, documents and slides say of themselves."""
+    return _files(spark, path, _properties, PROPERTIES)
+
+
+def table_texts(cells: DataFrame) -> DataFrame:
+    """(file, table, before, text): a table as lines of cells parted by bars. cells: of document_tables()."""
+    by_row = cells.where("error is null").groupBy("file", "table", "before", "row").agg(F.sort_array(F.collect_list(F.struct("col", F.coalesce("value", F.lit("")).alias("v")))).alias("c"))
+    line = F.array_join(F.transform("c", lambda x: x["v"]), " | ")
+    lines = F.sort_array(F.collect_list(F.struct("row", line.alias("l"))))
+    return by_row.groupBy("file", "table", "before").agg(F.array_join(F.transform(lines, lambda x: x["l"]), "\n").alias("text"))
+
+
 def document_sections(paragraphs: DataFrame, default: str = "Introduction") -> DataFrame:
     """(file, section, heading, text): paragraphs under the last heading; a heading has a heading style, or is short and in
     capitals or ends with a colon."""

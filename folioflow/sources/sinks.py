@@ -1,11 +1,17 @@
-"""Where results go: JSON, CSV, run manifests, files with a version for each write."""
+"""Where results go: JSON, CSV, run manifests, graphs, batches for an outside store, reports."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow.operators.metadata import BATCH_BYTES
+
 RUNS = "run string, output string, chunks long, seconds double"
+STORED = "part int, batch int, rows int, bytes long, error string"
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -17,19 +23,83 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def append_run(spark: SparkSession, path: str, run: str, output: str, chunks: int, seconds: float) -> None:
-    """Adds a run to the manifest unless it is there."""
-    known = runs(spark, path)
-    spark.createDataFrame([(run, output, chunks, seconds)], RUNS).join(known.select("run"), "run", "left_anti").select("run", "output", "chunks", "seconds").write.mode("append").parquet(path)
+    """Writes a run to the manifest, in a folder of its own: a run that comes again, from any writer, replaces itself."""
+    row = spark.createDataFrame([(output, chunks, seconds)], "output string, chunks long, seconds double").withColumn("run", F.lit(run))
+    row.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path)
 
 
 def runs(spark: SparkSession, path: str) -> DataFrame:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
         return spark.createDataFrame([], RUNS)
-    return spark.read.schema(RUNS).parquet(path)
+    return spark.read.schema(RUNS).parquet(path).select("run", "output", "chunks", "seconds")
 
 
 def flagged(documents: DataFrame, done: DataFrame, key: str, flag: str) -> DataFrame:
     """Documents with a flag set where their key is among those done."""
     marks = done.select(key).distinct().withColumn("_done", F.lit(True))
     return documents.join(marks, key, "left").withColumn(flag, F.coalesce("_done", F.col(flag), F.lit(False))).drop("_done")
+
+
+def write_graph(vertices: DataFrame, edges: DataFrame, path: str) -> None:
+    """Vertices and edges as tables of a folder, edges apart by their type."""
+    vertices.write.mode("overwrite").parquet(f"{path}/vertices")
+    edges.write.mode("overwrite").partitionBy("type").parquet(f"{path}/edges")
+
+
+def graph_rows(entities: DataFrame, relations: DataFrame, document: str) -> DataFrame:
+    """(kind, id, document, chunk_id, name, target, type, description): entities and relationships as rows of one store, each with
+    the chunk that it was found in. entities: chunk_id, name, type, description; relations: chunk_id, source, target, type,
+    description; id: a hash of what identifies a row, so that writing again changes nothing."""
+    told = lambda *c: F.sha2(F.concat_ws("\x1f", *c), 256).alias("id")
+    a = entities.select(F.lit("entity").alias("kind"), told(F.lit(document), "chunk_id", "name"), F.lit(document).alias("document"), "chunk_id", "name", F.lit(None).cast("string").alias("target"), "type", "description")
+    b = relations.select(F.lit("relationship").alias("kind"), told(F.lit(document), "chunk_id", "source", "target", "type"), F.lit(document).alias("document"), "chunk_id", F.col("source").alias("name"), "target", "type", "description")
+    return a.unionByName(b)
+
+
+def halved(rows: list, size: Callable[[list], int], most: int) -> Iterator[list]:
+    """Runs of rows of at most that size, by halving; one row alone may be larger."""
+    if len(rows) > 1 and size(rows) > most:
+        middle = len(rows) // 2
+        yield from halved(rows[:middle], size, most)
+        yield from halved(rows[middle:], size, most)
+    elif rows:
+        yield rows
+
+
+def stored_in_batches(df: DataFrame, client: Callable[[], Callable[[list[dict]], None]], rows: int = 50, most_bytes: int = BATCH_BYTES) -> DataFrame:
+    """(part, batch, rows, bytes, error): what went to an outside store, in batches of rows that are halved until they are small
+    enough. client makes, once for each task, a function that stores rows; where it fails the task's further batches are not
+    sent. The store is called when the result is read, once for each time that it is; rows need identifiers that the store knows
+    again, as lost tasks run again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, store, done, failed = TaskContext.get().partitionId(), client(), [], False
+        size = lambda some: sum(len(repr(r)) for r in some)
+        for batch in batches:
+            held = batch.to_pylist()
+            for at in range(0, len(held), rows):
+                for some in halved(held[at : at + rows], size, most_bytes):
+                    error = None
+                    if failed:
+                        error = "not sent"
+                    else:
+                        try:
+                            store(some)
+                        except Exception as e:  # whatever the client raises belongs to its batch
+                            error, failed = f"{type(e).__name__}: {e}", True
+                    done.append((part, len(done), len(some), size(some), error))
+        columns = list(zip(*done, strict=True)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string()), strict=True)], [x.split()[0] for x in STORED.split(", ")])
+
+    return df.mapInArrow(run, STORED)
+
+
+def write_reports(sections: DataFrame, report: str, order: str, title: str, text: str, path: str) -> None:
+    """Markdown reports, a folder for each: a heading for each section, then its text, in order."""
+    part = F.concat(F.lit("## "), F.col(title), F.lit("\n\n"), F.coalesce(text, F.lit("")), F.lit("\n"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, part.alias("p")))), lambda x: x["p"]), "\n")
+    whole = sections.groupBy(report).agg(F.concat(F.lit("# "), F.first(report), F.lit("\n\n"), joined).alias("value"))
+    whole.write.mode("overwrite").partitionBy(report).text(path)

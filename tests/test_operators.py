@@ -170,7 +170,7 @@ def test_csv_files(spark, tmp_path):
     got = {r.path.rsplit("/", 1)[1]: (r.encoding, r.delimiter) for r in csv.sniffed(spark, str(tmp_path)).collect()}
     assert got == {"a.csv": ("utf-8", ";"), "b.csv": ("latin-1", ",")}
     assert [tuple(r) for r in csv.read(spark, str(tmp_path / "a.csv"), ";").orderBy("Name").collect()] == [("A", "1"), ("B", "2")]
-    assert csv.cells(spark, str(tmp_path / "a.csv"), ";").where("value is not null").count() == 6
+    assert csv.cells(spark, str(tmp_path / "a.csv")).where("value is not null").count() == 6
 
 
 def archive(path, parts):
@@ -248,3 +248,174 @@ def test_clusters_keep_the_longest_name(spark):
     pairs = graph.similar_names(names, "n", "t")
     got = {(r.type, r.name): r.canonical for r in graph.name_clusters(names, pairs, "n", "t").collect()}
     assert got == {("org", "Acme Energy"): "Acme Energy Co", ("org", "Acme Energy Co"): "Acme Energy Co", ("org", "Zeta"): "Zeta", ("place", "Acme Energy"): "Acme Energy"}
+
+
+def test_misread_text_is_mended(spark):
+    assert one(spark, tx.clean_text(F.lit("energÃ­a niÃ±o Ã© café PÁGINA 3 de 10 x 4/12 y​ Â z"))) == "energía niño é café x y z"
+
+
+def test_sentences_of_lists_and_by_language(spark):
+    assert one(spark, tx.fine_sentences(F.lit("Scope: all sites\nWater | Waste; Air\n12.5\n• one thing here"))) == ["Scope:.", "all sites.", "Water.", "Waste;.", "Air.", "• one thing here."]
+    assert one(spark, tx.sentences_in(F.lit("Der z.B. kleine Fall. Ende! Dr. No"), F.lit("de"))) == ["Der z.B. kleine Fall.", "Ende!", "Dr. No"]
+    assert one(spark, tx.sentences_in(F.lit("Sra. Paz llega. Sale."), F.lit("es"))) == ["Sra. Paz llega.", "Sale."]
+
+
+@pytest.mark.parametrize("line, level", [
+    ("Environmental Impact", 1), ("GRI 305: Emissions", 1), ("Climate change and us", 1), ("1.2 Energy use", 2), ("Governance of Climate-Related Risks", 1), ("letter from our CEO", 1), ("water usage by site", 1),
+    ("SDG 13: Climate", 1), ("METHODS", 1), ("3. whatever comes, here", 1), ("Works Cited", 1), ("A short title", 1), ("Introducción", 1), ("2. Metodología aplicada", 1), ("introducción general", None), ("a plain line.", None), ("", None),
+])
+def test_titles(spark, line, level):
+    got = chunking.header_lines(spark.createDataFrame([(1, f"some text, long enough.\n  {line}\t\nmore.")], "k int, t string"), "k", "t").collect()
+    assert [(r.position, r.text, r.level) for r in got] == ([] if level is None else [(1, line, level)])
+
+
+def test_long_texts_without_titles_are_cut(spark):
+    texts = [(n, "\n".join(["plain, low."] * n)) for n in (50, 300, 301, 900)]
+    got = chunking.header_lines(spark.createDataFrame(texts, "k int, t string"), "k", "t").collect()
+    assert sorted((r.k, r.position, r.text) for r in got) == [(301, 300, "Section 1"), (900, 300, "Section 1"), (900, 600, "Section 2")]
+
+
+def spans_of(texts, angles, **how):
+    import numpy as np
+
+    return chunking.semantic_spans(texts, np.array([[np.cos(a), np.sin(a)] for a in angles]), **how)
+
+
+def test_semantic_spans():
+    same, long_ = [0.0] * 40, "word " * 12
+    assert spans_of([], []) == [] and spans_of(["a"] * 3, same[:3]) == [(0, 2)]
+    assert spans_of([long_] * 7, same[:7]) == [(0, 1), (2, 3), (4, 5), (6, 6)]  # thirds, two sentences at least
+    assert spans_of([long_] * 6 + ["x"], same[:7]) == [(0, 1), (2, 3), (4, 5)]  # under ten characters
+    assert spans_of([long_] * 20, same[:20], most=8) == [(0, 7), (7, 14), (14, 19)]  # one sentence repeats
+    turn = [0.0] * 5 + [1.5] * 5
+    assert spans_of([long_] * 10, turn, overlap=0) == [(0, 4), (5, 9)]
+    assert spans_of([long_] * 4 + [long_ + "and,"] + [long_] * 5, turn) == [(0, 5), (5, 9)]  # the text breaks off
+    assert spans_of([long_] * 4 + ["Table 3 " + long_] + [long_] * 6, same[:11]) == [(0, 3), (4, 10)]
+    assert spans_of([long_] * 4 + ["as follows:"] + [long_] * 6, same[:11]) == [(0, 3), (4, 10)]
+    assert spans_of([long_] * 7 + ["Table 3", "two"], same[:9]) == [(0, 8)]  # a short neighbour of the same subject
+    assert spans_of([long_] * 7 + ["Table 3", "two"], [0.0] * 7 + [1.5] * 2) == [(0, 6), (7, 8)]
+
+
+def test_semantic_chunks_of_documents(spark):
+    rows = [(d, i, "word " * 12, [1.0, 0.0] if i < 5 else [0.0, 1.0]) for d in ("a", "b", None) for i in range(10)]
+    df = spark.createDataFrame(rows, "k string, o int, s string, v array<double>").repartition(3)
+    got = chunking.semantic_chunks(df, "k", "o", "s", "v").collect()
+    assert sorted(map(repr, ((r.k, r.chunk, r.first, r.last, r.words) for r in got))) == sorted(repr((d, n, 5 * n, 5 * n + 4, 60)) for d in ("a", "b", None) for n in (0, 1))
+    assert chunking.semantic_chunks(df.limit(0), "k", "o", "s", "v").count() == 0
+
+
+def test_limited_chunks_keep_the_last_sentence(spark):
+    rows = [("d", i, "One" if i < 6 else "Two", "s" * 20, [1.0, 0.0] if i % 6 < 3 else [0.0, 1.0]) for i in range(8)]
+    got = chunking.limited_chunks(spark.createDataFrame(rows, "k string, o int, h string, s string, v array<double>"), "k", "o", "h", "s", "v", least=0).orderBy("chunk").collect()
+    assert [(r.heading, r.first, r.last) for r in got] == [("One", 0, 5), ("Two", 6, 7)]
+    short = chunking.limited_chunks(spark.createDataFrame(rows, "k string, o int, h string, s string, v array<double>"), "k", "o", "h", "s", "v").collect()
+    assert [(r.first, r.last) for r in short] == [(0, 7)]
+
+
+def test_islands_cross_bands(spark):
+    import random
+
+    rng = random.Random(1)
+    filled = {(r, c) for r in range(40) for c in range(12) if rng.random() < 0.55}
+    df = spark.createDataFrame([("f", "s", r, c, "x") for r, c in filled], "file string, sheet string, row int, col int, value string")
+    seen, want = {}, 0
+    for start in sorted(filled):
+        if start not in seen:
+            todo = [start]
+            while todo:
+                r, c = todo.pop()
+                if (r, c) in filled and (r, c) not in seen:
+                    seen[r, c] = want
+                    todo += [(r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)]
+            want += 1
+    for band in (1, 7, 1000):
+        assert {(r.row, r.col): r.block for r in tables.blocks(df, band).collect()} == seen
+
+
+def test_exact_quantiles(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    rows = [("a", float(x)) for x in rng.normal(size=1000)] + [("b", float(i % 4)) for i in range(37)] + [("c", 5.0), ("d", None)]
+    got = {r.k: r.q for r in profile.quantiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", [0.0, 0.25, 0.5, 0.9]).collect()}
+    for k in "abc":
+        assert np.allclose(got[k], np.quantile([v for n, v in rows if n == k], [0.0, 0.25, 0.5, 0.9]))
+    assert "d" not in got
+
+
+def test_similar_names_against_all_pairs(spark):
+    names = ["Bay", "eBay", "AcmeCorp", "TheAcmeCorp", "Acme Corp", "acme corp.", "Corp Acme", "a", "ab", "abc", "Energy of North Spain", "Energy of North Spian", "--", "!!", "North Energy Spain of", "abcd", "bcd", "x y z", "z y x"]
+    df = spark.createDataFrame([(n, "t") for n in names], "n string, t string")
+    got = {(r.a, r.b) for r in graph.similar_names(df, "n", "t").collect()}
+    a, b = df.select(F.col("n").alias("a")), df.select(F.col("n").alias("b"))
+    want = {(r.a, r.b) for r in a.crossJoin(b).where("a < b").where(vl.same_name(F.col("a"), F.col("b"))).collect()}
+    assert got == want and ("Bay", "eBay") in want and ("!!", "--") in want
+
+
+def test_linked_groups(spark):
+    import random
+
+    rng = random.Random(2)
+    edges = [(f"{i:03d}", f"{i + 1:03d}") for i in range(0, 60) if i % 20] + [("hub", f"h{i}") for i in range(30)]
+    rng.shuffle(edges)
+    got = {r.node: r.group for r in graph.linked_groups(spark.createDataFrame(edges, "a string, b string")).collect()}
+    assert all(got[f"{i:03d}"] == f"{(i - 1) // 20 * 20 + 1:03d}" for i in range(1, 61)) and {got[f"h{i}"] for i in range(30)} == {"h0"} and got["hub"] == "h0"
+
+
+def test_louvain_finds_a_ring_of_cliques(spark):
+    ring = [(10 * g + a, 10 * g + b) for g in range(6) for a in range(5) for b in range(a)] + [(10 * g, 10 * ((g + 1) % 6) + 1) for g in range(6)]
+    edges = spark.createDataFrame([(min(e), max(e), 1.0) for e in ring], "a long, b long, weight double")
+    got = {r.node: r.community for r in graph.louvain(edges, 3, 8).collect()}
+    assert len(got) == 30 and all(len({got[10 * g + a] for a in range(5)}) == 1 for g in range(6))
+    best = graph.modularity(edges, spark.createDataFrame([(n, n // 10) for n in got], "node long, community long")).first()[0]
+    assert graph.modularity(edges, graph.louvain(edges, 3, 8)).first()[0] >= 0.9 * best
+
+
+def test_claims_need_a_subject(spark):
+    claims = spark.createDataFrame([(1, "A", "B", 1), (1, "A", "X", 2), (2, "X", "A", 1), (3, "B", None, 1)], "id int, subject string, object string, updated int")
+    vertices = spark.createDataFrame([("A", "Org"), ("B", "Place")], "name string, type string")
+    kept, edges = graph.placed_claims(claims, vertices, "name")
+    assert sorted((r.id, r.object) for r in kept.collect()) == [(1, "X"), (3, None)]
+    assert sorted(map(tuple, edges.collect())) == [(1, "A", "HAS_CLAIM"), (3, "B", "HAS_CLAIM")]
+    assert [(r.id, r.edges) for r in graph.claims_of(kept, edges, "A").collect()] == [(1, ["HAS_CLAIM"])]
+
+
+def test_insights_of_community_0_stay(spark, tmp_path):
+    labels = spark.createDataFrame([(1, 0), (2, 0), (3, 1)], "node int, community int")
+    insights = spark.createDataFrame([(0, None, "First line\nmore"), (1, "T", "x"), (None, "T", "y")], "community int, title string, text string")
+    graph.store_insights(labels, insights, str(tmp_path / "i"))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "i")).collect())) == [(0, 2, "First line", "First line\nmore"), (1, 1, "T", "x")]
+
+
+def test_stand_in_vectors_and_recall(spark):
+    import zlib
+
+    import numpy as np
+
+    v = spark.createDataFrame([("a b a",), ("",), (None,)], "t string").select(vectors.hashed_embedding(F.col("t"), 16).alias("v")).collect()
+    want = np.zeros(16)
+    for w in "aba":
+        want[zlib.crc32(w.encode()) % 16] += 1
+    assert np.allclose(v[0].v, want / np.linalg.norm(want)) and not any(v[1].v) and not any(v[2].v)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(900, 16))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "k long, v array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    rows, centres = vectors.inverted_file(df, "k", "v")
+    asked = df.where("k % 20 = 0")
+    got = {(r.query, r.match) for r in vectors.probed_top_k(rows, centres, asked, "k", "v", 10, 2 * len(centres) // 3).collect()}
+    exact = {(r.query, r.match) for r in vectors.top_k(df, asked, "k", "k", "v", 10).collect()}
+    sims = unit @ unit.T
+    np.fill_diagonal(sims, -2)
+    assert exact == {(q, int(m)) for q in range(0, 900, 20) for m in np.argsort(-sims[q])[:10]}
+    assert len(got & exact) >= 0.9 * len(exact)
+    near = {(r.a, r.b) for r in vectors.approximate_pairs(df.withColumn("v", vectors.normalised("v")), "k", "v", 0.7, 1.0).collect()}
+    pairs = {(int(a), int(b)) for a, b in np.argwhere(np.sqrt(np.maximum(0, 2 - 2 * sims)) < 0.7) if a < b}
+    assert near <= pairs and len(near) >= 0.9 * len(pairs)
+
+
+def test_queries_in_blocks(spark, monkeypatch):
+    df = spark.createDataFrame([(i, [float(i % 7 + 1), float(i % 5), 1.0]) for i in range(60)] + [(99, [0.0, 0.0, 0.0])], "k long, v array<double>")
+    whole = sorted(map(tuple, vectors.top_k(df, df, "k", "k", "v", 3).collect()))
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 9)
+    assert sorted(map(tuple, vectors.top_k(df, df, "k", "k", "v", 3).collect())) == whole and len(whole) == 180

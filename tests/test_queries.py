@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from conftest import SF, TABLES
 
-from folioflow.plans import queries as plain
+from folioflow.plans import registered as plain
 
 
 @pytest.fixture(scope="module")
