@@ -8,20 +8,25 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one, for files that a query writes and reads again."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a temporary one stands in where that is unset and Spark runs on one machine."""
     context = spark.sparkContext
-    cut(spark.range(0))  # settles which folder that is
-    return f"{context.getCheckpointDir()}/folioflow/{name}-{uuid.uuid4().hex}"
+    given = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not given:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="folioflow-"))
+        given = context.getCheckpointDir()
+    return given.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one."""
+    return f"{shared_folder(spark)}/folioflow/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in spark.checkpoint.dir; a temporary folder stands in where that is unset and Spark runs on one
-    machine."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        given = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not given and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(given or "file://" + tempfile.mkdtemp(prefix="folioflow-"))
-    return df.checkpoint()
+    """df as a table in the shared folder: computed once, where a checkpoint computes twice, and planned by its real size."""
+    path = scratch(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
