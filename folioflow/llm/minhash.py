@@ -40,13 +40,17 @@ BANDS, BAND_ROWS, SKETCH_BITS = 48, 6, 1024
 SAMPLES = BANDS * BAND_ROWS
 #: Documents and shingles of a block, of which two are held against each other at a time.
 BLOCK_ROWS, BLOCK_KEYS = 500, 500_000
-#: Class identifiers up to this number are sent to all executors (8 bytes each); beyond it the join shuffles.
+#: Class identifiers up to this number are sent to all executors (24 bytes each with what finds their text); beyond it the
+#: joins shuffle.
 BROADCAST_IDS = 1_000_000
 SIGNED = "doc_id long, text_hash long, n_shingles long, digest binary, bands array<long>, sketch array<long>"
 _U64 = np.uint64
 
 
 class WordHashes(WordCache):
+    def __init__(self):
+        super().__init__(50_000)
+
     def compute(self, word: bytes) -> int:
         return xxhash.xxh3_64_intdigest(word)
 
@@ -219,11 +223,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     buckets = written(joined_to_groups(keyed, shared, ["key"], "n").select("key", "id", "hub"), "buckets")
     dropped(shared)
     ids = written(buckets.select("id").distinct(), "ids")
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    few = ids.count() <= BROADCAST_IDS
+    wanted = F.broadcast(ids) if few else ids
     firsts = classes.join(wanted, "id", "left_semi")
     sketches = written(firsts.select("id", "sketch"), "sketches")
     # rows that repeat a doc_id and its text would bring a text more than once
     at = firsts.select("id", F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash"))
+    at = F.broadcast(at) if few else at
     texts = docs.select(F.col("doc_id").alias("_doc_id"), F.xxhash64("text").alias("_text_hash"), "text").join(at, ["_doc_id", "_text_hash"]).groupBy("id").agg(F.first("text").alias("text"))
     sets = written(texts.mapInArrow(_sets(width), "id long, keys array<long>"), "sets")
     limit = farthest(percent / 100)
