@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from py4j.protocol import Py4JJavaError
@@ -69,10 +70,27 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/folioflow/{what}-{uuid.uuid4().hex}"
 
 
+#: Arrow batches of whole texts that a table made by written() is computed from.
+BATCH_ROWS = 1000
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Jobs run inside send so many rows to Python at once; the session's own setting comes back afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(df: DataFrame, what: str, *partition_by: str) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage, survives lost executors, is computed once."""
     path = new_path(df.sparkSession, what)
-    df.write.partitionBy(*partition_by).parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.partitionBy(*partition_by).parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.written_to = path
     return table

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm.bpe import text_coder
-from folioflow.llm.common import renamed_once, text_groups
+from folioflow.llm.common import renamed_once, small_batches, text_groups
 from folioflow.llm.tokenize import word_tokens
 
 DELTAS = "source string, lang string, version string, documents long, tokens long"
@@ -85,7 +85,8 @@ class Rollup:
         if self.fs.exists(done):
             return False
         waiting = f"_waiting-{uuid.uuid4().hex}"
-        delta().write.parquet(f"{self.folder}/{waiting}")
+        with small_batches(self.spark):
+            delta().write.parquet(f"{self.folder}/{waiting}")
         if not renamed_once(self.spark, f"{self.folder}/{waiting}", f"{self.folder}/batch={batch}"):
             self.fs.delete(self._path(waiting), True)
             return False

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import new_path, text_groups
+from folioflow.llm.common import new_path, small_batches, text_groups
 from folioflow.llm.tokenize import CHARS, word_tokens
 
 MAGIC = b"FFSST001"
@@ -248,7 +248,8 @@ def write_shards(docs: DataFrame, path: str, folder: str | None = None, end_id:
     parts = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = ordered.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "_salt").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "_salt")
     made = ordered.select("doc_id", "text").mapInArrow(_write_part(f"{folder}/data", path, end_id, shard_bytes), SHARDS)
-    made.write.parquet(f"{folder}/shards")
+    with small_batches(spark):
+        made.write.parquet(f"{folder}/shards")
     return folder, spark.read.schema(SHARDS).parquet(f"{folder}/shards")
 
 
