@@ -157,12 +157,17 @@ def text_groups(texts: pa.ChunkedArray | pa.Array, limit: int = CHARS_AT_ONCE) -
 _HELD: dict[str, dict] = {}
 
 
-def held(group: str, key: str, make):
-    """What a Python worker keeps between tasks, made once for each key. Workers outlive a job, so what belongs to another
-    group of operators is let go first."""
+def let_go(group: str) -> None:
+    """Frees what other groups of operators hold in this Python worker; for operators that hold nothing themselves, too."""
     if group not in _HELD:
         _HELD.clear()
         _HELD[group] = {}
+
+
+def held(group: str, key: str, make):
+    """What a Python worker keeps between tasks, made once for each key. Workers outlive a job, so what belongs to another
+    group of operators is let go first."""
+    let_go(group)
     kept = _HELD[group]
     if key not in kept:
         if len(kept) > 1:

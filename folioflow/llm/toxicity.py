@@ -26,11 +26,12 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import first_share, given, held_out, text_groups, text_of, with_row, written
+from folioflow.llm.common import first_share, given, held_out, let_go, text_groups, text_of, with_row, written
 
 SAMPLE_ROWS, NEIGHBOURS, BLOCK, THRESHOLD = 3000, 15, 64, 0.7
 #: Share of the examples from which on a term's postings are kept in blocks.
@@ -48,9 +49,21 @@ def terms_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def counted(text: str | None, number: dict[str, int]) -> dict[int, int]:
-    """How often each known term stands in the text, by its number."""
-    return {number[t]: n for t, n in Counter(terms_of(text)).items() if t in number}
+def hashes(terms) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(t.encode()) for t in terms), np.uint64, len(terms))
+
+
+def counted(text: str | None, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, counts) of the known terms in the text, by number; known: their hashes in order, so a term's number is its
+    place there."""
+    counts = Counter(terms_of(text))
+    if not counts or not len(known):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    found = hashes(counts)
+    at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+    hit = np.flatnonzero(known[at] == found)
+    hit = hit[np.argsort(at[hit])]
+    return at[hit], np.fromiter(counts.values(), np.int64, len(counts))[hit]
 
 
 @dataclass(frozen=True)
@@ -145,7 +158,7 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 @dataclass(frozen=True)
 class Model:
-    number: dict[str, int]
+    known: np.ndarray
     term_weights: np.ndarray
     index: BlockMaxIndex | None
     class_weights: tuple[float, float]
@@ -156,8 +169,8 @@ class Model:
     neighbours: int
 
     def near(self, text: str | None, without: int | None = None) -> list[tuple[float, int]]:
-        counts = counted(text, self.number) if self.index else {}
-        return self.index.nearest(*unit_vector(counts, self.term_weights), self.neighbours, without) if counts else []
+        terms, counts = counted(text, self.known)
+        return self.index.nearest(*unit_vector(terms, counts, self.term_weights), self.neighbours, without) if self.index and len(terms) else []
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         weighed = [(s * self.class_weights[self.index.toxic[i]], self.index.toxic[i]) for s, i in near]
@@ -169,11 +182,8 @@ class Model:
         return float(self.values[max(0, np.searchsorted(self.steps, self.vote(near), "right") - 1)])
 
 
-def unit_vector(counts: dict[int, int], term_weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    terms = np.fromiter(counts.keys(), np.int32, len(counts))
-    order = np.argsort(terms)
-    terms = terms[order]
-    weights = (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts))[order])) * term_weights[terms]
+def unit_vector(terms: np.ndarray, counts: np.ndarray, term_weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    weights = (1 + np.log(counts)) * term_weights[terms]
     return terms, weights / np.sqrt((weights**2).sum())
 
 
@@ -183,26 +193,31 @@ def _frame(rows: list[tuple], columns: dict[str, pa.DataType]) -> pa.RecordBatch
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Examples of each class by term."""
-    counts: dict[str, list[int]] = {}
+    """Examples of each class by the hash of a term."""
     for batch in batches:
+        found: tuple[list, list] = ([np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)])
         for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for term in set(terms_of(text)):
-                counts.setdefault(term, [0, 0])[toxic] += 1
-    yield _frame([(t, a, b) for t, (a, b) in counts.items()], {"term": pa.string(), "clean": pa.int64(), "toxic": pa.int64()})
+            found[toxic].append(hashes(set(terms_of(text))))
+        for toxic in (0, 1):
+            terms, n = np.unique(np.concatenate(found[toxic]), return_counts=True)
+            none = pa.array(np.zeros(len(n), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), none if toxic else pa.array(n), pa.array(n) if toxic else none], ["term", "clean", "toxic"])
 
 
 def _count_documents(sent: Broadcast):
     """Documents that hold each term; term -1 counts all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, counts = sent.value, Counter()
+        let_go("toxicity")
+        known = sent.value
+        times = np.zeros(len(known) + 1, np.int64)
         for batch in batches:
             for _, texts in text_groups(batch.column(0)):
-                counts[-1] += len(texts)
+                times[-1] += len(texts)
                 for text in texts:
-                    counts.update(map(number.__getitem__, number.keys() & set(terms_of(text))))
-        yield _frame(list(counts.items()), {"term": pa.int32(), "n": pa.int64()})
+                    times[counted(text, known)[0]] += 1
+        at = np.flatnonzero(times)
+        yield pa.RecordBatch.from_arrays([pa.array(np.where(at < len(known), at, -1).astype(np.int32)), pa.array(times[at])], ["term", "n"])
 
     return run
 
@@ -212,8 +227,7 @@ def _example_terms(sent: Broadcast):
         for batch in batches:
             rows = []
             for doc_id, toxic, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                counts = counted(text, sent.value)
-                rows.append((doc_id, toxic, list(counts), list(counts.values())))
+                rows.append((doc_id, toxic, *counted(text, sent.value)))
             yield _frame(rows, {"doc_id": pa.int64(), "toxic": pa.int32(), "terms": pa.list_(pa.int32()), "counts": pa.list_(pa.int32())})
 
     return run
@@ -240,7 +254,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, neig
     spark = docs.sparkSession
     known = labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     totals = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
-    nothing = Model({}, np.zeros(0), None, (1.0, 1.0), np.zeros(0), np.zeros(0), 0.0, 0.0, neighbours)
+    nothing = Model(np.zeros(0, np.uint64), np.zeros(0), None, (1.0, 1.0), np.zeros(0), np.zeros(0), 0.0, 0.0, neighbours)
     if len(totals) < 2:
         return nothing
     # of some three times as many rows as are wanted, those with the smallest hashes
@@ -253,14 +267,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, neig
     if len(sizes) < 2:
         return nothing
     n0, n1, rate = sizes[0], sizes[1], totals[1] / (totals[0] + totals[1])
-    by_term = rows.select("toxic", "text").mapInArrow(_count_terms, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").cast("double").alias("a"), F.sum("toxic").cast("double").alias("b"))
-    terms = by_term.toArrow().sort_by("term")
-    number = {t: i for i, t in enumerate(terms["term"].to_pylist())}
-    a, b = terms["a"].to_numpy() + SMOOTHING, terms["b"].to_numpy() + SMOOTHING
+    by_term = rows.select("toxic", "text").mapInArrow(_count_terms, "term long, clean long, toxic long").groupBy("term").agg(F.sum("clean").cast("double").alias("a"), F.sum("toxic").cast("double").alias("b"))
+    terms = by_term.toArrow()
+    known = terms["term"].to_numpy().view(np.uint64)
+    order = np.argsort(known)
+    known, a, b = known[order], terms["a"].to_numpy()[order] + SMOOTHING, terms["b"].to_numpy()[order] + SMOOTHING
     association = np.maximum(np.abs(np.log(b / (n1 + 2 * SMOOTHING) * (n0 + 2 * SMOOTHING) / a)), LEAST_ASSOCIATION)
-    sent = spark.sparkContext.broadcast(number)
+    sent = spark.sparkContext.broadcast(known)
     spread = docs.select("text").mapInArrow(_count_documents(sent), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    times = np.zeros(len(number) + 1)  # the last one counts all documents
+    times = np.zeros(len(known) + 1)  # the last one counts all documents
     times[spread["term"].to_numpy()] = spread["n"].to_numpy()
     term_weights = (np.log((1 + times[-1]) / (1 + times[:-1])) + 1) * association
     found = rows.mapInArrow(_example_terms(sent), "doc_id long, toxic int, terms array<int>, counts array<int>").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
@@ -268,13 +283,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, neig
     examples, bare = [], []
     for doc_id, toxic, held_terms, counts in zip(*(found[c] for c in ("doc_id", "toxic", "terms", "counts")), strict=True):
         if len(held_terms):
-            examples.append(Example(doc_id.as_py(), toxic.as_py(), *unit_vector(dict(zip(held_terms.as_py(), counts.as_py(), strict=True)), term_weights)))
+            examples.append(Example(doc_id.as_py(), toxic.as_py(), *unit_vector(held_terms.values.to_numpy(), counts.values.to_numpy(), term_weights)))
         else:
             bare.append(toxic.as_py())
     without = sum(weights[1] for t in bare if t) / max(1e-9, sum(weights[t] for t in bare)) if bare else rate
     if not examples:
-        return Model(number, term_weights, None, weights, np.zeros(0), np.zeros(0), without, rate, neighbours)
-    model = Model(number, term_weights, BlockMaxIndex(examples, len(number)), weights, np.zeros(0), np.zeros(0), without, rate, neighbours)
+        return Model(known, term_weights, None, weights, np.zeros(0), np.zeros(0), without, rate, neighbours)
+    model = Model(known, term_weights, BlockMaxIndex(examples, len(known)), weights, np.zeros(0), np.zeros(0), without, rate, neighbours)
     votes = rows.mapInArrow(_leave_one_out(spark.sparkContext.broadcast(model)), "vote double, toxic int").toArrow().sort_by([("vote", "ascending"), ("toxic", "ascending")])
     marks = votes["toxic"].to_numpy()
     steps, values = isotonic(votes["vote"].to_numpy(), marks.astype(float), np.where(marks == 1, weights[1], weights[0])) if len(votes) else (np.zeros(1), np.full(1, without))
@@ -283,6 +298,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, neig
 
 def _score(sent: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go("toxicity")
         model = sent.value
         for batch in batches:
             scores, evidence = [], []
