@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import first_share, given, held_out, text_groups, text_of, with_row
+from folioflow.llm.common import first_share, given, held_out, let_go, text_groups, text_of, with_row
 
 ORDER, SAMPLE_ROWS, TOTAL_ROWS = 4, 1500, 60_000
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -118,6 +118,7 @@ class ContextTrees:
 
 def _predict(sent: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go("languages")
         trees = sent.value
         for batch in batches:
             langs, scores = [], []
@@ -142,6 +143,7 @@ def _predict(sent: Broadcast):
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    let_go("languages")
     for batch in batches:
         langs = batch.column(0).to_pylist()
         for first, texts in text_groups(batch.column(1)):
