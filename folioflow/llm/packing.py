@@ -62,8 +62,8 @@ def packed(fills: list[int], members: list[bytes], capacity: int) -> pa.RecordBa
     )
 
 
-def _pieces(path: str, capacity: int, end_id: int, words_kept: int):
-    """Tokenises a partition's documents, cuts the long ones and packs the pieces of NODE_ITEMS at a time."""
+def _pieces(path: str, capacity: int, end_id: int, words_kept: int, node_items: int):
+    """Tokenises a partition's documents, cuts the long ones and packs node_items pieces at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, end = word_tokens(path, words_kept), np.array([end_id], "<u4").tobytes()
@@ -79,7 +79,7 @@ def _pieces(path: str, capacity: int, end_id: int, words_kept: int):
                         part = data[at : at + 4 * capacity]
                         fills.append(len(part) // 4)
                         members.append(np.array([(doc_id or 0, doc_id is None, piece, at // 4, len(part) // 4, zlib.crc32(part))], MEMBER).tobytes())
-            if len(fills) >= NODE_ITEMS:
+            if len(fills) >= node_items:
                 yield packed(fills, members, capacity)
                 fills, members = [], []
         if fills:
@@ -124,7 +124,7 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int
     """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. path: a tokenizers file;
     words_kept: how many words a task keeps the ids of, which takes about 400 bytes each."""
     text = docs.select("doc_id", "text")
-    bins = written(text.mapInArrow(_pieces(path, capacity, end_id, words_kept), BINS), "bins")
+    bins = written(text.mapInArrow(_pieces(path, capacity, end_id, words_kept, node_items), BINS), "bins")
     least = int(np.ceil(nearly_full * capacity))
     done = []
     while True:
