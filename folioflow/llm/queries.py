@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import bpe, compaction, counts, hnsw, langid, minhash, packing, quality, reputation, spelling, sstable, toxicity
+from folioflow.llm import bpe, compaction, counts, hnsw, langid, minhash, packing, quality, reputation, spelling, sstable, toxicity, vantage
 from folioflow.llm.common import new_path, table
 from folioflow.llm.tokenize import default_word_file
 
@@ -170,6 +170,27 @@ FROM parts JOIN bounds USING (host) LEFT JOIN fitting USING (host, path)
 """
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id, label = F.col("vec_id"), F.col("label")
+    relabelled = table(spark, sf_dir, "embeddings").withColumn("label", F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label))
+    return vantage.hard_negatives(relabelled, anchor=vec_id % 100 == 0)
+
+
+OP13_SQL = """
+WITH sound AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.r AS a, a.vec_id AS anchor_id, b.r AS b, b.vec_id, a.label = b.label AS same, coalesce(list_inner_product(a.v, b.v), 0)::BIGINT AS score
+  FROM sound AS a JOIN sound AS b ON len(a.v) = len(b.v) AND a.r <> b.r WHERE a.vec_id % 100 = 0),
+positive AS (SELECT a, anchor_id, b AS p, vec_id AS positive_id, score AS positive_score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id, b) <= 5)
+SELECT p.anchor_id, positive_id, (row_number() OVER (PARTITION BY a, p ORDER BY score DESC, vec_id, s.b))::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM positive AS p JOIN scored AS s USING (a) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY a, p ORDER BY score DESC, vec_id, s.b) <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embedding_near_dedup": op1_embedding_near_dedup,
@@ -184,8 +205,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_repetition_rules": op10_repetition_rules,
         "op11_spelling_variants": op11_spelling_variants,
         "op12_host_reputation": op12_host_reputation,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_compacted_shards": OP6_SQL, "op11_spelling_variants": OP11_SQL, "op12_host_reputation": OP12_SQL}
+    return {"op6_compacted_shards": OP6_SQL, "op11_spelling_variants": OP11_SQL, "op12_host_reputation": OP12_SQL, "op13_hard_negatives": OP13_SQL}
