@@ -14,7 +14,7 @@ more, which makes 100,000. Merging reads and writes shards without a shuffle; a
 source or key cannot make a large task.
 
 Rows are taken as they are: null columns, repeated rows and extra columns under any names are kept. The schema of a version
-is the union by name of all arrivals; columns that an arrival lacks are null in its rows; a column that comes again with
+is the union by name of all arrivals, where names that differ by case only are one column, named as it came first; columns that an arrival lacks are null in its rows; a column that comes again with
 another type is refused. An empty arrival adds its columns and no rows; reading a table that has only such arrivals gives no
 rows, reading one without any commit is an error.
 """
@@ -64,15 +64,26 @@ def free_name(wanted: str, names: list[str]) -> str:
 
 
 def united(one: T.StructType, two: T.StructType) -> T.StructType:
-    """The columns of both, by name; all may be null."""
-    fields = {f.name: T.StructField(f.name, f.dataType) for f in one}
-    for f in two:
-        if f.name in fields and fields[f.name].dataType.simpleString() != f.dataType.simpleString():
-            raise ValueError(f"column {f.name} is {fields[f.name].dataType.simpleString()} and cannot become {f.dataType.simpleString()}")
-        fields.setdefault(f.name, T.StructField(f.name, f.dataType))
+    """The columns of both, by name whatever its case, under the name that came first; all may be null. Raises ValueError if a
+    column has two types, or one side two columns whose names differ by case only, which could not be read again."""
+    fields: dict[str, T.StructField] = {}
+    for side in (one, two):
+        names = [f.name.lower() for f in side]
+        if twice := sorted({n for n in names if names.count(n) > 1}):
+            raise ValueError(f"more than one column is named {', '.join(twice)}")
+        for f in side:
+            known = fields.setdefault(f.name.lower(), T.StructField(f.name, f.dataType))
+            if known.dataType.simpleString().lower() != f.dataType.simpleString().lower():
+                raise ValueError(f"column {f.name} is {known.dataType.simpleString()} and cannot become {f.dataType.simpleString()}")
     return T.StructType(list(fields.values()))
 
 
+def named_as(rows: DataFrame, schema: T.StructType) -> DataFrame:
+    """rows with its columns named as in the schema, which differs by case only."""
+    names = {f.name.lower(): f.name for f in schema}
+    return rows.toDF(*(names.get(c.lower(), c) for c in rows.columns))
+
+
 class ShardedTable:
     """A folder with shards/ and manifests/."""
 
@@ -144,6 +155,7 @@ class ShardedTable:
         base = max(self.versions(), default=0)
         shards, schema = self._manifest(base)
         schema, folder = united(schema, rows.schema), uuid.uuid4().hex
+        rows = named_as(rows, schema)
         rows.write.parquet(f"{self.folder}/shards/{folder}")
         return self._commit(base, shards + self._shards_in(folder, rows.schema, arrival), schema)
 
@@ -153,8 +165,9 @@ class ShardedTable:
         base = max(self.versions(), default=0)
         shards, schema = self._manifest(base)
         schema, folder, key = united(schema, rows.schema), uuid.uuid4().hex, free_name("_arrival", rows.columns)
-        rows.withColumn(key, arrival.cast("string")).write.partitionBy(key).parquet(f"{self.folder}/shards/{folder}")
-        new = self._shards_in(folder, rows.schema, None)
+        rows = named_as(rows.withColumn(key, arrival.cast("string")), schema)
+        rows.write.partitionBy(key).parquet(f"{self.folder}/shards/{folder}")
+        new = self._shards_in(folder, schema, None)
         for name in sorted({s.arrival for s in new}) or [None]:
             shards = shards + [s for s in new if s.arrival == name]
             base = self._commit(base, shards, schema)

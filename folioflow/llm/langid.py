@@ -13,7 +13,7 @@ language has seen the bits of all languages stand ready in one row; other bytes
 Trained on a bounded sample: at most SAMPLE_ROWS labelled texts of each language, TOTAL_ROWS in all, those whose doc_ids
 have the smallest hashes. Texts are learned and scored whole, whatever their length.
 
-Null text, or text without letters: `und` with score 0, and so is everything if there is nothing to learn from. A null
+Null text, or text without letters (of Unicode's categories L; superscripts and circled digits are none): `und` with score 0, and so is everything if there is nothing to learn from. A null
 doc_id is never held out and never learned from. Ties go to the first language in order. Each repeated row gets a row;
 empty tables give none; other columns are not read.
 """
@@ -39,11 +39,16 @@ PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
 UNKNOWN = "und"
 #: Bytes that are costed at once.
 BYTES = 1 << 17
-_LETTER = re.compile(r"[^\W\d_]")
+#: Letters, and a few numbers such as superscripts, fractions and circled digits.
+_LIKE_LETTER = re.compile(r"[^\W\d_]")
 _BEFORE = b"\n" * ORDER
 _U8 = np.uint64(8)
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _LIKE_LETTER.finditer(text))
+
+
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(for each byte of the texts in turn, it and the ORDER bytes before it as one number; bytes of each text)."""
     coded = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
@@ -130,7 +135,7 @@ def _predict(sent: Broadcast):
                 bits = trees.code_lengths(texts)
                 best = bits.argmin(axis=1)
                 share = 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1)
-                some = [_LETTER.search(t) is not None for t in texts]
+                some = [has_letter(t) for t in texts]
                 langs += [trees.langs[b] if s else UNKNOWN for b, s in zip(best.tolist(), some, strict=True)]
                 scores += np.where(some, share, 0.0).tolist()
             row = {"row": batch.column("row")} if "row" in batch.schema.names else {}

@@ -321,6 +321,16 @@ def test_long_words_repeat(spark):
     assert got[0].n_repeat_words == 20 and not got[0].kept and got[1].kept and got[3].longest_repeat == 70
 
 
+@pytest.mark.parametrize("text", ["²", "½ ½", "①", "123 _ !", "\u0301"])
+def test_what_is_no_letter(text):
+    assert not langid.has_letter(text)
+
+
+@pytest.mark.parametrize("text", ["①a", "ª", "ǅ", "中", "½ é"])
+def test_what_is_a_letter(text):
+    assert langid.has_letter(text)
+
+
 def test_compaction(spark):
     shards = compaction.ShardedTable(spark, new_path(spark, "shards"), target_bytes=20_000, fanout=3)
     rows = [(i, None if i % 7 == 0 else "text " * (i % 50), None if i % 5 == 0 else "en") for i in range(400)] + [(3, "again"), (3, "again")]
@@ -364,6 +374,21 @@ def test_compaction_keeps_all_columns(spark):
     assert len(shards.manifest()) == 1
 
 
+def test_compaction_of_names_that_differ_by_case(spark):
+    shards = compaction.ShardedTable(spark, new_path(spark, "shards"), fanout=2)
+    shards.append(spark.createDataFrame([(1, "a")], "doc_id long, Text string"), "1")
+    shards.append(spark.createDataFrame([(2, "b")], "doc_id long, text string"), "2")
+    shards.append_each(spark.createDataFrame([(3, "c"), (4, "d")], "DOC_ID long, tEXT string"), F.concat(F.lit("3"), F.col("text")))
+    read = shards.read()
+    assert read.columns == ["doc_id", "Text"] and {tuple(r) for r in read.collect()} == {(1, "a"), (2, "b"), (3, "c"), (4, "d")}
+    with pytest.raises(ValueError, match="cannot become"):
+        shards.append(spark.createDataFrame([(2, 3)], "doc_id long, TEXT long"), "4")
+    with pytest.raises(ValueError, match="more than one"):
+        shards.append(spark.createDataFrame([(2, "b", "c")], "doc_id long, text string, TEXT string"), "4")
+    shards.compact()
+    assert shards.read().count() == 4
+
+
 def test_compaction_of_nothing(spark):
     shards = compaction.ShardedTable(spark, new_path(spark, "shards"))
     shards.append(docs_of(spark, []), "empty")
