@@ -9,7 +9,7 @@ from folioflow.functions import values as vl
 from folioflow.operators import chunking, metadata, pages, profile, spans, vectors
 from folioflow.plans.lineage import scratch
 from folioflow.plans.queries import _files, _FILES, query
-from folioflow.sources import csv, files, sinks
+from folioflow.sources import csv, files, quoted, sinks
 
 # files -------------------------------------------------------------------------------------------------------------
 
@@ -35,6 +35,17 @@ def profiled_csv(t):
     return found.groupBy("name").agg(F.sum("rows").alias("rows"), F.sum("filled").alias("filled"), F.min("low").alias("low"), F.max("high").alias("high"))
 
 
+@query("""SELECT doc_id::VARCHAR AS doc_id, md5(coalesce(text, '')) AS hash, coalesce(lang, '') AS lang FROM documents""")
+def scanned_csv(t):
+    """Whole documents as quoted cells with their line breaks and quotes, in files that several tasks read each."""
+    d = t("documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("")).alias("lang"))
+    folder = scratch(d.sparkSession, "csv")
+    quote = lambda c: F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"'))
+    d.select(F.concat_ws(",", F.col("doc_id").cast("string"), quote("text"), quote("lang"))).write.text(folder)
+    cells = F.col("cells")
+    return quoted.scanned(d.sparkSession, folder).select(cells[0].alias("doc_id"), F.md5(cells[1]).alias("hash"), cells[2].alias("lang"))
+
+
 @query("""SELECT 'text' AS kind, count(*) AS n, sum(len(trim(regexp_replace(text, '\\s+', ' ', 'g'))))::BIGINT AS characters FROM benchmark
 UNION ALL SELECT 'json', count(*), sum(len(text))::BIGINT FROM benchmark UNION ALL SELECT 'csv', count(*), sum(len(n_nationkey || ', ' || n_name))::BIGINT FROM nation""")
 def dispatched_texts(t):

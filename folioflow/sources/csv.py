@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import csv as library
-import io
+from collections import defaultdict
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 from folioflow.functions.values import number
 from folioflow.operators.profile import value_classes
 from folioflow.operators.tables import header_names, header_rows, header_scores
+from folioflow.sources.quoted import Quotes, scanned, split_rows
 
 DELIMITERS = (",", ";", "\t", "|")
 #: Bytes that encoding and delimiter are judged by.
 HEAD_BYTES = 10_000
+#: Files of more bytes are read by several tasks.
+SPLIT_BYTES = 64 << 20
 ROWS = "file string, row int, cells array<string>, error string"
 
 
@@ -38,6 +41,28 @@ def encoding(head: Column) -> Column:
     return F.when(start == "EFBBBF", "utf-8-sig").when(F.startswith(start, F.lit("FFFE")) | F.startswith(start, F.lit("FEFF")), "utf-16").when(valid, "utf-8").otherwise("latin-1")
 
 
+def encoding_of(head: bytes, whole: bool) -> str:
+    """As encoding(), of one file's first bytes in the driver."""
+    if head.startswith(b"\xef\xbb\xbf"):
+        return "utf-8-sig"
+    if head.startswith((b"\xff\xfe", b"\xfe\xff")):
+        return "utf-16"
+    for cut in range(1 if whole else 4):
+        try:
+            head[: len(head) - cut].decode()
+            return "utf-8"
+        except UnicodeDecodeError:
+            continue
+    return "latin-1"
+
+
+def delimiter_of(text: str) -> str:
+    """As delimiter(), of one text in the driver."""
+    head = "\n".join([x for x in text[:HEAD_BYTES].split("\n") if not x.startswith("#")][:5])
+    best = max(DELIMITERS, key=head.count)  # the first of those that occur most
+    return best if head.count(best) else ","
+
+
 def decoded(files: DataFrame) -> DataFrame:
     """(path, length, encoding, text) of files (path, length, content), each by its own encoding; bytes that it can't read become
     replacement characters, so no file stops the others."""
@@ -64,43 +89,82 @@ def read(spark: SparkSession, path: str, sep: str = ",", header: bool = True, en
     return spark.read.csv(path, sep=sep, header=header, comment="#", mode="DROPMALFORMED", encoding=encoding_, nullValue="", multiLine=False)
 
 
-def split_rows(text: str, sep: str) -> Iterator[tuple[int, list[str]]]:
-    """(line, cells) of a delimited text with quotes; blank lines and those that begin with # go, before quotes are read."""
-    kept = [(i, x) for i, x in enumerate(text.splitlines(keepends=True)) if x.strip() and not x.startswith("#")]
-    reader = library.reader((x for _, x in kept), delimiter=sep)
-    while True:
-        at = reader.line_num
-        try:
-            row = next(reader)
-        except StopIteration:
-            return
-        yield kept[at][0], row
-
-
 def rows_of(file: str, text: str, sep: str) -> Iterator[tuple[int | None, list[str | None] | None, str | None]]:
     """(row, cells, error): strictly, every row has the width of the first. Shorter rows are padded with nulls, longer ones are left
-    out and named as errors, and a file without rows gives one error."""
+    out and named as errors, and a file without rows gives one error. row: the line breaks before it. Line breaks are those of the
+    csv module; blank rows and comments are left out where no quote is open."""
     width, n = None, 0
-    try:
-        for line, cells in split_rows(text, sep):
-            width = width or len(cells)
-            if len(cells) > width:
-                yield line, None, f"{len(cells)} cells where {width} are expected"
-                continue
-            n += 1
-            yield line, [c.strip() or None for c in cells] + [None] * (width - len(cells)), None
-    except library.Error as error:
-        yield None, None, f"{type(error).__name__}: {error}"
-        return
+    for line, cells in split_rows(text, sep):
+        width = width or len(cells)
+        if len(cells) > width:
+            yield line, None, f"{len(cells)} cells where {width} are expected"
+            continue
+        n += 1
+        yield line, [c.strip() or None for c in cells] + [None] * (width - len(cells)), None
     if not n:
         yield None, None, "no rows"
 
 
-def parsed(spark: SparkSession, path: str) -> DataFrame:
-    """(file, row, cells, error): all rows of delimited files, each file by its own encoding and delimiter; row: the line in the
-    file. A file that can't be read gives a row that says so."""
+def form_of(head: bytes, whole: bool) -> tuple[str, str, int] | None:
+    """(delimiter, encoding, cells of the first row) from a file's first bytes; None if they hold no whole row."""
+    code = encoding_of(head, whole)
+    text = head.decode(code, "replace")
+    sep = delimiter_of(text)
+    quotes, at = Quotes(sep), 0
+    while at < len(text):
+        found = quotes.follow(text[at:], False)
+        end = at + found.ended if found.ended is not None else len(text) if whole else None
+        if end is None:
+            return None
+        for _, cells in split_rows(text[at:end], sep):
+            return sep, code, len(cells)
+        at = end
+    return (sep, code, 0) if whole else None
+
+
+def _heads(spark: SparkSession, files: list[tuple[str, int]]) -> list[tuple[str, str, int]]:
+    """form_of() of large files, of which the driver reads the first bytes, more only where a first row is longer."""
+    jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def form(file: tuple[str, int]) -> tuple[str, str, int]:
+        path, length, size = jvm.org.apache.hadoop.fs.Path(file[0]), file[1], HEAD_BYTES
+        while True:
+            stream = path.getFileSystem(hadoop).open(path)
+            try:
+                found = form_of(bytes(stream.readNBytes(min(size, length))), size >= length)
+            finally:
+                stream.close()
+            if found:
+                return found
+            size *= 8
+
+    with ThreadPoolExecutor(16) as pool:
+        return list(pool.map(form, files))
+
+
+def parsed(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """(file, row, cells, error): all rows of delimited files, each file by its own encoding and delimiter; row: the line breaks
+    before it in the file. A file that can't be read gives a row that says so. Files of more than split_bytes are read by many
+    tasks each, unless their encoding is UTF-16."""
     files = spark.read.format("binaryFile").load(path)
-    return parsed_texts(decoded(files).select(F.element_at(F.split("path", "/"), -1).alias("file"), "text"))
+    large = [(r.path, r.length) for r in files.where(F.col("length") > split_bytes).select("path", "length").collect()]
+    forms = defaultdict(list)
+    for (name, _), form in zip(large, _heads(spark, large), strict=True):
+        if form[1] != "utf-16":
+            forms[form].append(name)
+    apart = [name for names in forms.values() for name in names]
+    small = files.where((F.col("length") <= split_bytes) | ~F.col("path").isin(apart)) if apart else files
+    out = parsed_texts(decoded(small).select(F.element_at(F.split("path", "/"), -1).alias("file"), "text"))
+    for (sep, code, width), names in forms.items():
+        wide = F.size("cells") > width
+        blank = r"^[\s\x1C-\x1F\x85\p{Z}]+|[\s\x1C-\x1F\x85\p{Z}]+$"
+        cells = F.transform("cells", lambda x: F.nullif(F.regexp_replace(x, blank, ""), F.lit("")))  # noqa: B023
+        padded = F.concat(cells, F.array_repeat(F.lit(None).cast("string"), F.greatest(F.lit(width) - F.size("cells"), F.lit(0))))
+        error = F.concat(F.size("cells").cast("string"), F.lit(f" cells where {width} are expected"))
+        rows = scanned(spark, names, sep, code)
+        name = F.url_decode(F.replace(F.element_at(F.split("path", "/"), -1), F.lit("+"), F.lit("%2B")))
+        out = out.unionByName(rows.select(name.alias("file"), F.col("row").cast("int").alias("row"), F.when(~wide, padded).alias("cells"), F.when(wide, error).alias("error")))
+    return out
 
 
 def parsed_texts(texts: DataFrame) -> DataFrame:

@@ -1,13 +1,18 @@
 """Readers and writers of files: no file stops the others."""
 
+import csv as library
+import io
 import json
+import random
+from collections import defaultdict
+from urllib.parse import unquote
 
 import pytest
 from pyspark.sql import functions as F
 from test_operators import archive
 
 from folioflow.operators import metadata
-from folioflow.sources import csv, files, office, sinks
+from folioflow.sources import csv, files, office, quoted, sinks
 
 
 def rows(df):
@@ -39,6 +44,79 @@ def test_rows_of_a_file(spark, tmp_path):
     assert csv.parsed_texts(spark.createDataFrame([("f", None)], "file string, text string")).first().error == "no rows"
 
 
+def test_no_cell_is_too_large_and_no_row_is_cut(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a,b\n1," + "x" * 300_000 + "\n2,y\n")
+    (tmp_path / "b.csv").write_bytes("a,b\nx,y\x85z\n1,p\x0bq\x0c\n".encode("latin-1"))
+    (tmp_path / "c.csv").write_text('a,b\n"x\n\n# y\nz",1\n# "note, of "two\n\n \n"",2\n')
+    (tmp_path / "d.csv").write_bytes(b'a,b\r\n"x\r\ny",1\rz,2\n')
+    got = defaultdict(list)
+    for r in csv.parsed(spark, str(tmp_path)).orderBy("row").collect():
+        got[r.file[0]].append((r.row, r.cells, r.error))
+    assert got["a"] == [(0, ["a", "b"], None), (1, ["1", "x" * 300_000], None), (2, ["2", "y"], None)]
+    assert got["b"] == [(0, ["a", "b"], None), (1, ["x", "y\x85z"], None), (2, ["1", "p\x0bq"], None)]
+    assert got["c"] == [(0, ["a", "b"], None), (1, ["x\n\n# y\nz", "1"], None), (8, [None, "2"], None)]
+    assert got["d"] == [(0, ["a", "b"], None), (1, ["x\r\ny", "1"], None), (3, ["z", "2"], None)]
+
+
+def by_the_csv_module(text, sep=","):
+    """Rows with the lines before them, comments and blank rows left out by hand."""
+    kept, quotes = [], quoted.Quotes(sep)
+    lines = io.StringIO(text, newline="").readlines()
+    i = 0
+    while i < len(lines):
+        row, first = lines[i], i
+        if not row.startswith("#"):
+            while quotes.follow(row, False).inside and i + 1 < len(lines):
+                i += 1
+                row += lines[i]
+            kept += [(first, r) for r in library.reader(io.StringIO(row, newline=""), delimiter=sep) if len(r) > 1 or r and (not r[0] or r[0].strip())]
+        i += 1
+    return kept
+
+
+@pytest.fixture
+def small_pieces(spark):
+    keys = {"spark.sql.files.maxPartitionBytes": "40", "spark.sql.files.openCostInBytes": "1", "spark.sql.execution.arrow.maxRecordsPerBatch": "3"}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+PARTS = ["a", "bb", ",", ",", '"', '""', "\n", "\n", "\r\n", "\r", "#", " ", "é", '"x\ny"', ',"', '",', '"\n', "long words that go on", "\n#", '\n"']
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_pieces_of_files_like_the_csv_module(spark, tmp_path, small_pieces, seed):
+    rng = random.Random(seed)
+    texts = {f"f {i}.csv": "".join(rng.choices(PARTS, k=rng.choice((5, 60, 200)))) + "\n" for i in range(3)}
+    texts["f 0.csv"] = 'x,"' + texts["f 0.csv"].replace('"', "'") * 3 + '",y\n' + texts["f 0.csv"]  # a row over many pieces
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    got = defaultdict(list)
+    for r in quoted.scanned(spark, str(tmp_path)).collect():
+        got[unquote(r.path.rsplit("/", 1)[1])].append((r.row, r.cells))
+    for name, text in texts.items():
+        want = by_the_csv_module(text)
+        if quoted.Quotes(",").follow(text, False).inside:  # the last line break of a quote that stays open
+            want[-1][1][-1] = want[-1][1][-1].removesuffix("\n")
+            got[name] = sorted(got[name])
+            got[name][-1][1][-1] = got[name][-1][1][-1].removesuffix("\n")
+        assert sorted(got[name]) == want, text
+
+
+def test_large_files_are_split(spark, tmp_path, small_pieces):
+    text = "# export\nname;note\n" + "".join(f'n{i};"é {i}\n; ""q"" #"\n' for i in range(40)) + "short\n1;2;3\n"
+    for name, code in (("a b.csv", "utf-8"), ("b.csv", "latin-1"), ("c.csv", "utf-16"), ("d.csv", "utf-8-sig")):
+        (tmp_path / name).write_bytes(text.encode(code))
+    one, many = (csv.parsed(spark, str(tmp_path), n).select("file", "row", "cells", "error") for n in (1 << 30, 100))
+    assert rows(one) == rows(many) and one.where("error is null").count() == 4 * 42
+    assert many.where("error is not null").select("row", "error").distinct().collect() == [(83, "3 cells where 2 are expected")]
+    assert csv.form_of(b'"a\nb","c"', False) is None and csv.form_of(b'"a\nb","c"', True) == (",", "utf-8", 2) and csv.form_of(b"", True) == (",", "utf-8", 0)
+
+
 def test_a_profile_finds_the_header(spark, tmp_path):
     (tmp_path / "a.csv").write_text("Report of sales,,\nName,Region,Amount\n" + "".join(f"n{i},r{i % 3},{i * 1.5}\n" for i in range(20)))
     got = {r.name: r for r in csv.profiled(csv.parsed(spark, str(tmp_path))).collect()}
