@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import text as tx
 from folioflow.functions import values as vl
-from folioflow.operators import chunking, metadata, pages, profile, spans, vectors
+from folioflow.operators import chunking, metadata, pages, profile, sentences, spans, vectors
 from folioflow.plans.lineage import scratch
 from folioflow.plans.queries import _files, _FILES, query
 from folioflow.sources import csv, files, quoted, sinks
@@ -179,11 +179,13 @@ def header_kinds(t):
     return t("part").select("p_partkey", vl.header_kind(header).alias("kind"))
 
 
-@query(r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)(página|page|seite|p\.|pg\.)\s*\d+\s*(de|of|von|sur|/)\s*\d+', '', 'g'), '(?i)\b\d+\s*(de|of|von|sur|/)\s*\d+\b', '', 'g'), '[^ -~\x{A0}-\x{17F}]', ' ', 'g'), '\s+', ' ', 'g'), '([\p{L}\p{N}_])-\s+([\p{L}\p{N}_])', '\1-\2', 'g'))) AS hash FROM documents WHERE NOT regexp_matches(text, '[\x{C2}-\x{F4}][\x{80}-\x{BF}]|\x{C2}')""")
+_MENDED = r"""array_to_string(list_transform(string_split(regexp_replace(text, '(?i)(página|page|seite|p\.|pg\.)\s*\d+\s*(de|of|von|sur|/)\s*\d+|\b\d+\s*(?:of|de|von|sur|/)\s*\d+\b', '', 'g'), ' '),
+lambda w: CASE WHEN regexp_matches(w, '[\x{C2}-\x{F4}][\x{80}-\x{BF}]') AND NOT regexp_matches(w, '[^\x{00}-\x{FF}]') THEN coalesce(TRY(decode(from_hex(array_to_string(list_transform(string_split(w, ''), lambda c: printf('%02X', unicode(c))), '')))), w) ELSE w END), ' ')"""
+
+
+@query(rf"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(replace({_MENDED}, 'Â', ''), '[^ -~\x{{A0}}-\x{{17F}}]', ' ', 'g'), '\s+', ' ', 'g'), '([\p{{L}}\p{{N}}_])-\s+([\p{{L}}\p{{N}}_])', '\1-\2', 'g'))) AS hash FROM documents""")
 def clean_text(t):
-    """Of texts without misread UTF-8, which the SQL can't mend; a test has such."""
-    d = t("documents").where(~F.col("text").rlike("[\\u00C2-\\u00F4][\\u0080-\\u00BF]|\\u00C2"))
-    return d.select("doc_id", F.md5(tx.clean_text(F.col("text"))).alias("hash"))
+    return t("documents").select("doc_id", F.md5(tx.clean_text(F.col("text"))).alias("hash"))
 
 
 @query(r"""SELECT conv_id, turn, md5(trim(regexp_replace(regexp_replace(regexp_replace(text, '([\p{L}\p{N}_])-\s+([\p{L}\p{N}_])', '\1\2', 'g'), '\s+([.,;:!?])', '\1', 'g'), '\s+', ' ', 'g'))) AS extracted, md5(trim(regexp_replace(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '\p{C}', '', 'g'), '\s+', ' ', 'g'))) AS scanned FROM conversations""")
@@ -197,6 +199,44 @@ def fine_sentences(t):
     return t("documents").select("doc_id", F.size(tx.fine_sentences(F.col("text"))).alias("n"), F.size(tx.sentences_in(F.col("text"), F.col("lang"))).alias("n_by_language"))
 
 
+_TOKENS = r"""WITH t AS (SELECT doc_id, lang, unnest(tok) AS token, unnest(range(1, len(tok) + 1)) AS i, len(tok) AS k FROM
+(SELECT doc_id, lang, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\r\f\x0B]+'), lambda x: x <> '') AS tok FROM documents)),
+p AS (SELECT *, CASE WHEN regexp_matches(body, '^[0-9][0-9.,]*$') THEN '##number##' ELSE lower(body) END AS type, body[1] <> lower(body[1]) AS upper FROM
+(SELECT *, regexp_extract(token, '^[^\p{L}\p{N}]*(.*?)([.?!]*)[^\p{L}\p{N}.?!]*$', 1) AS body, regexp_extract(token, '^[^\p{L}\p{N}]*(.*?)([.?!]*)[^\p{L}\p{N}.?!]*$', 2) AS marks FROM t)),
+w AS (SELECT * FROM p WHERE type <> ''),
+total AS (SELECT lang, count(*)::DOUBLE AS tokens, count(*) FILTER (marks = '.')::DOUBLE AS points FROM w GROUP BY lang),
+c AS (SELECT w.lang, type, count(*)::DOUBLE AS n, count(*) FILTER (marks = '.')::DOUBLE AS k, any_value(tokens) AS tokens, any_value(points) AS points FROM w JOIN total ON w.lang IS NOT DISTINCT FROM total.lang GROUP BY 1, 2),
+l AS (SELECT *, len(replace(type, '.', '')) AS letters, CASE WHEN n > k THEN n - k ELSE 0 END AS bare FROM c WHERE k > 0 AND points < tokens AND regexp_matches(type, '\p{L}')),
+short AS (SELECT lang, type, 2 * (k * ln(0.99) + bare * ln(0.01) - k * ln(points / tokens) - bare * ln(1 - points / tokens)) * exp(-letters) * (len(type) - letters + 1) * pow(letters::DOUBLE, -bare) AS score FROM l),
+abbreviation AS (SELECT * FROM short WHERE score >= 0.3),
+pair AS (SELECT a.lang, a.type, a.marks, b.type AS next FROM p AS a JOIN p AS b ON a.doc_id = b.doc_id AND b.i = a.i + 1 WHERE a.type <> '' AND b.type <> '' AND regexp_matches(a.token, '[.?!][^\p{L}\p{N}.?!,;:]*$')),
+loose AS (SELECT pair.*, marks = '.' AND (x.type IS NOT NULL OR regexp_matches(pair.type, '^\p{L}$') OR pair.type = '##number##') AS loose FROM pair LEFT JOIN abbreviation AS x ON pair.lang IS NOT DISTINCT FROM x.lang AND pair.type = x.type)
+"""
+
+
+@query(_TOKENS + """SELECT lang AS language, type, round(score, 6) AS score FROM abbreviation""")
+def learned_abbreviations(t):
+    model = sentences.learned(t("documents"))
+    return model.where("kind = 'abbreviation'").select("language", F.col("a").alias("type"), F.round("score", 6).alias("score"))
+
+
+@query(_TOKENS + """, ends AS (SELECT lang, count(*)::DOUBLE AS a FROM loose WHERE NOT loose GROUP BY lang), begun AS (SELECT lang, next AS type, count(*)::DOUBLE AS ab FROM loose WHERE NOT loose AND next <> '##number##' GROUP BY 1, 2),
+f AS (SELECT c.lang, c.type, a, n AS b, ab, tokens AS t FROM begun JOIN c ON begun.lang IS NOT DISTINCT FROM c.lang AND begun.type = c.type JOIN ends ON ends.lang IS NOT DISTINCT FROM c.lang WHERE ab * tokens > n * a),
+g AS (SELECT lang, type, 2 * (ab * ln(ab / a) + CASE WHEN a > ab THEN (a - ab) * ln(1 - ab / a) ELSE 0 END + CASE WHEN b > ab THEN (b - ab) * ln((b - ab) / (t - a)) ELSE 0 END + CASE WHEN t - a > b - ab THEN (t - a - b + ab) * ln(1 - (b - ab) / (t - a)) ELSE 0 END
+- ab * ln(b / t) - (a - ab) * ln(1 - b / t) - (b - ab) * ln(b / t) - (t - a - b + ab) * ln(1 - b / t)) AS score FROM f)
+SELECT lang AS language, type, round(score, 4) AS score FROM g WHERE score >= 30""")
+def sentence_starters(t):
+    model = sentences.learned(t("documents"))
+    return model.where("kind = 'starter'").select("language", F.col("a").alias("type"), F.round("score", 4).alias("score"))
+
+
+@query()  # a test has the boundaries of texts with abbreviations that no list has
+def learned_sentences(t):
+    d = t("documents")
+    found = sentences.split(d.select("doc_id", "lang", "text"), sentences.learned(d))
+    return found.select("doc_id", "lang", F.size("sentences").alias("n"), F.md5(F.array_join("sentences", "\n")).alias("hash"))
+
+
 # pages -------------------------------------------------------------------------------------------------------------
 
 _SPANS = "SELECT l_orderkey AS document, 'f' || l_linenumber % 2 AS font, len(l_shipmode) AS n, CAST(l_quantity AS DOUBLE) AS size FROM (SELECT *, l_returnflag || l_linestatus AS l_shipmode FROM lineitem)"

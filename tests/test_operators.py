@@ -29,13 +29,13 @@ def test_range_names(spark, bounds, name):
 
 
 def test_accents_count_as_letters(spark):
-    assert one(spark, tx.relevance(F.lit("ética inclusión"))) == pytest.approx(min(1, 2 / (1.0986122886681098 + 1) * 0.3))
+    assert relevance(spark, "ética inclusión") == pytest.approx(min(1, 2 / (1.0986122886681098 + 1) * 0.3))
     assert one(spark, vl.normal_name(F.lit("Año-Ñandú,  S.A."))) == "añoñandú sa"
 
 
 def test_relevance_counts_a_doubly_listed_word_twice(spark):
-    assert one(spark, tx.relevance(F.lit("social"))) == pytest.approx(2 / (0.6931471805599453 + 1) * 0.3)
-    assert one(spark, tx.relevance(F.lit(""))) == 0
+    assert relevance(spark, "social") == pytest.approx(2 / (0.6931471805599453 + 1) * 0.3)
+    assert relevance(spark, "") == 0
 
 
 def test_cleaning(spark):
@@ -250,12 +250,32 @@ def test_clusters_keep_the_longest_name(spark):
     assert got == {("org", "Acme Energy"): "Acme Energy Co", ("org", "Acme Energy Co"): "Acme Energy Co", ("org", "Zeta"): "Zeta", ("place", "Acme Energy"): "Acme Energy"}
 
 
+def relevance(spark, text):
+    return tx.with_relevance(spark.createDataFrame([(text,)], "text string"), "text").first().relevance
+
+
 def test_misread_text_is_mended(spark):
     assert one(spark, tx.clean_text(F.lit("energÃ­a niÃ±o Ã© café PÁGINA 3 de 10 x 4/12 y​ Â z"))) == "energía niño é café x y z"
 
 
+TITLES = ["Environmental Impact", "gri 305: Emissions", "SASB Standard", "Climate", "board members", "2.1 Scope of work", "Strategy of climate-related risks", "Letter from our CEO", "Supply chain", "SDG 13: Climate", "SDGs", "methods", "3. anything, here", "12 apples", "Works Cited", "A short line", "INTRODUCCIÓN", "discusión", "1. ética básica"]
+NO_TITLES = ["", "x", "environmentally", "GRI: 305", "Climate, change", "governance of risks", "letter from a CEO", "methods and results of it, too", "lower case line", "Ethics!", "A" + "b" * 41, "1.ética", "introducción general"]
+
+
+@pytest.mark.parametrize("line", TITLES)
+def test_titles(spark, line):
+    assert one(spark, chunking.is_title(F.lit(line)))
+
+
+@pytest.mark.parametrize("line", NO_TITLES)
+def test_no_titles(spark, line):
+    assert not one(spark, chunking.is_title(F.lit(line)))
+
+
 def test_sentences_of_lists_and_by_language(spark):
-    assert one(spark, tx.fine_sentences(F.lit("Scope: all sites\nWater | Waste; Air\n12.5\n• one thing here"))) == ["Scope:.", "all sites.", "Water.", "Waste;.", "Air.", "• one thing here."]
+    assert one(spark, tx.fine_sentences(F.lit("Scope: all sites\nWater | Waste; Air\n12.5\n• one thing here"))) == ["Scope:", "all sites", "Water", "Waste;", "• one thing here"]
+    assert one(spark, tx.fine_sentences(F.lit("used 5 kWh 12.5 in all\n-item one - item two 3. third. Next one"))) == ["used 5 kWh 12.5", "in all", "- item one", "- item two", "3. third.", "Next one"]
+    assert one(spark, tx.fine_sentences(F.lit("Note: (see the annex). Then more"))) == ["Note: (see the annex).", "Then more"]
     assert one(spark, tx.sentences_in(F.lit("Der z.B. kleine Fall. Ende! Dr. No"), F.lit("de"))) == ["Der z.B. kleine Fall.", "Ende!", "Dr. No"]
     assert one(spark, tx.sentences_in(F.lit("Sra. Paz llega. Sale."), F.lit("es"))) == ["Sra. Paz llega.", "Sale."]
 
