@@ -9,7 +9,7 @@ from folioflow.functions import values as vl
 from folioflow.operators import chunking, metadata, pages, profile, sentences, spans, vectors
 from folioflow.plans.lineage import scratch
 from folioflow.plans.queries import _files, _FILES, query
-from folioflow.sources import csv, files, quoted, sinks
+from folioflow.sources import csv, files, quoted, sinks, workbooks
 
 # files -------------------------------------------------------------------------------------------------------------
 
@@ -46,6 +46,18 @@ def scanned_csv(t):
     return quoted.scanned(d.sparkSession, folder).select(cells[0].alias("doc_id"), F.md5(cells[1]).alias("hash"), cells[2].alias("lang"))
 
 
+@query("""SELECT col, count(*) AS filled, md5(string_agg(value, '|' ORDER BY value)) AS hash FROM (
+SELECT 0 AS col, s_suppkey::VARCHAR AS value FROM supplier UNION ALL SELECT 2, CASE WHEN s_nationkey <> 3 THEN s_nationkey::VARCHAR END FROM supplier) WHERE value IS NOT NULL GROUP BY col""")
+def workbook_columns(t):
+    """Two of three columns of one of two sheets, from workbooks that tasks have written."""
+    s = t("supplier").select("s_suppkey", F.concat(F.lit("<&> "), F.col("s_name")).alias("s_name"), F.when(F.col("s_nationkey") != 3, F.col("s_nationkey")).alias("s_nationkey"))
+    folder = scratch(s.sparkSession, "workbooks").removeprefix("file:")
+    workbooks.write(s, folder, "Suppliers")
+    workbooks.write(s.select("s_name"), folder, "Names")
+    found = workbooks.cells(s.sparkSession, folder, sheets=["Suppliers"], columns=[0, 2]).where("error is null and row > 0")
+    return found.groupBy("col").agg(F.count("*").alias("filled"), F.md5(F.array_join(F.sort_array(F.collect_list("value")), "|")).alias("hash"))
+
+
 @query("""SELECT 'text' AS kind, count(*) AS n, sum(len(trim(regexp_replace(text, '\\s+', ' ', 'g'))))::BIGINT AS characters FROM benchmark
 UNION ALL SELECT 'json', count(*), sum(len(text))::BIGINT FROM benchmark UNION ALL SELECT 'csv', count(*), sum(len(n_nationkey || ', ' || n_name))::BIGINT FROM nation""")
 def dispatched_texts(t):

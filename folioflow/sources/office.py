@@ -34,23 +34,59 @@ def column_number(reference: str) -> int:
     return n - 1
 
 
-def _workbook(z: zipfile.ZipFile) -> Iterator[tuple]:
-    shared = []
-    if "xl/sharedStrings.xml" in z.namelist():
-        shared = ["".join(t.text or "" for t in si.iter(f"{_S}t")) for si in ET.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_S}si")]
+def sheets(z: zipfile.ZipFile) -> list[tuple[str, str]]:
+    """(name, part of the archive) of each sheet, in order."""
     target = {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-    for sheet in ET.fromstring(z.read("xl/workbook.xml")).iter(f"{_S}sheet"):
-        place = target[sheet.get(f"{_R}id")]
-        for _, cell in ET.iterparse(z.open(place.lstrip("/") if place.startswith("/") else posixpath.join("xl", place))):
-            if cell.tag != f"{_S}c":
+    found = [(s.get("name"), target[s.get(f"{_R}id")]) for s in ET.fromstring(z.read("xl/workbook.xml")).iter(f"{_S}sheet")]
+    return [(name, place.lstrip("/") if place.startswith("/") else posixpath.join("xl", place)) for name, place in found]
+
+
+class SharedStrings:
+    """The strings that the cells of all sheets refer to, read when the first cell does."""
+
+    def __init__(self, z: zipfile.ZipFile):
+        self.z, self.strings = z, None
+
+    def __getitem__(self, i: int) -> str:
+        if self.strings is None:
+            self.strings = []
+            if "xl/sharedStrings.xml" in self.z.namelist():
+                for _, item in ET.iterparse(self.z.open("xl/sharedStrings.xml")):
+                    if item.tag == f"{_S}si":
+                        self.strings.append("".join(t.text or "" for t in item.iter(f"{_S}t")))
+                        item.clear()
+        return self.strings[i]
+
+
+def sheet_cells(z: zipfile.ZipFile, place: str, shared: SharedStrings, columns: set[int] | None = None) -> Iterator[tuple[int, int, str]]:
+    """(row, column, text) of the filled cells of a sheet, of some columns only if they are given. Rows and cells that don't say
+    where they stand come one behind the other."""
+    row = column = -1
+    for event, node in ET.iterparse(z.open(place), events=("start", "end")):
+        if event == "start" and node.tag == f"{_S}row":
+            row, column = int(node.get("r")) - 1 if node.get("r") else row + 1, -1
+        elif event == "end" and node.tag == f"{_S}row":
+            node.clear()
+        elif event == "end" and node.tag == f"{_S}c":
+            if node.get("r"):
+                row, column = int(re.search(r"\d+", node.get("r"))[0]) - 1, column_number(node.get("r"))
+            else:
+                column += 1
+            if columns is not None and column not in columns:
                 continue
-            kind, value = cell.get("t"), cell.find(f"{_S}v")
-            text = "".join(t.text or "" for t in cell.iter(f"{_S}t")) if kind == "inlineStr" else value.text if value is not None else None
+            kind, value = node.get("t"), node.find(f"{_S}v")
+            text = "".join(t.text or "" for t in node.iter(f"{_S}t")) if kind == "inlineStr" else value.text if value is not None else None
             if kind == "s" and text is not None:
                 text = shared[int(text)]
             if text:
-                yield sheet.get("name"), int(re.search(r"\d+", cell.get("r"))[0]) - 1, column_number(cell.get("r")), text
-            cell.clear()
+                yield row, column, text
+
+
+def _workbook(z: zipfile.ZipFile) -> Iterator[tuple]:
+    shared = SharedStrings(z)
+    for name, place in sheets(z):
+        for cell in sheet_cells(z, place, shared):
+            yield name, *cell
 
 
 def _document(z: zipfile.ZipFile) -> Iterator[tuple]:
@@ -133,7 +169,7 @@ def _read(parse, ddl: str):
                 try:  # a file that can't be read gives one row that says so
                     with zipfile.ZipFile(io.BytesIO(content)) as z:
                         rows = [(file, *r, None) for r in parse(z)]
-                except (zipfile.BadZipFile, ET.ParseError, KeyError, ValueError, IndexError, AttributeError, NotImplementedError) as error:
+                except Exception as error:  # whatever is wrong with a file, the others are read
                     rows = [(file, *[None] * (len(names) - 2), f"{type(error).__name__}: {error}")]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from test_operators import archive
 
 from folioflow.operators import metadata
-from folioflow.sources import csv, files, office, quoted, sinks
+from folioflow.sources import csv, files, office, quoted, sinks, workbooks
 
 
 def rows(df):
@@ -212,3 +212,61 @@ def test_search_goes_below_a_folder_with_few_hits(spark, here, names):
     tree = spark.createDataFrame([("x1", "a"), ("x2", "a/b"), ("x2", "a/c"), ("x3", "b"), ("y", "a")], "name string, folder string")
     got = metadata.found_files(tree, "name", "folder", here, "x").collect()
     assert {r.name for r in got} == names and all(r.folder == "a/b" for r in got if r.name == "x2")
+
+
+_SHEETS = {
+    "xl/workbook.xml": '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="One" r:id="r1"/><sheet name="Two, too" r:id="r2"/></sheets></workbook>',
+    "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Target="/xl/worksheets/sheet2.xml"/></Relationships>',
+    "xl/sharedStrings.xml": '<sst xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><si><t>sh</t></si></sst>',
+}
+
+
+def sheet(body):
+    return f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{body}</sheetData></worksheet>'
+
+
+def test_cells_without_places_and_damaged_archives(spark, tmp_path):
+    archive(tmp_path / "a.xlsx", _SHEETS | {"xl/worksheets/sheet1.xml": sheet("<row><c><v>1</v></c><c/><c t='s'><v>0</v></c></row><row r='5'><c r='C5'><v>2</v></c><c><v>3</v></c></row><row><c><v>4</v></c></row>"), "xl/worksheets/sheet2.xml": sheet("")})
+    data = bytearray((tmp_path / "a.xlsx").read_bytes())
+    archive(tmp_path / "b.xlsx", _SHEETS | {"xl/worksheets/sheet1.xml": sheet("<row><c t='s'><v>x</v></c></row>"), "xl/worksheets/sheet2.xml": sheet("")})
+    for at in range(60, 90):
+        data[at] ^= 255
+    (tmp_path / "c.xlsx").write_bytes(bytes(data))
+    (tmp_path / "d.xlsx").write_bytes(b"")
+    # Spark's own reader leaves out files of no bytes
+    for found, bad in ((office.workbook_cells(spark, str(tmp_path)), "bc"), (workbooks.cells(spark, str(tmp_path)), "bcd")):
+        got = found.collect()
+        assert {(r.row, r.col, r.value) for r in got if r.file == "a.xlsx"} == {(0, 0, "1"), (0, 2, "sh"), (4, 2, "2"), (4, 3, "3"), (5, 0, "4")}
+        assert {r.file[0] for r in got if r.error} == set(bad)
+
+
+def test_pruned_sheets_are_not_unzipped(spark, tmp_path):
+    archive(tmp_path / "a.xlsx", _SHEETS | {"xl/worksheets/sheet1.xml": "no XML", "xl/worksheets/sheet2.xml": sheet("<row><c><v>1</v></c><c><v>2</v></c></row>"), "xl/sharedStrings.xml": "no XML"})
+    kept = workbooks.cells(spark, str(tmp_path / "*.xlsx"), sheets=["Two, too"], columns=[1])
+    assert rows(kept) == [("a.xlsx", "Two, too", 0, 1, "2", None)] and kept.rdd.getNumPartitions() == 1
+    assert workbooks.cells(spark, str(tmp_path)).where("error is not null").select("sheet").collect() == [("One",)]
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        for where in ("sheet = 'Two, too'", "sheet in ('Two, too', 'Three') and col = 0"):
+            pushed = workbooks.cells(spark, str(tmp_path)).where(where)
+            assert pushed.where("error is not null").count() == 0 and pushed.count() >= 1
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
+    assert workbooks.cells(spark, str(tmp_path / "none*.xlsx")).count() == 0
+
+
+def test_written_workbooks_are_read_again(spark, tmp_path):
+    out = spark.range(0, 5, 1, 2).select("id", F.when(F.col("id") != 2, F.concat(F.lit("<é>\x01 "), F.col("id").cast("string"))).alias("text"))
+    workbooks.write(out, str(tmp_path / "w"), "A & B")
+    got = workbooks.cells(spark, str(tmp_path / "w"))
+    assert sorted((r.col, r.value) for r in got.where("row > 0").collect()) == [(0, str(i)) for i in range(5)] + [(1, f"<é> {i}") for i in range(5) if i != 2]
+    assert {r.sheet for r in got.collect()} == {"A & B"} and sorted(p.suffix for p in (tmp_path / "w").iterdir()) == [".xlsx", ".xlsx"]
+
+    def fail(batches):
+        for b in batches:
+            yield b
+        raise RuntimeError("lost")
+
+    with pytest.raises(Exception, match="lost"):
+        workbooks.write(out.mapInArrow(fail, out.schema), str(tmp_path / "w"))
+    assert len(list((tmp_path / "w").iterdir())) == 2
