@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import text as tx
 from folioflow.functions import values as vl
-from folioflow.operators import chunking, metadata, pages, profile, sentences, spans, vectors
+from folioflow.operators import chunking, graph_store, metadata, pages, profile, sentences, spans, vectors
 from folioflow.plans.lineage import scratch
 from folioflow.plans.queries import _files, _FILES, query
-from folioflow.sources import csv, files, quoted, sinks, workbooks
+from folioflow.sources import csv, files, outbox, quoted, sinks, workbooks
 
 # files -------------------------------------------------------------------------------------------------------------
 
@@ -158,10 +158,15 @@ def storage_errors(t):
     return metadata.storage_errors(v.withColumn("embedding", odd), "label", "text", "embedding")
 
 
-@query("""SELECT CASE WHEN n % 50 = 0 THEN 50 ELSE n % 50 END AS rows FROM (SELECT count(*)::INT AS n FROM nation)""")
+@query("SELECT c_custkey, c_name, round(c_acctbal, 2) AS c_acctbal FROM customer")
 def stored_in_batches(t):
-    found = sinks.stored_in_batches(t("nation").coalesce(1), lambda: lambda rows: None)
-    return found.where("error is null").select("rows")
+    """Two jobs of one store, one of them repeated, read from what has been published."""
+    c = t("customer").select("c_custkey", "c_name", "c_acctbal")
+    store = outbox.FolderStore(scratch(c.sparkSession, "outbox").removeprefix("file:"))
+    for job, part in (("even", 0), ("odd", 1), ("even", 0)):
+        outbox.stored(c.where(F.col("c_custkey") % 2 == part), store, job)
+    read = c.sparkSession.read.schema("c_custkey long, c_name string, c_acctbal double").json(store.visible())
+    return read.withColumn("c_acctbal", F.round("c_acctbal", 2))
 
 
 @query("""SELECT 'entity' AS kind, c_custkey::VARCHAR AS chunk_id, 'c' || c_custkey AS name, NULL::VARCHAR AS target FROM customer UNION ALL SELECT 'relationship', c_custkey::VARCHAR, 'c' || c_custkey, 'n' || c_nationkey FROM customer""")
@@ -171,6 +176,63 @@ def graph_rows(t):
     return rows.select("kind", "chunk_id", "name", "target")
 
 
+# graphs that grow ---------------------------------------------------------------------------------------------------
+
+_ENTITY = "SELECT o_custkey::VARCHAR AS name, arg_max(o_orderstatus, o_orderkey) AS type, max(o_orderkey) AS k FROM orders WHERE o_orderkey % 3 = {0} GROUP BY 1"
+_RELATED = "SELECT o.o_custkey::VARCHAR AS source, (o.o_custkey * 7 % 2000)::VARCHAR AS target, o_orderstatus AS type, o_orderpriority AS description, o_orderkey AS k, o_orderkey % 2 AS batch FROM orders o"
+_BOTH = "source IN (SELECT o_custkey::VARCHAR FROM orders) AND target IN (SELECT o_custkey::VARCHAR FROM orders)"
+
+
+def _store(t, one_per):
+    """Customers as entities, imported twice."""
+    o = t("orders")
+    store = graph_store.GraphStore(o.sparkSession, scratch(o.sparkSession, "graph"), one_per, buckets=16)
+    rows = o.select(F.col("o_custkey").cast("string").alias("name"), F.col("o_orderstatus").alias("type"), F.col("o_orderpriority").alias("description"), F.lit("c").alias("chunk_id"), "o_orderkey")
+    store.add_entities(rows.where("o_orderkey % 3 <> 1"), "o_orderkey")
+    store.add_entities(rows.where("o_orderkey % 3 = 1"), "o_orderkey")
+    return store
+
+
+def _related(t):
+    key = F.col("o_custkey")
+    return t("orders").select(key.cast("string").alias("source"), (key * 7 % 2000).cast("string").alias("target"), F.col("o_orderstatus").alias("type"), F.col("o_orderpriority").alias("description"), F.lit(1).alias("strength"), F.lit("c").alias("chunk_id"), "o_orderkey")
+
+
+@query(f"""SELECT name, type FROM ({_ENTITY.format(1)}) UNION ALL SELECT o_custkey::VARCHAR, arg_max(o_orderstatus, o_orderkey) FROM orders WHERE o_orderkey % 3 <> 1 AND o_custkey::VARCHAR NOT IN (SELECT name FROM ({_ENTITY.format(1)})) GROUP BY 1""")
+def upserted_entities(t):
+    return _store(t, "pair").entities.read().select("name", "type")
+
+
+@query(f"""WITH r AS (SELECT * FROM ({_RELATED}) WHERE {_BOTH}) SELECT source, target, arg_max(type, (batch, k)) AS type, arg_max(description, (batch, k)) AS description FROM r GROUP BY 1, 2""")
+def upserted_pairs(t):
+    """One relation of two entities: the last."""
+    store, r = _store(t, "pair"), _related(t)
+    for batch in (0, 1):
+        store.add_relations(r.where(F.col("o_orderkey") % 2 == batch), "o_orderkey")
+    return store.relations.read().select("source", "target", "type", "description")
+
+
+@query(f"""WITH r AS (SELECT * FROM ({_RELATED}) WHERE {_BOTH}) SELECT source, target, type, arg_min(description, (batch, k)) AS description FROM r GROUP BY 1, 2, 3""")
+def upserted_types(t):
+    """One relation of two entities and a type: the first."""
+    store, r = _store(t, "type"), _related(t)
+    for batch in (0, 1):
+        store.add_relations(r.where(F.col("o_orderkey") % 2 == batch), "o_orderkey")
+    return store.relations.read().select("source", "target", "type", "description")
+
+
+@query(f"""WITH c AS (SELECT source AS subject, target AS object, type, description, k, batch, source || '_' || type || '_c' || k % 3 AS id FROM ({_RELATED}) WHERE source IN (SELECT o_custkey::VARCHAR FROM orders)),
+e AS (SELECT DISTINCT id, object FROM c WHERE object IN (SELECT o_custkey::VARCHAR FROM orders))
+SELECT id, arg_min(description, (batch, k)) AS description, (SELECT count(*) FROM e WHERE e.id = c.id) + 1 AS edges FROM c GROUP BY id""")
+def upserted_claims(t):
+    store, r = _store(t, "pair"), _related(t)
+    claims = r.select(F.col("source").alias("subject"), F.col("target").alias("object"), "type", F.lit("open").alias("status"), "description", F.concat(F.lit("c"), (F.col("o_orderkey") % 3).cast("string")).alias("chunk_id"), "o_orderkey")
+    for batch in (0, 1):
+        store.add_claims(claims.where(F.col("o_orderkey") % 2 == batch), "o_orderkey")
+    edges = store.claim_edges.read().groupBy(F.col("claim").alias("id")).agg(F.count("*").alias("edges"))
+    return store.claims.read().select("id", "description").join(edges, "id")
+
+
 # expressions -------------------------------------------------------------------------------------------------------
 
 

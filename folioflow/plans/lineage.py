@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -30,3 +31,18 @@ def cut(df: DataFrame) -> DataFrame:
     path = scratch(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def renamed_once(spark: SparkSession, source: str, target: str) -> bool:
+    """Renames a folder, unless the target is there already: of several writers one wins. False for the others."""
+    jvm = spark._jvm
+    new, options = jvm.org.apache.hadoop.fs.Path(target), getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    never = spark.sparkContext._gateway.new_array(options, 1)
+    never[0] = options.NONE
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), spark._jsc.hadoopConfiguration()).rename(jvm.org.apache.hadoop.fs.Path(source), new, never)
+        return True
+    except Py4JJavaError as error:
+        if error.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
+            return False
+        raise

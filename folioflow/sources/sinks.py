@@ -1,17 +1,11 @@
-"""Where results go: JSON, CSV, run manifests, graphs, batches for an outside store, reports."""
+"""Where results go: JSON, CSV, run manifests, graphs, reports."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.operators.metadata import BATCH_BYTES
-
 RUNS = "run string, output string, chunks long, seconds double"
-STORED = "part int, batch int, rows int, bytes long, error string"
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -57,46 +51,6 @@ def graph_rows(entities: DataFrame, relations: DataFrame, document: str) -> Data
     return a.unionByName(b)
 
 
-def halved(rows: list, size: Callable[[list], int], most: int) -> Iterator[list]:
-    """Runs of rows of at most that size, by halving; one row alone may be larger."""
-    if len(rows) > 1 and size(rows) > most:
-        middle = len(rows) // 2
-        yield from halved(rows[:middle], size, most)
-        yield from halved(rows[middle:], size, most)
-    elif rows:
-        yield rows
-
-
-def stored_in_batches(df: DataFrame, client: Callable[[], Callable[[list[dict]], None]], rows: int = 50, most_bytes: int = BATCH_BYTES) -> DataFrame:
-    """(part, batch, rows, bytes, error): what went to an outside store, in batches of rows that are halved until they are small
-    enough. client makes, once for each task, a function that stores rows; where it fails the task's further batches are not
-    sent. The store is called when the result is read, once for each time that it is; rows need identifiers that the store knows
-    again, as lost tasks run again."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, store, done, failed = TaskContext.get().partitionId(), client(), [], False
-        size = lambda some: sum(len(repr(r)) for r in some)
-        for batch in batches:
-            held = batch.to_pylist()
-            for at in range(0, len(held), rows):
-                for some in halved(held[at : at + rows], size, most_bytes):
-                    error = None
-                    if failed:
-                        error = "not sent"
-                    else:
-                        try:
-                            store(some)
-                        except Exception as e:  # whatever the client raises belongs to its batch
-                            error, failed = f"{type(e).__name__}: {e}", True
-                    done.append((part, len(done), len(some), size(some), error))
-        columns = list(zip(*done, strict=True)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string()), strict=True)], [x.split()[0] for x in STORED.split(", ")])
-
-    return df.mapInArrow(run, STORED)
-
-
 def write_reports(sections: DataFrame, report: str, order: str, title: str, text: str, path: str) -> None:
     """Markdown reports, a folder for each: a heading for each section, then its text, in order."""
     part = F.concat(F.lit("## "), F.col(title), F.lit("\n\n"), F.coalesce(text, F.lit("")), F.lit("\n"))

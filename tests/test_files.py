@@ -3,8 +3,12 @@
 import csv as library
 import io
 import json
+import os
 import random
+import subprocess
+import sys
 from collections import defaultdict
+from pathlib import Path
 from urllib.parse import unquote
 
 import pytest
@@ -12,7 +16,7 @@ from pyspark.sql import functions as F
 from test_operators import archive
 
 from folioflow.operators import metadata
-from folioflow.sources import csv, files, office, quoted, sinks, workbooks
+from folioflow.sources import csv, files, office, outbox, quoted, sinks, workbooks
 
 
 def rows(df):
@@ -191,20 +195,61 @@ def test_sinks(spark, tmp_path):
     assert "\n".join(r.value for r in spark.read.text(str(tmp_path / "md/report=r"), wholetext=True).collect()) == "# r\n\n## A\n\n\n\n## B\n\ntwo\n\n"
 
 
-def test_batches_for_a_store(spark):
-    df = spark.range(0, 120, 1, 1).select("id", F.repeat(F.lit("x"), F.when(F.col("id") < 50, 100).otherwise(1).cast("int")).alias("v"))
-    got = sinks.stored_in_batches(df, lambda: lambda rows: None, 50, 3000).collect()
-    assert sum(r.rows for r in got) == 120 and max(r.rows for r in got) == 50 and all(r.bytes <= 3000 for r in got) and len(got) > 3
+def published(store):
+    return sorted(json.loads(line)["id"] for folder in store.visible() for f in Path(folder).iterdir() for line in f.read_text().splitlines())
 
-    def failing():
-        def store(rows):
-            if rows[0]["id"] >= 50:
-                raise OSError("full")
 
-        return store
+def test_jobs_are_stored_once(spark, tmp_path):
+    df, store = spark.range(0, 120, 1, 3).withColumn("text", F.repeat(F.lit("é"), 200)), outbox.FolderStore(str(tmp_path))
+    outbox.stored(df, store, "a", rows=25, most_bytes=4000)
+    outbox.stored(df, store, "a", rows=25)  # again: nothing new
+    outbox.stored(df.where("id < 0"), store, "empty")
+    assert published(store) == list(range(120)) and len(store.visible()) == 3
+    sizes = [len(f.read_bytes()) for folder in store.visible() for f in Path(folder).iterdir()]
+    assert max(sizes) <= 4100 and len(sizes) == 3 * 6  # 40 rows: 25 in four, 15 in two
+    assert list(outbox.halved([5, 1, 1, 9], sum, 6)) == [[5, 1], [1], [9]]
+
 
-    got = sinks.stored_in_batches(df, failing, 50).orderBy("batch").collect()
-    assert [r.error for r in got] == [None, "OSError: full", "not sent"]
+def test_what_is_refused_leaves_nothing(spark, tmp_path):
+    class Refusing(outbox.FolderStore):
+        def stage(self, job, attempt, batch, rows):
+            if any(r["id"] == 77 for r in rows):
+                raise OSError("full")
+            outbox.FolderStore.stage(self, job, attempt, batch, rows)
+
+    store = Refusing(str(tmp_path))
+    with pytest.raises(Exception, match="full"):
+        outbox.stored(spark.range(0, 120, 1, 3), store, "a", rows=10)
+    assert published(store) == [] and not store.published("a")
+    left = [p for p in (tmp_path / "staged").glob("*/*") if p.is_dir()]
+    outbox.stored(spark.range(0, 120, 1, 3), outbox.FolderStore(str(tmp_path)), "a", rows=10)
+    assert published(store) == list(range(120)) and not set(left) & {Path(v) for v in store.visible()}
+
+
+KILLED = """
+import os, sys
+from pyspark.sql import SparkSession
+from folioflow.sources import outbox
+
+class Mortal(outbox.FolderStore):
+    def stage(self, job, attempt, batch, rows):
+        super().stage(job, attempt, batch, rows)
+        flag = self.folder + "/killed"
+        if batch == 2 and rows[0]["id"] >= 100 and not os.path.exists(flag):
+            open(flag, "w").close()
+            os.kill(os.getpid(), 9)
+
+spark = SparkSession.builder.master("local[2,3]").config("spark.ui.enabled", "false").getOrCreate()
+outbox.stored(spark.range(0, 200, 1, 2), Mortal(sys.argv[1]), "a", rows=10)
+"""
+
+
+def test_a_task_that_is_killed_halfway_stores_each_row_once(tmp_path):
+    root = Path(__file__).resolve().parent.parent
+    subprocess.run([sys.executable, "-c", KILLED, str(tmp_path)], check=True, timeout=200, cwd=root, env=os.environ | {"PYTHONPATH": str(root)})
+    assert (tmp_path / "killed").exists()
+    assert published(outbox.FolderStore(str(tmp_path))) == list(range(200))
+    assert len(list((tmp_path / "staged/a").iterdir())) == 2  # the killed attempt's batches are gone
 
 
 @pytest.mark.parametrize("here, names", [("a", {"x1", "x2"}), ("a/b", {"x2"})])
