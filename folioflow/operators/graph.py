@@ -198,14 +198,14 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return one.select((F.col("inside") / F.col("m2") - F.col("squares") / (F.col("m2") * F.col("m2"))).alias("modularity"))
 
 
-def local_moves(edges: DataFrame, rounds: int = 6) -> DataFrame:
+def local_moves(edges: DataFrame, rounds: int = 6, start: DataFrame | None = None) -> DataFrame:
     """(node, community) by greedy moves that raise modularity: in each round half of the nodes, by a hash that changes,
     move to the neighbouring community of the largest gain, so that two neighbours seldom swap places. Edges: a, b, weight;
-    an edge from a node to itself counts twice for its degree."""
+    an edge from a node to itself counts twice for its degree. start: (node, community) to begin with; each node alone if not given."""
     both = cut(edges.select("a", "b", "weight").union(edges.where("a <> b").select("b", "a", "weight")))
     degree = cut(both.groupBy(F.col("a").alias("node")).agg(F.sum(F.when(F.col("a") == F.col("b"), 2 * F.col("weight")).otherwise(F.col("weight"))).cast("double").alias("d")))
     m2 = degree.agg(F.sum("d")).first()[0] or 1.0
-    labels = degree.select("node", F.col("node").alias("community"))
+    labels = degree.select("node", F.col("node").alias("community")) if start is None else degree.join(start, "node").select("node", "community")
     for i in range(rounds):
         sums = labels.join(degree, "node").groupBy("community").agg(F.sum("d").alias("total"))
         near = both.where("a <> b").join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("n"), "community").agg(F.sum("weight").cast("double").alias("w"))
@@ -240,6 +240,60 @@ def louvain(edges: DataFrame, levels: int = 3, rounds: int = 6) -> DataFrame:
     return held
 
 
+def refined(edges: DataFrame, labels: DataFrame, rounds: int = 6) -> DataFrame:
+    """(node, part): each community cut into parts that are connected, the refinement of Leiden. All nodes begin alone; in each round
+    half of those that are still alone, by a hash that changes, join the part next to them that raises modularity most. Only parts of
+    their own community count, and only nodes and parts that are well tied to the rest of it. Whoever has been joined stays, so no
+    part ever falls apart. A part is named by the node that it began with."""
+    ends = labels.toDF("a", "ca"), labels.toDF("b", "cb")
+    both = edges.select("a", "b", "weight").union(edges.where("a <> b").select("b", "a", "weight"))
+    degree = both.groupBy(F.col("a").alias("node")).agg(F.sum(F.when(F.col("a") == F.col("b"), 2 * F.col("weight")).otherwise(F.col("weight"))).cast("double").alias("d"))
+    nodes = cut(degree.join(labels, "node"))
+    m2 = nodes.agg(F.sum("d")).first()[0] or 1.0
+    inside = cut(both.where("a <> b").join(ends[0], "a").join(ends[1], "b").where("ca = cb").select("a", "b", F.col("weight").cast("double").alias("weight")))
+    whole = nodes.groupBy("community").agg(F.sum("d").alias("whole"))
+    tied = inside.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("w"))
+    # nodes that are tied to the rest of their community as well as chance has it
+    fit = cut(nodes.join(whole, "community").join(tied, "node").where(F.col("w") >= F.col("d") * (F.col("whole") - F.col("d")) / m2).select("node", "d"))
+    parts = nodes.select("node", "community", "d", F.col("node").alias("part"))
+    for i in range(rounds):
+        draw = lambda c: F.pmod(F.xxhash64(c, F.lit(i), F.lit("refined")), F.lit(2)) == 0  # noqa: E731, B023
+        sums = parts.groupBy("community", "part").agg(F.sum("d").alias("total"), F.count("*").alias("size"))
+        place = cut(parts.select("node", "part"))
+        between = inside.join(place.toDF("a", "pa"), "a").join(place.toDF("b", "pb"), "b").where("pa <> pb")
+        out = between.groupBy(F.col("pa").alias("part")).agg(F.sum("weight").alias("out"))
+        open_ = sums.join(whole, "community").join(out, "part").where(F.col("out") >= F.col("total") * (F.col("whole") - F.col("total")) / m2)
+        open_ = open_.where((F.col("size") > 1) | ~draw("part")).select(F.col("part").alias("pb"), "total")
+        alone = sums.where((F.col("size") == 1) & draw("part")).select(F.col("part").alias("a"))
+        near = between.join(alone, "a").groupBy("a", "pb").agg(F.sum("weight").alias("w")).join(open_, "pb").join(fit.withColumnRenamed("node", "a"), "a")
+        gain = F.round(F.col("w") - F.col("d") * F.col("total") / m2, 9)
+        best = near.where(gain > 0).groupBy("a").agg(F.max_by("pb", F.struct(gain.alias("g"), (-F.col("pb")).alias("n"))).alias("to"))
+        parts = cut(parts.join(best.withColumnRenamed("a", "node"), "node", "left").select("node", "community", "d", F.coalesce("to", "part").alias("part")))
+    return parts.select("node", "part")
+
+
+def leiden(edges: DataFrame, levels: int = 3, rounds: int = 6, start: DataFrame | None = None) -> DataFrame:
+    """(node, community): as louvain(), but the nodes of the next level are the refined parts of the communities, which begin it
+    in the communities that they come from, so parts can part again. In the end a community that is not connected is cut into
+    its connected groups, which raises modularity. Nodes are numbers; a community is named by its smallest node."""
+    whole, held = edges, None  # held: node, and the part that it is in by now
+    for _ in range(levels):
+        found = cut(local_moves(edges, rounds, start))
+        parts = refined(edges, found, rounds)
+        names = parts.groupBy("part").agg(F.min("node").alias("name"))
+        parts = cut(parts.join(names, "part").select("node", F.col("name").alias("part")))
+        held = parts if held is None else cut(held.join(parts.toDF("part", "upper"), "part").select("node", F.col("upper").alias("part")))
+        start = cut(parts.join(found, "node").select(F.col("part").alias("node"), "community").distinct())
+        if parts.where("node <> part").isEmpty():
+            break
+        a, b = parts.toDF("a", "pa"), parts.toDF("b", "pb")
+        ends = edges.join(a, "a").join(b, "b").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"), "weight")
+        edges = cut(ends.groupBy("a", "b").agg(F.sum("weight").alias("weight")))
+    labels = cut(held.join(start.toDF("part", "community"), "part").select("node", "community"))
+    inside = whole.join(labels.toDF("a", "ca"), "a").join(labels.toDF("b", "cb"), "b").where("ca = cb").select("a", "b")
+    return linked_groups(inside.union(labels.select(F.col("node").alias("a"), F.col("node").alias("b")))).withColumnRenamed("group", "community")
+
+
 def reported_communities(labels: DataFrame, least: int = 2) -> DataFrame:
     """(community, size) of at least that many members, largest first."""
     return labels.groupBy("community").agg(F.count("*").alias("size")).where(F.col("size") >= least).orderBy(F.desc("size"), "community")

@@ -608,6 +608,11 @@ def louvain(t):
     return graph.louvain(graph.undirected(_supplied(t).withColumn("strength", F.lit(1))), 2, 4)
 
 
+@query()  # as local_moves
+def leiden(t):
+    return graph.leiden(graph.undirected(_supplied(t).withColumn("strength", F.lit(1))), 2, 4)
+
+
 @query("""WITH l AS (SELECT c_custkey AS node, c_nationkey AS community, c_mktsegment AS type FROM customer), s AS (SELECT community, count(*) AS size FROM l GROUP BY 1 HAVING count(*) >= 2 ORDER BY 2 DESC, 1 LIMIT 10),
 r AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY node) AS n FROM l JOIN s USING (community) QUALIFY n <= 10)
 SELECT community, size, string_agg(node::VARCHAR, ',' ORDER BY n) AS members, (SELECT string_agg(x, ',' ORDER BY x) FROM (SELECT q.type || ':' || count(*) AS x FROM r q WHERE q.community = r.community GROUP BY q.type)) AS types FROM r GROUP BY 1, 2""")

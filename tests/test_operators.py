@@ -1,6 +1,7 @@
 """Small exact cases."""
 
 import io
+import random
 import zipfile
 
 import pytest
@@ -440,3 +441,51 @@ def test_queries_in_blocks(spark, monkeypatch):
     whole = sorted(map(tuple, vectors.top_k(df, df, "k", "k", "v", 3).collect()))
     monkeypatch.setattr(vectors, "QUERY_BLOCK", 9)
     assert sorted(map(tuple, vectors.top_k(df, df, "k", "k", "v", 3).collect())) == whole and len(whole) == 180
+
+
+def connected(edges, labels):
+    """Whether the nodes of each community reach each other within it."""
+    near = {}
+    for a, b, _ in edges:
+        if labels[a] == labels[b]:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    for c in set(labels.values()):
+        members = {n for n, x in labels.items() if x == c}
+        seen, todo = set(), [min(members)]
+        while todo:
+            n = todo.pop()
+            if n not in seen:
+                seen.add(n)
+                todo += near.get(n, ())
+        if seen != members:
+            return False
+    return True
+
+
+def test_leiden_parts_what_louvain_leaves_split(spark):
+    """Two cliques in one community that are tied only by a node of another one."""
+    cliques = [[(i + k, j + k, 1) for i in range(5) for j in range(i + 1, 5)] for k in (0, 10, 20)]
+    hub = [(30, 0, 1), (30, 10, 1), *[(30, 20 + i, 2) for i in range(5)]]
+    edges = [*sum(cliques, []), *hub]
+    frame = spark.createDataFrame([(min(a, b), max(a, b), w) for a, b, w in edges], "a long, b long, weight long")
+    nodes = sorted({n for e in edges for n in e[:2]})
+    split = spark.createDataFrame([(n, 0 if n < 20 else 20) for n in nodes], "node long, community long")
+    bad = {r.node: r.community for r in split.collect()}
+    assert not connected(edges, bad)
+    parts = {r.node: r.part for r in graph.refined(frame, split, 6).collect()}
+    assert connected(edges, parts) and all(bad[n] == bad[p] for n, p in parts.items())
+    found = graph.leiden(frame, 1, 0, split)
+    got = {r.node: r.community for r in found.collect()}
+    assert connected(edges, got) and len({got[0], got[10], got[20]}) == 3
+    assert graph.modularity(frame, found).first()[0] > graph.modularity(frame, split).first()[0]
+
+
+def test_leiden_is_connected_and_not_worse(spark):
+    rng = random.Random(4)
+    edges = {(i, j) for i in range(60) for j in range(i + 1, 60) if rng.random() < (0.5 if i // 10 == j // 10 else 0.04)}
+    frame = spark.createDataFrame([(a, b, 1) for a, b in edges], "a long, b long, weight long")
+    found, other = graph.leiden(frame, 3, 6), graph.louvain(frame, 3, 6)
+    got = {r.node: r.community for r in found.collect()}
+    assert connected([(a, b, 1) for a, b in edges], got) and set(got) == {n for e in edges for n in e}
+    assert graph.modularity(frame, found).first()[0] >= graph.modularity(frame, other).first()[0] - 0.01
