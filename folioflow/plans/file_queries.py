@@ -35,6 +35,25 @@ def profiled_csv(t):
     return found.groupBy("name").agg(F.sum("rows").alias("rows"), F.sum("filled").alias("filled"), F.min("low").alias("low"), F.max("high").alias("high"))
 
 
+# other encodings can't be written by Spark; a test has them
+_FORMS = [("utf-8", "UTF-8", ";"), ("latin-1", "ISO-8859-1", ","), ("utf-8", "UTF-8", "\t"), ("utf-16-le", "UTF-16LE", "|"), ("latin-1", "ISO-8859-1", "|")]
+
+
+@query("""SELECT f.encoding, f.delimiter, count(*) AS rows, md5(string_agg(s_suppkey || ' Société Ñandú, über', '|' ORDER BY s_suppkey || ' ')) AS hash
+FROM supplier CROSS JOIN (VALUES ('utf-8', ';'), ('latin-1', ','), ('utf-8', chr(9)), ('utf-16-le', '|'), ('latin-1', '|')) f(encoding, delimiter) GROUP BY 1, 2""")
+def detected_forms(t):
+    """Files of every encoding and delimiter; what is told of each, and the texts that it gives."""
+    s, found = t("supplier"), None
+    for _, java, sep in _FORMS:
+        folder = scratch(s.sparkSession, "forms")
+        s.select(F.concat(F.col("s_suppkey").cast("string"), F.lit(" Société Ñandú, über")), "s_nationkey", "s_suppkey").repartition(2).write.csv(folder, sep=sep, encoding=java)
+        told = csv.sniffed(s.sparkSession, folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), "encoding", "delimiter")
+        rows = csv.parsed(s.sparkSession, folder).where("error is null").join(told, "file")
+        some = rows.groupBy("encoding", "delimiter").agg(F.count("*").alias("rows"), F.md5(F.array_join(F.sort_array(F.collect_list(F.col("cells")[0])), "|")).alias("hash"))
+        found = some if found is None else found.unionByName(some)
+    return found
+
+
 @query("""SELECT doc_id::VARCHAR AS doc_id, md5(coalesce(text, '')) AS hash, coalesce(lang, '') AS lang FROM documents""")
 def scanned_csv(t):
     """Whole documents as quoted cells with their line breaks and quotes, in files that several tasks read each."""

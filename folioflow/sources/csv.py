@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+import codecs
+import unicodedata
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +21,7 @@ from folioflow.operators.tables import header_names, header_rows, header_scores
 from folioflow.sources.quoted import Quotes, scanned, split_rows
 
 DELIMITERS = (",", ";", "\t", "|")
-#: Bytes that encoding and delimiter are judged by.
+#: Bytes, or characters, that the delimiter is judged by, and of large files the encoding.
 HEAD_BYTES = 10_000
 #: Files of more bytes are read by several tasks.
 SPLIT_BYTES = 64 << 20
@@ -31,57 +35,100 @@ def delimiter(head: Column) -> Column:
     return F.when(best["n"] > 0, best["d"]).otherwise(",")
 
 
-def encoding(head: Column) -> Column:
-    """From the first bytes: a byte order mark, else UTF-8 if valid, else Latin-1. Up to three bytes at the end may belong to a
-    character that the head cuts."""
-    start = F.hex(F.substring(head, 1, 3))
-    valid = F.lit(False)
-    for cut in range(4):
-        valid = valid | F.is_valid_utf8(F.substring(head, F.lit(1), F.greatest(F.length(head) - cut, F.lit(0))).cast("string")) & ((F.lit(cut) == 0) | (F.length(head) >= HEAD_BYTES))
-    return F.when(start == "EFBBBF", "utf-8-sig").when(F.startswith(start, F.lit("FFFE")) | F.startswith(start, F.lit("FEFF")), "utf-16").when(valid, "utf-8").otherwise("latin-1")
-
-
-def encoding_of(head: bytes, whole: bool) -> str:
-    """As encoding(), of one file's first bytes in the driver."""
-    if head.startswith(b"\xef\xbb\xbf"):
-        return "utf-8-sig"
-    if head.startswith((b"\xff\xfe", b"\xfe\xff")):
-        return "utf-16"
-    for cut in range(1 if whole else 4):
-        try:
-            head[: len(head) - cut].decode()
-            return "utf-8"
-        except UnicodeDecodeError:
-            continue
-    return "latin-1"
+#: Encodings of one byte a character that are told apart by what they make of the bytes from 128 on; the first of equals.
+#: The first one is believed unless another is better by more than this, some three letters.
+FIRST_GUESS = 9
+SINGLE_BYTE = ("cp1252", "cp850", "mac_roman", "cp1251")
+
+
+def encoding_of(data: bytes, whole: bool) -> str:
+    """The encoding of a file, from all its bytes (whole) or its first ones: a byte order mark; UTF-16 by where zero bytes stand;
+    UTF-8 if the bytes are valid, but for a character that is cut at their end; else the single-byte encoding in which the bytes
+    from 128 on stand most like letters among letters. Latin-1 is the name of cp1252 where no byte tells them apart."""
+    for mark, code in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe\x00\x00", "utf-32"), (b"\x00\x00\xfe\xff", "utf-32"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
+        if data.startswith(mark):
+            return code
+    even, odd = data[::2].count(0), data[1::2].count(0)
+    if len(data) >= 4 and max(even, odd) * 5 >= len(data) // 2 and min(even, odd) * 20 <= max(even, odd):
+        return "utf-16-le" if odd > even else "utf-16-be"
+    try:
+        codecs.getincrementaldecoder("utf-8")().decode(data, final=whole)
+        return "utf-8"
+    except UnicodeDecodeError as error:
+        if whole and error.start >= len(data) - 3 and error.reason == "unexpected end of data":
+            return "utf-8"  # a file that was cut
+    # how often each byte from 128 on stands between which bytes
+    pairs = Counter(zip(data, data[1:], data[2:], strict=False))
+    scores = {code: sum(n * _likely(code, *three) for three, n in pairs.items() if three[1] >= 128) for code in SINGLE_BYTE}
+    scores["cp1252"] += FIRST_GUESS
+    best = max(SINGLE_BYTE, key=lambda c: scores[c])
+    return "latin-1" if best == "cp1252" and not any(128 <= b < 160 for b in set(data)) else best
+
+
+@lru_cache(1 << 16)
+def _likely(code: str, before: int, byte: int, after: int) -> int:
+    """How well a character fits between its neighbours: letters in words, of the case and script of the word, and marks outside."""
+    a, c, b = (bytes([x]).decode(code, "replace") for x in (before, byte, after))
+    if c == "\ufffd" or unicodedata.category(c) in ("Cc", "Cn", "Co"):
+        return -8
+    inside = a.isalpha() + b.isalpha()
+    if not c.isalpha():
+        return (1, 0, -3)[inside] if unicodedata.category(c)[0] in "PS" and not unicodedata.name(c, "").startswith("BOX") else -2
+    if inside and any(x.isalpha() and x.isascii() and ord(c) >= 0x370 for x in (a, b)):
+        return -3  # another script
+    if ord(c) < 0x250 and (crowd := sum(x.isalpha() and not x.isascii() for x in (a, b))):
+        return -crowd  # letters with accents stand alone
+    if c.isupper() and a.islower():
+        return -3
+    return 1 + inside if c.islower() or not (a.isalpha() and b.islower() and a.islower()) else 0
+
+
+def consistent_delimiter(text: str) -> str | None:
+    """The candidate that cuts most rows of a text into one number of cells, two or more; of equals the one with more cells, then the
+    earlier one. Quotes are read. None if no candidate cuts a row."""
+    best: tuple = (0, 0)
+    found = None
+    for sep in DELIMITERS:
+        widths = Counter(len(cells) for _, cells in islice(split_rows(text, sep), 100))
+        many = {w: n for w, n in widths.items() if w > 1}
+        if many:
+            width = max(many, key=lambda w: (many[w], w))
+            if (score := (many[width] / sum(widths.values()), width)) > best:
+                best, found = score, sep
+    return found
 
 
 def delimiter_of(text: str) -> str:
-    """As delimiter(), of one text in the driver."""
+    """The consistent one, else as delimiter()."""
+    if found := consistent_delimiter(text[:HEAD_BYTES].rsplit("\n", 1)[0] if len(text) > HEAD_BYTES else text):
+        return found
     head = "\n".join([x for x in text[:HEAD_BYTES].split("\n") if not x.startswith("#")][:5])
     best = max(DELIMITERS, key=head.count)  # the first of those that occur most
     return best if head.count(best) else ","
 
 
 def decoded(files: DataFrame) -> DataFrame:
-    """(path, length, encoding, text) of files (path, length, content), each by its own encoding; bytes that it can't read become
-    replacement characters, so no file stops the others."""
+    """(path, length, encoding, text) of files (path, length, content), each by its own encoding, told from all its bytes; bytes that
+    it can't read become replacement characters, so no file stops the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(c or b"").decode(e, "replace") for c, e in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(texts, pa.string())], ["path", "length", "encoding", "text"])
+            data = [c or b"" for c in batch.column(2).to_pylist()]
+            codes = [encoding_of(c, True) for c in data]
+            texts = [c.decode(e, "replace") for c, e in zip(data, codes, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(codes, pa.string()), pa.array(texts, pa.string())], ["path", "length", "encoding", "text"])
 
-    told = files.select("path", F.col("length").cast("long").alias("length"), "content", encoding(F.substring("content", 1, HEAD_BYTES)).alias("encoding"))
-    return told.mapInArrow(run, "path string, length long, encoding string, text string")
+    return files.select("path", F.col("length").cast("long").alias("length"), "content").mapInArrow(run, "path string, length long, encoding string, text string")
 
 
 def sniffed(spark: SparkSession, path: str, lines: int = 5) -> DataFrame:
-    """(path, length, encoding, delimiter) of each file, from its first bytes."""
+    """(path, length, encoding, delimiter, by_count) of each file: the delimiter by consistent rows, and by count in its first lines,
+    of which one alone is the third way of telling it."""
     files = spark.read.format("binaryFile").load(path)
     text = F.substring("text", 1, HEAD_BYTES)
     kept = F.filter(F.split(text, "\n"), lambda x: ~F.startswith(x, F.lit("#")))
-    return decoded(files).select("path", "length", "encoding", delimiter(F.array_join(F.slice(kept, 1, lines), "\n")).alias("delimiter"))
+    consistent = F.pandas_udf(lambda texts: texts.map(delimiter_of), "string")
+    return decoded(files).select("path", "length", "encoding", consistent(text).alias("delimiter"), delimiter(F.array_join(F.slice(kept, 1, lines), "\n")).alias("by_count"))
 
 
 def read(spark: SparkSession, path: str, sep: str = ",", header: bool = True, encoding_: str = "UTF-8") -> DataFrame:
@@ -145,12 +192,12 @@ def _heads(spark: SparkSession, files: list[tuple[str, int]]) -> list[tuple[str,
 def parsed(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """(file, row, cells, error): all rows of delimited files, each file by its own encoding and delimiter; row: the line breaks
     before it in the file. A file that can't be read gives a row that says so. Files of more than split_bytes are read by many
-    tasks each, unless their encoding is UTF-16."""
+    tasks each, unless their encoding is UTF-16 or UTF-32."""
     files = spark.read.format("binaryFile").load(path)
     large = [(r.path, r.length) for r in files.where(F.col("length") > split_bytes).select("path", "length").collect()]
     forms = defaultdict(list)
     for (name, _), form in zip(large, _heads(spark, large), strict=True):
-        if form[1] != "utf-16":
+        if not form[1].startswith(("utf-16", "utf-32")):
             forms[form].append(name)
     apart = [name for names in forms.values() for name in names]
     small = files.where((F.col("length") <= split_bytes) | ~F.col("path").isin(apart)) if apart else files
@@ -172,13 +219,12 @@ def parsed_texts(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(f, *r) for f, t, s in zip(*(c.to_pylist() for c in batch.columns), strict=True) for r in rows_of(f, t or "", s)]
+            out = [(f, *r) for f, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) for r in rows_of(f, t or "", delimiter_of(t or ""))]
             columns = list(zip(*out, strict=True)) or [()] * 4
             kinds = (pa.string(), pa.int32(), pa.list_(pa.string()), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["file", "row", "cells", "error"])
 
-    head = F.filter(F.split(F.substring("text", 1, HEAD_BYTES), "\n"), lambda x: ~F.startswith(x, F.lit("#")))
-    return texts.select("file", "text", delimiter(F.array_join(F.slice(head, 1, 5), "\n")).alias("sep")).mapInArrow(run, ROWS)
+    return texts.select("file", "text").mapInArrow(run, ROWS)
 
 
 def cells(spark: SparkSession, path: str) -> DataFrame:

@@ -48,6 +48,29 @@ def test_rows_of_a_file(spark, tmp_path):
     assert csv.parsed_texts(spark.createDataFrame([("f", None)], "file string, text string")).first().error == "no rows"
 
 
+WESTERN = "El niño comió en la açoteia, où l'été fut très doux; die größten Bäume fällt man früh. "
+
+
+@pytest.mark.parametrize("code", ["latin-1", "cp850", "mac_roman", "utf-8", "utf-16-le", "utf-16-be", "utf-32"])
+def test_encodings_are_told_apart(code):
+    assert csv.encoding_of((WESTERN * 3).encode(code), True) == code
+    if code == "utf-8":
+        assert csv.encoding_of(WESTERN.encode()[:7], True) == csv.encoding_of(WESTERN.encode()[:7], False) == "utf-8"
+
+
+def test_encodings_of_marks_and_scripts():
+    assert csv.encoding_of((WESTERN + "“so” – 5 €").encode("cp1252"), True) == "cp1252"
+    assert csv.encoding_of("Годовой отчёт. Выбросы и отходы".encode("cp1251"), True) == "cp1251"
+    assert csv.encoding_of(b"", True) == csv.encoding_of(b"abc", True) == "utf-8" and csv.encoding_of(b"\xff\xfea\x00", True) == "utf-16"
+
+
+def test_delimiters_by_consistent_rows():
+    assert csv.delimiter_of('a;b\n"x, y, z";1,5\n"p, q";2,5\n') == ";"
+    assert csv.delimiter_of("name|note\nx|one, two, three, four\ny|five, six\n") == "|"
+    assert csv.delimiter_of("a\tb c\n1\t2\n") == "\t" and csv.delimiter_of("one\ntwo\n") == "," and csv.delimiter_of("") == ","
+    assert csv.delimiter_of('"a\nb;c",d\n"e\nf;g",h\n') == ","
+
+
 def test_no_cell_is_too_large_and_no_row_is_cut(spark, tmp_path):
     (tmp_path / "a.csv").write_text("a,b\n1," + "x" * 300_000 + "\n2,y\n")
     (tmp_path / "b.csv").write_bytes("a,b\nx,y\x85z\n1,p\x0bq\x0c\n".encode("latin-1"))
@@ -57,7 +80,7 @@ def test_no_cell_is_too_large_and_no_row_is_cut(spark, tmp_path):
     for r in csv.parsed(spark, str(tmp_path)).orderBy("row").collect():
         got[r.file[0]].append((r.row, r.cells, r.error))
     assert got["a"] == [(0, ["a", "b"], None), (1, ["1", "x" * 300_000], None), (2, ["2", "y"], None)]
-    assert got["b"] == [(0, ["a", "b"], None), (1, ["x", "y\x85z"], None), (2, ["1", "p\x0bq"], None)]
+    assert got["b"] == [(0, ["a", "b"], None), (1, ["x", "y…z"], None), (2, ["1", "p\x0bq"], None)]
     assert got["c"] == [(0, ["a", "b"], None), (1, ["x\n\n# y\nz", "1"], None), (8, [None, "2"], None)]
     assert got["d"] == [(0, ["a", "b"], None), (1, ["x\r\ny", "1"], None), (3, ["z", "2"], None)]
 

@@ -2,8 +2,11 @@
 
 import io
 import random
+import re
 import zipfile
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -489,3 +492,23 @@ def test_leiden_is_connected_and_not_worse(spark):
     got = {r.node: r.community for r in found.collect()}
     assert connected([(a, b, 1) for a, b in edges], got) and set(got) == {n for e in edges for n in e}
     assert graph.modularity(frame, found).first()[0] >= graph.modularity(frame, other).first()[0] - 0.01
+
+
+def test_latent_vectors_span_what_the_svd_spans(spark):
+    draw = random.Random(2)
+    topics = [[f"w{k}x{i}" for i in range(12)] for k in range(6)]
+    texts = [" ".join(draw.choices(topics[i % 6], k=30 + 10 * (i % 6)) + draw.choices(topics[draw.randrange(6)], k=5)) for i in range(90)] + ["", None, "?"]
+    got = {r.doc_id: np.array(r.embedding) for r in vectors.latent_vectors(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text", 512, 6).collect()}
+    counts = np.zeros((len(texts), 512))
+    for i, t in enumerate(texts):
+        for w in re.findall(r"\w\w+", (t or "").lower()):
+            counts[i, zlib.crc32(w.encode()) % 512] += 1
+    weighed = counts * (np.log((1 + len(texts)) / (1 + (counts > 0).sum(axis=0))) + 1)
+    weighed /= np.maximum(np.sqrt((weighed**2).sum(axis=1, keepdims=True)), 1e-300)
+    u, s, vt = np.linalg.svd(weighed, full_matrices=False)
+    want = u[:, :6] * s[:6]
+    want /= np.maximum(np.sqrt((want**2).sum(axis=1, keepdims=True)), 1e-12)
+    mine = np.array([got[i] for i in range(len(texts))])
+    assert not mine[90:].any() and np.allclose(np.abs(mine[:90]), np.abs(want[:90]), atol=1e-3)
+    assert np.allclose(mine[:90] @ mine[:90].T, want[:90] @ want[:90].T, atol=1e-3)
+    assert vectors.latent_vectors(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text", 64, 4).count() == 0
