@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import text as tx
 from folioflow.functions import values as vl
-from folioflow.operators import chunking, graph_store, metadata, pages, profile, sentences, spans, vectors
-from folioflow.plans.lineage import scratch
+from folioflow.operators import chunking, graph_store, metadata, pages, postings, profile, sentences, spans, vectors
+from folioflow.plans.lineage import cut, scratch
 from folioflow.plans.queries import _files, _FILES, query
 from folioflow.sources import csv, files, outbox, quoted, sinks, workbooks
 
@@ -195,6 +195,22 @@ def graph_rows(t):
     return rows.select("kind", "chunk_id", "name", "target")
 
 
+# text search -------------------------------------------------------------------------------------------------------
+
+_W = "SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM documents"
+
+
+@query(f"""SELECT doc_id, 'of the' AS phrase, len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the'))::BIGINT AS n FROM ({_W}) WHERE n > 0
+UNION ALL SELECT doc_id, 'the the the', len(list_filter(range(1, len(w) - 1), lambda i: w[i] = 'the' AND w[i + 1] = 'the' AND w[i + 2] = 'the'))::BIGINT AS n FROM ({_W}) WHERE n > 0
+UNION ALL SELECT doc_id, 'und die*', len(list_filter(w, lambda x: starts_with(x, 'unge')))::BIGINT AS n FROM ({_W}) WHERE n > 0""")
+def phrase_search(t):
+    d = t("documents")
+    index = cut(postings.postings(d, "doc_id", "text").sort("term"))
+    found = [("of the", postings.phrase(index, "of the")), ("the the the", postings.phrase(index, "The, the the!")), ("und die*", postings.prefix(index, "Unge"))]
+    told = [f.select(F.col("key").alias("doc_id"), F.lit(name).alias("phrase"), "n") for name, f in found]
+    return told[0].union(told[1]).union(told[2])
+
+
 # graphs that grow ---------------------------------------------------------------------------------------------------
 
 _ENTITY = "SELECT o_custkey::VARCHAR AS name, arg_max(o_orderstatus, o_orderkey) AS type, max(o_orderkey) AS k FROM orders WHERE o_orderkey % 3 = {0} GROUP BY 1"
