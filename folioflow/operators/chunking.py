@@ -287,6 +287,15 @@ def hybrid_chunks(sentences_: DataFrame, headers: DataFrame, key: str, order: st
     return semantic_chunks(rows, [key, "section"], order, sentence, embedding, most)
 
 
+def placed_headers(headers: DataFrame, sentences_: DataFrame, key: str, position: str, order: str) -> DataFrame:
+    """headers, whose position is a line, with the place of the sentence that they stand before in the column order, from 0: lines
+    up to the last header are taken to hold equally many sentences. A header of a text without sentences is left out."""
+    counts = sentences_.groupBy(key).agg(F.count("*").alias("_n"))
+    lines = headers.groupBy(key).agg((F.max(position) + 1).alias("_lines"))
+    place = F.least(F.floor(F.col(position) * F.col("_n") / F.col("_lines")), F.col("_n") - 1)
+    return headers.join(counts, key).join(lines, key).withColumn(order, place).drop("_n", "_lines")
+
+
 def budgeted_chunks(df: DataFrame, group: str, order: str, columns: list[str], rows: int = 100, tokens: int = 2000) -> DataFrame:
     """(group, batch, half, part, rows, columns, tokens): batches of rows; a batch with more tokens than allowed is halved by rows
     again and again until each piece is small enough or one row; where one row is still too large, its columns are dealt to

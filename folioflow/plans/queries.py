@@ -349,6 +349,26 @@ def topic_relevance(t):
     return tx.with_relevance(t("documents").select("doc_id", "text"), "text", "score", _TOPIC).select("doc_id", F.round("score", 6).alias("score"))
 
 
+_SCANNED = [k.lower() for group in tx.SCANNED_KEYWORDS.values() for k in group]
+_SCANNED_HITS = " + ".join(f"len(list_filter(w, lambda x: x = '{k}'))" if k.isalpha() else f"(len(l) - len(replace(l, '{k}', ''))) // {len(k)}" for k in _SCANNED)
+_SCANNED_ROWS = "SELECT doc_id, text || CASE doc_id % 4 WHEN 0 THEN ' GHG, Anti-Bribery work' WHEN 1 THEN ' human rights; a board' WHEN 2 THEN ' boards and workers' ELSE '' END AS text FROM documents"
+
+
+@query(f"""SELECT doc_id, CASE WHEN n > 0 THEN round(least(1, ({_SCANNED_HITS}) / (ln(n + 1) + 1) * 0.3), 6) ELSE 0 END AS score FROM (SELECT doc_id, {_WORDS.format("text")} FROM ({_SCANNED_ROWS}))""")
+def scanned_relevance(t):
+    k = F.col("doc_id") % 4
+    more = F.when(k == 0, " GHG, Anti-Bribery work").when(k == 1, " human rights; a board").when(k == 2, " boards and workers").otherwise("")
+    rows = t("documents").select("doc_id", F.concat("text", more).alias("text"))
+    return tx.with_relevance(rows, "text", "score", tx.SCANNED_KEYWORDS).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("""WITH h AS (SELECT DISTINCT conv_id, turn FROM conversations WHERE turn % 3 = 0), n AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1)
+SELECT conv_id, turn, least(floor(turn * n / (max(turn) OVER (PARTITION BY conv_id) + 1)), n - 1)::BIGINT AS place FROM h JOIN n USING (conv_id)""")
+def placed_headers(t):
+    c = t("conversations")
+    return chunking.placed_headers(c.where("turn % 3 = 0").select("conv_id", "turn").distinct(), c, "conv_id", "turn", "place")
+
+
 @query(f"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS s FROM documents),
 c AS (SELECT doc_id, n::INT AS chunk, array_to_string(s[n * 5 + 1:n * 5 + 5], ' ') AS text FROM (SELECT *, unnest(range(0, CAST(ceil(len(s) / 5.0) AS BIGINT))) AS n FROM s))
 SELECT doc_id, chunk, len(text)::INT AS characters, CASE WHEN n > 0 THEN round({_SCORED}, 6) ELSE 0 END AS score FROM (SELECT doc_id, chunk, text, {_WORDS.format("text")} FROM c)""")
