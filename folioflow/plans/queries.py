@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import text as tx
 from folioflow.functions import values as vl
-from folioflow.operators import charts, chunking, graph, metadata, pages, profile, tables, vectors
+from folioflow.operators import charts, chunking, graph, metadata, pages, profile, projections, tables, vectors
+from folioflow.plans.lineage import cut
 from folioflow.sources import csv, markup, sinks
 from folioflow.streaming import events as ev
 
@@ -607,6 +609,31 @@ def label_propagation(t):
     return graph.label_propagation(graph.undirected(_edges(t)), 3)
 
 
+def _projected(t):
+    edges = _edges(t)
+    held, name = projections.Projections(edges.sparkSession), f"p{uuid.uuid4().hex}"
+    held.create(name, edges, 16)
+    return held, name
+
+
+@query(_propagated(3))
+def projected_propagation(t):
+    """Over a named projection, dropped again afterwards."""
+    held, name = _projected(t)
+    labels = held.label_propagation(name, 3)
+    held.drop(name)
+    return labels
+
+
+@query(f"""WITH u AS (SELECT least(source, target) AS a, greatest(source, target) AS b, sum(strength) AS weight FROM ({_EDGES}) WHERE source <> target GROUP BY 1, 2), n AS (SELECT a AS node FROM u UNION ALL SELECT b FROM u)
+SELECT (SELECT count(DISTINCT node) FROM n) AS nodes, (SELECT count(*) FROM u) AS edges, (SELECT sum(weight)::DOUBLE FROM u) AS weight, (SELECT max(k) FROM (SELECT count(*) AS k FROM n GROUP BY node)) AS largest""")
+def projection_stats(t):
+    held, name = _projected(t)
+    stats = cut(held.stats(name))
+    held.drop(name)
+    return stats
+
+
 _REGIONS = f"SELECT source % 5 AS x, a, b, weight FROM (SELECT least(source, target) AS a, greatest(source, target) AS b, min(source) AS source, sum(strength) AS weight FROM ({_EDGES}) WHERE source <> target GROUP BY 1, 2)"
 
 

@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from folioflow.operators.graph import label_propagation, undirected
 from folioflow.operators.graph_store import GraphStore, Tenants
+from folioflow.operators.projections import Projections
 from folioflow.sources import keyed
 
 
@@ -84,3 +86,23 @@ def test_tenants(spark, tmp_path):
     assert not tenants.exists("user", "u1") and not tenants.exists("subgraph", "u1") and tenants.exists("user", "u2") and tenants.exists("subgraph", "u2")
     tenants.delete("root", "Root")
     assert tenants.table.read().count() == 0
+
+
+def test_projections(spark, tmp_path):
+    held = Projections(spark, "projections_test", str(tmp_path))
+    edges = spark.createDataFrame([(1, 2, 1), (2, 1, 2), (2, 3, 1), (4, 4, 9), (5, 6, 1)], "source long, target long, strength int")
+    assert not held.exists("g") and not held.drop("g") and held.names() == []
+    held.create("g", edges, 8)
+    with pytest.raises(ValueError, match="there is"):
+        held.create("g", edges, 8)
+    assert held.exists("g") and held.names() == ["g"] and tuple(held.stats("g").first()) == (5, 3, 5.0, 2)
+    # labels are shuffled, edges are not: of the two exchanges of a round one is below the join and one of votes above it
+    labels = held.edges("g").select(F.col("b").alias("node")).distinct().withColumn("community", F.col("node"))
+    plan = held.round("g", labels)._jdf.queryExecution().executedPlan().toString()
+    join = plan[plan.index("SortMergeJoin") :]
+    left = join[: join.index("Bucketed: true")]
+    assert "Exchange" not in left, plan
+    assert {r.node: r.community for r in held.label_propagation("g", 2).collect()} == {r.node: r.community for r in label_propagation(undirected(edges), 2).collect()}
+    assert held.drop("g") and not held.exists("g") and list(tmp_path.iterdir()) == []
+    held.create("empty", edges.limit(0), 2)
+    assert tuple(held.stats("empty").first()) == (0, 0, 0.0, 0) and held.drop("empty")
