@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import text as tx
 from folioflow.functions import values as vl
-from folioflow.operators import charts, chunking, graph, metadata, pages, profile, projections, tables, vectors
+from folioflow.operators import charts, chunking, graph, languages, metadata, pages, profile, projections, tables, vectors
 from folioflow.plans.lineage import cut
 from folioflow.sources import csv, markup, sinks
 from folioflow.streaming import events as ev
@@ -482,6 +482,20 @@ def language_by_marks(t):
     return t("documents").select("doc_id", tx.language_by_marks(F.col("text")).alias("lang"))
 
 
+_SCORES = ", ".join(
+    "round(" + " + ".join([*(f"len(list_filter(w, lambda x: x = '{w}')) * {v!r}" for w, v in words.items()), *([f"len(regexp_replace(l, '[^{languages.LETTERS[code]}]', '', 'g')) / 2"] if code in languages.LETTERS else [])]) + f", 6) AS s{i}"
+    for i, (code, words) in enumerate(languages.weights().items())
+)
+_MARKED = """CASE WHEN len(trim(text)) < 10 THEN 'en' WHEN len(regexp_replace(text, '[^\\p{L}]', '', 'g')) < 30 THEN CASE WHEN len(regexp_replace(text, '[^áéíóúüñÁÉÍÓÚÜÑ¿¡]', '', 'g')) >= 3 THEN 'es' ELSE 'en' END END"""
+
+
+@query(f"""WITH r AS (SELECT doc_id, text, lower(text) AS l, regexp_extract_all(lower(text), '[\\p{{L}}]+') AS w FROM documents), s AS (SELECT doc_id, text, l, {_SCORES} FROM r),
+b AS (SELECT *, greatest({", ".join(f"s{i}" for i in range(len(languages.WORDS)))}) AS top FROM s)
+SELECT doc_id, coalesce({_MARKED}, CASE WHEN top = 0 THEN CASE WHEN len(regexp_replace(l, '[^áéíóúñ¿¡]', '', 'g')) >= 3 THEN 'es' ELSE 'en' END WHEN s0 = top THEN 'en' WHEN s1 = top THEN 'es' WHEN s2 = top THEN 'fr' WHEN s3 = top THEN 'de' WHEN s4 = top THEN 'pt' ELSE 'es' END) AS language FROM b""")
+def languages_by_words(t):
+    return languages.with_language(t("documents").select("doc_id", "text"), "text").select("doc_id", "language")
+
+
 @query("""SELECT o_orderkey, CASE WHEN v >= 1e6 THEN printf('%.1fM', v / 1e6) WHEN v >= 1e3 THEN printf('%.1fk', v / 1e3) ELSE printf('%.1f', v) END AS short FROM (SELECT o_orderkey, floor(o_totalprice / 100) * 100 AS v FROM orders)""")
 def short_numbers(t):
     return t("orders").select("o_orderkey", vl.short_number(F.floor(F.col("o_totalprice") / 100) * 100.0).alias("short"))

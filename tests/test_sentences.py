@@ -3,10 +3,11 @@
 import random
 
 import pytest
+from conftest import SF
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as tx
-from folioflow.operators import sentences
+from folioflow.operators import languages, sentences
 
 #: Short forms that no list of the package has.
 SHORT = {"en": ["abt", "vsl", "q.t", "hdq"], "de": ["bspw", "zzgl", "k.w", "abt"]}
@@ -60,3 +61,19 @@ def test_odd_rows_of_the_splitter(spark):
     assert got[1] == ["One two.", "Three."] and got[2] == got[3] == [] and got[4] == [". ... ?!"] and got[5] == ["A b.C d. E"] and got[6] == ["Who?", "me!", "Yes."] and len(got[7]) == 2
     empty = docs.where("false")
     assert sentences.learned(empty).count() == 0 and sentences.split(empty, model).count() == 0
+
+
+def test_languages_by_words(spark):
+    cases = {
+        "Das ist ein Bericht über die Ziele der Firma und ihre Umsetzung": "de", "Le rapport est pour les membres qui sont dans la société": "fr", "The report is for the members that are in this company": "en",
+        "El informe es para los miembros que están en esta sociedad": "es", "O relatório não é para os membros que são da empresa, mas também": "pt", "Il rapporto è per gli azionisti che sono della società": "es",
+        "Raport pentru membrii care sunt în societate și nu din țară": "es", "Xyzzy plugh frobnicate quuxly zorkmid grue lanterna": "en", "áé óú ñandúes brrr grrr krrr hrrr mrrr drrr prrr": "es", "short": "en", "": "en",
+    }
+    got = languages.with_language(spark.createDataFrame([(t, 1) for t in cases] + [(None, 1)], "text string, _words int").drop("_words"), "text").collect()
+    assert {r.text: r.language for r in got} == cases | {None: "en"}
+
+
+def test_languages_of_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) >= 100")
+    found = languages.with_language(docs, "text").select((F.col("language") == F.col("lang")).cast("int").alias("right"))
+    assert found.agg(F.avg("right")).first()[0] > 0.97
