@@ -10,6 +10,7 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -58,8 +59,10 @@ def encoding_of(data: bytes, whole: bool) -> str:
         if whole and error.start >= len(data) - 3 and error.reason == "unexpected end of data":
             return "utf-8"  # a file that was cut
     # how often each byte from 128 on stands between which bytes
-    pairs = Counter(zip(data, data[1:], data[2:], strict=False))
-    scores = {code: sum(n * _likely(code, *three) for three, n in pairs.items() if three[1] >= 128) for code in SINGLE_BYTE}
+    raw = np.frombuffer(b" " + data + b" ", np.uint8).astype(np.int64)
+    at = np.flatnonzero(raw >= 128)
+    threes, times = np.unique(raw[at - 1] << 16 | raw[at] << 8 | raw[at + 1], return_counts=True)
+    scores = {code: sum(n * _likely(code, x >> 16, x >> 8 & 255, x & 255) for x, n in zip(threes.tolist(), times.tolist(), strict=True)) for code in SINGLE_BYTE}
     scores["cp1252"] += FIRST_GUESS
     best = max(SINGLE_BYTE, key=lambda c: scores[c])
     return "latin-1" if best == "cp1252" and not any(128 <= b < 160 for b in set(data)) else best

@@ -75,8 +75,10 @@ def texts(spark: SparkSession, path: str, pdf: Callable[[bytes], list[str]] | No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, kind, content, encoding, sep in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for file, kind, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows: list[tuple] = []
+                encoding = "utf-8" if content.startswith(b"PK") else csv.encoding_of(content, True)
+                sep = csv.delimiter_of(content.decode(encoding, "replace")) if kind == "csv" else ","
                 try:
                     if kind == "pdf":
                         if pdf is None:
@@ -96,12 +98,15 @@ def texts(spark: SparkSession, path: str, pdf: Callable[[bytes], list[str]] | No
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in PARTS.split(", ")])
 
     files = spark.read.format("binaryFile").load(path)
-    head = F.substring("content", 1, csv.HEAD_BYTES)
-    known = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), parser_for(F.col("path")).alias("kind"), "content", csv.encoding(head).alias("encoding"), csv.delimiter(head.cast("string")).alias("sep"))
+    known = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), parser_for(F.col("path")).alias("kind"), "content")
     return known.mapInArrow(run, PARTS)
 
 
 def json_chunks(spark: SparkSession, path: str, schema: str, limit: int = 0) -> DataFrame:
     """Chunks of JSON files that hold arrays, in the order of path and place; limit: how many in all, 0 for all."""
     rows = spark.read.schema(schema).json(path, multiLine=True)
-    return rows.limit(limit) if limit else rows
+    if not limit:
+        return rows
+    # a file is read by one task, in its order
+    placed = rows.select(F.struct("*").alias("row"), F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("at"))
+    return placed.orderBy("path", "at").limit(limit).select("row.*")
