@@ -6,8 +6,8 @@ the log of how much more often one class of the sample has it than the other, so
 which words that tell nothing about the class count little. Postings of rare terms stand by term and are added up for all
 examples; those of terms in COMMON of the examples or more stand in blocks of examples, with each term's largest weight in
 each block. A query adds these block maxima to the largest sum of its rare terms in a block, an upper bound for the block,
-scores whole blocks in descending order of it, and stops when no block can reach the k-th best similarity, so the
-neighbours are exact.
+and skips the blocks that cannot reach the k-th best of what its rare terms add up to, so the neighbours are exact. A block is
+scored for QUERIES_AT_ONCE queries at a time, all those that do not skip it, by one product of matrices.
 
 Neighbours vote with their similarity, weighted so that classes count as they occur. Leave-one-out votes of the examples
 give an isotonic calibration from vote to probability. Texts without any term of the sample get the rate of such examples.
@@ -23,6 +23,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ from pyspark.sql import functions as F
 from folioflow.llm.common import first_share, given, held_out, let_go, text_groups, text_of, with_row, written
 
 SAMPLE_ROWS, NEIGHBOURS, BLOCK, THRESHOLD = 3000, 15, 64, 0.7
+#: Queries that go through the blocks together, and characters of texts whose terms are looked up together.
+QUERIES_AT_ONCE, CHARS_AT_ONCE = 64, 1 << 18
 #: Share of the examples from which on a term's postings are kept in blocks.
 COMMON = 0.1
 #: Documents of each class that a term's log-ratio is smoothed by; terms that both classes have equally often count a little too.
@@ -42,6 +45,8 @@ SMOOTHING, LEAST_ASSOCIATION = 5.0, 0.001
 PRIOR = 1.0
 SCORED = "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<doc_id:long,similarity:double,toxic:int>>"
 _WORD = re.compile(r"[^\W\d_]+")
+#: Latin-1 with a space for all that is no letter.
+_LETTERS = bytes(c if _WORD.match(chr(c)) else 32 for c in range(256))
 
 
 def terms_of(text: str | None) -> list[str]:
@@ -50,20 +55,36 @@ def terms_of(text: str | None) -> list[str]:
 
 
 def hashes(terms) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(t.encode()) for t in terms), np.uint64, len(terms))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, terms), np.uint64, len(terms))
 
 
-def counted(text: str | None, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(numbers, counts) of the known terms in the text, by number; known: their hashes in order, so a term's number is its
-    place there."""
-    counts = Counter(terms_of(text))
-    if not counts or not len(known):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    found = hashes(counts)
+def term_counts(text: str | None) -> Counter:
+    """How often each term occurs in the text: Counter(terms_of(text)), by a table of characters where one of 256 holds them."""
+    try:
+        return Counter((text or "").lower().encode("latin-1").translate(_LETTERS).decode("latin-1").split())
+    except UnicodeEncodeError:
+        return Counter(terms_of(text))
+
+
+def numbers(terms, known: np.ndarray) -> np.ndarray:
+    """The places of the terms in known, the hashes of known terms in order; -1 for other terms."""
+    if not len(terms) or not len(known):
+        return np.full(len(terms), -1, np.int64)
+    found = hashes(terms)
     at = np.minimum(np.searchsorted(known, found), len(known) - 1)
-    hit = np.flatnonzero(known[at] == found)
-    hit = hit[np.argsort(at[hit])]
-    return at[hit], np.fromiter(counts.values(), np.int64, len(counts))[hit]
+    return np.where(known[at] == found, at, -1)
+
+
+def counted_each(texts: list[str], known: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(numbers, counts) of the known terms in each text, by number; a term of several texts is looked up once."""
+    each = [term_counts(text) for text in texts]
+    terms = set().union(*each)
+    number = dict(zip(terms, numbers(terms, known).tolist(), strict=True))
+    for counts in each:
+        at = np.fromiter(map(number.__getitem__, counts), np.int64, len(counts))
+        hit = np.flatnonzero(at >= 0)
+        hit = hit[np.argsort(at[hit])]
+        yield at[hit], np.fromiter(counts.values(), np.int64, len(counts))[hit]
 
 
 @dataclass(frozen=True)
@@ -78,20 +99,25 @@ class BlockMaxIndex:
     """Exact top-k by inner product over examples of unit length."""
 
     def __init__(self, examples: list[Example], n_terms: int, block: int = BLOCK):
-        # examples that share their weightiest term stand together, so that block maxima differ
-        examples = sorted(examples, key=lambda e: (int(e.terms[e.weights.argmax()]), e.doc_id, e.toxic))
-        self.block, self.n_blocks = block, -(-len(examples) // block)
-        self.ids = np.array([e.doc_id for e in examples], np.int64)
-        self.toxic = np.array([e.toxic for e in examples], np.int64)
         times = np.zeros(n_terms, np.int64)
         for e in examples:
             times[e.terms] += 1
         common = np.flatnonzero(times >= max(2, COMMON * len(examples)))
         self.row = np.full(n_terms, -1, np.int32)
         self.row[common] = np.arange(len(common))
+
+        def alike(e: Example) -> tuple[int, int, int, int]:
+            weightiest = int(np.where(self.row[e.terms] < 0, 0, e.weights).argmax())
+            return int(self.row[e.terms[weightiest]]), int(e.terms[e.weights.argmax()]), e.doc_id, e.toxic
+
+        # examples that share their weightiest common term, so mostly the language, stand together, so that block maxima differ
+        examples = sorted(examples, key=alike)
+        self.block, self.n_blocks = block, -(-len(examples) // block)
+        self.ids = np.array([e.doc_id for e in examples], np.int64)
+        self.toxic = np.array([e.toxic for e in examples], np.int64)
         self.common = np.zeros((self.n_blocks, len(common), block))
         self.first = np.concatenate([[0], np.cumsum(np.where(self.row < 0, times, 0))])
-        self.at, self.weights = np.zeros(self.first[-1], np.int32), np.zeros(self.first[-1])
+        self.at, self.weights = np.zeros(self.first[-1], np.min_scalar_type(len(examples))), np.zeros(self.first[-1])
         ends = self.first[:-1].copy()
         for i, e in enumerate(examples):
             rows = self.row[e.terms]
@@ -101,43 +127,69 @@ class BlockMaxIndex:
             self.common[i // block, rows[rows >= 0], i % block] = e.weights[rows >= 0]
         self.maxima = self.common.max(axis=2).T.copy()
 
+    def rare_sums(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """What rare terms of a query add up to for each example, by block."""
+        first = self.first[terms]
+        sizes = self.first[terms + 1] - first
+        # positions of all postings of the terms, one after the other
+        at = np.repeat(first - np.cumsum(sizes) + sizes, sizes)
+        at += np.arange(len(at))
+        products = self.weights.take(at)
+        products *= np.repeat(weights, sizes)
+        return np.bincount(self.at.take(at), products, self.n_blocks * self.block).reshape(self.n_blocks, self.block)
+
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int | None = None) -> list[tuple[float, int]]:
-        """(similarity, position) of the k most similar examples, ties to the smaller doc_id; only those that share a term.
-        without: a doc_id to leave out."""
-        rows = self.row[terms]
-        rare = rows < 0
-        first = self.first[terms[rare]]
-        sizes = self.first[terms[rare] + 1] - first
-        # positions of all postings of the rare terms, one after the other
-        at = np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
-        scores = np.bincount(self.at[at], self.weights[at] * np.repeat(weights[rare], sizes), self.n_blocks * self.block)
-        scores = scores.reshape(self.n_blocks, self.block)
-        query = np.zeros(self.maxima.shape[0])
-        query[rows[~rare]] = weights[~rare]
-        bounds = scores.max(axis=1) + query @ self.maxima
+        """nearest_each for one query."""
+        return self.nearest_each([(terms, weights)], k, [without])[0]
+
+    def nearest_each(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int | None] | None = None) -> list[list[tuple[float, int]]]:
+        """For each query (terms, weights), (similarity, position) of the k most similar examples, ties to the smaller doc_id;
+        only those that share a term. without: for each query a doc_id to leave out, if not None."""
+        left_out = without or [None] * len(queries)
+        found = []
+        for start in range(0, len(queries), QUERIES_AT_ONCE):
+            found += self._nearest_each(queries[start : start + QUERIES_AT_ONCE], k, left_out[start : start + QUERIES_AT_ONCE])
+        return found
+
+    def _nearest_each(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int | None]) -> list[list[tuple[float, int]]]:
+        scores = np.empty((len(queries), self.n_blocks, self.block))
+        common = np.zeros((len(queries), self.maxima.shape[0]))
+        for i, (terms, weights) in enumerate(queries):
+            rows = self.row[terms]
+            rare = rows < 0
+            scores[i] = self.rare_sums(terms[rare], weights[rare])
+            common[i, rows[~rare]] = weights[~rare]
+        best = scores.max(axis=2)
+        bounds = best + common @ self.maxima
         # what the rare terms alone add up to is a lower bound of the k-th best, with room for those left out
-        flat, wanted = scores.ravel(), k + (int(np.count_nonzero(self.ids == without)) if without is not None else 0)
-        floor = max(0.0, float(np.partition(flat, len(flat) - wanted)[len(flat) - wanted])) if len(flat) >= wanted else 0.0
-        order = np.argsort(-bounds, kind="stable").tolist()
-        found_at, found = np.zeros(0, np.int64), np.zeros(0)
-        done = 0
-        while done < len(order) and bounds[order[done]] > 0 and bounds[order[done]] >= floor - 1e-12:
-            blocks = [b for b in order[done : done + 8] if bounds[b] >= floor - 1e-12]
-            done += 8
-            sums = np.concatenate([scores[b] + query @ self.common[b] for b in blocks])
-            at = np.concatenate([np.arange(b * self.block, (b + 1) * self.block) for b in blocks])
-            good = np.flatnonzero((sums > 0) & (sums >= floor - 1e-12))
-            if without is not None:
-                good = good[self.ids[at[good]] != without]
-            found_at, found = np.concatenate([found_at, at[good]]), np.concatenate([found, sums[good]])
-            if len(found) >= k:
-                floor = max(floor, float(np.partition(found, len(found) - k)[len(found) - k]))
-                good = found >= floor - 1e-12
-                found_at, found = found_at[good], found[good]
-        best = sorted((-round(s, 12), int(self.ids[i]), i) for s, i in zip(found.tolist(), found_at.tolist(), strict=True))
+        wanted = [k + (int(np.count_nonzero(self.ids == w)) if w is not None else 0) for w in without]
+        floors = np.array([kth_largest(s, b, n) for s, b, n in zip(scores, best, wanted, strict=True)])
+        scored = (bounds > 0) & (bounds >= floors[:, None] - 1e-12)
+        for b in np.flatnonzero(scored.any(axis=0)).tolist():
+            those = np.flatnonzero(scored[:, b])
+            scores[those, b] += common[those] @ self.common[b]
+        return [self._best(scores[i], np.flatnonzero(scored[i]), k, wanted[i], w) for i, w in enumerate(without)]
+
+    def _best(self, scores: np.ndarray, blocks: np.ndarray, k: int, wanted: int, without: int | None) -> list[tuple[float, int]]:
+        """The k best of the scored blocks of a query."""
+        if not len(blocks):
+            return []
+        sums = scores[blocks]
+        floor = kth_largest(sums, sums.max(axis=1), wanted)
+        block, place = np.nonzero((sums > 0) & (sums >= floor - 1e-12))
+        at = blocks[block] * self.block + place
+        best = sorted((-round(s, 12), int(self.ids[i]), i) for s, i in zip(sums[block, place].tolist(), at.tolist(), strict=True) if without is None or self.ids[i] != without)
         return [(-s, i) for s, _, i in best[:k]]
 
 
+def kth_largest(sums: np.ndarray, best: np.ndarray, k: int) -> float:
+    """The k-th largest of sums, a row for each block; 0 if there are fewer. best: the largest of each row, as their k-th
+    largest leaves few sums to look at."""
+    if len(best) >= k:
+        sums = sums[sums >= np.partition(best, len(best) - k)[len(best) - k]]
+    return max(0.0, float(np.partition(sums, sums.size - k, axis=None)[sums.size - k])) if sums.size >= k else 0.0
+
+
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(lower ends of steps, values) of the best non-decreasing fit, each step smoothed by a weight of half a row each way."""
     order = np.argsort(x, kind="stable")
@@ -168,9 +220,15 @@ class Model:
     base_rate: float
     neighbours: int
 
-    def near(self, text: str | None, without: int | None = None) -> list[tuple[float, int]]:
-        terms, counts = counted(text, self.known)
-        return self.index.nearest(*unit_vector(terms, counts, self.term_weights), self.neighbours, without) if self.index and len(terms) else []
+    def near_each(self, texts: list[str], without: list[int | None] | None = None) -> list[list[tuple[float, int]]]:
+        """The neighbours of each text; none without known terms. without: for each text a doc_id to leave out, if not None."""
+        found: list[list[tuple[float, int]]] = [[] for _ in texts]
+        if self.index:
+            vectors = {i: unit_vector(terms, counts, self.term_weights) for i, (terms, counts) in enumerate(counted_each(texts, self.known)) if len(terms)}
+            near = self.index.nearest_each(list(vectors.values()), self.neighbours, [without[i] for i in vectors] if without else None)
+            for i, those in zip(vectors, near, strict=True):
+                found[i] = those
+        return found
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         weighed = [(s * self.class_weights[self.index.toxic[i]], self.index.toxic[i]) for s, i in near]
@@ -212,10 +270,11 @@ def _count_documents(sent: Broadcast):
         known = sent.value
         times = np.zeros(len(known) + 1, np.int64)
         for batch in batches:
-            for _, texts in text_groups(batch.column(0)):
+            for _, texts in text_groups(batch.column(0), CHARS_AT_ONCE):
                 times[-1] += len(texts)
-                for text in texts:
-                    times[counted(text, known)[0]] += 1
+                spread = Counter(chain.from_iterable(map(term_counts, texts)))
+                at = numbers(spread, known)
+                np.add.at(times, at[at >= 0], np.fromiter(spread.values(), np.int64, len(spread))[at >= 0])
         at = np.flatnonzero(times)
         yield pa.RecordBatch.from_arrays([pa.array(np.where(at < len(known), at, -1).astype(np.int32)), pa.array(times[at])], ["term", "n"])
 
@@ -225,9 +284,10 @@ def _count_documents(sent: Broadcast):
 def _example_terms(sent: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc_id, toxic, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows.append((doc_id, toxic, *counted(text, sent.value)))
+            rows, ids, marks = [], batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for start, texts in text_groups(batch.column(2), CHARS_AT_ONCE):
+                for i, (terms, counts) in enumerate(counted_each(texts, sent.value), start):
+                    rows.append((ids[i], marks[i], terms, counts))
             yield _frame(rows, {"doc_id": pa.int64(), "toxic": pa.int32(), "terms": pa.list_(pa.int32()), "counts": pa.list_(pa.int32())})
 
     return run
@@ -239,10 +299,11 @@ def _leave_one_out(sent: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
-            rows = []
-            for doc_id, toxic, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if near := model.near(text, without=doc_id):
-                    rows.append((model.vote(near), toxic))
+            rows, ids, marks = [], batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for start, texts in text_groups(batch.column(2), CHARS_AT_ONCE):
+                for i, near in enumerate(model.near_each(texts, ids[start : start + len(texts)]), start):
+                    if near:
+                        rows.append((model.vote(near), marks[i]))
             yield _frame(rows, {"vote": pa.float64(), "toxic": pa.int32()})
 
     return run
@@ -302,9 +363,8 @@ def _score(sent: Broadcast):
         model = sent.value
         for batch in batches:
             scores, evidence = [], []
-            for _, texts in text_groups(text_of(batch)):
-                for text in texts:
-                    near = model.near(text)
+            for _, texts in text_groups(text_of(batch), CHARS_AT_ONCE):
+                for near in model.near_each(texts):
                     scores.append(model.calibrated(near))
                     evidence.append([{"doc_id": int(model.index.ids[i]), "similarity": s, "toxic": int(model.index.toxic[i])} for s, i in near[:3]])
             row = {"row": batch.column("row")} if "row" in batch.schema.names else {}

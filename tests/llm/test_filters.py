@@ -236,6 +236,59 @@ def test_block_max_search_is_exact():
         assert [(-s, int(index.ids[x])) for s, x in index.nearest(e.terms, e.weights, 10, without=e.doc_id)] == want
 
 
+class Read(list):
+    """A list that counts how often its items are read."""
+
+    reads = 0
+
+    def __getitem__(self, i):
+        self.reads += 1
+        return super().__getitem__(i)
+
+
+def test_queries_go_through_blocks_together():
+    rng = np.random.default_rng(5)
+    idf = rng.uniform(1, 5, 60)
+    examples = []
+    for i in range(400):
+        terms = np.unique(np.where(rng.random(6) < 0.5, rng.integers(0, 8, 6), rng.integers(0, 60, 6)))
+        examples.append(toxicity.Example(i // 2, i % 2, *toxicity.unit_vector(terms, rng.integers(1, 4, len(terms)), idf)))
+    index = toxicity.BlockMaxIndex(examples, 60, block=16)
+    assert 0 < index.maxima.shape[0] < 60
+    dense = np.zeros((400, 60))
+    for i, e in enumerate(examples):
+        dense[i, e.terms] = e.weights
+    queries = [(e.terms, e.weights) for e in examples[:150]]
+    without = [e.doc_id if i % 3 else None for i, e in enumerate(examples[:150])]
+    index.common = Read(index.common)
+    got = index.nearest_each(queries, 10, without)
+    rounds = -(-len(queries) // toxicity.QUERIES_AT_ONCE)
+    assert 0 < index.common.reads <= rounds * index.n_blocks
+    for (terms, weights), left, found in zip(queries, without, got, strict=True):
+        scores = dense[:, terms] @ weights
+        want = sorted((-round(float(s), 12), e.doc_id) for s, e in zip(scores, examples, strict=True) if s > 0 and e.doc_id != left)[:10]
+        assert [(-s, int(index.ids[i])) for s, i in found] == want
+        assert found == index.nearest(terms, weights, 10, left)
+    assert index.nearest_each([], 10) == []
+
+
+def test_terms_of_several_texts_are_looked_up_once(monkeypatch):
+    looked_up, hashes = [], toxicity.hashes
+    known = np.sort(hashes(["kind", "vile", "wort"]))
+    monkeypatch.setattr(toxicity, "hashes", lambda terms: looked_up.extend(terms) or hashes(terms))
+    got = [dict(zip(known[at].tolist(), n.tolist(), strict=True)) for at, n in toxicity.counted_each(["Vile, vile kind", "", "vile other", "other 12"], known)]
+    vile, kind = hashes(["vile", "kind"]).tolist()
+    assert got == [{vile: 2, kind: 1}, {}, {vile: 1}, {}]
+    assert sorted(looked_up) == ["kind", "other", "vile"]
+
+
+def test_term_counts_are_those_of_the_terms():
+    marks = "".join(map(chr, range(256)))
+    texts = [None, "", "a_b A.b 1a2 x\u00b2y \u00bd", "na\u00efve\u00a0STRASSE stra\u00dfe\x85\u00aa\u00b5", marks, " ".join(marks), "\u0130stanbul \u039f\u0394\u039f\u03a3 \u039f\u03a3.", "\u201cvile\u201d \u2014 don\u2019t", "\u4f60\u597d\uff0c\u4e16\u754c \U0001f600x"]
+    for text in texts:
+        assert toxicity.term_counts(text) == Counter(toxicity.terms_of(text))
+
+
 def test_isotonic_fit_rises():
     rng = np.random.default_rng(0)
     x = rng.random(400)
