@@ -70,32 +70,45 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/folioflow/{what}-{uuid.uuid4().hex}"
 
 
-#: Arrow batches of whole texts that a table made by written() is computed from.
-BATCH_ROWS = 1000
+#: Rows and bytes of the Arrow batches of whole texts that written() and collected() compute from. The bytes are what bounds
+#: the memory that the JVM and Python hold outside of heaps, however long the texts are; a longer single text is taken alone.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+#: Bytes of a row group of a table made by written(): what a task that writes or reads it holds at once.
+ROW_GROUP_BYTES = 4 << 20
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
-    """Jobs run inside send so many rows to Python at once; the session's own setting comes back afterwards."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[None]:
+    """Jobs run inside send so many rows and about so many bytes to Python at once; the session's own settings come back
+    afterwards."""
+    arrow = "spark.sql.execution.arrow"
+    wanted = {f"{arrow}.maxRecordsPerBatch": rows, f"{arrow}.maxBytesPerBatch": size}
+    before = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, str(value))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def written(df: DataFrame, what: str, *partition_by: str) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage, survives lost executors, is computed once."""
     path = new_path(df.sparkSession, what)
     with small_batches(df.sparkSession):
-        df.write.partitionBy(*partition_by).parquet(path)
+        df.write.option("parquet.block.size", ROW_GROUP_BYTES).partitionBy(*partition_by).parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.written_to = path
     return table
 
 
+def collected(df: DataFrame) -> pa.Table:
+    """A bounded result at the driver; texts that pass through Python on the way go in small batches."""
+    with small_batches(df.sparkSession):
+        return df.toArrow()
+
+
 def renamed_once(spark: SparkSession, source: str, target: str) -> bool:
     """Renames a folder unless the target is there; of several writers one gets it. False: it was there."""
     jvm = spark._jvm

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import first_share, given, held_out, let_go, text_groups, text_of, with_row
+from folioflow.llm.common import collected, first_share, given, held_out, let_go, text_groups, text_of, with_row
 
 ORDER, SAMPLE_ROWS, TOTAL_ROWS = 4, 1500, 60_000
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -171,7 +171,7 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, total_rows: int = TOT
     order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = near.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= F.col("_most")).select("doc_id", "lang").distinct()
     rows = labelled.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])
-    counts = rows.select("lang", "text").mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    counts = collected(rows.select("lang", "text").mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     by = {}
     for lang in pc.unique(counts["lang"]).to_pylist():
         own = counts.filter(pc.equal(counts["lang"], lang))

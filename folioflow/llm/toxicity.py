@@ -32,7 +32,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import first_share, given, held_out, let_go, text_groups, text_of, with_row, written
+from folioflow.llm.common import collected, first_share, given, held_out, let_go, text_groups, text_of, with_row, written
 
 SAMPLE_ROWS, NEIGHBOURS, BLOCK, THRESHOLD = 3000, 15, 64, 0.7
 #: Queries that go through the blocks together, and characters of texts whose terms are looked up together.
@@ -329,17 +329,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, neig
         return nothing
     n0, n1, rate = sizes[0], sizes[1], totals[1] / (totals[0] + totals[1])
     by_term = rows.select("toxic", "text").mapInArrow(_count_terms, "term long, clean long, toxic long").groupBy("term").agg(F.sum("clean").cast("double").alias("a"), F.sum("toxic").cast("double").alias("b"))
-    terms = by_term.toArrow()
+    terms = collected(by_term)
     known = terms["term"].to_numpy().view(np.uint64)
     order = np.argsort(known)
     known, a, b = known[order], terms["a"].to_numpy()[order] + SMOOTHING, terms["b"].to_numpy()[order] + SMOOTHING
     association = np.maximum(np.abs(np.log(b / (n1 + 2 * SMOOTHING) * (n0 + 2 * SMOOTHING) / a)), LEAST_ASSOCIATION)
     sent = spark.sparkContext.broadcast(known)
-    spread = docs.select("text").mapInArrow(_count_documents(sent), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    spread = collected(docs.select("text").mapInArrow(_count_documents(sent), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")))
     times = np.zeros(len(known) + 1)  # the last one counts all documents
     times[spread["term"].to_numpy()] = spread["n"].to_numpy()
     term_weights = (np.log((1 + times[-1]) / (1 + times[:-1])) + 1) * association
-    found = rows.mapInArrow(_example_terms(sent), "doc_id long, toxic int, terms array<int>, counts array<int>").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
+    found = collected(rows.mapInArrow(_example_terms(sent), "doc_id long, toxic int, terms array<int>, counts array<int>")).sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
+    sent.destroy()
     weights = (totals[0] / n0, totals[1] / n1)
     examples, bare = [], []
     for doc_id, toxic, held_terms, counts in zip(*(found[c] for c in ("doc_id", "toxic", "terms", "counts")), strict=True):
@@ -351,7 +352,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, neig
     if not examples:
         return Model(known, term_weights, None, weights, np.zeros(0), np.zeros(0), without, rate, neighbours)
     model = Model(known, term_weights, BlockMaxIndex(examples, len(known)), weights, np.zeros(0), np.zeros(0), without, rate, neighbours)
-    votes = rows.mapInArrow(_leave_one_out(spark.sparkContext.broadcast(model)), "vote double, toxic int").toArrow().sort_by([("vote", "ascending"), ("toxic", "ascending")])
+    judge = spark.sparkContext.broadcast(model)
+    votes = collected(rows.mapInArrow(_leave_one_out(judge), "vote double, toxic int")).sort_by([("vote", "ascending"), ("toxic", "ascending")])
+    judge.destroy()
     marks = votes["toxic"].to_numpy()
     steps, values = isotonic(votes["vote"].to_numpy(), marks.astype(float), np.where(marks == 1, weights[1], weights[0])) if len(votes) else (np.zeros(1), np.full(1, without))
     return replace(model, steps=steps, values=values)
