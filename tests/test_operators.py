@@ -49,6 +49,13 @@ def test_cleaning(spark):
     assert one(spark, tx.sentences(F.lit("One. Two! three? Four."))) == ["One.", "Two! three?", "Four."]
 
 
+def test_sentences_keep_digits_and_lose_spaces(spark):
+    assert one(spark, tx.sentences(F.lit("099 units. 1 box.  Next 1. \u00a0"))) == ["099 units. 1 box.", "Next 1."]
+    assert one(spark, tx.sentences(F.lit("\t0 a!\n\fB 1\n"), tx.AROUND)) == ["0 a!", "B 1"]
+    assert one(spark, tx.fine_sentences(F.lit("0th of all\n1234\n1st of 11\n2 dogs 22"))) == ["0th of all", "1st of 11", "2 dogs 22"]
+    assert one(spark, tx.sentences_in(F.lit(" 00 a. 1 b 1. 2 "), F.lit("en"))) == ["00 a.", "1 b 1.", "2"]
+
+
 @pytest.mark.parametrize("a, b, same", [("IBM", "IBM Corporation", False), ("Acme Energy", "acme  energy", True), ("Acme Energy", "Acme Energy Co", True), ("Acme", "Zeta", False)])
 def test_names(spark, a, b, same):
     assert one(spark, vl.same_name(F.lit(a), F.lit(b))) is same
