@@ -56,6 +56,11 @@ def test_sentences_keep_digits_and_lose_spaces(spark):
     assert one(spark, tx.sentences_in(F.lit(" 00 a. 1 b 1. 2 "), F.lit("en"))) == ["00 a.", "1 b 1.", "2"]
 
 
+def test_chunks_keep_digits_at_the_ends_of_sentences(spark):
+    df = spark.createDataFrame([(1, "0 of a. B 1. "), (2, "\u00a0")], "k long, t string")
+    assert [(r.k, r.n, r.chunk, r.characters) for r in chunking.sentence_chunks(df, "k", "t", 2).collect()] == [(1, 0, "0 of a. B 1.", 12)]
+
+
 @pytest.mark.parametrize("a, b, same", [("IBM", "IBM Corporation", False), ("Acme Energy", "acme  energy", True), ("Acme Energy", "Acme Energy Co", True), ("Acme", "Zeta", False)])
 def test_names(spark, a, b, same):
     assert one(spark, vl.same_name(F.lit(a), F.lit(b))) is same
