@@ -101,7 +101,11 @@ def normal_name(name: Column) -> Column:
 def name_similarity(a: Column, b: Column) -> Column:
     """1 for equal normal names; the length ratio if one holds the other and the ratio is over a half; else six tenths of
     edit similarity and four of the overlap of their words."""
-    x, y = normal_name(a), normal_name(b)
+    return plain_similarity(normal_name(a), normal_name(b))
+
+
+def plain_similarity(x: Column, y: Column) -> Column:
+    """name_similarity() of normal names."""
     short, long_ = F.least(F.length(x), F.length(y)), F.greatest(F.length(x), F.length(y))
     ratio = short / long_
     holds = F.contains(x, y) | F.contains(y, x)
@@ -111,6 +115,10 @@ def name_similarity(a: Column, b: Column) -> Column:
 
 
 def same_name(a: Column, b: Column, least: float = 0.85) -> Column:
-    x, y = normal_name(a), normal_name(b)
+    return same_plain(normal_name(a), normal_name(b), least)
+
+
+def same_plain(x: Column, y: Column, least: float = 0.85) -> Column:
+    """same_name() of normal names."""
     ratio = F.least(F.length(x), F.length(y)) / F.greatest(F.length(x), F.length(y))
-    return (x == y) | ((F.contains(x, y) | F.contains(y, x)) & (ratio > 0.5)) | (name_similarity(a, b) >= least)
+    return (x == y) | ((F.contains(x, y) | F.contains(y, x)) & (ratio > 0.5)) | (plain_similarity(x, y) >= least)

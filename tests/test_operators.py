@@ -388,6 +388,28 @@ def test_similar_names_against_all_pairs(spark):
     assert got == want and ("Bay", "eBay") in want and ("!!", "--") in want
 
 
+def test_similar_names_of_many_words_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(4)
+    names = {" ".join(rng.sample("alpha beta gamma delta eps zeta eta theta iota kappa lam mu nu xi omi pi".split(), rng.randint(1, 13))) for _ in range(40)}
+    for n in sorted(names):
+        w = n.split()
+        names |= {" ".join(w[1:]) or "a", n + "x", " ".join([*w, "co", "ltd"]), " ".join(rng.sample(w, len(w))), n[3:], n.replace("a", "e", 1), "a" * len(n)}
+    df = spark.createDataFrame([(n, "t") for n in sorted(names)] + [("alpha", None), (None, "t")], "n string, t string")
+    got = {(r.a, r.b) for r in graph.similar_names(df, "n", "t").collect()}
+    a, b = df.where("t = 't' and n is not null").select(F.col("n").alias("a")), df.where("t = 't'").select(F.col("n").alias("b"))
+    assert got == {(r.a, r.b) for r in a.crossJoin(b).where("a < b").where(vl.same_name(F.col("a"), F.col("b"))).collect()}
+
+
+def test_names_of_few_words_meet_few_others(spark):
+    words = [f"{x} {y}" for x in ("red", "old", "hot", "blue") for y in ("bolt", "ring", "gear", "plate")]
+    df = spark.createDataFrame([("t", f"{w} {i}".strip()) for w in words for i in ["", "ltd", *range(60)]], "type string, n string")
+    df = df.withColumn("plain", F.col("n")).withColumn("len", F.length("n"))
+    # meeting by a single common word would make over 100,000 pairs of 992 names
+    assert graph._sharing_words(df).count() < 5 * df.count() and graph._holding(df).count() < 12 * df.count()
+
+
 def test_linked_groups(spark):
     import random
 
