@@ -266,6 +266,20 @@ def test_clusters_keep_the_longest_name(spark):
     assert got == {("org", "Acme Energy"): "Acme Energy Co", ("org", "Acme Energy Co"): "Acme Energy Co", ("org", "Zeta"): "Zeta", ("place", "Acme Energy"): "Acme Energy"}
 
 
+def test_clusters_of_many_variants(spark):
+    names = sorted({f"{x} {y}{z}" for x in ("red", "old", "cold", "blue") for y in ("bolt", "ring", "gear") for z in ["", "s", " Ltd", *(f" {i}" for i in range(50))]})
+    df = spark.createDataFrame([("t", n) for n in names], "t string, n string")
+    a, b = df.select(F.col("n").alias("a")), df.select(F.col("n").alias("b"))
+    near: dict[str, set] = {n: set() for n in names}
+    for r in a.crossJoin(b).where("a <> b").where(vl.same_name(F.col("a"), F.col("b"))).collect():
+        near[r.a].add(r.b)
+    taken: dict[str, str] = {}
+    for n in sorted(names, key=lambda n: (-len(n), n)):
+        if n not in taken:
+            taken |= {m: n for m in [n, *near[n]] if m not in taken}
+    assert {r.name: r.canonical for r in graph.name_clusters(df, graph.similar_names(df, "n", "t"), "n", "t").collect()} == taken
+
+
 def relevance(spark, text):
     return tx.with_relevance(spark.createDataFrame([(text,)], "text string"), "text").first().relevance
 
