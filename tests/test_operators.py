@@ -494,6 +494,25 @@ def test_queries_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, vectors.top_k(df, df, "k", "k", "v", 3).collect())) == whole and len(whole) == 180
 
 
+def test_pairs_of_blocks_are_those_that_share_a_bucket(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(vectors, "PAIR_BLOCK", 40)
+    monkeypatch.setattr(vectors, "ROW_BLOCK", 16)
+    x = np.random.default_rng(8).normal(size=(300, 8))
+    x[50:80] = x[0]
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "k long, v array<double>").withColumn("v", vectors.normalised("v"))
+    got = {(r.a, r.b): r.distance for r in vectors.approximate_pairs(df, "k", "v", 0.9, 0.5).collect()}
+
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    rows = df.select("k", array_to_vector("v").alias("_v"))
+    model = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=0.5, numHashTables=6, seed=7).fit(rows)
+    want = model.approxSimilarityJoin(rows, rows, 0.9, "d").select("datasetA.k", F.col("datasetB.k").alias("b"), "d").where("k < b").collect()
+    assert got == {(r[0], r[1]): r[2] for r in want} and len(got) > 435
+
+
 def connected(edges, labels):
     """Whether the nodes of each community reach each other within it."""
     near = {}
