@@ -513,6 +513,21 @@ def test_pairs_of_blocks_are_those_that_share_a_bucket(spark, monkeypatch):
     assert got == {(r[0], r[1]): r[2] for r in want} and len(got) > 435
 
 
+def test_best_of_equal_vectors_and_of_other_lengths(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(vectors, "ROW_BLOCK", 7)
+    rng = np.random.default_rng(5)
+    x = [[1.0, 2.0, 3.0]] * 30 + rng.normal(size=(40, 3)).round(1).tolist() + [[0.0, 0.0, 0.0], [1.0, 2.0], None, [1.0, None, 2.0]]
+    df = spark.createDataFrame([(f"k{i:02d}", v) for i, v in enumerate(x)], "k string, v array<double>")
+    got = {(r.query, r["rank"]): (r.match, round(r.score, 9)) for r in vectors.top_k(df, df.where("k < 'k60'"), "k", "k", "v", 4).collect()}
+    full = [(f"k{i:02d}", np.array(v)) for i, v in enumerate(x[:70])]
+    for name, q in full[:60]:
+        scored = sorted(((-round(float(q @ v / np.linalg.norm(q) / np.linalg.norm(v)), 9), m) for m, v in full if m != name))[:4]
+        assert [got[name, n + 1] for n in range(4)] == [(m, -s) for s, m in scored]
+    assert len(got) == 240
+
+
 def connected(edges, labels):
     """Whether the nodes of each community reach each other within it."""
     near = {}
