@@ -528,6 +528,21 @@ def test_best_of_equal_vectors_and_of_other_lengths(spark, monkeypatch):
     assert len(got) == 240
 
 
+def test_all_lists_probed_find_what_exact_search_finds(spark, monkeypatch):
+    import numpy as np
+
+    x = np.random.default_rng(6).normal(size=(200, 6))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "k long, v array<double>")
+    rows, centres = vectors.inverted_file(df, "k", "v", 9)
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 11)
+    monkeypatch.setattr(vectors, "PARTS_OF_LIST", 2)
+    got = {(r.query, r.match, r["rank"]) for r in vectors.probed_top_k(rows, centres, df, "k", "v", 3, len(centres)).collect()}
+    assert got == {(r.query, r.match, r["rank"]) for r in vectors.top_k(df, df, "k", "k", "v", 3).collect()} and len(got) == 600
+    in_list = {r.k: r.list for r in rows.collect()}
+    one = vectors.probed_top_k(rows, centres, df, "k", "v", 3, 1).collect()
+    assert one and all(in_list[r.query] == in_list[r.match] for r in one)
+
+
 def connected(edges, labels):
     """Whether the nodes of each community reach each other within it."""
     near = {}
