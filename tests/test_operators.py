@@ -609,3 +609,13 @@ def test_latent_vectors_span_what_the_svd_spans(spark):
     assert not mine[90:].any() and np.allclose(np.abs(mine[:90]), np.abs(want[:90]), atol=1e-3)
     assert np.allclose(mine[:90] @ mine[:90].T, want[:90] @ want[:90].T, atol=1e-3)
     assert vectors.latent_vectors(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text", 64, 4).count() == 0
+
+
+def test_latent_vectors_over_many_small_steps(spark, monkeypatch):
+    texts = [" ".join(f"w{(i * k) % 40}" for k in range(1, 1 + i % 30)) for i in range(120)] + ["", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    whole = {r.doc_id: r.embedding for r in vectors.latent_vectors(df, "doc_id", "text", 64, 4).collect()}
+    monkeypatch.setattr(vectors, "DENSE_ROWS", 7)
+    monkeypatch.setattr(vectors, "WORDS_HELD", 3)
+    steps = {r.doc_id: r.embedding for r in vectors.latent_vectors(df, "doc_id", "text", 64, 4).collect()}
+    assert len(steps) == 122 and all(np.allclose(whole[k], steps[k], atol=1e-9) for k in whole)
