@@ -29,13 +29,18 @@ _WORD = re.compile(r"\w+")
 
 def packed(numbers: np.ndarray) -> bytes:
     """Numbers from 0 on as bytes of seven bits, the lowest first; the highest bit says that more follow."""
+    return _packed(numbers)[0].tobytes()
+
+
+def _packed(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes, and where those of each number end."""
     n = numbers.astype(np.uint64)
     width = np.maximum(1, -(-np.frexp(n.astype(np.float64))[1] // 7))
     width += (n >> (7 * width).astype(np.uint64) > 0) & (width < 10)  # a double may round down
     ends = np.cumsum(width)
     place = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - width, width)
     bits = (np.repeat(n, width) >> (7 * place).astype(np.uint64)) & np.uint64(127)
-    return (bits + np.where(place < np.repeat(width, width) - 1, 128, 0).astype(np.uint64)).astype(np.uint8).tobytes()
+    return (bits + np.where(place < np.repeat(width, width) - 1, 128, 0).astype(np.uint64)).astype(np.uint8), ends
 
 
 def unpacked(data: bytes) -> np.ndarray:
@@ -46,12 +51,32 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.add.reduceat((raw & 127).astype(np.uint64) << (7 * place).astype(np.uint64), starts) if len(raw) else np.zeros(0, np.uint64)
 
 
-def block(keys: np.ndarray, counts: np.ndarray, positions: np.ndarray) -> bytes:
-    """keys in order, how many positions each has, and these one behind the other."""
-    starts = np.cumsum(counts) - counts
+def blocks(keys: np.ndarray, counts: np.ndarray, positions: np.ndarray, sizes: np.ndarray) -> pa.BinaryArray:
+    """Blocks of so many keys each, all packed together: keys in order within a block, how many positions each has, and these one
+    behind the other."""
+    ends = np.cumsum(counts)
+    first = np.cumsum(sizes) - sizes  # the first key of each block
     steps = np.diff(positions, prepend=0)
-    steps[starts] = positions[starts]
-    return packed(np.concatenate([[len(keys)], np.diff(keys, prepend=keys[:1]), counts, steps]))
+    steps[ends - counts] = positions[ends - counts]
+    apart = np.diff(keys, prepend=0)
+    apart[first] = 0
+    occurrences = np.add.reduceat(counts, first) if len(sizes) else counts
+    # a block is its number of keys, their distances, the counts and the steps
+    begin = np.cumsum(1 + 2 * sizes + occurrences) - (1 + 2 * sizes + occurrences)
+    numbers = np.zeros(len(sizes) + 2 * len(keys) + len(positions), np.int64)
+    numbers[begin] = sizes
+    at = np.repeat(begin + 1 - first, sizes) + np.arange(len(keys))
+    numbers[at] = apart
+    numbers[at + np.repeat(sizes, sizes)] = counts
+    numbers[np.repeat(begin + 1 + 2 * sizes - (np.cumsum(occurrences) - occurrences), occurrences) + np.arange(len(positions))] = steps
+    data, to = _packed(numbers)
+    offsets = np.concatenate([[0], to[np.append(begin[1:], len(numbers)) - 1]] if len(sizes) else [[0]]).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def block(keys: np.ndarray, counts: np.ndarray, positions: np.ndarray) -> bytes:
+    """One block."""
+    return blocks(keys, counts, positions, np.array([len(keys)]))[0].as_py()
 
 
 def opened(data: bytes, first: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,35 +89,41 @@ def opened(data: bytes, first: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(keys, counts), total - np.repeat(total[starts] - steps[starts], counts)
 
 
+class _Numbered(dict):
+    """Words by the order in which they come."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        return number
+
+
 def _build(table: pa.Table) -> pa.Table:
-    bucket, at, terms, docs, places = table["bucket"][0].as_py(), {}, [], [], []
+    at, terms, docs, places = _Numbered(), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     order = np.argsort(table["key"].to_numpy(), kind="stable")
     keys = table["key"].to_numpy()[order]
     for i, text in enumerate(table["text"].take(pa.array(order)).to_pylist()):
         words = _WORD.findall(text.lower())
-        terms.append(np.fromiter((at.setdefault(w, len(at)) for w in words), np.int64, len(words)))
+        terms.append(np.fromiter(map(at.__getitem__, words), np.int64, len(words)))
         docs.append(np.full(len(words), i))
         places.append(np.arange(len(words)))
     term, doc, place = (np.concatenate(x) for x in (terms, docs, places))
     # rows that repeat a key are told apart by far positions
     place += (np.arange(len(keys)) - np.searchsorted(keys, keys))[doc] << FAR
-    by = np.lexsort([place, doc, term])
+    by = np.argsort(term, kind="stable")  # documents and places are in order already
     term, doc, place = term[by], doc[by], place[by]
     # a block ends with its term, or after BLOCK documents of it
-    fresh = np.concatenate([[True], (np.diff(term) != 0) | (np.diff(doc) != 0)]) if len(term) else np.zeros(0, bool)
-    begins = np.concatenate([[True], np.diff(term) != 0]) if len(term) else fresh
-    of_term = np.cumsum(fresh) - 1
-    nth = of_term - np.maximum.accumulate(np.where(begins, of_term, 0))  # the documents of this term before this one
-    cuts = np.flatnonzero(fresh & (nth % BLOCK == 0))
-    names, rows = list(at), []
-    for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(term)).tolist()[: len(cuts)], strict=True):
-        heads = np.flatnonzero(fresh[a:b])
-        counts = np.diff(np.append(heads, b - a))
-        own = keys[doc[a:b][heads]]
-        rows.append((names[term[a]], bucket, int(own[0]), int(own[-1]), len(own), b - a, block(own, counts, place[a:b])))
+    begins = np.concatenate([[True], np.diff(term) != 0])[: len(term)]
+    fresh = np.flatnonzero(begins | np.concatenate([[True], np.diff(doc) != 0])[: len(term)])
+    # of each term's documents: how many came before
+    nth = np.arange(len(fresh)) - np.maximum.accumulate(np.where(begins[fresh], np.arange(len(fresh)), 0))
+    cuts = np.flatnonzero(nth % BLOCK == 0)
+    sizes, counts, own = np.diff(np.append(cuts, len(fresh))), np.diff(np.append(fresh, len(term))), keys[doc[fresh]]
+    names = pa.array(list(at), pa.string()).take(pa.array(term[fresh[cuts]]))
+    bucket = np.full(len(cuts), table["bucket"][0].as_py())
+    occurrences = np.diff(np.append(fresh[cuts], len(term)))
+    columns = [names, bucket, own[cuts], own[cuts + sizes - 1], sizes, occurrences, blocks(own, counts, place, sizes)]
     kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-    columns = list(zip(*rows, strict=True)) or [()] * 7
-    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in POSTINGS.split(", ")])
+    return pa.Table.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in POSTINGS.split(", ")])
 
 
 def postings(df: DataFrame, key: str, text: str, bucket_chars: int = BUCKET_CHARS) -> DataFrame:

@@ -54,3 +54,19 @@ def test_phrases_and_prefixes_like_a_loop(spark, texts, chars):
 def test_postings_of_nothing(spark):
     index = postings.postings(spark.createDataFrame([(1, "")], "doc_id long, text string"), "doc_id", "text")
     assert index.count() == 0 and postings.phrase(index, "a").count() == 0
+
+
+def test_blocks_packed_together_are_those_packed_alone():
+    rng = np.random.default_rng(7)
+    sizes = np.array([1, 128, 3, 1, 40])
+    counts = rng.integers(1, 5, sizes.sum())
+    keys = np.concatenate([np.sort(rng.choice(10**9, n, replace=False)) for n in sizes])
+    positions = np.concatenate([np.sort(rng.choice(10**6, n, replace=False)) for n in counts])
+    found = postings.blocks(keys, counts, positions, sizes).to_pylist()
+    ends, places = np.cumsum(sizes), np.concatenate([[0], np.cumsum(counts)])
+    for data, a, b in zip(found, ends - sizes, ends, strict=True):
+        own = slice(places[a], places[b])
+        assert data == postings.block(keys[a:b], counts[a:b], positions[own])
+        k, p = postings.opened(data, int(keys[a]))
+        assert k.tolist() == np.repeat(keys[a:b], counts[a:b]).tolist() and p.tolist() == positions[own].tolist()
+    assert postings.blocks(*(np.zeros(0, np.int64),) * 4).to_pylist() == []
