@@ -61,6 +61,17 @@ def test_chunks_keep_digits_at_the_ends_of_sentences(spark):
     assert [(r.k, r.n, r.chunk, r.characters) for r in chunking.sentence_chunks(df, "k", "t", 2).collect()] == [(1, 0, "0 of a. B 1.", 12)]
 
 
+def test_fine_sentences_of_long_parts_end_soon(spark):
+    import time
+
+    # many labels and end marks in one line: each pattern is tried where it can match, not up to 200 characters back from everywhere
+    line = ", ".join(f"Label{i}: value {i}" for i in range(2000)) + ". " + "word " * 300_000 + "end. A: b, c. D"
+    df = spark.createDataFrame([(line,)], "t string").select(tx.fine_sentences(F.col("t")).alias("s"))
+    df.limit(0).collect()
+    began = time.perf_counter()
+    assert df.first().s[-1] == "b, c." and time.perf_counter() - began < 15
+
+
 @pytest.mark.parametrize("a, b, same", [("IBM", "IBM Corporation", False), ("Acme Energy", "acme  energy", True), ("Acme Energy", "Acme Energy Co", True), ("Acme", "Zeta", False)])
 def test_names(spark, a, b, same):
     assert one(spark, vl.same_name(F.lit(a), F.lit(b))) is same
