@@ -630,3 +630,13 @@ def test_latent_vectors_over_many_small_steps(spark, monkeypatch):
     monkeypatch.setattr(vectors, "WORDS_HELD", 3)
     steps = {r.doc_id: r.embedding for r in vectors.latent_vectors(df, "doc_id", "text", 64, 4).collect()}
     assert len(steps) == 122 and all(np.allclose(whole[k], steps[k], atol=1e-9) for k in whole)
+
+
+def test_rounds_leave_no_tables_behind(spark, tmp_path, monkeypatch):
+    from folioflow.plans import lineage
+
+    monkeypatch.setattr(lineage, "shared_folder", lambda spark: str(tmp_path))
+    edges = lineage.cut(spark.createDataFrame([(1, 2, 1), (2, 3, 1), (1, 3, 1), (3, 4, 1), (4, 5, 1)], "a long, b long, weight long"))
+    labels = graph.local_moves(edges, 2)
+    # those of the edges and of the labels
+    assert len(list((tmp_path / "folioflow").iterdir())) == 2 and labels.count() == 5 and edges.count() == 5
